@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, quality_rules, simhash
 
 QUERIES = {
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {
