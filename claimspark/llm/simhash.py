@@ -31,7 +31,7 @@ RADIUS = 3
 SHINGLE = 3
 SAMPLE = 16_384
 LEAST = 4
-LEAF = 2_000
+LEAF = 32_000
 BLOCK = 512
 
 
