@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, quality_rules, simhash
+from . import byte_bpe, decontaminate, quality_rules, secret_scan, simhash
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
