@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, quality_rules, secret_scan, simhash
+from . import byte_bpe, chat_format, decontaminate, knn_quality, quality_rules, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality_knn": knn_quality.op7_quality_knn,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {
+    "op8_chat_format": chat_format.ORACLE_OP8,
     "op10_quality_rules": quality_rules.ORACLE_OP10,
 }
