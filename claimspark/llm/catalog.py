@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, knn_quality, quality_rules, secret_scan, simhash, toxicity
+from . import byte_bpe, chat_format, decontaminate, katz, knn_quality, quality_rules, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_katz": katz.op4_katz,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality_knn": knn_quality.op7_quality_knn,
