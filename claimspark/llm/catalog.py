@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, katz, knn_quality, quality_rules, secret_scan, simhash, toxicity
+from . import byte_bpe, chat_format, decontaminate, katz, knn_quality, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_katz": katz.op4_katz,

@@ -44,8 +44,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write df to the shared folder, bucketed by key, so that joins by key don't shuffle it.
+
+    Only a catalogue entry tells Spark of the buckets; it goes at once, and the plan keeps what it read.
+    """
+    spark = df.sparkSession
+    name = f"claimspark_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{scratch_root(spark)}/{name}").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # analysed now, while the entry stands
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def parts_for(rows: float, per_part: float, least: int = 8) -> int:

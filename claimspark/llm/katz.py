@@ -26,7 +26,6 @@ gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import json
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, scratch_root, table
+from .common import bucketed, materialise, parts_for, table
 from .toxicity import remainder
 
 K = 5
@@ -324,10 +323,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
             yield row()
 
     made = source.mapInArrow(to_blocks, "block long, tokens long, train long, texts long, body binary")
-    name = f"claimspark_blocks_{uuid.uuid4().hex}"
-    buckets = min(max(12, 2 * source.rdd.getNumPartitions()), 20_000)
-    made.write.bucketBy(buckets, "block").option("path", f"{scratch_root(spark)}/{name}").format("parquet").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = bucketed(made, "block", min(max(12, 2 * source.rdd.getNumPartitions()), 20_000))
     sums = blocks.agg(F.sum("tokens"), F.sum("texts")).first()
     parts = parts_for(sums[0] or 0, PART_TOKENS, 12)
 
@@ -383,9 +379,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
     both = told.withColumn("kind", F.lit(0)).unionAll(pairs.filter("block >= 0").select("block", "part", "body").withColumn("kind", F.lit(1)))
     scored = bare.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(evaluate_block, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     kind = docs.select(F.col(doc_id)).schema[0].dataType
-    out = materialise(scored.withColumn("doc_id", F.col("doc_id").cast(kind)), "scores")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return scored.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 BLOCKS = pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("train", pa.int64()), ("texts", pa.int64()), ("body", pa.binary())])
