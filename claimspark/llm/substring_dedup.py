@@ -46,8 +46,8 @@ from .common import bucketed, materialise, parts_for, table
 from .katz import QUESTION, mixed, pack, unpack
 
 CHUNK = 1 << 20
-BLOCK_BYTES = 40 << 20
-PART_ENTRIES = 1_500_000
+BLOCK_BYTES = 8 << 20
+PART_ENTRIES = 500_000
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: What became of a phrase: alone; copied; copied with other phrases at its key; the same, sent by this block; on its own among others.
 ALONE, COPIED, COPIED_OTHERS, SENT, OPEN = range(5)
@@ -217,7 +217,7 @@ class Texts:
         np.add.at(depth, e[whole] + how.length, -1)
         np.add.at(depth, repeated_starts, 1)
         np.add.at(depth, repeated_starts + how.length, -1)
-        gone = np.cumsum(depth[:-1]) > 0
+        gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
         starts, stops = edge[::2], edge[1::2]
         # windows stay inside texts, but runs of two texts can touch: cut them there
