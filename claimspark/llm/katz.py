@@ -39,8 +39,8 @@ from .common import bucketed, materialise, parts_for, table
 from .toxicity import remainder
 
 K = 5
-BLOCK_TOKENS = 6_000_000
-PART_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
+PART_TOKENS = 2_000_000
 END, START_ID = b"\n", 1 << 62
 ANSWER = "block long, part int, body binary, n array<long>"
 
