@@ -18,10 +18,12 @@ are not read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Bounds of the two caches; a full cache is emptied, which costs time and changes nothing.
-MAX_STATES = 300_000
-MAX_PIECES = 400_000
+#: Bounds of the two caches of a worker; a full one starts anew, which costs time and changes nothing.
+MAX_STATES = 150_000
+MAX_PIECES = 250_000
+#: Rows that a worker returns at once.
+ROWS = 500
 
 #: The public pattern for texts below U+0250, with its classes written out; others use `regex`.
 _SPACE = r" \t-\r\x85\xa0"
@@ -79,11 +83,12 @@ class Transducer:
         self.states: list[tuple[bytes, tuple]] = [(b"", (None,))]
         self.number = {self.states[0]: 0}
         self.arcs: dict[int, tuple[int, tuple]] = {}
+        self.missed: set[int] = set()
 
     def pair_survives(self, s: int, t: int) -> bool:
         found = self.survives.get((s, t))
         if found is None:
-            if len(self.survives) > MAX_STATES:
+            if len(self.survives) > 2 * MAX_STATES:
                 self.survives.clear()
             found = self.survives[s, t] = merge(self.ranks, self.bytes_of[s] + self.bytes_of[t]) == (s, t)
         return found
@@ -129,15 +134,39 @@ class Transducer:
         arc = self.arcs[state << 8 | byte] = (to, out)
         return arc
 
+    def finish(self, state: int, rest: bytes) -> list[int]:
+        """The tokens from a state to the end of the piece, without making arcs."""
+        held, last = self.states[state]
+        first, held, last = len(held) + 1, held + rest, list(last)
+        dead, ranks, survives = self.DEAD, self.ranks.get, self.survives
+        for n in range(first, len(held) + 1):
+            for at in range(n - 1, -1, -1):
+                s = last[at]
+                if s != dead and (t := ranks(held[at:n])) is not None and (s is None or (survives[s, t] if (s, t) in survives else self.pair_survives(s, t))):
+                    last.append(t)
+                    break
+            else:
+                raise KeyError(rest)
+        return self._tokens(last, len(held))
+
     def encode(self, piece: bytes) -> list[int]:
+        """Walk the arcs. A missing arc is made when it is missed for the second time, or where much
+        of the piece is left; else the rest of the piece is worked out directly."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES or len(self.missed) > 4 * MAX_STATES:
             self.reset()
         state, out, arc = 0, [], self.arcs.get
         try:
-            for byte in piece:
-                state, sent = arc(state << 8 | byte) or self.step(state, byte)
+            for i, byte in enumerate(piece):
+                key = state << 8 | byte
+                found = arc(key)
+                if found is None:
+                    if key not in self.missed and len(piece) - i < 48:
+                        self.missed.add(key)
+                        return out + self.finish(state, piece[i:])
+                    found = self.step(state, byte)
+                state, sent = found
                 if sent:
                     out += sent
         except KeyError:
@@ -147,16 +176,24 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Piece -> its ids in decimal, joined by spaces; made when first asked for."""
+    """Piece -> its ids in decimal, joined by spaces; made when first asked for.
+
+    Two generations of at most MAX_PIECES each: a full one becomes the older one, and what is still
+    used comes back from there.
+    """
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, piece: str) -> str:
-        if len(self) > MAX_PIECES:
+        out = self.older.get(piece)
+        if out is None:
+            out = " ".join(map(str, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
+        if len(self) >= MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        out = self[piece] = " ".join(map(str, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
+        self[piece] = out
         return out
 
 
@@ -247,26 +284,44 @@ def share(spark, vocabulary: str, pattern: str) -> tuple[str, object]:
     return key, spark.sparkContext.broadcast((ranks, pattern))
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with the ids themselves if asked for."""
+def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False, keep: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with the ids themselves if asked for.
+
+    keep: workers keep their caches from task to task, which saves time; without it they give the
+    memory back, as a step between others should.
+    """
     key, shared = share(docs.sparkSession, vocabulary, pattern)
 
     def code(it):
+        gc.disable()  # the caches hold no cycles, and looking for some among millions of entries takes a fifth of the time
+        try:
+            yield from batches(it)
+        finally:
+            if not keep:
+                _open.clear()
+            gc.enable()
+
+    def batches(it):
         coder = opened(key, shared)
-        for b in it:
-            rows = []
-            for t in b.column(1).to_pylist():
-                line = coder.encode_decimal(t or "")
-                tokens = line.split(" ") if line else []
-                stream = Utf8Stream()
-                sha = hashlib.sha256()
-                for at in range(0, len(tokens), 65_536):
-                    sha.update(stream.feed(coder.decode_bytes(tokens[at : at + 65_536])).encode("utf-8", "surrogatepass"))
-                sha.update(stream.finish().encode())
-                rows.append((len(tokens), hashlib.sha256(line.encode()).hexdigest(), sha.hexdigest(), *([list(map(int, tokens))] if ids else [])))
-            added = list(zip(*rows, strict=True)) if rows else [()] * (3 + ids)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(added, kinds, strict=False))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids])
+        for whole in it:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                rows, lines = [], []
+                for t in b.column(1).to_pylist():
+                    line = coder.encode_decimal(t or "")
+                    tokens = line.split(" ") if line else []
+                    stream, sha = Utf8Stream(), hashlib.sha256()
+                    for k in range(0, len(tokens), 65_536):
+                        sha.update(stream.feed(coder.decode_bytes(tokens[k : k + 65_536])).encode("utf-8", "surrogatepass"))
+                    sha.update(stream.finish().encode())
+                    rows.append((len(tokens), hashlib.sha256(line.encode()).hexdigest(), sha.hexdigest()))
+                    if ids:
+                        lines.append(np.fromstring(line, np.int32, sep=" "))
+                added = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                if ids:
+                    ends = np.cumsum([0, *map(len, lines)], dtype=np.int32)
+                    added.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lines))))
+                yield pa.RecordBatch.from_arrays([b.column(0), *added], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids])
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
@@ -285,4 +340,4 @@ def op5_byte_bpe(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: each kept document's ids."""
-    return digests(docs, *public_vocabulary(), ids=True)
+    return digests(docs, *public_vocabulary(), ids=True, keep=False)
