@@ -5,12 +5,13 @@ the others as named users; system turns stay system turns and are no participant
 turn in one perspective: the rendered segment, its place in the rendered dialogue (0-based character
 offsets [start, end)) and the mask, true where the assistant of this perspective speaks.
 
-Offsets are prefix sums over a conversation of any length. A conversation is cut into blocks of BLOCK
-turn numbers; segments are summed inside blocks, blocks inside conversations, and the two are joined,
-so that no task gathers a whole conversation: a hot one spreads over its blocks, and turns that share
-one number spread over SALTS sub-blocks by their text's hash.
+Offsets are prefix sums over a conversation of any length. A conversation is cut into cells: a turn
+number, and for turns that share one, SALTS classes of their text's hash. Cells are counted without
+their texts; their sizes are summed inside blocks of BLOCK turn numbers and the blocks inside
+conversations. Texts are dealt out once, by cell, so that no task gathers a whole conversation.
 
-Turns are ordered by turn number; equal numbers by their text's hash class, text and role; a null turn comes last, null roles and texts are empty strings.
+Turns are ordered by turn number; equal numbers by
+their text's hash class, text and role; a null turn comes last, null roles and texts are empty strings.
 Repeated rows are kept. A null conversation id is one conversation of its own. A conversation without
 participants (system turns only) has no perspectives and gives no rows. Empty tables give empty
 results. Other columns, also those with clashing names, are not read.
@@ -37,40 +38,34 @@ def segment(role: Column, text: Column, perspective: Column, system: str) -> Col
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system") -> DataFrame:
     """(conv_id, perspective, seq, turn, role, segment, mask, start, end) of every turn and perspective."""
     rows = turns.select(
+        F.coalesce(F.concat(F.lit("="), F.col(conv_id).cast("string")), F.lit("")).alias("c"),
         F.col(conv_id).alias("conv_id"),
         F.col(turn).cast("long").alias("turn"),
+        F.coalesce(F.col(turn).cast("long"), F.lit((1 << 63) - 1)).alias("at"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    ).withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    cell = ["c", "at", "salt"]
+    who = rows.filter(F.col("role") != system).select("c", F.col("role").alias("perspective")).distinct()
+    counted = rows.groupBy(*cell, "role").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    frame = F.length(segment(F.col("role"), F.lit(""), F.col("perspective"), system))
+    cells = (
+        counted.join(who, "c")
+        .groupBy("c", "perspective", "at", "salt")
+        .agg(F.sum("n").alias("n"), F.sum(F.col("chars") + F.col("n") * frame).alias("chars"))
+        .withColumn("block", F.expr(f"at div {BLOCK}"))
     )
-    who = rows.filter(F.col("role") != system).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    # a block is a range of turn numbers; inside a turn number, a range of hashes (equal hashes are compared by text)
-    rows = rows.withColumns(
-        {
-            "turn_order": F.coalesce("turn", F.lit((1 << 63) - 1)),
-            "salt": F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"),
-        }
-    ).withColumn("block", F.expr(f"turn_order div {BLOCK}"))
-    seen = rows.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    seen = seen.withColumn("segment", segment(F.col("role"), F.col("text"), F.col("perspective"), system)).withColumn("size", F.length("segment").cast("long"))
-    # sizes of a block: turn numbers and salts in order
-    cells = seen.groupBy("conv_id", "perspective", "block", "turn_order", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
-    blocks = cells.groupBy("conv_id", "perspective", "block").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    block_at = blocks.select("conv_id", "perspective", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("block_n"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("block_chars"))
-    inside = Window.partitionBy("conv_id", "perspective", "block").orderBy("turn_order", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cell_at = cells.select(
-        "conv_id", "perspective", "block", "turn_order", "salt", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("cell_n"), F.coalesce(F.sum("chars").over(inside), F.lit(0)).alias("cell_chars")
-    )
-    key = ["conv_id", "perspective", "block", "turn_order", "salt"]
-    cell_start = (
-        cell_at.alias("x")
-        .join(block_at.alias("y"), F.expr("x.conv_id <=> y.conv_id AND x.perspective = y.perspective AND x.block = y.block"))
-        .select(*[F.col(f"x.{k}").alias(f"{k}_k") for k in key], (F.col("cell_n") + F.col("block_n")).alias("first"), (F.col("cell_chars") + F.col("block_chars")).alias("offset"))
-    )
-    own = Window.partitionBy(*key).orderBy("text", "role").rowsBetween(Window.unboundedPreceding, -1)
-    placed = seen.withColumns({"own_n": F.count("*").over(own), "own_chars": F.coalesce(F.sum("size").over(own), F.lit(0))})
-    on = F.expr(" AND ".join(f"{k} <=> {k}_k" for k in key))
-    return placed.join(cell_start, on).select(
+    blocks = cells.groupBy("c", "perspective", "block").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    earlier = Window.partitionBy("c", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("c", "perspective", "block").orderBy("at", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    block_at = blocks.select("c", "perspective", "block", before("n", earlier).alias("block_n"), before("chars", earlier).alias("block_chars"))
+    cell_at = cells.repartition("c", "perspective", "block").select("c", "perspective", "block", "at", "salt", before("n", inside).alias("cell_n"), before("chars", inside).alias("cell_chars"))
+    start = cell_at.join(block_at, ["c", "perspective", "block"]).select(*cell, "perspective", (F.col("cell_n") + F.col("block_n")).alias("first"), (F.col("cell_chars") + F.col("block_chars")).alias("offset"))
+    own = Window.partitionBy(*cell, "perspective").orderBy("text", "role").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.repartition(*cell).join(start, cell).withColumn("segment", segment(F.col("role"), F.col("text"), F.col("perspective"), system))
+    size = F.length("segment").cast("long")
+    return seen.withColumns({"own_n": F.count("*").over(own), "begin": F.col("offset") + before(size, own)}).select(
         "conv_id",
         "perspective",
         (F.col("first") + F.col("own_n")).alias("seq"),
@@ -78,8 +73,8 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         "role",
         "segment",
         (F.col("role") == F.col("perspective")).alias("mask"),
-        (F.col("offset") + F.col("own_chars")).alias("start"),
-        (F.col("offset") + F.col("own_chars") + F.col("size")).alias("end"),
+        F.col("begin").alias("start"),
+        (F.col("begin") + size).alias("end"),
     )
 
 
