@@ -1,0 +1 @@
+"""Column functions: text, dates, judge outputs, vectors and sequences. All are built-in expressions."""

@@ -1,0 +1 @@
+"""DataFrame-in, DataFrame-out operators."""

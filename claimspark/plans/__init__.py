@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over the driver's tables: each binds operators to whole tables and registers its SQL."""
+
+from . import evidence, faithfulness, quality, retrieval, scalars, sequence, verification  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
