@@ -1,0 +1,151 @@
+"""Classifiers on held-out rows, chat formatting, the queries' SQL and the pipeline."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimspark.llm import byte_bpe, catalog, chat_format, decontaminate, knn_quality, quality_rules, secret_scan, simhash, toxicity
+from tests.compare import DATA, connect, rows_of
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_equals_sql(spark, name):
+    got, want = catalog.QUERIES[name](spark, DATA).toPandas(), connect().sql(catalog.ORACLE_SQL[name]).df()
+    assert rows_of(got) == rows_of(want)
+
+
+def accuracy(spark, query, label):
+    out = query(spark, SMALL).join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").filter("held_out")
+    n, right = out.agg(F.count("*"), F.sum((F.col("predicted") == F.col(label)).cast("int"))).first()
+    assert query(spark, SMALL).filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
+    return right / n
+
+
+def test_toxicity_held_out(spark):
+    assert accuracy(spark, toxicity.op6_toxicity, "toxic") > 0.93
+
+
+def test_quality_held_out(spark):
+    assert accuracy(spark, knn_quality.op7_quality_knn, "quality") > 0.93
+
+
+def test_folding():
+    for raw in ("1d10t", "idіot", "ID10T", "i​diot", "ｉｄｉｏｔ", "id!ot"):
+        assert toxicity.fold(raw) == " idiot "
+    assert toxicity.fold("room 101, $5") == " room 101 5 "
+    assert toxicity.fold(None).split() == []
+
+
+def test_lexicon_exceptions():
+    lexicon = toxicity.Lexicon({" trash ": 4.0, " scum": 3.0}, ("trash can",), -2.0, 2.0, 0.1)
+    assert lexicon.weight(toxicity.fold("the trash can")) == 0 and lexicon.weight(toxicity.fold("you trash, scumbag")) == 7
+
+
+def test_lexicon_learning():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("bcdfglmnprs") + rnd.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    plain = lambda: " ".join(rnd.choice(words) for _ in range(30))
+    rows = [(plain(), 0) for _ in range(200)] + [(plain() + rnd.choice([" dolt", " twerpish", " twerply"]), 1) for _ in range(100)]
+    model = toxicity.learn(sorted(rows))
+    assert model.score(plain() + " d0lt") > 0.5 and model.score(plain() + " twerpy") > 0.5 and model.score(plain()) < 0.5
+    assert toxicity.learn([]).score("x") == 0 and toxicity.learn([("a", 1)]).score("a") == 0
+
+
+def edge_tables(spark):
+    docs = spark.createDataFrame([(1, "good text here", "a"), (2, None, None), (3, "", ""), (None, "x " * 5000, "q"), (1, "good text here", "b")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1, None), (3, None, 1), (None, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (knn_quality, "quality")])
+def test_classifier_edges(spark, module, label):
+    docs, labels = edge_tables(spark)
+    for d in (docs, docs.limit(0)):
+        for x in (labels, labels.limit(0)):
+            model = toxicity.train(toxicity.training_rows(d, x, label, 5, 0, 10), lambda rows: module.learn(rows).dump())
+            got = module.score(d, model).collect()
+            assert len(got) == d.count() and all(0 <= r.score <= 1 for r in got)
+
+
+def test_neighbours_are_exact():
+    import numpy as np
+
+    rnd = random.Random(4)
+    text = lambda y: " ".join(rnd.choice(["Alpha", "beta", "gamma"] if y else ["ZZ!!", "QQ!!", "beta"]) for _ in range(20))
+    model = knn_quality.learn(sorted((text(y), y) for y in (0, 1) for _ in range(80)))
+    tests = [text(k % 2) for k in range(40)]
+    q = model.project(tests)
+    for k, s in enumerate(model.scores(tests)):
+        cosine = np.round(model.vectors @ q[k], 9)
+        near = np.argsort(-cosine, kind="stable")[: knn_quality.K]
+        w = np.maximum(cosine[near], 0) ** 2
+        assert s == pytest.approx((w * model.labels[near]).sum() / w.sum())
+        assert (s >= 0.5) == bool(k % 2)
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, "a", "hi", 9), (1, 1, "b", "yo", 9), (1, 1, "b", "yo", 9), (1, None, "c", None, 9), (None, 0, "a", "x", 9), (None, 0, None, "y", 9), (2, 0, "system", "s", 9), (3, 5, "a", "", 9), (3, 300, "b", "z", 9), (3, 2, "system", "q", 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int")
+    out = chat_format.rotate(df).collect()
+    dialogues = {}
+    for r in sorted(out, key=lambda r: (str(r.conv_id), r.perspective, r.seq)):
+        said = dialogues.setdefault((r.conv_id, r.perspective), "")
+        assert r.start == len(said) and r.end == r.start + len(r.segment) and r.mask == (r.role == r.perspective)
+        dialogues[r.conv_id, r.perspective] = said + r.segment
+    assert set(dialogues) == {(1, "a"), (1, "b"), (1, "c"), (None, "a"), (None, ""), (3, "a"), (3, "b")}
+    assert dialogues[3, "b"] == "<|im_start|>system\nq<|im_end|>\n<|im_start|>user name=a\n<|im_end|>\n<|im_start|>assistant\nz<|im_end|>\n"
+    assert chat_format.rotate(df.limit(0)).count() == 0
+
+
+def test_long_conversation_offsets(spark):
+    rows = [(1, i // 2, "ab"[i % 2], "t" * (i % 7)) for i in range(3000)]
+    out = sorted((r.seq, r.start, r.end) for r in chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("perspective = 'a'").collect())
+    assert [x[0] for x in out] == list(range(3000)) and out[0][1] == 0 and all(a[2] == b[1] for a, b in zip(out, out[1:], strict=False))
+
+
+def test_pipeline(spark):
+    """run() against the stages' operators, applied one by one to rows in memory."""
+    import corpus_pipeline
+
+    assert [f for _, f in corpus_pipeline.STAGES] == [m.stage for m in (quality_rules, simhash, decontaminate, secret_scan, byte_bpe)]
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, DATA).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    kept = {r.doc_id for r in quality_rules.op10_quality_rules(spark, DATA).filter("kept").collect()}
+    fps = {i: simhash.fingerprint(docs[i]) for i in sorted(kept)}
+    group = {i: i for i in fps}
+    changed = True
+    while changed:
+        changed = False
+        for i in fps:
+            for j in fps:
+                if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
+                    group[i] = group[j] = min(group[i], group[j])
+                    changed = True
+    kept = {i for i in kept if group[i] == i}
+    automaton = decontaminate.SuffixAutomaton()
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        automaton.add(decontaminate.words_of(r.text))
+    automaton.finish()
+    forest, coder, want = secret_scan.train_forest(), byte_bpe.ByteBpe(byte_bpe.read_ranks(byte_bpe.public_vocabulary()[0]), byte_bpe.public_vocabulary()[1]), {}
+    import re
+
+    import numpy as np
+
+    for i in kept:
+        text = docs[i]
+        words = decontaminate.words_of(text)
+        hit, _ = automaton.scan(words)
+        if hit.any() and 20 * hit.sum() >= len(words):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            text = decontaminate.cut_words(text, edge.reshape(-1, 2).tolist())
+            if not decontaminate.words_of(text):
+                continue
+        tokens = {re.sub(r"\.+$", "", m.group()) for m in re.finditer(secret_scan.CANDIDATE, text)}
+        secrets = [t for t in tokens if secret_scan.vote(forest, secret_scan.features(t, text[max(0, text.index(t) - secret_scan.CONTEXT) : text.index(t)])) >= 0.5]
+        for t in sorted(secrets, key=lambda t: (-len(t), t)):
+            text = text.replace(t, secret_scan.MASK)
+        want[i] = coder.encode(text)
+    assert got == want
