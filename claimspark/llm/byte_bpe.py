@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 
 #: Bounds of the two caches of a worker; a full one starts anew, which costs time and changes nothing.
 MAX_STATES = 150_000
@@ -290,6 +290,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     keep: workers keep their caches from task to task, which saves time; without it they give the
     memory back, as a step between others should.
     """
+    short_batches(docs.sparkSession)
     key, shared = share(docs.sparkSession, vocabulary, pattern)
 
     def code(it):

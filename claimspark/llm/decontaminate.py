@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import materialise, short_batches, table
 
 WINDOW = 13
 MAX_TOKENS = 2_000_000
@@ -205,6 +205,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with n_words, hits (runs [start, end) of hit words) and item_ids."""
     spark = docs.sparkSession
+    short_batches(spark)
     names = [f"c{k}" for k in range(len(carry))]
     out = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col(text).cast("string").alias("t"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialise, parts_for, table
+from .common import bucketed, materialise, parts_for, short_batches, table
 from .toxicity import remainder
 
 K = 5
@@ -301,6 +301,7 @@ def evaluate(block: Block, model: Model, words: dict[int, bytes], pairs: dict[in
 def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
+    short_batches(spark)
     source = docs.select(F.col(doc_id).cast("string").alias("i"), (remainder(F.col(doc_id), folds) == held).alias("h"), F.col(text).cast("string").alias("t"))
 
     def to_blocks(it):

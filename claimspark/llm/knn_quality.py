@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 from .toxicity import remainder, train, training_rows
 
 ROWS = 1500
@@ -166,6 +166,7 @@ def learn(rows: list[tuple[str, int]], dimensions: int = DIMENSIONS) -> Latent:
 
 def score(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", k: int = K) -> DataFrame:
     """(doc_id, score) of every row."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, table
+from .common import materialise, parts_for, short_batches, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
+    short_batches(docs.sparkSession)
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(batches, f"doc_id {kind}, fp long")
 

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialise, parts_for, table
+from .common import bucketed, materialise, parts_for, short_batches, table
 from .katz import QUESTION, mixed, pack, unpack
 
 CHUNK = 1 << 20
@@ -271,6 +271,7 @@ KINDS = pa.schema([("doc_id", pa.string()), ("n_bytes", pa.int64()), ("spans", p
 
 def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, spans removed, kept bytes) of every row."""
+    short_batches(docs.sparkSession)
     how = Parsing(length, reach=max(1, length * 13 // 20), gram=max(1, length * 3 // 25))
     source = docs.select(F.col(doc_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 
 ROWS = 6000
 ENTRIES = 2000
@@ -220,11 +220,13 @@ def train(rows: DataFrame, learner) -> str:
             held += zip((t or "" for t in b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array([learner(sorted(held))], pa.string())], names=["model"])
 
-    return rows.repartition(1).mapInArrow(once, "model string").collect()[0].model
+    got = rows.repartition(1).mapInArrow(once, "model string").collect()
+    return got[0].model if got else learner([])
 
 
 def score(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score) of every row."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it):
