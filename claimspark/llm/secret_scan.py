@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Candidates: a private-key header, or a run of token characters, long and mixed enough.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,60}[0-9])(?=[0-9+/_.-]{0,60}[A-Za-z])[A-Za-z0-9+/_.-]{12,512}={0,2}"
+#: Candidates: a private-key header, an access-key id, or a run of token characters, long and mixed enough.
+CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9+/_.-])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,60}[0-9])(?=[0-9+/_.-]{0,60}[A-Za-z])[A-Za-z0-9+/_.-]{12,512}={0,2}"
 MASK = "[SECRET]"
 N_EXAMPLES = 3000
 CONTEXT = 40
