@@ -128,7 +128,9 @@ def unlike(folded: list[tuple[str, int]]) -> list[tuple[str, int]]:
 def learn(rows: list[tuple[str, int]], entries: int = ENTRIES) -> Lexicon:
     """Entries by set cover: again and again the term that marks most toxic texts not yet marked by a
     better one, weighted by its log odds; then every other word that is as telling on its own."""
-    folded = unlike([(fold(t), y) for t, y in rows])
+    folded = [(fold(t), y) for t, y in rows]
+    clean = [x for x in folded if not x[1]]  # with its copies: what is common in clean texts is no sign
+    folded = unlike([x for x in folded if x[1]]) + clean
     n_pos = sum(y for _, y in folded)
     n_neg = len(folded) - n_pos
     if not n_pos or not n_neg:
