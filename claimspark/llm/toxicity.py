@@ -45,6 +45,9 @@ FULL_WIDTH = {0xFF01 + k: 0x21 + k for k in range(94)}
 #: Digits and symbols that stand for letters inside words.
 SUBSTITUTES = str.maketrans("0134578@$!|", "oieastbasil")
 MIXED = re.compile(r"(?:[^\W\d_]|[@$])*(?:[^\W\d_](?=[0-9@$!|])|[0-9@$](?=[^\W\d_]))[0-9@$!|]?[^\W_@$!|]*(?:[@$!|][^\W_]+)*[$]?")
+#: Only tokens with such a character can hold a substitution; a text without any is left alone.
+SUSPECT = re.compile(r"[0-9@$!|]")
+TOKEN = re.compile(r"\S*[0-9@$!|]\S*")
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -53,7 +56,8 @@ def fold(text: str | None) -> str:
     t = (text or "").lower()
     if FOREIGN.search(t):
         t = INVISIBLE.sub("", t.translate(FULL_WIDTH)).lower().translate(HOMOGLYPHS)
-    t = MIXED.sub(lambda m: m.group().translate(SUBSTITUTES), t)
+    if SUSPECT.search(t):
+        t = TOKEN.sub(lambda x: MIXED.sub(lambda m: m.group().translate(SUBSTITUTES), x.group()), t)
     return f" {' '.join(WORD.findall(t))} "
 
 
