@@ -250,7 +250,7 @@ def op9_simhash_near_dedup(spark, sf_dir) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the row with the smallest doc_id stays; of repeated rows, one.
+    """Pipeline stage: of each component, the row with the smallest doc_id stays; of equal rows (id and text), one.
 
     Rows without a doc_id stay only if no row of their component has one, and then one of them.
     """
@@ -258,7 +258,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs)
     keep = found.filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
     null_only = found.filter("component_id IS NULL").limit(1).count()
-    kept = docs.join(keep.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(keep.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     if null_only:
         kept = kept.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
     return kept.select(*columns)
