@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import short_batches, table
 
 #: Bounds of the two caches of a worker; a full one starts anew, which costs time and changes nothing.
-MAX_STATES = 150_000
-MAX_PIECES = 250_000
+MAX_STATES = 300_000
+MAX_PIECES = 450_000
 #: Rows that a worker returns at once.
 ROWS = 500
 
