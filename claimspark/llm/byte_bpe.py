@@ -18,6 +18,7 @@ are not read.
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import hashlib
 import re
@@ -70,8 +71,8 @@ class Transducer:
 
     DEAD = -1
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most: int = MAX_STATES):
+        self.ranks, self.most = ranks, most
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.size = {r: len(t) for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -88,7 +89,7 @@ class Transducer:
     def pair_survives(self, s: int, t: int) -> bool:
         found = self.survives.get((s, t))
         if found is None:
-            if len(self.survives) > 2 * MAX_STATES:
+            if len(self.survives) > 2 * self.most:
                 self.survives.clear()
             found = self.survives[s, t] = merge(self.ranks, self.bytes_of[s] + self.bytes_of[t]) == (s, t)
         return found
@@ -154,7 +155,7 @@ class Transducer:
         of the piece is left; else the rest of the piece is worked out directly."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) > MAX_STATES or len(self.missed) > 4 * MAX_STATES:
+        if len(self.states) > self.most or len(self.missed) > 4 * self.most:
             self.reset()
         state, out, arc = 0, [], self.arcs.get
         try:
@@ -178,19 +179,19 @@ class Transducer:
 class Pieces(dict):
     """Piece -> its ids in decimal, joined by spaces; made when first asked for.
 
-    Two generations of at most MAX_PIECES each: a full one becomes the older one, and what is still
+    Two generations of at most `most` each: a full one becomes the older one, and what is still
     used comes back from there.
     """
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, transducer: Transducer, most: int = MAX_PIECES):
         super().__init__()
-        self.transducer, self.older = transducer, {}
+        self.transducer, self.most, self.older = transducer, most, {}
 
     def __missing__(self, piece: str) -> str:
         out = self.older.get(piece)
         if out is None:
             out = " ".join(map(str, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[piece] = out
@@ -234,11 +235,12 @@ class Utf8Stream:
 class ByteBpe:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, scale: float = 1.0):
+        """scale: of the caches' bounds."""
+        self.transducer = Transducer(ranks, int(MAX_STATES * scale))
         self.pattern = regex.compile(pattern)
         self.narrow = pattern == PUBLIC_PATTERN
-        self.pieces = Pieces(self.transducer)
+        self.pieces = Pieces(self.transducer, int(MAX_PIECES * scale))
         self.token_bytes = {str(r): t for t, r in ranks.items()}
 
     def split(self, text: str) -> list[str]:
@@ -269,11 +271,11 @@ PUBLIC_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 _open: dict = {}
 
 
-def opened(key: str, shared) -> ByteBpe:
+def opened(key: str, shared, scale: float = 1.0) -> ByteBpe:
     """The coder of a broadcast vocabulary; one a Python worker, so its states stay from task to task."""
     if key not in _open:
         _open.clear()
-        _open[key] = ByteBpe(*shared.value)
+        _open[key] = ByteBpe(*shared.value, scale)
     return _open[key]
 
 
@@ -284,11 +286,19 @@ def share(spark, vocabulary: str, pattern: str) -> tuple[str, object]:
     return key, spark.sparkContext.broadcast((ranks, pattern))
 
 
+def give_back() -> None:
+    """Return freed memory to the system where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False, keep: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with the ids themselves if asked for.
 
-    keep: workers keep their caches from task to task, which saves time; without it they give the
-    memory back, as a step between others should.
+    keep: workers keep their caches from task to task, which saves time; without it the caches are a
+    fifth as large and the memory goes back after each task, as in a step among others it should.
     """
     short_batches(docs.sparkSession)
     key, shared = share(docs.sparkSession, vocabulary, pattern)
@@ -300,10 +310,11 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
         finally:
             if not keep:
                 _open.clear()
+                give_back()
             gc.enable()
 
     def batches(it):
-        coder = opened(key, shared)
+        coder = opened(key, shared, 1.0 if keep else 0.2)
         for whole in it:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
