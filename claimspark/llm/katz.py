@@ -1,4 +1,4 @@
-"""LM scoring: a Katz bigram model with Good-Turing discounts, counted and evaluated in partitioned tables.
+"""LM scoring: a Katz model of any order (the query's is ORDER) with Good-Turing discounts, counted and evaluated in partitioned tables.
 
 Texts are cut into blocks of about BLOCK_TOKENS tokens; a block keeps its texts as local word numbers.
 Blocks and the two model tables only exchange distinct entries, packed and aggregated beforehand:
@@ -10,8 +10,12 @@ Blocks and the two model tables only exchange distinct entries, packed and aggre
    1, 2, ... K occurrences and their unigram mass. From these the block takes the backoff weights.
    A frequent history is split over several partitions by the follower; its parts add up again in the
    block, so no word or pair, however frequent, gathers in one task.
-3. The block evaluates each token: the discounted pair estimate where the pair is known, else the
-   history's backoff weight times the unigram estimate; unknown words share the mass that the unigram
+3. Longer entries follow level by level, two words of history, then three. Their followers' mass is that
+   of the next lower estimate, which the block works out and sends along. A history that no other block
+   has, in training or held-out text, is counted in its block and not sent; the level below tells which.
+4. The block evaluates each token by the longest history its text has (the start counts as one word): the
+   discounted estimate where the entry is known, else the history's backoff weight times the estimate
+   without the history's first word, down to the unigram; unknown words share the mass that the unigram
    discounts free. For every history the probabilities of all known words and the unknown class add up
    to one.
 
@@ -39,6 +43,7 @@ from .common import bucketed, materialise, parts_for, short_batches, table
 from .toxicity import remainder
 
 K = 5
+ORDER = 3
 BLOCK_TOKENS = 1_500_000
 PART_TOKENS = 2_000_000
 END, START_ID = b"\n", 1 << 62
@@ -135,38 +140,97 @@ class Block:
             number[order[part == p]], count[order[part == p]] = (x.astype(np.int64) for x in unpack(body))
         return number, count
 
-    def pair_request(self, number, count, model: Model):
-        """Distinct pairs by (part, history, follower), and histories by (part, history).
-
-        Returns pair of each token, and of the pairs part, history, follower, follower's count and
-        training count; of the histories part, number, pairs and training count.
-        """
+    def level(self, below: Level | None, number: np.ndarray, count: np.ndarray, model: Model) -> Level:
+        """The distinct entries one word longer than those of `below` (None: the words)."""
         n = len(self.hashes)
-        key, inverse = np.unique((self.previous + 1) * n + self.tokens, return_inverse=True)
-        seen = np.bincount(inverse, weights=self.train, minlength=len(key)).astype(np.int64)
-        h, w = key // n - 1, key % n
-        history = np.where(h < 0, START_ID, number[h])
-        times = np.where(h < 0, model.texts, count[h])
-        spread = self.spread(times, model)
-        part = ((mixed(history) % np.uint64(model.parts)).astype(np.int64) + number[w] % spread) % model.parts
-        order = np.lexsort((number[w], history, part))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        h, w, part, history, times = h[order], w[order], part[order], history[order], times[order]
-        # every part of a spread history is asked, also where this block has none of its pairs
-        own, at = np.unique(history, return_index=True)
-        parts_of = self.spread(times[at], model)
-        every = np.repeat(np.arange(len(own)), parts_of)
+        if below is None:
+            h, there = self.previous + 1, None
+            ids, times = np.concatenate([[START_ID], number]), np.concatenate([[model.texts], count])
+            sole, lower = np.zeros(n + 1, bool), model.unigram(count)
+        else:
+            h = np.concatenate([[-1], below.gram[:-1]])
+            h[self.starts] = -1
+            there = np.flatnonzero(h >= 0)
+            h, ids, times, sole, lower = h[there], below.ids, below.count, below.sole, below.p
+        tokens = self.tokens if there is None else self.tokens[there]
+        train = self.train if there is None else self.train[there]
+        key, first, inverse = np.unique(h * n + tokens, return_index=True, return_inverse=True)
+        seen = np.bincount(inverse, weights=train, minlength=len(key)).astype(np.int64)
+        if there is None:
+            gram, short = inverse, tokens[first]
+        else:
+            gram = np.full(len(self.tokens), -1, np.int64)
+            gram[there] = inverse
+            short = below.gram[there[first]]
+        return Level(gram, key // n, key % n, seen, short, lower[short], ids, times, sole)
+
+    def request(self, level: Level, number: np.ndarray, model: Model):
+        """What the block asks of the others: entries by (part, history, follower), histories by (part, history).
+
+        Returns entry and part of the former; of the latter part, local number and how many entries follow.
+        """
+        asked = np.flatnonzero(~level.sole[level.h])
+        h, w = level.h[asked], number[level.w[asked]]
+        spread = self.spread(level.times, model)
+        home = (mixed(level.ids) % np.uint64(model.parts)).astype(np.int64)
+        part = (home[h] + w % spread[h]) % model.parts
+        order = np.lexsort((w, level.ids[h], part))
+        asked, h, part = asked[order], h[order], part[order]
+        # every part of a spread history is asked, also where this block has none of its entries
+        own = np.unique(h)
+        parts_of = spread[own]
+        every = np.repeat(own, parts_of)
         offset = np.arange(len(every)) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)
-        h_part = ((mixed(own) % np.uint64(model.parts)).astype(np.int64)[every] + offset) % model.parts
-        h_order = np.lexsort((own[every], h_part))
-        h_part, h_own, h_times = h_part[h_order], own[every][h_order], times[at][every][h_order]
-        # pairs of each (part, history)
-        code = lambda p, x: p * len(own) + np.searchsorted(own, x)
-        runs, sizes = np.unique(code(part, history), return_counts=True)
-        h_pairs = np.zeros(len(h_part), np.int64)
-        h_pairs[np.searchsorted(code(h_part, h_own), runs)] = sizes
-        return back[inverse], (part, history, number[w], count[w], seen[order]), (h_part, h_own, h_pairs, h_times)
+        h_part = (home[every] + offset) % model.parts
+        h_order = np.lexsort((level.ids[every], h_part))
+        every, h_part = every[h_order], h_part[h_order]
+        # entries of each (part, history)
+        width = len(level.ids)
+        runs, sizes = np.unique(part * width + h, return_counts=True)
+        code = h_part * width + every
+        sorter = np.argsort(code)
+        follow = np.zeros(len(every), np.int64)
+        follow[sorter[np.searchsorted(code[sorter], runs)]] = sizes
+        return asked, part, h_part, every, follow
+
+    def told(self, level: Level, k: int, bodies: dict[int, bytes], number: np.ndarray, model: Model) -> Level:
+        """The level with its corpus counts and probabilities."""
+        asked, part, h_part, every, _ = self.request(level, number, model)
+        width = len(level.ids)
+        count, low, mass = level.seen.copy(), np.zeros((K, width), np.int64), np.zeros(width)
+        # histories of this block alone are counted here
+        mine = level.sole[level.h] & (level.seen > 0)
+        for r in range(1, K + 1):
+            low[r - 1] = np.bincount(level.h[mine & (level.seen == r)], minlength=width)
+        mass += np.bincount(level.h[mine], weights=level.lower[mine], minlength=width)
+        sole, ids = level.sole[level.h], np.full(len(level.h), -1, np.int64)
+        for p, body in sorted(bodies.items()):
+            got = unpack(body)
+            entries, histories = asked[part == p], every[h_part == p]
+            count[entries] = got[0]
+            low[:, histories] += np.array(got[1 : K + 1]).reshape(K, len(histories))
+            mass[histories] += got[K + 1]
+            if len(got) > K + 2:
+                sole[entries] = got[K + 2].view(bool)
+                ids[entries[~sole[entries]]] = got[K + 3]
+        r = np.arange(1, K + 1)
+        below = r @ low
+        whole = level.times + (below == 0)
+        d = model.discount(k)
+        kept = (d[1 : K + 1] * r) @ low + (level.times - below)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(level.times > 0, (1.0 - kept / np.maximum(whole, 1)) / (1.0 - mass), 1.0)
+        h = level.h
+        p = np.where(count > 0, discounted(d, count) * count / np.maximum(whole[h], 1), weight[h] * level.lower)
+        return Level(level.gram, None, None, None, None, None, ids, None, sole, count, p)
+
+    def levels(self, upto: int, words: dict[int, bytes], bodies: dict[int, dict[int, bytes]], model: Model):
+        """(global number, corpus count) of the words and the levels 1 to `upto`, the last one first."""
+        number, count = self.word_answer(model.parts, words)
+        out: list[Level] = []
+        for k in range(1, upto + 1):
+            out.insert(0, self.told(self.level(out[0] if out else None, number, count, model), k, bodies.get(k, {}), number, model))
+        return number, count, out
 
     @staticmethod
     def spread(times: np.ndarray, model: Model) -> np.ndarray:
@@ -174,18 +238,38 @@ class Block:
         return np.minimum(1 + times * 4 * model.parts // max(model.tokens, 1), model.parts)
 
 
+class Level:
+    """The distinct entries of one length in a block, k words of history and a follower (level k).
+
+    gram: entry of each token, -1 where the text has no such history yet. Of the entries: history,
+    follower, training count in the block, the entry without its first word and that one's probability.
+    Of the histories: global id, corpus count and whether no other block has them. After `told`,
+    ids and sole are those of the entries, which are the next level's histories.
+    """
+
+    def __init__(self, gram, h, w, seen, short, lower, ids, times, sole, count=None, p=None):
+        self.gram, self.h, self.w, self.seen, self.short, self.lower = gram, h, w, seen, short, lower
+        self.ids, self.times, self.sole, self.count, self.p = ids, times, sole, count, p
+
+
 class Model:
     """What is known of the whole corpus: tokens N, words V, training texts, parts and the discounts."""
 
-    def __init__(self, parts: int, tokens: int = 0, words: int = 0, texts: int = 0, unigrams=(), pairs=()):
+    def __init__(self, parts: int, tokens: int = 0, words: int = 0, texts: int = 0, unigrams=(), pairs=(), longer=()):
         self.parts, self.tokens, self.words, self.texts = parts, tokens, words, texts
         self.unigram_counts, self.pair_counts = list(unigrams) or [0] * (K + 1), list(pairs) or [0] * (K + 1)
         self.unigram_discount, self.pair_discount = discounts(self.unigram_counts), discounts(self.pair_counts)
+        self.longer_counts = [list(x) for x in longer]
+        self.longer_discounts = [discounts(x) for x in self.longer_counts]
         low = sum(r * n for r, n in enumerate(self.unigram_counts[:K], 1))
         kept = sum(self.unigram_discount[r] * r * n for r, n in enumerate(self.unigram_counts[:K], 1)) + (tokens - low)
         self.whole = tokens + (low == 0)
         self.unknown = 1.0 - kept / self.whole if tokens else 1.0
 
+    def discount(self, k: int) -> np.ndarray:
+        """The discounts of the entries with k words of history."""
+        return self.pair_discount if k == 1 else self.longer_discounts[k - 2]
+
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """P(word) by its corpus count; words without one are the unknown class."""
         c = count.astype(np.float64)
@@ -233,20 +317,25 @@ def merge_words(bodies: list[bytes], part: int, parts: int):
     return answers, [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, K + 2))]
 
 
-def merge_pairs(bodies: list[bytes], model: Model):
-    """(answers, [n_1 .. n_K+1] of pairs)."""
-    asked = [[x.astype(np.int64) for x in unpack(b)] for b in bodies]  # histories, pairs of each, followers, their counts, seen
-    h = np.concatenate([np.repeat(a[0], a[1]) for a in asked])
-    w, cw, seen = (np.concatenate([a[i] for a in asked]) for i in (2, 3, 4))
+def merge_entries(bodies: list[bytes], model: Model, k: int, part: int, last: bool):
+    """(answers, [n_1 .. n_K+1] of the entries with k words of history).
+
+    Unless this is the last level, an entry also gets an id, or is told to be its block's alone.
+    """
+    asked = [unpack(b) for b in bodies]  # histories, entries of each, followers, their lower estimates, seen, counts of counts kept in the block
+    h = np.concatenate([np.repeat(a[0], a[1]) for a in asked]).astype(np.int64)
+    w, lower, seen = (np.concatenate([a[i] for a in asked]) for i in (2, 3, 4))
     order = np.lexsort((w, h))
-    h, w, cw = h[order], w[order], cw[order]
+    h, w, lower = h[order], w[order], lower[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     total = np.bincount(group, weights=seen[order], minlength=int(new.sum())).astype(np.int64)
-    count = np.empty(len(order), np.int64)
-    count[order] = total[group]
+    back = np.empty(len(order), np.int64)
+    back[order] = group
     at = np.flatnonzero(new)
-    gh, gw = h[at], model.unigram(cw[at]) * (total > 0)
+    gh = h[at]
+    gw = (model.unigram(lower[at].astype(np.int64)) if k == 1 else lower[at]) * (total > 0)
+    alone = np.bincount(group, minlength=len(at)) == 1
     names, start = np.unique(gh, return_index=True)
     stats = [np.add.reduceat((total == r).astype(np.int64), start) if len(start) else np.zeros(0, np.int64) for r in range(1, K + 1)]
     mass = np.add.reduceat(gw, start) if len(start) else np.zeros(0)
@@ -254,37 +343,23 @@ def merge_pairs(bodies: list[bytes], model: Model):
     for a in asked:
         place = np.minimum(np.searchsorted(names, a[0]), max(len(names) - 1, 0))
         known = names[place] == a[0] if len(names) else np.zeros(len(a[0]), bool)
-        out.append(pack(narrow(count[done : done + len(a[2])]), *(narrow(np.where(known, s[place], 0)) if len(names) else np.zeros(len(a[0]), np.int32) for s in stats), np.where(known, mass[place], 0.0) if len(names) else np.zeros(len(a[0]))))
+        g = back[done : done + len(a[2])]
+        body = [narrow(total[g]), *(narrow(np.where(known, s[place], 0)) if len(names) else np.zeros(len(a[0]), np.int32) for s in stats), np.where(known, mass[place], 0.0) if len(names) else np.zeros(len(a[0]))]
+        if not last:
+            body += [alone[g].view(np.uint8), narrow(g[~alone[g]] * model.parts + part)]
+        out.append(pack(*body))
         done += len(a[2])
-    return out, [int((total == r).sum()) for r in range(1, K + 2)]
-
-
-def evaluate(block: Block, model: Model, words: dict[int, bytes], pairs: dict[int, bytes]) -> dict[str, list]:
-    number, count = block.word_answer(model.parts, words)
-    token_pair, (part, history, _, follower, _), (h_part, h_own, _, h_times) = block.pair_request(number, count, model)
-    c = np.zeros(len(part), np.int64)
-    low = np.zeros((K, len(h_own)), np.int64)
-    mass = np.zeros(len(h_own))
-    for p, body in pairs.items():
-        got = unpack(body)
-        c[part == p] = got[0]
-        low[:, h_part == p] = got[1 : K + 1]
-        mass[h_part == p] = got[K + 1]
-    # parts of a history add up
-    names, inverse = np.unique(h_own, return_inverse=True)
-    low = np.array([np.bincount(inverse, weights=x, minlength=len(names)) for x in low])
-    mass = np.bincount(inverse, weights=mass, minlength=len(names))
-    times = np.zeros(len(names), np.int64)
-    times[inverse] = h_times
-    r = np.arange(1, K + 1)
-    below = r @ low
-    whole = times + (below == 0)
-    kept = (model.pair_discount[1 : K + 1] * r) @ low + (times - below)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        weight = np.where(times > 0, (1.0 - kept / np.maximum(whole, 1)) / (1.0 - mass), 1.0)
-    at = np.searchsorted(names, history)
-    p = np.where(c > 0, discounted(model.pair_discount, c) * c / np.maximum(whole[at], 1), weight[at] * model.unigram(follower))
-    logs = np.log10(p)[token_pair]
+    kept = sum((a[5] for a in asked if len(a[5])), np.zeros(K + 1, np.int64))
+    return out, [int((total == r).sum() + kept[r - 1]) for r in range(1, K + 2)]
+
+
+def evaluate(block: Block, model: Model, words: dict[int, bytes], bodies: dict[int, dict[int, bytes]], order: int = 2) -> dict[str, list]:
+    _, count, levels = block.levels(order - 1, words, bodies, model)
+    p = model.unigram(count)[block.tokens]
+    for level in reversed(levels):  # the longest history that the text has; what it lacks, its weights hold already
+        there = level.gram >= 0
+        p[there] = level.p[level.gram[there]]
+    logs = np.log10(p)
     base = np.log10((count + 1) / (model.tokens + model.words + 1))[block.tokens]
     known = (count > 0)[block.tokens].astype(np.int64)
     return {
@@ -298,8 +373,8 @@ def evaluate(block: Block, model: Model, words: dict[int, bytes], pairs: dict[in
     }
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id", order: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; order: words an entry of the model has at most."""
     spark = docs.sparkSession
     short_batches(spark)
     source = docs.select(F.col(doc_id).cast("string").alias("i"), (remainder(F.col(doc_id), folds) == held).alias("h"), F.col(text).cast("string").alias("t"))
@@ -350,35 +425,56 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
     n = words.filter("block < 0").select(*[F.sum(F.col("n")[i]) for i in range(K + 3)]).first()
     model = Model(parts, n[1] or 0, n[0] or 0, sums[1] or 0, [x or 0 for x in n[2:]])
 
-    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for n, body in zip(left.column("block").to_pylist(), left.column("body").to_pylist(), strict=True):
-            block = Block.load(body)
-            number, count = block.word_answer(parts, dict(zip(right.column("part").to_pylist(), right.column("body").to_pylist(), strict=True)))
-            _, (part, _, w, cw, seen), (h_part, h_own, h_pairs, _) = block.pair_request(number, count, model)
-            for p in np.unique(h_part).tolist():
-                mine, own = part == p, h_part == p
-                out.append({"block": n, "part": p, "body": pack(h_own[own], narrow(h_pairs[own]), narrow(w[mine]), narrow(cw[mine]), narrow(seen[mine]))})
-        return pa.Table.from_pylist(out, QUESTION)
-
-    def answer_pairs(t: pa.Table) -> pa.Table:
-        return answers(t, merge_pairs(t.column("body").to_pylist(), model))
-
-    told = words.filter("block >= 0").select("block", "part", "body")
+    def received(right: pa.Table) -> tuple[dict[int, bytes], dict[int, dict[int, bytes]]]:
+        """The words' answers and those of each level, by part."""
+        out: dict[int, dict[int, bytes]] = {}
+        for k, p, x in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "body")), strict=True):
+            out.setdefault(k, {})[p] = x
+        return out.pop(0, {}), out
+
+    def asks(k: int, model: Model):
+        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            words, bodies = received(right)
+            for n, body in zip(left.column("block").to_pylist(), left.column("body").to_pylist(), strict=True):
+                block = Block.load(body)
+                number, count, below = block.levels(k - 1, words, bodies, model)
+                level = block.level(below[0] if below else None, number, count, model)
+                asked, part, h_part, every, follow = block.request(level, number, model)
+                lower = narrow(count[level.w]) if k == 1 else level.lower
+                mine = level.seen[level.sole[level.h]]
+                kept = np.array([(mine == r).sum() for r in range(1, K + 2)], np.int64)
+                first = n % parts  # is sent the counts of counts of what stays in the block
+                for p in sorted({first, *np.unique(h_part).tolist()}):
+                    x, own = asked[part == p], h_part == p
+                    out.append({"block": n, "part": p, "body": pack(level.ids[every[own]], narrow(follow[own]), narrow(number[level.w[x]]), lower[x], narrow(level.seen[x]), kept if p == first else kept[:0])})
+            return pa.Table.from_pylist(out, QUESTION)
+
+        return ask
+
+    def replies(k: int, model: Model):
+        def reply(t: pa.Table) -> pa.Table:
+            return answers(t, merge_entries(t.column("body").to_pylist(), model, k, t.column("part")[0].as_py(), k == order - 1))
+
+        return reply
+
+    told = words.filter("block >= 0").select("block", "part", "body", F.lit(0).alias("kind"))
     bare = blocks.select("block", "body")
-    asked = bare.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask_pairs, "block long, part int, body binary")
-    pairs = materialise(asked.groupBy("part").applyInArrow(answer_pairs, ANSWER), "pairs")
-    n2 = pairs.filter("block < 0").select(*[F.sum(F.col("n")[i]) for i in range(K + 1)]).first()
-    full = Model(parts, model.tokens, model.words, model.texts, model.unigram_counts, [x or 0 for x in n2])
+    for k in range(1, order):
+        asked = bare.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(asks(k, model), "block long, part int, body binary")
+        found = materialise(asked.groupBy("part").applyInArrow(replies(k, model), ANSWER), f"entries_{k}")
+        n = [x or 0 for x in found.filter("block < 0").select(*[F.sum(F.col("n")[i]) for i in range(K + 1)]).first()]
+        counted = {"pairs": n} if k == 1 else {"pairs": model.pair_counts, "longer": [*model.longer_counts, n]}
+        model = Model(parts, model.tokens, model.words, model.texts, model.unigram_counts, **counted)
+        told = told.unionAll(found.filter("block >= 0").select("block", "part", "body", F.lit(k).alias("kind")))
+    full = model
 
     def evaluate_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, p, bodies = (right.column(c).to_pylist() for c in ("kind", "part", "body"))
-        words, pairs = ({q: x for k, q, x in zip(kinds, p, bodies, strict=True) if k == kind} for kind in (0, 1))
-        out = [pa.table(evaluate(Block.load(body), full, words, pairs), schema=RESULT) for body in left.column("body").to_pylist()]
+        words, bodies = received(right)
+        out = [pa.table(evaluate(Block.load(body), full, words, bodies, order), schema=RESULT) for body in left.column("body").to_pylist()]
         return pa.concat_tables(out) if out else RESULT.empty_table()
 
-    both = told.withColumn("kind", F.lit(0)).unionAll(pairs.filter("block >= 0").select("block", "part", "body").withColumn("kind", F.lit(1)))
-    scored = bare.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(evaluate_block, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = bare.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(evaluate_block, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     kind = docs.select(F.col(doc_id)).schema[0].dataType
     return scored.withColumn("doc_id", F.col("doc_id").cast(kind))
 
@@ -390,4 +486,4 @@ RESULT = pa.schema([("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_token
 
 
 def op4_katz(spark, sf_dir) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), order=ORDER)

@@ -1,16 +1,20 @@
 """Text operators against brute force and on edge cases: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 from claimspark.llm import byte_bpe, decontaminate, katz, quality_rules, secret_scan, simhash, substring_dedup
+from tests.compare import DATA
 
 LONG = " ".join(f"word{i % 977} next{i % 13}" for i in range(20_000))
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
@@ -174,6 +178,57 @@ def test_katz(docs, none):
     assert katz.score(none).count() == 0
 
 
+def plain_katz(rows, order):
+    """(score of each row, probability function) by plain recursion over whole-corpus counters."""
+    import math
+
+    toks = [(None, *(t or "").encode().lower().split(), b"\n") for _, t, _ in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _, _ in rows]
+    grams = defaultdict(Counter)
+    for t, h in zip(toks, held, strict=True):
+        for at in range(1, len(t)) if not h else ():
+            for k in range(min(order - 1, at) + 1):
+                grams[t[at - k : at]][t[at]] += 1
+    of = lambda k: [sum(x == r for h, f in grams.items() if len(h) == k for x in f.values()) for r in range(1, katz.K + 2)]
+    uni = grams[()]
+    model = katz.Model(1, sum(uni.values()), len(uni), held.count(False), of(0), of(1), [of(k) for k in range(2, order)])
+
+    def p(h, w):
+        if not h:
+            return float(model.unigram(np.array(uni[w])))
+        f = grams.get(h)
+        if not f:
+            return p(h[1:], w)
+        d, total = model.discount(len(h)), sum(f.values())
+        whole = total + (min(f.values()) > katz.K)
+        if w in f:
+            return d[min(f[w], katz.K + 1)] * f[w] / whole
+        return (1 - sum(d[min(r, katz.K + 1)] * r for r in f.values()) / whole) / (1 - sum(p(h[1:], x) for x in f)) * p(h[1:], w)
+
+    return [sum(math.log10(p(t[max(0, at - order + 1) : at], t[at])) for at in range(1, len(t))) for t in toks], p, uni
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_orders(spark, order, monkeypatch):
+    """Every order against plain recursion, over many blocks that share some histories and not others."""
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 40)
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice("a b c d e f".split()) if rnd.random() < 0.7 else f"w{rnd.randrange(200)}" for _ in range(rnd.randrange(25))), "") for i in range(120)]
+    rows += [(500 + i, "same words in every text here", "") for i in range(20)]
+    want, p, uni = plain_katz(rows, order)
+    for h in [("a",), ("a", "b"), ("same", "words"), (None, "same"), ("c", "a", "b")]:
+        h = tuple(x and x.encode() for x in h)[: order - 1]
+        assert sum(p(h, w) for w in list(uni)) + p(h, b"never seen") == pytest.approx(1)
+    got = {r.doc_id: r.score for r in katz.score(spark.createDataFrame(rows, SCHEMA).repartition(3), order=order).collect()}
+    assert got == pytest.approx({r[0]: x for r, x in zip(rows, want, strict=True)}, rel=1e-9)
+
+
+def test_katz_query_uses_trigrams(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got, three = ({r.doc_id: r.score for r in x.collect()} for x in (katz.op4_katz(spark, DATA), katz.score(docs, order=3)))
+    assert got == pytest.approx(three)
+
+
 def test_discounts():
     for counts in ([100, 30, 14, 8, 5, 3], [0] * 6, [5, 0, 0, 0, 0, 0], [3, 3, 3, 3, 3, 3], [10, 2, 9, 1, 4, 7]):
         d = katz.discounts(counts)
