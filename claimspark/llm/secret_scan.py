@@ -1,8 +1,8 @@
 """Secret scans: pattern candidates, filtered by a random forest, in DataFrame functions only.
 
-Candidates are long tokens that mix letters and digits, passwords given by assignment and private-key
-headers. A random forest, grown in plain Python on the driver from labelled findings, removes false
-positives. It reads each candidate's length, character transitions, dictionary coverage, path and
+Candidates are long tokens that mix letters and digits, values assigned to a word that names a secret and
+private keys from header to footer. A random forest, grown in plain Python on the driver from labelled
+findings, removes false positives; assigned values count unless they are literals or placeholders. It reads each candidate's length, character transitions, dictionary coverage, path and
 neighbouring words. Its trees become CASE expressions, so that scoring stays inside Spark SQL; nothing
 is shuffled, and a text's candidates never leave its row.
 
@@ -26,8 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Candidates: a private-key header, an access-key id, or a run of token characters, long and mixed enough.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9+/_.-])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,60}[0-9])(?=[0-9+/_.-]{0,60}[A-Za-z])[A-Za-z0-9+/_.-]{12,512}={0,2}"
+#: Candidates: a private key from header to footer (without a footer, the header and the lines of key
+#: material after it), an access-key id, or a run of token characters, long and mixed enough. The key's
+#: runs are possessive, so that their time is linear in the text.
+KEY_NAME = r"[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+PRIVATE_KEY = rf"-----BEGIN {KEY_NAME}(?:(?:[^-]++|-(?!----))*+-----END {KEY_NAME}|(?:\s++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+)"
+CANDIDATE = PRIVATE_KEY + r"|(?<![A-Za-z0-9+/_.-])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,60}[0-9])(?=[0-9+/_.-]{0,60}[A-Za-z])[A-Za-z0-9+/_.-]{12,512}={0,2}"
+#: A private key is judged by its header.
+KEY_BODY = r"^(-----BEGIN [A-Z ]{1,40}-----)[\s\S]*"
 MASK = "[SECRET]"
 N_EXAMPLES = 3000
 CONTEXT = 40
@@ -38,12 +44,23 @@ HARMLESS_WORDS = "commit|sha|md5|checksum|digest|uuid|guid|version|build|revisio
 #: Frequent word parts of code and prose; what they cover of a token is no key material.
 DICTIONARY = "able|account|action|admin|after|and|app|archive|base|build|cache|case|check|class|client|code|com|config|content|core|count|data|date|debug|default|dev|doc|document|event|example|feature|field|file|final|folder|for|form|from|function|get|group|handler|home|html|image|index|info|item|lib|line|link|list|local|log|main|manager|map|master|message|model|module|name|net|node|number|object|org|page|path|photo|post|product|project|public|query|readme|record|release|report|request|result|root|script|section|server|service|session|set|source|src|start|state|static|status|string|system|table|task|temp|test|text|the|time|title|type|update|user|util|value|version|video|view|web|with|work"
 
+#: What is assigned to a secret's name and is none: literals, types, placeholders, references.
+NO_VALUE = r"(?:null|none|nil|true|false|undefined|str|string|int|integer|bool|boolean|bytes|optional|required|x{3,}|\*{3,}|\[secret\]|(?:your|my)[_ -][a-z_ -]*|changeme|<[^>\s]*>|\$\{?\w+\}?|\{\{[^}]*\}\}|%\w+%|(?:os\.|process\.|env\.|self\.|config\.|getenv)[\w.]*(?:[\[(]\S*)?)"
+#: A value assigned to a secret-naming word (group 2): quoted, or up to white space; short ones too. After
+#: words that prose uses and ": ", a plain lower-case word is prose. Java only: Python has no such lookbehind.
+ASSIGNED = (
+    rf"((?i:(?:{SECRET_WORDS}|passphrase)(?:[_-]?key)?)[\"']?\s{{0,3}}(?::=|=>|={{1,2}}|:(?!//))\s{{0,3}}[\"']?+)"
+    rf"(?!-----BEGIN)(?!(?i:{NO_VALUE})(?:[\"',;.)\]}}\s]|$))(?!(?<=(?i:token|secret|auth|private|bearer|credential):\s)[a-z]++[.,;!?]?(?:\s|$))"
+    r"""((?<=")(?:(?:[^"\\\r\n]|\\.)++(?=")|\S++)|(?<=')(?:(?:[^'\\\r\n]|\\.)++(?=')|\S++)|(?<!["'])\S*[^\s"',;.)\]}])"""
+)
+
 FEATURES = ("length", "transitions", "digits", "upper", "covered", "longest_letters", "path", "secret_before", "harmless_before", "assigned", "hexadecimal", "prefix")
 PREFIX = r"^(AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_live_|AIza|eyJ|-----BEGIN)"
 
 
 def features(token: str, before: str) -> tuple[float, ...]:
     """The features of FEATURES in Python; feature_columns says the same in Spark."""
+    token = re.sub(KEY_BODY, r"\1", token)
     n = len(token)
     kinds = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", token)))
     return (
@@ -63,6 +80,7 @@ def features(token: str, before: str) -> tuple[float, ...]:
 
 
 def feature_columns(token: Column, before: Column) -> dict[str, Column]:
+    token = F.regexp_replace(token, KEY_BODY, "$1")
     n = F.length(token).cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
     kept = lambda pattern: F.length(F.regexp_replace(token, pattern, "")).cast("double")
@@ -226,12 +244,15 @@ def findings(text: Column, forest: tuple | None = None) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Add n_candidates, n_secrets, secrets (sorted distinct tokens) and redacted (the text with MASK for each)."""
-    found = docs.withColumn("__found", findings(F.col(text)))
-    secrets = F.array_sort(F.array_distinct(F.transform(F.filter("__found", lambda x: x["score"] >= threshold), lambda x: x["token"])))
-    out = found.withColumns({"n_candidates": F.size("__found").cast("long"), "secrets": secrets})
-    longest_first = F.transform(F.array_sort(F.transform("secrets", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
-    redacted = F.when(F.size("secrets") == 0, F.col(text)).otherwise(F.aggregate(longest_first, F.col(text).cast("string"), lambda acc, s: F.replace(acc, s, F.lit(MASK))))
-    return out.withColumns({"n_secrets": F.size("secrets").cast("long"), "redacted": redacted}).drop("__found")
+    found = docs.withColumns({"__found": findings(F.col(text)), "__given": F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(ASSIGNED), F.lit(2))})
+    judged = F.array_distinct(F.transform(F.filter("__found", lambda x: x["score"] >= threshold), lambda x: x["token"]))
+    # a short or plain word goes where it is assigned, others wherever they stand
+    everywhere = F.array_union(judged, F.filter("__given", lambda v: (F.length(v) >= 8) & v.rlike("[^A-Za-z]")))
+    out = found.withColumns({"n_candidates": F.size(F.array_union(F.transform("__found", lambda x: x["token"]), F.col("__given"))).cast("long"), "secrets": F.array_sort(F.array_union(judged, F.col("__given"))), "__everywhere": everywhere})
+    longest_first = F.transform(F.array_sort(F.transform("__everywhere", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
+    masked = F.aggregate(longest_first, F.col(text).cast("string"), lambda acc, s: F.replace(acc, s, F.lit(MASK)))
+    redacted = F.when(F.size("secrets") == 0, F.col(text)).otherwise(F.regexp_replace(masked, ASSIGNED, "$1" + MASK.replace("$", r"\$")))
+    return out.withColumns({"n_secrets": F.size("secrets").cast("long"), "redacted": redacted}).drop("__found", "__given", "__everywhere")
 
 
 def op3_secret_scan(spark, sf_dir) -> DataFrame:
