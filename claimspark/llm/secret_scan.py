@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Candidates: a private key from header to footer (without a footer, the header and the lines of key
-#: material after it), an access-key id, or a run of token characters, long and mixed enough. The key's
-#: runs are possessive, so that their time is linear in the text.
+#: material after it), an access-key id, or a run of token characters, long and mixed enough. All runs are
+#: possessive, so that the time is linear in the text.
 KEY_NAME = r"[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
 PRIVATE_KEY = rf"-----BEGIN {KEY_NAME}(?:(?:[^-]++|-(?!----))*+-----END {KEY_NAME}|(?:\s++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+)"
-CANDIDATE = PRIVATE_KEY + r"|(?<![A-Za-z0-9+/_.-])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,60}[0-9])(?=[0-9+/_.-]{0,60}[A-Za-z])[A-Za-z0-9+/_.-]{12,512}={0,2}"
+CANDIDATE = PRIVATE_KEY + r"|(?<![A-Za-z0-9+/_.-])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])(?=[0-9+/_.-]*+[A-Za-z])[A-Za-z0-9+/_.-]{12,}+={0,2}"
 #: A private key is judged by its header.
 KEY_BODY = r"^(-----BEGIN [A-Z ]{1,40}-----)[\s\S]*"
 MASK = "[SECRET]"
