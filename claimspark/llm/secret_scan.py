@@ -11,7 +11,8 @@ commit ids, UUIDs, paths, versions, identifiers): N_EXAMPLES of them, from a fix
 
 Null texts are empty and have no candidates. Repeated rows and null ids are scanned row by row; texts
 are scanned whole. An empty table gives an empty result. All input columns stay; result columns of the
-same name replace them. Equal candidates in one text count once and are judged where they first occur.
+same name replace them. Equal candidates in one text count once; each occurrence is judged by the text
+before it, and one that is a secret makes all of them so.
 """
 
 from __future__ import annotations
@@ -223,23 +224,33 @@ def let(value: Column, body) -> Column:
 
 
 def findings(text: Column, forest: tuple | None = None) -> Column:
-    """array<struct<token, before, score>>: a text's distinct candidates with the forest's vote."""
+    """array<struct<token, before, score>>: every occurrence of a candidate with the forest's vote."""
     forest = forest or train_forest()
-    text = F.coalesce(text, F.lit(""))
+    text = F.coalesce(text.cast("string"), F.lit(""))
 
-    def judged(token: Column) -> Column:
-        at = F.call_function("instr", text, token)
-        start = F.greatest(at - CONTEXT, F.lit(1))
+    def judged(token: Column, before: Column) -> Column:
         return let(
-            F.substring(text, start, at - start),
-            lambda before: let(
-                F.struct(*[c.alias(k) for k, c in feature_columns(token, before).items()]),
-                lambda row: F.struct(token.alias("token"), before.alias("before"), forest_column(forest, row).alias("score")),
-            ),
+            F.struct(*[c.alias(k) for k, c in feature_columns(token, before).items()]),
+            lambda row: F.struct(token.alias("token"), before.alias("before"), forest_column(forest, row).alias("score")),
         )
 
-    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    return F.transform(F.transform(tokens, lambda t: F.regexp_replace(t, r"\.+$", "")), judged)
+    def occurrences(gaps: Column, tokens: Column) -> Column:
+        # what stands before a candidate: the gap, and as many candidates and gaps before it as CONTEXT can hold
+        near = -(-CONTEXT // 12)
+
+        def one(token: Column, i: Column) -> Column:
+            first = F.greatest(i - near, F.lit(0))
+            pieces = F.zip_with(F.slice(gaps, first + 1, i - first), F.slice(tokens, first + 1, i - first), lambda g, t: F.concat(F.right(g, F.lit(CONTEXT)), F.right(t, F.lit(CONTEXT))))
+            whole = F.concat(F.array_join(pieces, ""), F.right(F.get(gaps, i), F.lit(CONTEXT)))
+            return let(F.right(whole, F.lit(CONTEXT)), lambda before: let(F.regexp_replace(token, r"\.+$", ""), lambda t: judged(t, before)))
+
+        return F.transform(tokens, one)
+
+    # both read the same matches: the candidates, and the texts between them
+    return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda tokens: F.when(F.size(tokens) == 0, F.array().cast(FOUND)).otherwise(let(F.split(text, CANDIDATE, -1), lambda gaps: occurrences(gaps, tokens))))
+
+
+FOUND = "array<struct<token:string,before:string,score:double>>"
 
 
 def scan(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -369,3 +369,15 @@ def test_long_tokens_go_whole(spark):
     late = "/".join(["abcdefghij"] * 8) + "/" + pick(40)  # the first digit comes after 60 others
     got = secret_scan.scan(spark.createDataFrame([(1, f"x {late} y {'1' * 70}{pick(20)}", "")], SCHEMA)).first()
     assert got.n_candidates == 2
+
+
+def test_every_occurrence_is_judged(spark):
+    value = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    assert redactions(spark, f"commit {value} and later token {value}.", f"commit {value}") == ["commit [SECRET] and later token [SECRET].", f"commit {value}"]
+    assert redactions(spark, f"{value}/index.html, then token {value}")[0].endswith("token [SECRET]")
+    forest = secret_scan.train_forest()
+    text = f"commit {value} a1b2c3d4e5f6 {value} sha {value}/x9/y8... token {value}"
+    found = spark.createDataFrame([(1, text, "")], SCHEMA).select(secret_scan.findings(F.col("text")).alias("f")).first().f
+    want = [(re.sub(r"\.+$", "", m.group()), text[max(0, m.start() - secret_scan.CONTEXT) : m.start()]) for m in re.finditer(secret_scan.CANDIDATE, text)]
+    assert [(x.token, x.before) for x in found] == want
+    assert [x.score for x in found] == pytest.approx([secret_scan.vote(forest, secret_scan.features(*x)) for x in want])
