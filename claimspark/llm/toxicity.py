@@ -34,6 +34,8 @@ from .common import short_batches, table
 ROWS = 6000
 ENTRIES = 2000
 PREFIXES = (4, 5, 6)
+#: Toxic training rows that an entry needs, however many there are; chance is left to the log odds.
+LEAST = 4
 #: Phrases in which a lexicon word is no insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown college", "pathetic fallacy", "idiot proof", "scum line", "stupid simple")
 
@@ -150,8 +152,7 @@ def learn(rows: list[tuple[str, int]], entries: int = ENTRIES) -> Lexicon:
         if not y:
             negatives.update(terms(f) & where.keys())
     odds = {t: math.log((len(d) + 0.5) / (n_pos + 1)) - math.log((negatives[t] + 0.5) / (n_neg + 1)) for t, d in where.items()}
-    least = max(4, n_pos // 60)
-    telling = {t for t, o in odds.items() if o >= 3.5 and len(where[t]) >= least and len(where[t]) >= 20 * negatives[t]}
+    telling = {t for t, o in odds.items() if o >= 3.5 and len(where[t]) >= LEAST and len(where[t]) >= 20 * negatives[t]}
     chosen: dict[str, float] = {}
     left = {i for i, (_, y) in enumerate(folded) if y}
     gain = {t: len(where[t]) for t in telling}

@@ -54,6 +54,18 @@ def test_lexicon_learning():
     assert toxicity.learn([]).score("x") == 0 and toxicity.learn([("a", 1)]).score("a") == 0
 
 
+def test_lexicon_of_many_rare_words():
+    """300 marker words, each in 20 of 6,000 toxic rows."""
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("bcdfglmnprs") + rnd.choice("aeiou") for _ in range(n))
+    words = [word(4) for _ in range(5000)]
+    markers = [f"z{word(3)}k" for _ in range(300)]
+    plain = lambda: " ".join(rnd.choice(words) for _ in range(20))
+    model = toxicity.learn(sorted([(plain(), 0) for _ in range(6000)] + [(f"{plain()} {markers[k % 300]}", 1) for k in range(6000)]))
+    assert sum(model.score(f"{plain()} {m}") >= 0.5 for m in markers) >= 290
+    assert sum(model.score(plain()) >= 0.5 for _ in range(1000)) <= 10
+
+
 def edge_tables(spark):
     docs = spark.createDataFrame([(1, "good text here", "a"), (2, None, None), (3, "", ""), (None, "x " * 5000, "q"), (1, "good text here", "b")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1, None), (3, None, 1), (None, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
