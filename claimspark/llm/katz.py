@@ -1,17 +1,19 @@
 """LM scoring: a Katz model of any order (the query's is ORDER) with Good-Turing discounts, counted and evaluated in partitioned tables.
 
 Texts are cut into blocks of about BLOCK_TOKENS tokens; a block keeps its texts as local word numbers.
-Blocks and the two model tables only exchange distinct entries, packed and aggregated beforehand:
+Blocks and the partitions of the model only exchange distinct entries, packed (`mail`) and aggregated
+beforehand:
 
 1. words: every block sends its distinct words with their training counts to the partition of the
-   word's hash; it gets back a global number and the corpus count.
+   word's hash; it gets back a global number and the corpus count, and is written anew with these.
 2. word pairs: every block sends its distinct pairs with their training counts to the partition of the
    history; it gets back the pairs' corpus counts and, for every history, how many followers it has with
-   1, 2, ... K occurrences and their unigram mass. From these the block takes the backoff weights.
+   1, 2, ... K occurrences and what the followers' own lower counts are, from which the block takes the
+   backoff weights: a follower seen after a history is seen after the shorter one too, so that its lower
+   estimate is a discounted count, and the followers' mass is a sum of integers, exact in any order.
    A frequent history is split over several partitions by the follower; its parts add up again in the
    block, so no word or pair, however frequent, gathers in one task.
-3. Longer entries follow level by level, two words of history, then three. Their followers' mass is that
-   of the next lower estimate, which the block works out and sends along. A history that no other block
+3. Longer entries follow level by level, two words of history, then three. A history that no other block
    has, in training or held-out text, is counted in its block and not sent; the level below tells which.
 4. The block evaluates each token by the longest history its text has (the start counts as one word): the
    discounted estimate where the entry is known, else the history's backoff weight times the estimate
@@ -19,12 +21,14 @@ Blocks and the two model tables only exchange distinct entries, packed and aggre
    discounts free. For every history the probabilities of all known words and the unknown class add up
    to one.
 
-The block table is bucketed by block, so that the answers travel to it and its texts are never shuffled.
+Blocks and answers are tables bucketed by block, one row a block, and meet without a shuffle; texts are
+never shuffled. Work and messages grow with the entries, not with blocks times partitions. Tables that
+a later one replaces are deleted. Words are told apart by 64-bit hashes: two that share one count as one.
 Discounts apply to counts up to K (Good-Turing, see `discounts`). A history whose followers are all above K gets one extra count, which is what it backs off with.
 
 Null texts are empty: one token, the end. Repeated rows and ids are scored row by row, a null id counts
 as the empty string when rows are held out. Without training rows every score is 0. An empty table
-gives an empty result. Extra columns are not read.
+gives an empty result. Extra columns, also those with clashing names, are not read.
 """
 
 from __future__ import annotations
@@ -39,15 +43,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialise, parts_for, short_batches, table
+from .common import bucketed, discard, parts_for, short_batches, table
+from .mail import LETTERS, Sheet, by_part, in_order, letters, pack_columns, read, sizes_of, unpack_columns
 from .toxicity import remainder
 
 K = 5
 ORDER = 3
 BLOCK_TOKENS = 1_500_000
 PART_TOKENS = 2_000_000
-END, START_ID = b"\n", 1 << 62
-ANSWER = "block long, part int, body binary, n array<long>"
+END = b"\n"
+#: The name of the text's start as a history; names of words and longer histories are below it.
+START_NAME = 1 << 62
+#: A longer history's name: its partition, then its place there.
+PLACE_BITS = 40
+#: Groups that sums over the corpus are gathered in.
+SUMS = 64
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -72,12 +82,6 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int32) if not len(a) or (a.max() < 1 << 31 and a.min() >= -(1 << 31)) else a
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self)
-        return out
-
-
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -89,167 +93,230 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def group(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, where each first stands, the group of each); keys are below `top`."""
+    n = len(key)
+    bits = max(n - 1, 1).bit_length()
+    if top.bit_length() + bits <= 63:  # sort values and places as one number
+        both = np.sort(key << bits | np.arange(n))
+        order, k = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+    new = np.ones(n, bool)
+    new[1:] = k[1:] != k[:-1]
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return k[new], order[new], inverse
+
+
 class Block:
-    """Texts as local word numbers, frequent words first."""
+    """Texts as local word numbers; after the words' answer local order is that of the global numbers."""
 
-    def __init__(self, ids, held, lengths, tokens, hashes):
-        self.ids, self.held, self.lengths, self.tokens, self.hashes = ids, held, lengths, tokens, hashes
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        self.starts = starts
+    def __init__(self, ids, held, lengths, tokens, hashes=None, number=None, count=None):
+        self.ids, self.held, self.lengths, self.tokens = ids, held, lengths, tokens
+        self.hashes, self.number, self.count = hashes, number, count
+        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         self.train = np.repeat(~held, lengths)
-        self.previous = np.concatenate([[-1], tokens[:-1]]).astype(np.int64) if len(tokens) else tokens.astype(np.int64)
-        self.previous[starts] = -1
 
     @staticmethod
     def of(rows: list[tuple]) -> Block:
         """rows: (id, held, words)."""
-        numbers = _Numbers()
-        numbers[END] = 0
-        parts = []
-        for _, _, words in rows:
-            x = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-            parts.append(np.append(x, 0))
-        tokens = np.concatenate(parts)
-        order = np.argsort(-np.bincount(tokens, minlength=len(numbers)), kind="stable")
+        lengths = np.array([len(r[2]) + 1 for r in rows], np.int64)
+        coded = pa.array([w for r in rows for w in r[2]], pa.binary()).dictionary_encode()
+        tokens = np.zeros(lengths.sum(), np.int64)
+        word = np.ones(len(tokens), bool)
+        word[np.cumsum(lengths) - 1] = False
+        tokens[word] = coded.indices.to_numpy() + 1
+        order = np.argsort(-np.bincount(tokens, minlength=len(coded.dictionary) + 1), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        hashes = np.fromiter(map(word_hash, numbers), np.uint64, len(numbers))[order]
-        return Block([r[0] for r in rows], np.array([r[1] for r in rows], bool), np.array([len(p) for p in parts], np.int64), rank[tokens], hashes)
+        hashes = np.fromiter(map(word_hash, [END, *coded.dictionary.to_pylist()]), np.uint64, len(order))[order]
+        return Block([r[0] for r in rows], np.array([r[1] for r in rows], bool), lengths, rank[tokens], hashes)
 
     def dump(self) -> bytes:
         ids = np.frombuffer(json.dumps(self.ids).encode(), np.uint8)
-        return pack(ids, self.held.view(np.uint8), narrow(self.lengths), narrow(self.tokens), self.hashes)
+        words = pack_columns([self.hashes], (False,)) if self.number is None else pack_columns([self.number, self.count], (True, False))
+        return pack(ids, self.held.view(np.uint8), narrow(self.lengths), narrow(self.tokens), np.frombuffer(words, np.uint8))
 
     @staticmethod
-    def load(body: bytes) -> Block:
-        ids, held, lengths, tokens, hashes = unpack(body)
-        return Block(json.loads(ids.tobytes()), held.view(bool), lengths.astype(np.int64), tokens.astype(np.int64), hashes)
-
-    def word_request(self, parts: int):
-        """(order of the local words by part and hash, part of each, training counts)."""
+    def load(body: bytes, numbered: bool = True) -> Block:
+        ids, held, lengths, tokens, words = unpack(body)
+        found = unpack_columns(words.tobytes(), (True, False) if numbered else (False,))
+        mine = {"number": found[0], "count": found[1]} if numbered else {"hashes": found[0].view(np.uint64)}
+        return Block(json.loads(ids.tobytes()), held.view(bool), lengths.astype(np.int64), tokens.astype(np.int64), **mine)
+
+    def word_order(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The local words by part and hash, and the part of each."""
         part = (self.hashes % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((self.hashes, part))
-        counts = np.bincount(self.tokens[self.train], minlength=len(self.hashes))
-        return order, part[order], counts[order]
-
-    def word_answer(self, parts: int, bodies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(global number, corpus count) of every local word."""
-        order, part, _ = self.word_request(parts)
-        number, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        for p, body in bodies.items():
-            number[order[part == p]], count[order[part == p]] = (x.astype(np.int64) for x in unpack(body))
-        return number, count
-
-    def level(self, below: Level | None, number: np.ndarray, count: np.ndarray, model: Model) -> Level:
-        """The distinct entries one word longer than those of `below` (None: the words)."""
-        n = len(self.hashes)
-        if below is None:
-            h, there = self.previous + 1, None
-            ids, times = np.concatenate([[START_ID], number]), np.concatenate([[model.texts], count])
-            sole, lower = np.zeros(n + 1, bool), model.unigram(count)
-        else:
-            h = np.concatenate([[-1], below.gram[:-1]])
-            h[self.starts] = -1
-            there = np.flatnonzero(h >= 0)
-            h, ids, times, sole, lower = h[there], below.ids, below.count, below.sole, below.p
-        tokens = self.tokens if there is None else self.tokens[there]
+        order = np.argsort(self.hashes, kind="stable")
+        order = order[by_part(part[order])]
+        return order, part[order]
+
+    def ask_words(self, n: int, parts: int) -> pa.RecordBatch:
+        order, part = self.word_order(parts)
+        names = np.unique(part)
+        seen = np.bincount(self.tokens[self.train], minlength=len(self.hashes))
+        return letters(n, names, Sheet([self.hashes[order], seen[order]], sizes_of(part, names)), (True, False))
+
+    def with_words(self, parts: int, answers: list[np.ndarray]) -> Block:
+        """The block with its words' global numbers and corpus counts, local words in the numbers' order."""
+        order, _ = self.word_order(parts)
+        number, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        number[order], count[order] = answers
+        by = np.argsort(number)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        return Block(self.ids, self.held, self.lengths, rank[self.tokens], None, number[by], count[by])
+
+    def ground(self, model: Model) -> Level:
+        """Level 0: the words, and after them the text's start, which is only ever a history."""
+        n = len(self.number)
+        top = lambda a, x: np.concatenate([a, [x]])
+        home = (mixed(self.number) % np.uint64(model.parts)).astype(np.int64)
+        out = Level(self.tokens, None, None, None, None)
+        out.count, out.p = top(self.count, model.texts), top(model.unigram(self.count), 1.0)
+        out.name, out.part = top(self.number, START_NAME), top(home, int(mixed(np.array([START_NAME]))[0] % np.uint64(model.parts)))
+        out.sole, out.whole = np.zeros(n + 1, bool), None
+        return out
+
+    def level(self, below: Level, k: int) -> Level:
+        """The distinct entries with k words of history, one word longer than those of `below`."""
+        n, tokens = len(self.number), self.tokens
+        h = np.concatenate([[0], below.gram[:-1]])
+        h[self.starts] = n if k == 1 else -1
+        there = None if k == 1 else np.flatnonzero(h >= 0)
+        if there is not None:
+            h, tokens = h[there], tokens[there]
+        key, first, inverse = group(h * n + tokens, len(below.count) * n)
         train = self.train if there is None else self.train[there]
-        key, first, inverse = np.unique(h * n + tokens, return_index=True, return_inverse=True)
-        seen = np.bincount(inverse, weights=train, minlength=len(key)).astype(np.int64)
+        seen = np.bincount(inverse[train], minlength=len(key))
         if there is None:
             gram, short = inverse, tokens[first]
         else:
             gram = np.full(len(self.tokens), -1, np.int64)
             gram[there] = inverse
             short = below.gram[there[first]]
-        return Level(gram, key // n, key % n, seen, short, lower[short], ids, times, sole)
-
-    def request(self, level: Level, number: np.ndarray, model: Model):
-        """What the block asks of the others: entries by (part, history, follower), histories by (part, history).
-
-        Returns entry and part of the former; of the latter part, local number and how many entries follow.
-        """
-        asked = np.flatnonzero(~level.sole[level.h])
-        h, w = level.h[asked], number[level.w[asked]]
-        spread = self.spread(level.times, model)
-        home = (mixed(level.ids) % np.uint64(model.parts)).astype(np.int64)
-        part = (home[h] + w % spread[h]) % model.parts
-        order = np.lexsort((w, level.ids[h], part))
+        return Level(gram, key // n, key % n, seen, short)
+
+    def request(self, level: Level, below: Level, model: Model) -> Request:
+        asked = np.flatnonzero(~below.sole[level.h])
+        h, number = level.h[asked], self.number[level.w[asked]]
+        spread = np.minimum(1 + below.count * 4 * model.parts // max(model.tokens, 1), model.parts)
+        part = (below.part[h] + number % spread[h]) % model.parts
+        order = by_part(part)
         asked, h, part = asked[order], h[order], part[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(new)
+        h_part, h_own, follow = part[at], h[at], np.diff(np.append(at, len(h)))
         # every part of a spread history is asked, also where this block has none of its entries
-        own = np.unique(h)
-        parts_of = spread[own]
-        every = np.repeat(own, parts_of)
-        offset = np.arange(len(every)) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)
-        h_part = (home[every] + offset) % model.parts
-        h_order = np.lexsort((level.ids[every], h_part))
-        every, h_part = every[h_order], h_part[h_order]
-        # entries of each (part, history)
-        width = len(level.ids)
-        runs, sizes = np.unique(part * width + h, return_counts=True)
-        code = h_part * width + every
-        sorter = np.argsort(code)
-        follow = np.zeros(len(every), np.int64)
-        follow[sorter[np.searchsorted(code[sorter], runs)]] = sizes
-        return asked, part, h_part, every, follow
-
-    def told(self, level: Level, k: int, bodies: dict[int, bytes], number: np.ndarray, model: Model) -> Level:
-        """The level with its corpus counts and probabilities."""
-        asked, part, h_part, every, _ = self.request(level, number, model)
-        width = len(level.ids)
-        count, low, mass = level.seen.copy(), np.zeros((K, width), np.int64), np.zeros(width)
+        wide = np.unique(h_own[spread[h_own] > 1])
+        every = np.repeat(wide, spread[wide])
+        offset = np.arange(len(every)) - np.repeat(np.cumsum(spread[wide]) - spread[wide], spread[wide])
+        other = (below.part[every] + offset) % model.parts
+        width = len(below.count)
+        lacking = ~np.isin(other * width + every, h_part * width + h_own)
+        h_part, h_own = np.concatenate([h_part, other[lacking]]), np.concatenate([h_own, every[lacking]])
+        follow = np.concatenate([follow, np.zeros(lacking.sum(), np.int64)])
+        order = by_part(h_part)
+        return Request(asked, part, h_own[order], h_part[order], follow[order])
+
+    def ask(self, n: int, level: Level, below: Level, model: Model) -> list[pa.RecordBatch]:
+        """The questions about a level, and the counts of counts of what stays in the block."""
+        r = self.request(level, below, model)
+        mine = level.seen[below.sole[level.h]]
+        kept = np.array([(mine == c).sum() for c in range(1, K + 2)], np.int64)
+        out = [letters(n, np.array([-1 - n % SUMS]), Sheet([kept], np.array([K + 1])), (False,), Sheet([kept[:0]] * 2, np.zeros(1, np.int64)), HISTORIES)]
+        if len(r.h_part):
+            names = np.unique(r.h_part)
+            entries = Sheet([self.number[level.w[r.asked]], below_count(level, below, r.asked), level.seen[r.asked]], sizes_of(r.part, names))
+            out.append(letters(n, names, entries, ENTRIES, Sheet([below.name[r.h], r.follow], sizes_of(r.h_part, names)), HISTORIES))
+        return out
+
+    def told(self, level: Level, below: Level, k: int, answer: bytes | None, model: Model) -> Level:
+        """The level with its corpus counts, probabilities and names."""
+        r, width = self.request(level, below, model), len(below.count)
+        count, sole, name, part = level.seen.copy(), below.sole[level.h].copy(), np.full(len(level.h), -1, np.int64), np.zeros(len(level.h), np.int64)
+        low, mass = np.zeros((K, width)), np.zeros((K + 1, width))
         # histories of this block alone are counted here
-        mine = level.sole[level.h] & (level.seen > 0)
-        for r in range(1, K + 1):
-            low[r - 1] = np.bincount(level.h[mine & (level.seen == r)], minlength=width)
-        mass += np.bincount(level.h[mine], weights=level.lower[mine], minlength=width)
-        sole, ids = level.sole[level.h], np.full(len(level.h), -1, np.int64)
-        for p, body in sorted(bodies.items()):
-            got = unpack(body)
-            entries, histories = asked[part == p], every[h_part == p]
-            count[entries] = got[0]
-            low[:, histories] += np.array(got[1 : K + 1]).reshape(K, len(histories))
-            mass[histories] += got[K + 1]
-            if len(got) > K + 2:
-                sole[entries] = got[K + 2].view(bool)
-                ids[entries[~sole[entries]]] = got[K + 3]
-        r = np.arange(1, K + 1)
-        below = r @ low
-        whole = level.times + (below == 0)
-        d = model.discount(k)
-        kept = (d[1 : K + 1] * r) @ low + (level.times - below)
+        mine = sole & (level.seen > 0)
+        own = below_count(level, below, np.flatnonzero(mine))
+        for c in range(1, K + 1):
+            low[c - 1] = np.bincount(level.h[mine & (level.seen == c)], minlength=width)
+            mass[c - 1] = np.bincount(level.h[mine][own == c], minlength=width)
+        mass[K] = np.bincount(level.h[mine], weights=np.where(own > K, own, 0), minlength=width)
+        if answer is not None:
+            (total, alone, place), sums = unpack_answer(answer)
+            count[r.asked], sole[r.asked] = total, alone > 0
+            part[r.asked], name[r.asked] = r.part, r.part << PLACE_BITS | np.maximum(place, 0)
+            for c in range(K):
+                low[c] += np.bincount(r.h, weights=sums[c], minlength=width)
+            for c in range(K + 1):
+                mass[c] += np.bincount(r.h, weights=sums[K + c], minlength=width)
+        times = below.count
+        c = np.arange(1, K + 1)
+        few = c @ low
+        whole = times + (few == 0)
+        d, d_low = model.discount(k), model.discount(k - 1)
+        kept = (d[1 : K + 1] * c) @ low + (times - few)
+        seen_mass = (d_low[1 : K + 1] * c) @ mass[:K] + mass[K]
+        # the whole that the lower estimates are shares of: the corpus, or the history without its first word
+        seen_mass = seen_mass / (model.whole if k == 1 else below.whole[below.short])
         with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(level.times > 0, (1.0 - kept / np.maximum(whole, 1)) / (1.0 - mass), 1.0)
+            weight = np.where(times > 0, (1.0 - kept / np.maximum(whole, 1)) / (1.0 - seen_mass), 1.0)
         h = level.h
-        p = np.where(count > 0, discounted(d, count) * count / np.maximum(whole[h], 1), weight[h] * level.lower)
-        return Level(level.gram, None, None, None, None, None, ids, None, sole, count, p)
+        p = np.where(count > 0, discounted(d, count) * count / np.maximum(whole[h], 1), weight[h] * below.p[level.short])
+        level.count, level.p, level.sole, level.name, level.part, level.whole = count, p, sole, name, part, np.maximum(whole, 1)
+        return level
 
-    def levels(self, upto: int, words: dict[int, bytes], bodies: dict[int, dict[int, bytes]], model: Model):
-        """(global number, corpus count) of the words and the levels 1 to `upto`, the last one first."""
-        number, count = self.word_answer(model.parts, words)
-        out: list[Level] = []
+    def levels(self, upto: int, answers: list[bytes | None], model: Model) -> list[Level]:
+        """Levels 0 to `upto`."""
+        out = [self.ground(model)]
         for k in range(1, upto + 1):
-            out.insert(0, self.told(self.level(out[0] if out else None, number, count, model), k, bodies.get(k, {}), number, model))
-        return number, count, out
+            out.append(self.told(self.level(out[-1], k), out[-1], k, answers[k - 1], model))
+        return out
+
+
+#: Columns that rise: of entries (number, lower count, training count) and histories (name, entries); of the answers.
+ENTRIES, HISTORIES = (False, False, False), (True, False)
+COUNTED, SUMMED = (False, False, True), (False,) * (2 * K + 1)
 
-    @staticmethod
-    def spread(times: np.ndarray, model: Model) -> np.ndarray:
-        """Over how many partitions a history goes: more than one if it has over a quarter of a share."""
-        return np.minimum(1 + times * 4 * model.parts // max(model.tokens, 1), model.parts)
+
+class Request:
+    """What a block asks of the others, by part: entries, and histories with how many entries follow each."""
+
+    def __init__(self, asked, part, h, h_part, follow):
+        self.asked, self.part, self.h, self.h_part, self.follow = asked, part, h, h_part, follow
 
 
 class Level:
     """The distinct entries of one length in a block, k words of history and a follower (level k).
 
-    gram: entry of each token, -1 where the text has no such history yet. Of the entries: history,
-    follower, training count in the block, the entry without its first word and that one's probability.
-    Of the histories: global id, corpus count and whether no other block has them. After `told`,
-    ids and sole are those of the entries, which are the next level's histories.
+    gram: entry of each token, -1 where the text has no such history yet. Of the entries: history (an
+    entry of the level below), follower, training count in the block, the entry without its first word.
+    After `told`: corpus count, probability, whether no other block has them, name and partition as
+    histories; and of the histories the whole that their followers' estimates are shares of.
     """
 
-    def __init__(self, gram, h, w, seen, short, lower, ids, times, sole, count=None, p=None):
-        self.gram, self.h, self.w, self.seen, self.short, self.lower = gram, h, w, seen, short, lower
-        self.ids, self.times, self.sole, self.count, self.p = ids, times, sole, count, p
+    def __init__(self, gram, h, w, seen, short):
+        self.gram, self.h, self.w, self.seen, self.short = gram, h, w, seen, short
+        self.count = self.p = self.sole = self.name = self.part = self.whole = None
+
+
+def below_count(level: Level, below: Level, entries: np.ndarray) -> np.ndarray:
+    """The corpus counts of entries without their first word."""
+    return below.count[level.short[entries]]
+
+
+def pack_answer(entries, sums) -> bytes:
+    head = pack_columns(entries, COUNTED)
+    return len(head).to_bytes(8, "little") + head + pack_columns(sums, SUMMED)
+
+
+def unpack_answer(body: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    n = int.from_bytes(body[:8], "little")
+    return unpack_columns(body[8 : 8 + n], COUNTED), unpack_columns(body[8 + n :], SUMMED)
 
 
 class Model:
@@ -266,9 +333,14 @@ class Model:
         self.whole = tokens + (low == 0)
         self.unknown = 1.0 - kept / self.whole if tokens else 1.0
 
+    def with_level(self, k: int, counts: list[int]) -> Model:
+        """The model with the counts of counts of the entries with k words of history."""
+        more = {"pairs": counts} if k == 1 else {"pairs": self.pair_counts, "longer": [*self.longer_counts, counts]}
+        return Model(self.parts, self.tokens, self.words, self.texts, self.unigram_counts, **more)
+
     def discount(self, k: int) -> np.ndarray:
         """The discounts of the entries with k words of history."""
-        return self.pair_discount if k == 1 else self.longer_discounts[k - 2]
+        return (self.unigram_discount, self.pair_discount, *self.longer_discounts)[k]
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """P(word) by its corpus count; words without one are the unknown class."""
@@ -304,184 +376,176 @@ def discounted(d: np.ndarray, count: np.ndarray) -> np.ndarray:
     return d[np.minimum(count, len(d) - 1)]
 
 
-def merge_words(bodies: list[bytes], part: int, parts: int):
-    """(answers, [V, N, n_1 .. n_K+1]): numbers by falling corpus count, then hash."""
-    asked = [unpack(b) for b in bodies]
-    hashes, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([a[1] for a in asked]), minlength=len(hashes)).astype(np.int64)
+def answer_words(t: pa.Table, parts: int) -> list[pa.RecordBatch]:
+    """Numbers by falling corpus count, then hash, and corpus counts; [V, N, n_1 .. n_K+1] for a sums group."""
+    blocks, part, asked, _ = read(t, (True, False))
+    p = int(part[0])
+    hashes, inverse = np.unique(asked.columns[0].view(np.uint64), return_inverse=True)
+    total = np.bincount(inverse, weights=asked.columns[1], minlength=len(hashes)).astype(np.int64)
     order = np.lexsort((hashes, -total))
     number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order)) * parts + part
-    ends = np.cumsum([len(a[0]) for a in asked])
-    answers = [pack(narrow(number[i]), narrow(total[i])) for i in np.split(inverse, ends[:-1])]
-    return answers, [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, K + 2))]
+    number[order] = np.arange(len(order)) * parts + p
+    sums = np.array([(total > 0).sum(), total.sum(), *((total == r).sum() for r in range(1, K + 2))], np.int64)
+    return [letters(blocks, p, Sheet([number[inverse], total[inverse]], asked.sizes), (False, False)), summed(p, sums)]
 
 
-def merge_entries(bodies: list[bytes], model: Model, k: int, part: int, last: bool):
-    """(answers, [n_1 .. n_K+1] of the entries with k words of history).
+def summed(p: int, sums: np.ndarray) -> pa.RecordBatch:
+    """Sums over the corpus, to one of SUMS groups that stand below all blocks."""
+    return letters(-1 - p % SUMS, p, Sheet([sums], np.array([len(sums)])), (False,))
 
-    Unless this is the last level, an entry also gets an id, or is told to be its block's alone.
+
+def answer_entries(t: pa.Table, last: bool) -> list[pa.RecordBatch]:
+    """Corpus counts, whether only one block has the entry, and its place; for each history the sums of
+    its followers; [n_1 .. n_K+1] of the partition's entries for a sums group.
     """
-    asked = [unpack(b) for b in bodies]  # histories, entries of each, followers, their lower estimates, seen, counts of counts kept in the block
-    h = np.concatenate([np.repeat(a[0], a[1]) for a in asked]).astype(np.int64)
-    w, lower, seen = (np.concatenate([a[i] for a in asked]) for i in (2, 3, 4))
-    order = np.lexsort((w, h))
+    p = t.column("part")[0].as_py()
+    if p < 0:  # what blocks count on their own
+        _, _, kept, _ = read(t, (False,))
+        return [summed(p, kept.columns[0].reshape(-1, K + 1).sum(0))]
+    blocks, _, entries, histories = read(t, ENTRIES, HISTORIES)
+    names, own = np.unique(histories.columns[0], return_inverse=True)
+    h, (w, lower, seen) = np.repeat(own, histories.columns[1]), entries.columns
+    top = int(w.max()) + 1 if len(w) else 1
+    order = np.argsort(h * top + w, kind="stable") if (len(names) * top).bit_length() < 63 else np.lexsort((w, h))
     h, w, lower = h[order], w[order], lower[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=seen[order], minlength=int(new.sum())).astype(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    of, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    total = np.bincount(of, weights=seen[order], minlength=len(at)).astype(np.int64)
+    alone = np.bincount(of, minlength=len(at)) == 1
+    place = np.cumsum(~alone) - 1
     back = np.empty(len(order), np.int64)
-    back[order] = group
-    at = np.flatnonzero(new)
-    gh = h[at]
-    gw = (model.unigram(lower[at].astype(np.int64)) if k == 1 else lower[at]) * (total > 0)
-    alone = np.bincount(group, minlength=len(at)) == 1
-    names, start = np.unique(gh, return_index=True)
-    stats = [np.add.reduceat((total == r).astype(np.int64), start) if len(start) else np.zeros(0, np.int64) for r in range(1, K + 1)]
-    mass = np.add.reduceat(gw, start) if len(start) else np.zeros(0)
-    out, done = [], 0
-    for a in asked:
-        place = np.minimum(np.searchsorted(names, a[0]), max(len(names) - 1, 0))
-        known = names[place] == a[0] if len(names) else np.zeros(len(a[0]), bool)
-        g = back[done : done + len(a[2])]
-        body = [narrow(total[g]), *(narrow(np.where(known, s[place], 0)) if len(names) else np.zeros(len(a[0]), np.int32) for s in stats), np.where(known, mass[place], 0.0) if len(names) else np.zeros(len(a[0]))]
-        if not last:
-            body += [alone[g].view(np.uint8), narrow(g[~alone[g]] * model.parts + part)]
-        out.append(pack(*body))
-        done += len(a[2])
-    kept = sum((a[5] for a in asked if len(a[5])), np.zeros(K + 1, np.int64))
-    return out, [int((total == r).sum() + kept[r - 1]) for r in range(1, K + 2)]
-
-
-def evaluate(block: Block, model: Model, words: dict[int, bytes], bodies: dict[int, dict[int, bytes]], order: int = 2) -> dict[str, list]:
-    _, count, levels = block.levels(order - 1, words, bodies, model)
-    p = model.unigram(count)[block.tokens]
-    for level in reversed(levels):  # the longest history that the text has; what it lacks, its weights hold already
+    back[order] = of
+    h, lower, known = h[at], lower[at], total > 0
+    count = lambda which, **more: np.bincount(h[which], minlength=len(names), **more)
+    sums = [count(total == r) for r in range(1, K + 1)] + [count(known & (lower == r)) for r in range(1, K + 1)]
+    many = known & (lower > K)
+    sums.append(count(many, weights=lower[many]).astype(np.int64))
+    answer = [total[back], alone[back].astype(np.int64), (np.zeros(len(back), np.int64) if last else place[back])]
+    found = np.array([(total == r).sum() for r in range(1, K + 2)], np.int64)
+    return [letters(blocks, p, Sheet(answer, entries.sizes), COUNTED, Sheet([s[own] for s in sums], histories.sizes), SUMMED), summed(p, found)]
+
+
+def gathered(rising, more=(), finish=None):
+    """A block's answers as one row (its columns by part; `finish` packs them), or the sums of a group."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        n = t.column("block")[0].as_py()
+        if n < 0:
+            _, _, sums, _ = read(t, (False,))
+            return pa.table({"block": [n], "body": [None], "n": [sums.columns[0].reshape(t.num_rows, -1).sum(0).tolist()]}, schema=ANSWER)
+        _, parts, a, b = read(t, rising, more)
+        body = finish(in_order(a, parts), in_order(b, parts) if b else None)
+        return pa.table({"block": [n], "body": [body], "n": [None]}, schema=ANSWER)
+
+    return gather
+
+
+def evaluate(block: Block, model: Model, answers: list[bytes | None], order: int) -> dict[str, list]:
+    levels = block.levels(order - 1, answers, model)
+    p = levels[0].p[block.tokens]
+    for level in levels[1:]:  # the longest history that the text has; what it lacks, its weights hold already
         there = level.gram >= 0
         p[there] = level.p[level.gram[there]]
-    logs = np.log10(p)
-    base = np.log10((count + 1) / (model.tokens + model.words + 1))[block.tokens]
-    known = (count > 0)[block.tokens].astype(np.int64)
+    base = np.log10((block.count + 1) / (model.tokens + model.words + 1))[block.tokens]
     return {
         "doc_id": block.ids,
         "held_out": block.held.tolist(),
         "n_tokens": block.lengths.tolist(),
-        "n_known": np.add.reduceat(known, block.starts).tolist(),
+        "n_known": np.add.reduceat((block.count > 0)[block.tokens].astype(np.int64), block.starts).tolist(),
         "train_tokens": [model.tokens] * len(block.ids),
         "base_score": np.add.reduceat(base, block.starts).tolist(),
-        "score": np.add.reduceat(logs, block.starts).tolist(),
+        "score": np.add.reduceat(np.log10(p), block.starts).tolist(),
     }
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id", order: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; order: words an entry of the model has at most."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    source = docs.select(F.col(doc_id).cast("string").alias("i"), (remainder(F.col(doc_id), folds) == held).alias("h"), F.col(text).cast("string").alias("t"))
+def to_blocks(it):
+    """Rows (id, held out, text) of a task to block rows."""
+    task, n, rows, size = TaskContext.get().partitionId(), 0, [], 0
 
-    def to_blocks(it):
-        task, n, rows, size = TaskContext.get().partitionId(), 0, [], 0
+    def row():
+        block = Block.of(rows)
+        return pa.RecordBatch.from_pylist([{"block": task << 24 | n, "tokens": len(block.tokens), "texts": int((~block.held).sum()), "body": block.dump()}], BLOCKS)
 
-        def row():
-            block = Block.of(rows)
-            train = int(block.lengths[~block.held].sum())
-            return pa.RecordBatch.from_pylist([{"block": task << 24 | n, "tokens": len(block.tokens), "train": train, "texts": int((~block.held).sum()), "body": block.dump()}], BLOCKS)
+    for b in it:
+        for i, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            rows.append((i, h, words))
+            size += len(words) + 1
+            if size >= BLOCK_TOKENS:
+                yield row()
+                n, rows, size = n + 1, [], 0
+    if rows:
+        yield row()
 
-        for b in it:
-            for i, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                rows.append((i, h, words))
-                size += len(words) + 1
-                if size >= BLOCK_TOKENS:
-                    yield row()
-                    n, rows, size = n + 1, [], 0
-        if rows:
-            yield row()
-
-    made = source.mapInArrow(to_blocks, "block long, tokens long, train long, texts long, body binary")
-    blocks = bucketed(made, "block", min(max(12, 2 * source.rdd.getNumPartitions()), 20_000))
-    sums = blocks.agg(F.sum("tokens"), F.sum("texts")).first()
+
+def totals(answers: DataFrame, n: int) -> list[int]:
+    """Sums over the groups of sums: at most SUMS * 2 rows."""
+    return [x or 0 for x in answers.filter("block < 0").select(*[F.sum(F.col("n")[i]) for i in range(n)]).first()]
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id", order: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; order: words an entry of the model has at most."""
+    short_batches(docs.sparkSession)
+    source = docs.select(F.col(doc_id).cast("string").alias("i"), (remainder(F.col(doc_id), folds) == held).alias("h"), F.col(text).cast("string").alias("t"))
+    buckets = min(max(12, 2 * source.rdd.getNumPartitions()), 100_000)
+    raw = bucketed(source.mapInArrow(to_blocks, "block long, tokens long, texts long, body binary"), "block", buckets)
+    sums = raw.agg(F.sum("tokens"), F.sum("texts")).first()
     parts = parts_for(sums[0] or 0, PART_TOKENS, 12)
+    tasks = parts_for(sums[0] or 0, 4 * PART_TOKENS, 12)
+    answered = lambda asked, by: asked.repartition(min(tasks, 100_000), "part").groupBy("part").applyInArrow(lambda t: pa.Table.from_batches(by(t)), LETTERS).repartition(buckets, "block")
 
     def ask_words(it):
         for b in it:
             for n, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                block = Block.load(body)
-                order, part, counts = block.word_request(parts)
-                for p in np.unique(part).tolist():
-                    mine = part == p
-                    yield pa.RecordBatch.from_pylist([{"block": n, "part": p, "body": pack(block.hashes[order[mine]], narrow(counts[mine]))}], QUESTION)
-
-    def answers(t: pa.Table, found) -> pa.Table:
-        out, n = found
-        rows = [{"block": b, "part": p, "body": x, "n": None} for b, p, x in zip(t.column("block").to_pylist(), t.column("part").to_pylist(), out, strict=True)]
-        return pa.Table.from_pylist([*rows, {"block": -1, "part": rows[0]["part"], "body": None, "n": n}], REPLY)
-
-    def answer_words(t: pa.Table) -> pa.Table:
-        return answers(t, merge_words(t.column("body").to_pylist(), t.column("part")[0].as_py(), parts))
-
-    asked = blocks.select("block", "body").mapInArrow(ask_words, "block long, part int, body binary")
-    words = materialise(asked.groupBy("part").applyInArrow(answer_words, ANSWER), "words")
-    n = words.filter("block < 0").select(*[F.sum(F.col("n")[i]) for i in range(K + 3)]).first()
-    model = Model(parts, n[1] or 0, n[0] or 0, sums[1] or 0, [x or 0 for x in n[2:]])
-
-    def received(right: pa.Table) -> tuple[dict[int, bytes], dict[int, dict[int, bytes]]]:
-        """The words' answers and those of each level, by part."""
-        out: dict[int, dict[int, bytes]] = {}
-        for k, p, x in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "body")), strict=True):
-            out.setdefault(k, {})[p] = x
-        return out.pop(0, {}), out
+                yield Block.load(body, False).ask_words(n, parts)
+
+    def number_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return gathered((False, False))(right)
+        _, p, a, _ = read(right, (False, False))
+        answers, n = in_order(a, p), left.column("block")[0].as_py()
+        body = Block.load(left.column("body")[0].as_py(), False).with_words(parts, answers).dump()
+        return pa.table({"block": [n], "body": [body], "n": [None]}, schema=ANSWER)
+
+    bare = raw.select("block", "body")
+    replies = answered(bare.mapInArrow(ask_words, LETTERS), lambda t: answer_words(t, parts))
+    words = bucketed(bare.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(number_words, ANSWERS), "block", buckets)
+    discard(raw)
+    n = totals(words, K + 3)
+    model = Model(parts, n[1], n[0], sums[1] or 0, n[2:])
+    blocks = words.filter("block >= 0").select("block", "body")
 
     def asks(k: int, model: Model):
-        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = []
-            words, bodies = received(right)
-            for n, body in zip(left.column("block").to_pylist(), left.column("body").to_pylist(), strict=True):
-                block = Block.load(body)
-                number, count, below = block.levels(k - 1, words, bodies, model)
-                level = block.level(below[0] if below else None, number, count, model)
-                asked, part, h_part, every, follow = block.request(level, number, model)
-                lower = narrow(count[level.w]) if k == 1 else level.lower
-                mine = level.seen[level.sole[level.h]]
-                kept = np.array([(mine == r).sum() for r in range(1, K + 2)], np.int64)
-                first = n % parts  # is sent the counts of counts of what stays in the block
-                for p in sorted({first, *np.unique(h_part).tolist()}):
-                    x, own = asked[part == p], h_part == p
-                    out.append({"block": n, "part": p, "body": pack(level.ids[every[own]], narrow(follow[own]), narrow(number[level.w[x]]), lower[x], narrow(level.seen[x]), kept if p == first else kept[:0])})
-            return pa.Table.from_pylist(out, QUESTION)
+        def ask(it):
+            for b in it:
+                for n, body, *answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    block = Block.load(body)
+                    levels = block.levels(k - 1, answers, model)
+                    yield from block.ask(n, block.level(levels[-1], k), levels[-1], model)
 
         return ask
 
-    def replies(k: int, model: Model):
-        def reply(t: pa.Table) -> pa.Table:
-            return answers(t, merge_entries(t.column("body").to_pylist(), model, k, t.column("part")[0].as_py(), k == order - 1))
-
-        return reply
-
-    told = words.filter("block >= 0").select("block", "part", "body", F.lit(0).alias("kind"))
-    bare = blocks.select("block", "body")
     for k in range(1, order):
-        asked = bare.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(asks(k, model), "block long, part int, body binary")
-        found = materialise(asked.groupBy("part").applyInArrow(replies(k, model), ANSWER), f"entries_{k}")
-        n = [x or 0 for x in found.filter("block < 0").select(*[F.sum(F.col("n")[i]) for i in range(K + 1)]).first()]
-        counted = {"pairs": n} if k == 1 else {"pairs": model.pair_counts, "longer": [*model.longer_counts, n]}
-        model = Model(parts, model.tokens, model.words, model.texts, model.unigram_counts, **counted)
-        told = told.unionAll(found.filter("block >= 0").select("block", "part", "body", F.lit(k).alias("kind")))
+        replies = answered(blocks.mapInArrow(asks(k, model), LETTERS), lambda t, last=k == order - 1: answer_entries(t, last))
+        found = bucketed(replies.groupBy("block").applyInArrow(gathered(COUNTED, SUMMED, pack_answer), ANSWERS), "block", buckets)
+        model = model.with_level(k, totals(found, K + 1))
+        level = found.filter("block >= 0").select("block", F.col("body").alias(f"level_{k}"))
+        blocks = blocks.join(level.hint("merge"), "block", "left")
     full = model
 
-    def evaluate_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, bodies = received(right)
-        out = [pa.table(evaluate(Block.load(body), full, words, bodies, order), schema=RESULT) for body in left.column("body").to_pylist()]
-        return pa.concat_tables(out) if out else RESULT.empty_table()
+    def evaluate_block(t: pa.Table) -> pa.Table:
+        body, *answers = (t.column(k)[0].as_py() for k in range(1, t.num_columns))
+        return pa.table(evaluate(Block.load(body), full, answers, order), schema=RESULT)
 
-    scored = bare.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(evaluate_block, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = blocks.groupBy("block").applyInArrow(evaluate_block, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     kind = docs.select(F.col(doc_id)).schema[0].dataType
     return scored.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("train", pa.int64()), ("texts", pa.int64()), ("body", pa.binary())])
-QUESTION = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary())])
-REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary()), ("n", pa.list_(pa.int64()))])
+BLOCKS = pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("texts", pa.int64()), ("body", pa.binary())])
+ANSWER = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("n", pa.list_(pa.int64()))])
+ANSWERS = "block long, body binary, n array<long>"
 RESULT = pa.schema([("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 

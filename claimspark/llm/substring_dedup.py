@@ -18,15 +18,19 @@ neighbours, and that order is needed only between suffixes of phrases that share
   sends them once for all its copies.
 Sorting. These suffixes, cut to `length` bytes, go to the partition of their own fingerprint and are
 sorted there; a run of two or more is a repeated window. Only equality matters, so the sort key is the
-96-bit fingerprint of a suffix (128 bits, with its key, for phrases) instead of its bytes.
+128-bit fingerprint of a suffix (of its key and itself for a phrase) instead of its bytes. This is where
+the method departs from suffix arrays over bytes: a passage in a third of all texts makes as many
+phrases with one key as it has surroundings, and only a hash deals these to many tasks.
 
 A block sends each distinct entry once, with its count, so that a passage in a third of all texts
-makes a row a block at most. The text table is bucketed by block: answers travel to the texts, not the
-texts to the answers. Blocks work through their bytes CHUNK at a time, however long a text is; phrases
+makes an entry a block at most; messages are packed (`mail`), so that work grows with the entries and not
+with blocks times partitions. The text table and the answers are bucketed by block and meet without a
+shuffle. Blocks work through their bytes CHUNK at a time, however long a text is; phrases
 cut at a chunk's end are compared through their suffixes.
 
 Null texts are empty: nothing to remove. Repeated rows are copies of each other. Null and repeated ids
-keep their rows. An empty table gives an empty result. Extra columns are not read.
+keep their rows. An empty table gives an empty result. Extra columns, also those with
+clashing names, are not read.
 """
 
 from __future__ import annotations
@@ -42,8 +46,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialise, parts_for, short_batches, table
-from .katz import QUESTION, mixed, pack, unpack
+from .common import bucketed, parts_for, short_batches, table
+from .katz import ANSWERS, gathered, mixed
+from .mail import LETTERS, Sheet, by_part, letters, pack_columns, read, sizes_of, unpack_columns
 
 CHUNK = 1 << 20
 BLOCK_BYTES = 8 << 20
@@ -167,15 +172,15 @@ class Texts:
     def phrase_request(self, parts: int, how: Parsing):
         """Distinct (key, phrase) sorted by part, key, phrase: part, key, phrase, count, entry of each phrase, its first phrase."""
         key, whole, s, e = self.entries(how)
-        part = (key % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((whole, key, part))
+        order = np.lexsort((whole, key))
+        order = order[by_part((key[order] % np.uint64(parts)).astype(np.int64))]
         k, w = key[order], whole[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])]) if len(k) else np.zeros(0, bool)
+        new = changes(k, w)
         group = np.cumsum(new) - 1
         entry = np.empty(len(order), np.int64)
         entry[order] = group
         counts = np.bincount(group, minlength=int(new.sum()))
-        return part[order][new], k[new], w[new], counts, entry, order[new], s, e
+        return (k[new] % np.uint64(parts)).astype(np.int64), k[new], w[new], counts, entry, order[new], s, e
 
     def suffixes(self, codes: np.ndarray, entry: np.ndarray, leader: np.ndarray, how: Parsing):
         """Windows of OPEN phrases and of the leaders of SENT ones: (start, fingerprint, second fingerprint, count)."""
@@ -190,7 +195,7 @@ class Texts:
                 size = e[here] - s[here] + 1
                 start = np.repeat(s[here] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 count = np.repeat(np.where(mine[done + here] == SENT, 2, 1), size)
-                out.append((start + at, first.at(start, start + how.length), second.at(start, start + how.length) & np.uint64(0xFFFFFFFF), count))
+                out.append((start + at, first.at(start, start + how.length), second.at(start, start + how.length), count))
             done += len(s)
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -199,15 +204,15 @@ class Texts:
     def suffix_request(self, codes, entry, leader, parts: int, how: Parsing):
         """Distinct suffixes sorted by part and fingerprint: part, fingerprints, count, suffix of each start, starts."""
         start, a, b, count = self.suffixes(codes, entry, leader, how)
-        part = (a % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((b, a, part))
+        order = sorted_pairs(a, b)
+        order = order[by_part((a[order] % np.uint64(parts)).astype(np.int64))]
         x, y = a[order], b[order]
-        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+        new = changes(x, y)
         group = np.cumsum(new) - 1
         which = np.empty(len(order), np.int64)
         which[order] = group
         total = np.bincount(group, weights=count[order], minlength=int(new.sum())).astype(np.int64)
-        return part[order][new], x[new], y[new].astype(np.uint32), np.minimum(total, 2), which, start
+        return (x[new] % np.uint64(parts)).astype(np.int64), x[new], y[new], np.minimum(total, 2), which, start
 
     def spans(self, codes, entry, s, e, repeated_starts: np.ndarray, how: Parsing) -> list[list[tuple[int, int]]]:
         """Maximal removed runs of every text, as byte offsets in it."""
@@ -231,38 +236,48 @@ class Texts:
         return out
 
 
-def judge_phrases(bodies: list[bytes]) -> list[bytes]:
-    """The code of every asked (key, phrase)."""
-    asked = [unpack(b) for b in bodies]
-    key, whole, count = (np.concatenate([a[i] for a in asked]) for i in (0, 1, 2))
-    order = np.lexsort((whole, key))  # stable: the first of equals stands in the earliest body
+def changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where a new pair begins in sorted pairs."""
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return new
+
+
+def sorted_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order by a, then b; one sort where no two pairs differ in b alone."""
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    return np.lexsort((b, a)) if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any() else order
+
+
+def phrase_codes(key: np.ndarray, whole: np.ndarray, count: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The code of every asked (key, phrase); of the blocks that ask for one, the first sends its suffixes."""
+    order = np.lexsort((block, whole, key))
     k, w = key[order], whole[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])]) if len(k) else np.zeros(0, bool)
+    new = changes(k, w)
     group = np.cumsum(new) - 1
     total = np.bincount(group, weights=count[order], minlength=int(new.sum()))
-    new_key = np.concatenate([[True], k[new][1:] != k[new][:-1]]) if len(k) else np.zeros(0, bool)
+    new_key = np.ones(int(new.sum()), bool)
+    new_key[1:] = k[new][1:] != k[new][:-1]
     key_of = np.cumsum(new_key) - 1
     several = (np.bincount(key_of, minlength=int(new_key.sum())) > 1)[key_of]
-    code = np.where(total > 1, np.where(several, COPIED_OTHERS, COPIED), np.where(several, OPEN, ALONE)).astype(np.uint8)
+    code = np.where(total > 1, np.where(several, COPIED_OTHERS, COPIED), np.where(several, OPEN, ALONE))
     each = code[group]
     each[new & (each == COPIED_OTHERS)] = SENT
-    out = np.empty(len(order), np.uint8)
+    out = np.empty(len(order), np.int64)
     out[order] = each
-    return [pack(x) for x in np.split(out, np.cumsum([len(a[0]) for a in asked])[:-1])]
+    return out
 
 
-def judge_suffixes(bodies: list[bytes]) -> list[bytes]:
+def suffix_twice(a: np.ndarray, b: np.ndarray, count: np.ndarray) -> np.ndarray:
     """1 for every asked suffix that stands in two places or more."""
-    asked = [unpack(b) for b in bodies]
-    a, b, count = (np.concatenate([x[i] for x in asked]) for i in (0, 1, 2))
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+    order = sorted_pairs(a, b)
+    new = changes(a[order], b[order])
     group = np.cumsum(new) - 1
     twice = np.bincount(group, weights=count[order], minlength=int(new.sum())) > 1
-    out = np.empty(len(order), np.uint8)
+    out = np.empty(len(order), np.int64)
     out[order] = twice[group]
-    return [pack(np.packbits(z)) for z in np.split(out, np.cumsum([len(q[0]) for q in asked])[:-1])]
+    return out
 
 
 RESULT = "doc_id string, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -289,82 +304,72 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", doc_i
         if ids:
             yield row()
 
-    made = source.mapInArrow(to_blocks, "block long, bytes long, body binary")
-    blocks = bucketed(made, "block", min(max(12, 2 * source.rdd.getNumPartitions()), 20_000))
+    buckets = min(max(12, 2 * source.rdd.getNumPartitions()), 100_000)
+    blocks = bucketed(source.mapInArrow(to_blocks, "block long, bytes long, body binary"), "block", buckets)
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     parts = parts_for(2 * total / how.reach, PART_ENTRIES, 12)
+    tasks = min(parts_for(parts, 4, 12), 100_000)
+    blocks = blocks.select("block", "body")
 
     def ask_phrases(it):
         for b in it:
             for n, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 part, key, whole, counts, *_ = Texts.load(body).phrase_request(parts, how)
-                for p in np.unique(part).tolist():
-                    mine = part == p
-                    yield pa.RecordBatch.from_pylist([{"block": n, "part": p, "body": pack(key[mine], whole[mine], np.minimum(counts[mine], 2).astype(np.uint8))}], QUESTION)
-
-    def judged(by):
-        def judge(t: pa.Table) -> pa.Table:
-            return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(by(t.column("body").to_pylist()), pa.binary())}, schema=QUESTION)
-
-        return judge
+                names = np.unique(part)
+                yield letters(n, names, Sheet([key, whole, np.minimum(counts, 2)], sizes_of(part, names)), ASKED)
 
-    kinds = "block long, part int, body binary"
-    bare = blocks.select("block", "body")
-    codes = materialise(bare.mapInArrow(ask_phrases, kinds).groupBy("part").applyInArrow(judged(judge_phrases), kinds), "phrases")
-
-    def told(request, bodies: dict[int, bytes]) -> np.ndarray:
-        out = np.zeros(len(request[0]), np.uint8)
-        for p, body in bodies.items():
-            out[request[0] == p] = unpack(body)[0]
-        return out
+    def answers(asks, by) -> DataFrame:
+        """One row a block: the answers by part."""
 
-    def ask_suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        bodies = dict(zip(right.column("part").to_pylist(), right.column("body").to_pylist(), strict=True))
-        for n, body in zip(left.column("block").to_pylist(), left.column("body").to_pylist(), strict=True):
-            texts = Texts.load(body)
-            request = texts.phrase_request(parts, how)
-            part, a, b, count, _, _ = texts.suffix_request(told(request, bodies), request[4], request[5], parts, how)
-            for p in np.unique(part).tolist():
-                mine = part == p
-                out.append({"block": n, "part": p, "body": pack(a[mine], b[mine], count[mine].astype(np.uint8))})
-        return pa.Table.from_pylist(out, QUESTION)
-
-    asked = bare.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(ask_suffixes, kinds)
-    twice = materialise(asked.groupBy("part").applyInArrow(judged(judge_suffixes), kinds), "suffixes")
-
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, p, body_of = (right.column(c).to_pylist() for c in ("kind", "part", "body"))
-        code_bodies, bit_bodies = ({q: x for k, q, x in zip(kind, p, body_of, strict=True) if k == want} for want in (0, 1))
-        out = []
-        for body in left.column("body").to_pylist():
-            texts = Texts.load(body)
-            request = texts.phrase_request(parts, how)
-            codes = told(request, code_bodies)
-            entry, leader, s, e = request[4:]
-            part, a, _, _, which, start = texts.suffix_request(codes, entry, leader, parts, how)
-            bits = np.zeros(len(a), bool)
-            for q, x in bit_bodies.items():
-                mine = part == q
-                bits[mine] = np.unpackbits(unpack(x)[0], count=int(mine.sum())).astype(bool)
-            spans = texts.spans(codes, entry, s, e, start[bits[which]] if len(start) else start, how)
-            begin, raw = 0, texts.data.tobytes()
-            rows = {"doc_id": texts.ids, "n_bytes": texts.lengths.tolist(), "spans": [[{"start": x, "end": y} for x, y in r] for r in spans], "kept": []}
-            for size, runs in zip(rows["n_bytes"], spans, strict=True):
-                kept, at = [], begin
-                for x, y in runs:
-                    kept.append(raw[at : begin + x])
-                    at = begin + y
-                begin += size
-                rows["kept"].append(b"".join([*kept, raw[at:begin]]))
-            out.append(pa.table(rows, schema=KINDS))
-        return pa.concat_tables(out) if out else KINDS.empty_table()
-
-    both = codes.withColumn("kind", F.lit(0)).unionAll(twice.withColumn("kind", F.lit(1)))
-    done = bare.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, RESULT)
+        def judge(t: pa.Table) -> pa.Table:
+            to, part, asked, _ = read(t, ASKED)
+            a, b, count = asked.columns
+            return pa.Table.from_batches([letters(to, int(part[0]), Sheet([by(a.view(np.uint64), b.view(np.uint64), count, np.repeat(to, asked.sizes))], asked.sizes), (False,))])
+
+        told = asks.repartition(tasks, "part").groupBy("part").applyInArrow(judge, LETTERS).repartition(buckets, "block")
+        packed = gathered((False,), finish=lambda columns, _: pack_columns(columns, (False,)))
+        return bucketed(told.groupBy("block").applyInArrow(packed, ANSWERS), "block", buckets).select("block", F.col("body").alias("told")).hint("merge")
+
+    def told(body: bytes | None) -> np.ndarray:
+        return unpack_columns(body, (False,))[0] if body else np.zeros(0, np.int64)
+
+    def ask_suffixes(it):
+        for batch in it:
+            for n, body, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts = Texts.load(body)
+                request = texts.phrase_request(parts, how)
+                part, a, b, count, _, _ = texts.suffix_request(told(known), request[4], request[5], parts, how)
+                names = np.unique(part)
+                yield letters(n, names, Sheet([a, b, count], sizes_of(part, names)), ASKED)
+
+    codes = answers(blocks.mapInArrow(ask_phrases, LETTERS), phrase_codes)
+    coded = blocks.join(codes, "block", "left")
+    twice = answers(coded.mapInArrow(ask_suffixes, LETTERS), lambda a, b, count, _: suffix_twice(a, b, count))
+
+    def cut(t: pa.Table) -> pa.Table:
+        body, known, bits = (t.column(k)[0].as_py() for k in (1, 2, 3))
+        texts, codes = Texts.load(body), told(known)
+        entry, leader, s, e = texts.phrase_request(parts, how)[4:]
+        *_, which, start = texts.suffix_request(codes, entry, leader, parts, how)
+        spans = texts.spans(codes, entry, s, e, start[told(bits)[which] > 0] if len(start) else start, how)
+        begin, raw = 0, texts.data.tobytes()
+        rows = {"doc_id": texts.ids, "n_bytes": texts.lengths.tolist(), "spans": [[{"start": x, "end": y} for x, y in r] for r in spans], "kept": []}
+        for size, runs in zip(rows["n_bytes"], spans, strict=True):
+            kept, at = [], begin
+            for x, y in runs:
+                kept.append(raw[at : begin + x])
+                at = begin + y
+            begin += size
+            rows["kept"].append(b"".join([*kept, raw[at:begin]]))
+        return pa.table(rows, schema=KINDS)
+
+    whole = coded.join(twice.withColumnRenamed("told", "bits").hint("merge"), "block", "left")
+    done = whole.groupBy("block").applyInArrow(cut, RESULT)
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.select(F.col(doc_id)).schema[0].dataType))
 
 
+#: Columns of a question: two fingerprints, the first rising, and how many places (two stand for more).
+ASKED = (True, False, False)
 BLOCKS = pa.schema([("block", pa.int64()), ("bytes", pa.int64()), ("body", pa.binary())])
 
 

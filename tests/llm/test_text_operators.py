@@ -99,9 +99,9 @@ def test_substring_dedup(spark, docs, none, monkeypatch, length, block, chunk):
 
         x = substring_dedup.Texts(list(range(len(texts))), np.array([len(t) for t in texts]), b"".join(texts))
         _, k, w, n, entry, leader, s, e = x.phrase_request(3, how)
-        codes = substring_dedup.unpack(substring_dedup.judge_phrases([substring_dedup.pack(k, w, np.minimum(n, 2).astype(np.uint8))])[0])[0]
+        codes = substring_dedup.phrase_codes(k, w, np.minimum(n, 2), np.zeros(len(k), np.int64))
         _, a, b, c, which, start = x.suffix_request(codes, entry, leader, 3, how)
-        bits = np.unpackbits(substring_dedup.unpack(substring_dedup.judge_suffixes([substring_dedup.pack(a, b, c.astype(np.uint8))])[0])[0], count=len(a)).astype(bool)
+        bits = substring_dedup.suffix_twice(a, b, c) > 0
         assert x.spans(codes, entry, s, e, start[bits[which]], how) == [r for _, r, _ in brute_removed(texts, length)]
         return
     got = sorted((str(r.doc_id), r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in substring_dedup.remove_repeats(df, length).collect())
