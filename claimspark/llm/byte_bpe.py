@@ -18,7 +18,6 @@ are not read.
 from __future__ import annotations
 
 import base64
-import ctypes
 import gc
 import hashlib
 import re
@@ -30,13 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, table
+from .common import give_back, short_batches, table
 
 #: Bounds of the two caches of a worker; a full one starts anew, which costs time and changes nothing.
 MAX_STATES = 300_000
 MAX_PIECES = 450_000
 #: Rows that a worker returns at once.
 ROWS = 500
+#: An arc that is missed for the first time is not made if fewer bytes than this are left of the piece: the
+#: transducer's own rule then works out the rest of a rare piece without keeping states. Same ids at any value.
+PATIENCE = 48
 
 #: The public pattern for texts below U+0250, with its classes written out; others use `regex`.
 _SPACE = r" \t-\r\x85\xa0"
@@ -163,7 +165,7 @@ class Transducer:
                 key = state << 8 | byte
                 found = arc(key)
                 if found is None:
-                    if key not in self.missed and len(piece) - i < 48:
+                    if key not in self.missed and len(piece) - i < PATIENCE:
                         self.missed.add(key)
                         return out + self.finish(state, piece[i:])
                     found = self.step(state, byte)
@@ -286,14 +288,6 @@ def share(spark, vocabulary: str, pattern: str) -> tuple[str, object]:
     return key, spark.sparkContext.broadcast((ranks, pattern))
 
 
-def give_back() -> None:
-    """Return freed memory to the system where the C library can."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False, keep: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with the ids themselves if asked for.
 

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes that separate words in the contracts `[^\x20\x09-\x0D]+`.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_scratch: list[str] = []
 #: Scratch folders not deleted yet.
@@ -123,11 +122,14 @@ def _sweep(spark: SparkSession) -> None:
             return
 
 
+def give_back() -> None:
+    """Return freed memory to the system where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def parts_for(rows: float, per_part: float, least: int = 8) -> int:
     """Partitions so that each holds about per_part rows, whatever the input's size."""
     return max(least, math.ceil(rows / per_part))
-
-
-def lower_ascii(col):
-    """Lower-case A-Z only; every other character stays."""
-    return F.translate(col, UPPER, LOWER)

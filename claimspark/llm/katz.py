@@ -33,6 +33,7 @@ gives an empty result. Extra columns, also those with clashing names, are not re
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import numpy as np
@@ -43,18 +44,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, discard, parts_for, short_batches, table
+from .common import bucketed, discard, give_back, parts_for, short_batches, table
 from .mail import LETTERS, Sheet, by_part, in_order, letters, pack_columns, read, sizes_of, unpack_columns
 from .toxicity import remainder
 
 K = 5
 ORDER = 3
-BLOCK_TOKENS = 1_500_000
-PART_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+PART_TOKENS = 1_500_000
 END = b"\n"
 #: The name of the text's start as a history; names of words and longer histories are below it.
 START_NAME = 1 << 62
-#: A longer history's name: its partition, then its place there.
+#: A history's name: its partition, then its place there, so that names in a message are close together.
 PLACE_BITS = 40
 #: Groups that sums over the corpus are gathered in.
 SUMS = 64
@@ -131,7 +132,9 @@ class Block:
         order = np.argsort(-np.bincount(tokens, minlength=len(coded.dictionary) + 1), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        hashes = np.fromiter(map(word_hash, [END, *coded.dictionary.to_pylist()]), np.uint64, len(order))[order]
+        words = coded.dictionary
+        ends, data = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].tolist(), memoryview(words.buffers()[2] or b"")
+        hashes = np.fromiter(itertools.chain([word_hash(END)], map(word_hash, (data[a:b] for a, b in itertools.pairwise(ends)))), np.uint64, len(order))[order]
         return Block([r[0] for r in rows], np.array([r[1] for r in rows], bool), lengths, rank[tokens], hashes)
 
     def dump(self) -> bytes:
@@ -183,21 +186,23 @@ class Block:
     def level(self, below: Level, k: int) -> Level:
         """The distinct entries with k words of history, one word longer than those of `below`."""
         n, tokens = len(self.number), self.tokens
-        h = np.concatenate([[0], below.gram[:-1]])
+        h = np.concatenate([[0], below.gram[:-1]]).astype(np.int64)
         h[self.starts] = n if k == 1 else -1
         there = None if k == 1 else np.flatnonzero(h >= 0)
         if there is not None:
             h, tokens = h[there], tokens[there]
         key, first, inverse = group(h * n + tokens, len(below.count) * n)
+        del h
         train = self.train if there is None else self.train[there]
         seen = np.bincount(inverse[train], minlength=len(key))
         if there is None:
             gram, short = inverse, tokens[first]
         else:
-            gram = np.full(len(self.tokens), -1, np.int64)
+            gram = np.full(len(self.tokens), -1, np.int32)
             gram[there] = inverse
             short = below.gram[there[first]]
-        return Level(gram, key // n, key % n, seen, short)
+        h = key // n
+        return Level(gram.astype(np.int32), h, key - h * n, seen, short)
 
     def request(self, level: Level, below: Level, model: Model) -> Request:
         asked = np.flatnonzero(~below.sole[level.h])
@@ -238,22 +243,21 @@ class Block:
         """The level with its corpus counts, probabilities and names."""
         r, width = self.request(level, below, model), len(below.count)
         count, sole, name, part = level.seen.copy(), below.sole[level.h].copy(), np.full(len(level.h), -1, np.int64), np.zeros(len(level.h), np.int64)
-        low, mass = np.zeros((K, width)), np.zeros((K + 1, width))
         # histories of this block alone are counted here
-        mine = sole & (level.seen > 0)
-        own = below_count(level, below, np.flatnonzero(mine))
-        for c in range(1, K + 1):
-            low[c - 1] = np.bincount(level.h[mine & (level.seen == c)], minlength=width)
-            mass[c - 1] = np.bincount(level.h[mine][own == c], minlength=width)
-        mass[K] = np.bincount(level.h[mine], weights=np.where(own > K, own, 0), minlength=width)
+        mine = np.flatnonzero(sole & (level.seen > 0))
+        h, own = level.h[mine], below_count(level, below, mine)
+        by = lambda c: np.bincount(h[c <= K] * K + c[c <= K] - 1, minlength=width * K).reshape(width, K).T.astype(np.float64)
+        low, mass = by(level.seen[mine]), np.concatenate([by(own), np.bincount(h, weights=np.where(own > K, own, 0), minlength=width)[None]])
         if answer is not None:
             (total, alone, place), sums = unpack_answer(answer)
             count[r.asked], sole[r.asked] = total, alone > 0
             part[r.asked], name[r.asked] = r.part, r.part << PLACE_BITS | np.maximum(place, 0)
-            for c in range(K):
-                low[c] += np.bincount(r.h, weights=sums[c], minlength=width)
-            for c in range(K + 1):
-                mass[c] += np.bincount(r.h, weights=sums[K + c], minlength=width)
+            one = np.flatnonzero(np.bincount(r.h, minlength=width)[r.h] == 1)
+            several = np.setdiff1d(np.arange(len(r.h)), one, assume_unique=True)  # of histories that are split over parts
+            for out, c in ((low, sums[:K]), (mass, sums[K:])):
+                for row, x in zip(out, c, strict=True):
+                    row[r.h[one]] += x[one]
+                    np.add.at(row, r.h[several], x[several])
         times = below.count
         c = np.arange(1, K + 1)
         few = c @ low
@@ -395,7 +399,7 @@ def summed(p: int, sums: np.ndarray) -> pa.RecordBatch:
 
 
 def answer_entries(t: pa.Table, last: bool) -> list[pa.RecordBatch]:
-    """Corpus counts, whether only one block has the entry, and its place; for each history the sums of
+    """Corpus counts and places (`places`: they also tell which entries only one block has); for each history the sums of
     its followers; [n_1 .. n_K+1] of the partition's entries for a sums group.
     """
     p = t.column("part")[0].as_py()
@@ -522,7 +526,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
                 for n, body, *answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     block = Block.load(body)
                     levels = block.levels(k - 1, answers, model)
-                    yield from block.ask(n, block.level(levels[-1], k), levels[-1], model)
+                    asked = block.ask(n, block.level(levels[-1], k), levels[-1], model)
+                    del block, levels
+                    give_back()
+                    yield from asked
 
         return ask
 
@@ -536,7 +543,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
 
     def evaluate_block(t: pa.Table) -> pa.Table:
         body, *answers = (t.column(k)[0].as_py() for k in range(1, t.num_columns))
-        return pa.table(evaluate(Block.load(body), full, answers, order), schema=RESULT)
+        out = pa.table(evaluate(Block.load(body), full, answers, order), schema=RESULT)
+        give_back()
+        return out
 
     scored = blocks.groupBy("block").applyInArrow(evaluate_block, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     kind = docs.select(F.col(doc_id)).schema[0].dataType
