@@ -2,8 +2,8 @@
 
 1. Each text becomes a fingerprint (Arrow batches; one number a document leaves the worker).
 2. Distinct fingerprints are dealt to the leaves of a vantage-point tree. The tree is fitted on a
-   bounded sample (SAMPLE fingerprints, at most SAMPLE / LEAST nodes, so its broadcast has a fixed
-   bound) and only decides where a fingerprint goes; every fingerprint has one home leaf. By the
+   sample that grows with the leaves (LEAST fingerprints each, MOST at most, so that the tree's broadcast
+   is bounded by a few MB) and only decides where a fingerprint goes; every fingerprint has one home leaf. By the
    triangle inequality two fingerprints within `radius` bits can lie on different sides of a split only
    if the inner one is within `radius` bits of the boundary: such fingerprints also visit the outer
    side as guests, so each linked pair meets in exactly the leaves that can hold it.
@@ -14,7 +14,8 @@
 
 Null texts are empty texts: fingerprint zero, linked like any other. Repeated rows and repeated or
 null ids keep their rows; a component's id is its smallest non-null doc_id (null if it has none). An
-empty table gives an empty result. Other input columns are not read.
+empty table gives an empty result. Other input columns, also those with clashing names, are not read;
+`one_of_each` and the stage keep them.
 """
 
 from __future__ import annotations
@@ -30,9 +31,13 @@ from .common import materialise, parts_for, short_batches, table
 RADIUS = 3
 SHINGLE = 3
 SAMPLE = 16_384
+#: Fingerprints sampled at most (2 MB on the driver); they make 65,536 leaves, enough for two billion distinct fingerprints.
+MOST = 262_144
 LEAST = 4
 LEAF = 32_000
 BLOCK = 512
+#: Ways that a component's rows are split where they meet its id.
+SALTS = 16
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -182,9 +187,9 @@ def leaf_links(home: np.ndarray, guest: np.ndarray, radius: int = RADIUS) -> tup
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between different fingerprints of distinct(fp), enough to span every component."""
     spark = distinct.sparkSession
-    n = distinct.count()
-    sample = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    nodes = fit_tree(np.array(sample, np.int64).view(np.uint64), min(parts_for(n, LEAF, 1), SAMPLE // LEAST), radius)
+    leaves = min(parts_for(distinct.count(), LEAF, 1), MOST // LEAST)
+    sample = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, LEAST * leaves)).collect()]
+    nodes = fit_tree(np.array(sample, np.int64).view(np.uint64), leaves, radius)
     tree = spark.sparkContext.broadcast(nodes)
 
     def deal(it):
@@ -233,32 +238,56 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct(fp, first) with root, the component of fingerprints that have a link, else null."""
+    return distinct.join(components(links(distinct, radius)).withColumnRenamed("node", "fp"), "fp", "left")
+
+
+def least_of_root(rows: DataFrame, first: str) -> DataFrame:
+    """rows(root, first, fp) with `least`: the smallest `first` of the root's rows, or the row's own without a root.
+
+    A component's rows are split SALTS ways where they meet their smallest value.
+    """
+    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(first).alias("least"))
+    spread = least.select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"], "left")
+    return met.withColumn("least", F.when(F.col("root").isNull(), F.col(first)).otherwise(F.col("least"))).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long, component_id) for every row of docs."""
     fps = materialise(fingerprints(docs, text, doc_id, width), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    label = components(links(distinct, radius)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(label, "fp", "left")
-    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    component = rooted.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    component = least_of_root(rooted(distinct, radius), "first").select("fp", F.col("least").alias("component_id"))
     return fps.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """One row of each component, all columns kept: that with the smallest doc_id, rows without one last.
+
+    Of rows with that id the one with the smallest hash of its text stays, of equal rows (id and text) any
+    one. Rows are told apart by id and two hashes of the text, so repeated and null ids don't matter.
+    """
+    columns = docs.columns
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    i, t = F.col(f"c{columns.index(doc_id)}"), F.coalesce(F.col(f"c{columns.index(text)}").cast("string"), F.lit(""))
+    who = F.struct(i.isNull().alias("no_id"), i.alias("id"), F.xxhash64(t).alias("a"), F.hash(t, F.length(t)).alias("b"))
+    keyed = named.withColumns({"who": who, "t": t})
+    fps = materialise(fingerprints(keyed, "t", "who", width).withColumnRenamed("doc_id", "who"), "fingerprints")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("who").alias("first")), "distinct")
+    winners = least_of_root(rooted(distinct, radius), "first").select(F.col("least").alias("w")).distinct()
+    # a null id is a key like any other
+    key = lambda x: [x["no_id"], F.coalesce(x["id"].cast("string"), F.lit("")), x["a"], x["b"]]
+    k = [f"k{n}" for n in range(4)]
+    kept = named.withColumns(dict(zip(k, key(who), strict=True))).join(winners.select(*[c.alias(n) for c, n in zip(key(F.col("w")), k, strict=True)]), k, "left_semi").dropDuplicates(k)
+    return kept.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(columns)])
+
+
 def op9_simhash_near_dedup(spark, sf_dir) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the row with the smallest doc_id stays; of equal rows (id and text), one.
-
-    Rows without a doc_id stay only if no row of their component has one, and then one of them.
-    """
-    columns = docs.columns
-    found = near_duplicates(docs)
-    keep = found.filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    null_only = found.filter("component_id IS NULL").limit(1).count()
-    kept = docs.join(keep.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    if null_only:
-        kept = kept.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
-    return kept.select(*columns)
+    """Pipeline stage: of each component one row stays (`one_of_each`): the smallest doc_id's."""
+    return one_of_each(docs)
