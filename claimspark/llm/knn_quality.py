@@ -6,8 +6,8 @@ frequency, each block of unit length, go through a truncated SVD of the labelled
 vectors of DIMENSIONS numbers. The labelled vectors are broadcast; every document's cosines with all of
 them are computed exactly, a block of documents at a time, and its K nearest vote by similarity.
 
-The labelled texts are at most ROWS training rows of each label (the bound is a parameter), chosen by a
-hash of the id; terms, projection and vectors thus have a fixed size. Scoring reads every whole text and
+The labelled texts are at most ROWS training rows of each label of at most CHARS characters each (the
+bounds are parameters, see `toxicity.training_rows`), one an id, chosen by a hash of the id; terms, projection and vectors thus have a fixed size. Scoring reads every whole text and
 nothing but the text.
 
 Null texts are empty texts; a text without any known term gets the vote of all labelled rows, as do all
@@ -109,7 +109,7 @@ class Latent:
         for at in range(0, len(texts), BLOCK):
             q = self.project(texts[at : at + BLOCK])
             cosine = np.round(q @ self.vectors.T, 9)
-            near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if cosine.shape[1] <= 4 * k else self._nearest(cosine, k)
+            near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if cosine.shape[1] <= k else self._nearest(cosine, k)
             w = np.maximum(np.take_along_axis(cosine, near, 1), 0.0) ** 2
             total = w.sum(1)
             voted = (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1.0)
@@ -120,10 +120,15 @@ class Latent:
     @staticmethod
     def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
         """The k largest of each row, equal values by position."""
-        near = np.argpartition(-cosine, 4 * k, axis=1)[:, : 4 * k]
+        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         near.sort(axis=1)
-        order = np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(near, order, 1)
+        least = np.take_along_axis(cosine, near, 1).min(1, keepdims=True)
+        tied = (cosine >= least).sum(1) > k  # the cut goes through equal values
+        order = np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable")
+        near = np.take_along_axis(near, order, 1)
+        if tied.any():
+            near[tied] = np.argsort(-cosine[tied], axis=1, kind="stable")[:, :k]
+        return near
 
     def dump(self) -> str:
         buffer = io.BytesIO()

@@ -3,11 +3,12 @@
 Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full-width) to Latin letters, drops invisible
 characters and undoes digit and symbol substitutions inside words. The lexicon is learned from labelled
 rows: words and word beginnings that mark toxic texts, each weighted by its log odds. Matches inside an
-exception phrase don't count. The logarithm of one plus the sum of weights, divided by a power of the text's length, goes through
+exception phrase don't count: a fixed list, and the pairs of neighbouring words around an entry's match
+that clean training rows have at least twice and toxic ones never. The logarithm of one plus the sum of weights, divided by a power of the text's length, goes through
 a logistic function; the power, slope and offset are fitted with the lexicon.
 
-Learning uses at most ROWS labelled training rows of each label (the bound is a parameter), chosen by a
-hash of the id, in one task; its result, at most ENTRIES entries, is broadcast. Scoring reads every
+Learning uses at most ROWS labelled training rows of each label, of at most CHARS characters each (the
+bounds are parameters), one an id, chosen by a hash of the id, in one task; its result, at most ENTRIES entries, is broadcast. Scoring reads every
 whole text and nothing but the text.
 
 Null texts are empty texts. Without labelled rows of both kinds every score is 0. Repeated rows and ids
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import short_batches, table
 
 ROWS = 6000
+#: Characters of a text that is learned from, at most.
+CHARS = 20_000
 ENTRIES = 2000
 PREFIXES = (4, 5, 6)
 #: Toxic training rows that an entry needs, however many there are; chance is left to the log odds.
@@ -171,7 +174,24 @@ def learn(rows: list[tuple[str, int]], entries: int = ENTRIES) -> Lexicon:
             break
         if t not in chosen and t[-1] == " " and not t.startswith(beginnings):
             chosen[t] = odds[t]
-    return fit(Lexicon(chosen, EXCEPTIONS), folded)
+    return fit(Lexicon(chosen, (*EXCEPTIONS, *exceptions(chosen, folded))), folded)
+
+
+def exceptions(chosen: dict[str, float], folded: list[tuple[str, int]], most: int = ENTRIES) -> list[str]:
+    """Two-word phrases around a match that clean rows have, at least twice, and toxic rows never."""
+    plain, seen = Lexicon(chosen, ()), (Counter(), Counter())
+    if not chosen:
+        return []
+    for f, y in folded:
+        for start in {end - size + 1 for end, (size, _) in plain.automaton.iter(f)}:
+            before, stop = f.rfind(" ", 0, start), f.find(" ", start + 1)
+            after = f.find(" ", stop + 1)
+            if before >= 0:
+                seen[y][f[before + 1 : stop]] += 1
+            if after >= 0:
+                seen[y][f[start + 1 : after]] += 1
+    found = [p for p, n in seen[0].items() if n >= 2 and p not in seen[1]]
+    return sorted(found, key=lambda p: (-seen[0][p], p))[:most]
 
 
 def fit(lexicon: Lexicon, folded: list[tuple[str, int]]) -> Lexicon:
@@ -204,18 +224,21 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, chars: int = CHARS) -> DataFrame:
     """(text, y): at most `rows` labelled rows of each label outside the held-out fold, by a hash of the id.
 
     Ids are chosen from the labels alone; at most 2 * rows of them meet the documents, so their side of
-    the join has a fixed size.
+    the join has a fixed size. Of several documents with one id the least text counts; texts of more than
+    `chars` characters are not learned from, so that what reaches the learner has a bound in bytes too.
     """
-    usable = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).filter(f"y IN (0, 1) AND __id IS NOT NULL").filter(remainder(F.col("__id"), folds) != held)
+    usable = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1) AND __id IS NOT NULL").filter(remainder(F.col("__id"), folds) != held)
     chosen = None
     for y in (0, 1):
         part = usable.filter(F.col("y") == y).distinct().orderBy(F.xxhash64("__id"), "__id").limit(rows)
         chosen = part if chosen is None else chosen.unionAll(part)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "y")
+    texts = docs.select(F.col("doc_id").alias("__doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= chars)
+    met = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    return met.groupBy("__id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def train(rows: DataFrame, learner) -> str:
