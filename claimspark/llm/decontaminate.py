@@ -2,33 +2,40 @@
 
 The items' normalised words become integers; one suffix automaton over all items answers, for every
 position of a streamed text, the longest item substring that ends there. A match of `window` words
-(or a whole item that is shorter) marks its words as hit. The automaton holds at most MAX_TOKENS item
-words; a larger benchmark is cut into several automata and the texts pass each in turn, so what is
-broadcast has a fixed bound.
+(or a whole item that is shorter) marks its words as hit. An automaton holds at most MAX_TOKENS item
+words (or as many bytes times WORD_BYTES; a longer item is cut into pieces that share window - 1 words)
+and is broadcast as sorted arrays, about 100 bytes a word. A larger benchmark is cut into several
+automata; the texts pass TOGETHER of them at a time, so what a worker holds has a fixed bound.
 
 Streaming is skipped where no match can be: words outside the items' vocabulary, and word pairs that
 no item has, break every match, and only runs long enough for the shortest window are walked.
 
 Null texts have no words. Items without words have no windows; items with a null id mark words but are
 not named. Repeated rows and ids are judged row by row. Empty documents or an empty benchmark give
-rows without hits. All input columns stay; result columns of the same name replace them.
+rows without hits, an empty table an empty result; texts of any length are scanned whole. Input columns
+that are carried along stay, but for those whose names the results take; `decontaminate` and the stage
+keep every input column, whatever its name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from bisect import bisect_left
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialise, short_batches, table
 
 WINDOW = 13
-MAX_TOKENS = 2_000_000
+MAX_TOKENS = 500_000
+WORD_BYTES = 16
+TOGETHER = 4
 #: Bytes to words: A-Z lower-cased, everything but 0-9, a-z and bytes from 0x80 on becomes a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -117,13 +124,56 @@ class SuffixAutomaton:
         v = len(self.vocabulary) + 1
         self.pairs = np.unique(np.array([a * v + b for x in self.items for a, b in zip(x, x[1:], strict=False)], np.int64))
 
+    def arrays(self, ids: list[str | None]) -> dict:
+        """What scanning needs, as arrays: moves (state * words + word, sorted) and where they lead, links,
+        lengths, pairs, and for each state the items of its windows and the whole short items."""
+        v = len(self.vocabulary) + 1
+        moves = sorted((s * v + c, to) for s, out in enumerate(self.next) for c, to in out.items())
+        named = lambda sets: (np.cumsum([0, *map(len, sets)]).astype(np.int64), np.array([x for s in sets for x in sorted(s)], np.int64))
+        short = [[x for pair in s for x in pair] for s in self.short]
+        return {
+            "words": b" ".join(self.vocabulary),
+            "keys": np.array([k for k, _ in moves], np.int64),
+            "to": np.array([t for _, t in moves], np.int32),
+            "link": np.array(self.link, np.int32),
+            "length": np.array(self.length, np.int32),
+            "ends": named(self.ends),
+            "short": (np.cumsum([0, *map(len, short)]).astype(np.int64), np.array([x for s in short for x in s], np.int64)),
+            "pairs": self.pairs,
+            "least": self.least,
+            "window": self.window,
+            "ids": ids,
+        }
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
+        """Scan one text; for many, keep a Scanner."""
+        return Scanner(self.arrays([None] * len(self.items))).scan(words)
+
+
+class Scanner:
+    """A suffix automaton in arrays: streams texts, state by state."""
+
+    def __init__(self, found: dict):
+        self.vocabulary = {w: i for i, w in enumerate(found["words"].split())}
+        self.v = len(self.vocabulary) + 1
+        as_array = lambda kind, x: array(kind, x.tobytes())
+        self.keys, self.to = as_array("q", found["keys"]), as_array("i", found["to"])
+        self.link, self.length = as_array("i", found["link"]), as_array("i", found["length"])
+        self.ends, self.short = found["ends"], tuple(as_array("q", x) for x in found["short"])
+        self.pairs, self.least, self.window, self.ids = found["pairs"], found["least"], found["window"], found["ids"]
+
+    def move(self, state: int, c: int) -> int:
+        """The state after word c, -1 if there is none."""
+        key = state * self.v + c
+        at = bisect_left(self.keys, key)
+        return self.to[at] if at < len(self.keys) and self.keys[at] == key else -1
+
     def runs(self, codes: np.ndarray):
         """(start, end) of the stretches that can hold a match of the shortest window."""
         if self.least == 1:
             ok = codes >= 0
         else:
-            v = len(self.vocabulary) + 1
-            key = codes[:-1] * v + codes[1:]
+            key = codes[:-1] * self.v + codes[1:]
             at = np.searchsorted(self.pairs, key)
             ok = (codes[:-1] >= 0) & (codes[1:] >= 0) & (self.pairs[np.minimum(at, len(self.pairs) - 1)] == key) if len(self.pairs) else np.zeros(len(key), bool)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]])))
@@ -140,100 +190,123 @@ class SuffixAutomaton:
             return hit[:n] > 0, found
         codes = np.fromiter(map(self.vocabulary.get, words, [-1] * n), np.int64, n)
         seen: set[int] = set()
+        link, lengths, (first, short) = self.link, self.length, self.short
         for start, end in self.runs(codes):
             state = length = 0
             for j, c in enumerate(codes[start:end].tolist(), start):
-                while state and c not in self.next[state]:
-                    state = self.link[state]
-                    length = self.length[state]
-                if c in self.next[state]:
-                    state = self.next[state][c]
+                to = self.move(state, c)
+                while to < 0 and state:
+                    state = link[state]
+                    length = lengths[state]
+                    to = self.move(state, c)
+                if to >= 0:
+                    state = to
                     length += 1
                 if length >= self.window:
                     hit[j - self.window + 1] += 1
                     hit[j + 1] -= 1
                     at = state
-                    while self.length[self.link[at]] >= self.window:
-                        at = self.link[at]
+                    while lengths[link[at]] >= self.window:
+                        at = link[at]
                     seen.add(at)
-                for size, item in self.short[state]:
-                    if size <= length:
-                        hit[j - size + 1] += 1
+                for k in range(first[state], first[state + 1], 2):
+                    if short[k] <= length:
+                        hit[j - short[k] + 1] += 1
                         hit[j + 1] -= 1
-                        found.add(item)
+                        found.add(short[k + 1])
+        of, ends = self.ends
         for s in seen:
-            found |= self.ends[s]
+            found.update(ends[of[s] : of[s + 1]].tolist())
         return np.cumsum(hit[:n]) > 0, found
 
 
 def automata(items: DataFrame, item_id: str, text: str, window: int):
-    """Yield (group, is it the last): the items in groups of at most MAX_TOKENS words (or one longer item).
+    """Yield the arrays of automata that hold at most MAX_TOKENS words each; an empty one if there are no words.
 
     Rows are fetched one partition at a time, so the driver holds a group and not the benchmark.
     """
-    held, size = [], 0
-    for r in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        n = len(words_of(r.t))
-        if held and size + n > MAX_TOKENS:
-            yield held, False
-            held, size = [], 0
-        if n:
-            held.append((r.i, r.t))
-            size += n
-    yield held, True
+
+    def built(held):
+        out = SuffixAutomaton(window)
+        for _, words in held:
+            out.add(words)
+        out.finish()
+        return out.arrays([i for i, _ in held])
+
+    held, size, any_ = [], 0, False
+    for r in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).toLocalIterator():
+        words = words_of(r.t)
+        for at in range(0, max(1, len(words) - window + 1) if words else 0, MAX_TOKENS):
+            piece = words[at : at + MAX_TOKENS + window - 1]
+            weight = max(len(piece), sum(map(len, piece)) // WORD_BYTES)
+            if held and size + weight > MAX_TOKENS:
+                yield built(held)
+                held, size, any_ = [], 0, True
+            held.append((r.i, piece))
+            size += weight
+    if held or not any_:
+        yield built(held)
 
 
 _compiled: dict = {}
 
 
-def compiled(shared) -> tuple[SuffixAutomaton, list]:
-    """The automaton of a broadcast group, built once a Python worker."""
+def compiled(shared) -> list[Scanner]:
+    """The scanners of a broadcast, built once a Python worker."""
     key = shared.value[0]
     if key not in _compiled:
         _compiled.clear()
-        found = SuffixAutomaton(shared.value[1])
-        for _, text in shared.value[2]:
-            found.add(words_of(text))
-        found.finish()
-        _compiled[key] = found, [i for i, _ in shared.value[2]]
+        _compiled[key] = [Scanner(x) for x in shared.value[1]]
     return _compiled[key]
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-
-
-def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with n_words, hits (runs [start, end) of hit words) and item_ids."""
+def raw_hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, carry: tuple[str, ...]) -> DataFrame:
+    """c0, c1, ... (the carried columns), n_words, hits and ids (JSON)."""
     spark = docs.sparkSession
     short_batches(spark)
-    names = [f"c{k}" for k in range(len(carry))]
-    out = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col(text).cast("string").alias("t"))
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], F.col(f"`{text}`").cast("string").alias("t"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit("[]"), "ids": F.lit("[]")})
-    for group, last in automata(items, item_id, item_text, window):
-        key = hashlib.sha256(json.dumps([window, group]).encode()).hexdigest()
-        shared = spark.sparkContext.broadcast((key, window, group))
+    passes = batched(automata(items, item_id, item_text, window), TOGETHER)
+    groups = next(passes)
+    while groups:
+        key = hashlib.sha256(b"".join(x["keys"].tobytes() + x["words"] + repr(x["ids"]).encode() for x in groups)).hexdigest()
+        shared = spark.sparkContext.broadcast((key, groups))
 
         def scan(it, shared=shared):
-            automaton, ids = compiled(shared)
+            scanners = compiled(shared)
             for b in it:
                 n = b.num_columns
                 rows = []
                 for t, hits, found in zip(*(b.column(i).to_pylist() for i in (n - 4, n - 2, n - 1)), strict=True):
-                    words = words_of(t)
-                    hit, items = automaton.scan(words)
+                    words, names = words_of(t), set(json.loads(found))
+                    hit = np.zeros(len(words), bool)
                     for s, e in json.loads(hits):
                         hit[s:e] = True
+                    for scanner in scanners:
+                        more, items = scanner.scan(words)
+                        hit |= more
+                        names.update(scanner.ids[i] for i in items if scanner.ids[i] is not None)
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    names = {*json.loads(found), *(ids[i] for i in items if ids[i] is not None)}
                     rows.append((len(words), json.dumps(edge.reshape(-1, 2).tolist()), json.dumps(sorted(names))))
                 added = list(zip(*rows, strict=True)) if rows else [(), (), ()]
                 yield pa.RecordBatch.from_arrays([*b.columns[: n - 3], pa.array(added[0], pa.int64()), pa.array(added[1], pa.string()), pa.array(added[2], pa.string())], names=b.schema.names)
 
         out = out.mapInArrow(scan, f"{kinds}, n_words long, hits string, ids string")
-        if not last:
+        groups = next(passes, None)
+        if groups:
             out = materialise(out, "hits")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("n_words"), F.from_json("hits", "array<array<long>>").alias("hits"), F.from_json("ids", "array<string>").alias("item_ids"))
+    return out.drop("t").withColumns({"hits": F.from_json("hits", "array<array<long>>"), "ids": F.from_json("ids", "array<string>")})
+
+
+RESULTS = ("n_words", "hits", "item_ids", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns (but for RESULTS) with n_words, hits (runs [start, end) of hit words) and item_ids."""
+    carry = tuple(c for c in carry if c not in RESULTS)
+    out = raw_hits(docs, items, text, item_id, item_text, window, carry)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], "n_words", "hits", F.col("ids").alias("item_ids"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
@@ -268,23 +341,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", coverag
     below the coverage limit stay as they are; a text with fewer than min_words words left goes.
     """
     columns = docs.columns
-    found = find_hits(docs, items, text=text, carry=tuple(columns), **more)
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
-    flagged = found.withColumn("__over", (n_hit > 0) & (n_hit >= F.lit(coverage) * F.col("n_words")))
+    named = {"item_id": "item_id", "item_text": "text", "window": WINDOW} | more
+    found = raw_hits(docs, items, text, named["item_id"], named["item_text"], named["window"], tuple(columns))
     kinds = ", ".join(f"`c{k}` {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
     at = columns.index(text)
 
     def cut(it):
         for b in it:
-            texts = b.column(at).to_pylist()
-            runs, over = b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist()
+            texts, n_words, runs = b.column(at).to_pylist(), *(b.column(len(columns) + k).to_pylist() for k in (0, 1))
+            n_hit = [sum(e - s for s, e in r) for r in runs]
+            over = [h > 0 and h >= coverage * n for h, n in zip(n_hit, n_words, strict=True)]
             new = [cut_words(t, r) if o else t for t, r, o in zip(texts, runs, over, strict=True)]
             keep = pa.array([not o or len(words_of(t)) >= min_words for t, o in zip(new, over, strict=True)], pa.bool_())
             cols = list(b.columns[: len(columns)])
             cols[at] = pa.array(new, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{k}" for k in range(len(columns))]).filter(keep)
 
-    out = flagged.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], "hits", "__over").mapInArrow(cut, kinds)
+    out = found.drop("ids").mapInArrow(cut, kinds)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
 
 
