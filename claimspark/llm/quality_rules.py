@@ -1,25 +1,26 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A bounded sample of documents gives each rule's cost (estimated from timed projections of its input
-statistic) and its selectivity (the share of documents that it rejects). Rules then run in the order
-of rejection per cost: a CASE expression evaluates them one by one and stops at the first rejection.
-The order changes the cost and the reported `rejected_by`, never the verdict.
+A bounded sample of documents gives each rule's cost (the mean number of elementary steps that its
+statistic takes, by the rule's own formula) and its selectivity (the share of documents that it rejects).
+Rules then run in the order of rejection per cost: a text's words are split once, and a CASE expression
+computes one rule's statistic after the other and stops at the first rejection. The order changes the
+cost and the reported `rejected_by`, never the verdict; equal tables give equal orders.
 
 Nulls: a null text has no words and is rejected by the word-count rule. Empty texts likewise. Repeated
-rows and null ids are judged row by row. An empty table gives an empty result. Input columns other
-than the text stay untouched; the statistics come under the names in STATS and replace input columns
-of these names.
+rows and null ids are judged row by row, texts of any length whole. An empty table gives an empty result.
+Input columns other than the text stay untouched; the statistics come under the names in STATS and replace
+input columns of these names. The stage adds no columns, so that it keeps all of them.
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, table
+from .common import ASCII_SPACE, WORD, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -66,83 +67,134 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lines_of(raw: Column) -> Column:
+    """The lines that have a word."""
+    return F.filter(F.split(raw, "\n"), lambda x: x.rlike(WORD))
+
+
+def n_symbols(raw: Column) -> Column:
+    return (F.length(raw) - F.length(F.translate(raw, SYMBOLS, ""))).cast("long")
+
+
+def n_dup_lines(lines: Column) -> Column:
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the columns of STATS (all long)."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    blank = ASCII_SPACE + "+"
-    lines = F.filter(F.split(raw, "\n"), lambda x: F.length(F.regexp_replace(x, blank, "")) > 0)
-    return docs.withColumns(
-        {
-            "n_words": F.size(words_of(F.col(text))).cast("long"),
-            "word_chars": F.length(F.regexp_replace(raw, blank, "")).cast("long"),
-            "n_symbols": (F.length(raw) - F.length(F.translate(raw, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size(lines).cast("long"),
-            "n_dup_lines": bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": bind(words_of(F.col(text)), repeat_words),
-        }
-    )
+    raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    lines = bind(lines_of(raw), lambda x: F.struct(F.size(x).cast("long").alias("n"), n_dup_lines(x).alias("dup")))
+    words = bind(words_of(raw), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeat")))
+    added = {
+        "n_words": words["n"],
+        "word_chars": F.length(F.regexp_replace(raw, ASCII_SPACE + "+", "")).cast("long"),
+        "n_symbols": n_symbols(raw),
+        "n_lines": lines["n"],
+        "n_dup_lines": lines["dup"],
+        "n_repeat_words": words["repeat"],
+    }
+    return docs.withColumns(added)
+
+
+#: One statistic of a text from the text and its words, for rules that run one after the other.
+STATISTIC = {
+    "n_words": lambda raw, words: F.size(words).cast("long"),
+    "word_chars": lambda raw, words: F.length(F.regexp_replace(raw, ASCII_SPACE + "+", "")).cast("long"),
+    "n_symbols": lambda raw, words: n_symbols(raw),
+    "n_dup_lines": lambda raw, words: bind(lines_of(raw), n_dup_lines),
+    "n_lines": lambda raw, words: F.size(lines_of(raw)).cast("long"),
+    "n_repeat_words": lambda raw, words: repeat_words(words),
+}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected where `rejects` holds; `reads` is the statistic that it costs."""
+    """A document is rejected where `rejects` holds over the statistics that the rule reads; these take
+    `cost` elementary steps (an SQL expression over n_chars and n_words)."""
 
     name: str
-    reads: str
-    rejects: str
+    reads: tuple[str, ...]
+    rejects: Callable[..., Column]
+    cost: str
+
+    def fails(self, row: Callable[[str], Column]) -> Column:
+        return self.rejects(*map(row, self.reads))
 
 
 #: The contract's base rules and the method's own: mean word length, symbol and duplicate-line shares.
+#: Steps: one for each character that is looked at, and four for each hash or comparison of a word.
 RULES = (
-    Rule("few_words", "n_words", "n_words < 10"),
-    Rule("repeated_windows", "n_repeat_words", "100 * n_repeat_words > 20 * n_words"),
-    Rule("symbols", "n_symbols", "4 * n_symbols > n_words"),
-    Rule("word_length", "word_chars", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
-    Rule("duplicate_lines", "n_dup_lines", "n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines"),
+    Rule("few_words", ("n_words",), lambda n: n < 10, "1"),
+    Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda repeated, n: 100 * repeated > 20 * n, "24 * n_words"),
+    Rule("symbols", ("n_symbols", "n_words"), lambda symbols, n: 4 * symbols > n, "n_chars"),
+    Rule("word_length", ("word_chars", "n_words"), lambda chars, n: (chars < 2 * n) | (chars > 20 * n), "2 * n_chars"),
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda dup, lines: (dup >= 3) & (2 * dup > lines), "3 * n_chars"),
 )
 BASE = ("few_words", "repeated_windows")
+#: Documents that set the order, at most, and how long each may be; the bounds change the order alone.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 50_000
 
 
-def plan_cascade(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> list[tuple[Rule, float, float]]:
-    """(rule, cost in seconds, rejected share), best rejection per cost first.
+def plan_cascade(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[Rule, float, float]]:
+    """(rule, cost in steps, rejected share), best rejection per cost first.
 
-    At most sample_rows rows (a documented bound; it only sets an order) are taken from the first
-    files and held; each statistic is timed by one pass over them. Ties and equal costs fall back to
-    the rule's name, so that the order is defined.
+    At most sample_rows rows of at most sample_chars characters are taken from the first partitions that
+    have them (collect with a limit reads no more), so that the sample neither scans the table nor moves
+    more than their bytes. Equal ratios fall back to the cost and the rule's name, so that the order is
+    defined.
     """
-    held = docs.select(F.col(text).alias("text")).limit(sample_rows).persist()
-    try:
-        n = held.count()
-        if not n:
-            return [(r, 0.0, 0.0) for r in rules]
-        stats = statistics(held)
-        share = stats.select(*[F.avg(F.expr(r.rejects).cast("double")).alias(r.name) for r in rules]).first()
-        cost = {}
-        for column in dict.fromkeys(r.reads for r in rules):
-            began = time.perf_counter()
-            stats.agg(F.sum(column)).collect()
-            cost[column] = time.perf_counter() - began
-        found = [(r, max(cost[r.reads], 1e-4), float(share[r.name] or 0.0)) for r in rules]
-        return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
-    finally:
-        held.unpersist()
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    held = docs.select(raw.alias("text")).filter(F.length("text") <= sample_chars).limit(sample_rows).collect()
+    if not held:
+        return [(r, 0.0, 0.0) for r in rules]
+    stats = statistics(docs.sparkSession.createDataFrame(held, "text string")).withColumn("n_chars", F.length("text"))
+    found = stats.agg(*[F.avg(r.fails(F.col).cast("double")).alias(f"share_{r.name}") for r in rules], *[F.avg(F.expr(r.cost)).alias(f"cost_{r.name}") for r in rules]).first()
+    each = [(r, max(float(found[f"cost_{r.name}"] or 0), 1.0), float(found[f"share_{r.name}"] or 0.0)) for r in rules]
+    return sorted(each, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
+
+
+def cascade(text: Column, order: list[Rule]) -> Column:
+    """The first rule of the order that rejects the text, else null; later statistics are not computed."""
+    raw = F.coalesce(text.cast("string"), F.lit(""))
+
+    def judged(words: Column) -> Column:
+        verdict = F.lit(None).cast("string")
+        for rule in reversed(order):
+            row = F.struct(*[STATISTIC[name](raw, words).alias(name) for name in rule.reads])
+            verdict = F.when(bind(row, failing(rule)), F.lit(rule.name)).otherwise(verdict)
+        return verdict
+
+    def failing(rule: Rule):
+        return lambda row: rule.fails(row.getField)
+
+    return bind(words_of(raw), judged)
 
 
 def apply_rules(docs: DataFrame, rules=RULES, text: str = "text", order: list[Rule] | None = None) -> DataFrame:
-    """Add STATS, `rejected_by` (the first rule of the cascade that rejects, else null), base_failed and kept."""
+    """Add STATS, `rejected_by` (the first rule of the cascade that rejects, else null), base_failed and kept.
+
+    All statistics are asked for here, so each is computed once and the cascade goes over their values;
+    `passing` computes only what the cascade reaches.
+    """
     order = order if order is not None else [r for r, _, _ in plan_cascade(docs, rules, text)]
     out = statistics(docs, text)
     verdict = F.lit(None).cast("string")
     for rule in reversed(order):
-        verdict = F.when(F.expr(rule.rejects), F.lit(rule.name)).otherwise(verdict)
+        verdict = F.when(rule.fails(F.col), F.lit(rule.name)).otherwise(verdict)
     by_name = {r.name: r for r in rules}
     base = F.lit(False)
     for name in BASE:
         if name in by_name:
-            base = base | F.expr(by_name[name].rejects)
+            base = base | by_name[name].fails(F.col)
     return out.withColumns({"rejected_by": verdict, "base_failed": base}).withColumn("kept", F.col("rejected_by").isNull())
 
 
+def passing(docs: DataFrame, rules=RULES, text: str = "text", order: list[Rule] | None = None) -> DataFrame:
+    """The rows that no rule rejects, all columns as they were."""
+    order = order if order is not None else [r for r, _, _ in plan_cascade(docs, rules, text)]
+    return docs.filter(cascade(F.col(f"`{text}`"), order).isNull())
+
+
 def op10_quality_rules(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs).select("doc_id", *STATS, "base_failed", "kept")
@@ -150,8 +202,7 @@ def op10_quality_rules(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the cascade rejects go."""
-    columns = docs.columns
-    return apply_rules(docs).filter("kept").select(*columns)
+    return passing(docs)
 
 
 ORACLE_OP10 = r"""
