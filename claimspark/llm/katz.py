@@ -51,7 +51,7 @@ from .toxicity import remainder
 K = 5
 ORDER = 3
 BLOCK_TOKENS = 1_000_000
-PART_TOKENS = 1_500_000
+PART_TOKENS = 3_000_000
 END = b"\n"
 #: The name of the text's start as a history; names of words and longer histories are below it.
 START_NAME = 1 << 62
@@ -176,10 +176,10 @@ class Block:
         """Level 0: the words, and after them the text's start, which is only ever a history."""
         n = len(self.number)
         top = lambda a, x: np.concatenate([a, [x]])
-        home = (mixed(self.number) % np.uint64(model.parts)).astype(np.int64)
+        home = self.number % model.parts  # the part that gave the number, by the word's hash
         out = Level(self.tokens, None, None, None, None)
         out.count, out.p = top(self.count, model.texts), top(model.unigram(self.count), 1.0)
-        out.name, out.part = top(self.number, START_NAME), top(home, int(mixed(np.array([START_NAME]))[0] % np.uint64(model.parts)))
+        out.name, out.part = top(home << PLACE_BITS | self.number // model.parts, START_NAME), top(home, int(mixed(np.array([START_NAME]))[0] % np.uint64(model.parts)))
         out.sole, out.whole = np.zeros(n + 1, bool), None
         return out
 
@@ -249,9 +249,11 @@ class Block:
         by = lambda c: np.bincount(h[c <= K] * K + c[c <= K] - 1, minlength=width * K).reshape(width, K).T.astype(np.float64)
         low, mass = by(level.seen[mine]), np.concatenate([by(own), np.bincount(h, weights=np.where(own > K, own, 0), minlength=width)[None]])
         if answer is not None:
-            (total, alone, place), sums = unpack_answer(answer)
-            count[r.asked], sole[r.asked] = total, alone > 0
-            part[r.asked], name[r.asked] = r.part, r.part << PLACE_BITS | np.maximum(place, 0)
+            (total, place), sums = unpack_answer(answer)
+            begins = np.ones(len(place), bool)  # of a partition's places
+            begins[1:] = r.part[1:] != r.part[:-1]
+            count[r.asked], sole[r.asked] = total, place == np.where(begins, 0, np.concatenate([[0], place[:-1]]))
+            part[r.asked], name[r.asked] = r.part, r.part << PLACE_BITS | place
             one = np.flatnonzero(np.bincount(r.h, minlength=width)[r.h] == 1)
             several = np.setdiff1d(np.arange(len(r.h)), one, assume_unique=True)  # of histories that are split over parts
             for out, c in ((low, sums[:K]), (mass, sums[K:])):
@@ -284,7 +286,7 @@ class Block:
 
 #: Columns that rise: of entries (number, lower count, training count) and histories (name, entries); of the answers.
 ENTRIES, HISTORIES = (False, False, False), (True, False)
-COUNTED, SUMMED = (False, False, True), (False,) * (2 * K + 1)
+COUNTED, SUMMED = (False, True), (False,) * (2 * K + 1)
 
 
 class Request:
@@ -398,6 +400,12 @@ def summed(p: int, sums: np.ndarray) -> pa.RecordBatch:
     return letters(-1 - p % SUMS, p, Sheet([sums], np.array([len(sums)])), (False,))
 
 
+def places(alone: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places counted from 1, rising in each message; an entry of one block alone repeats the place before it."""
+    message = np.repeat(np.arange(len(sizes)), sizes) << (PLACE_BITS + 1)
+    return np.maximum.accumulate(message + np.where(alone, 0, place + 1)) - message if len(message) else message
+
+
 def answer_entries(t: pa.Table, last: bool) -> list[pa.RecordBatch]:
     """Corpus counts and places (`places`: they also tell which entries only one block has); for each history the sums of
     its followers; [n_1 .. n_K+1] of the partition's entries for a sums group.
@@ -425,7 +433,7 @@ def answer_entries(t: pa.Table, last: bool) -> list[pa.RecordBatch]:
     sums = [count(total == r) for r in range(1, K + 1)] + [count(known & (lower == r)) for r in range(1, K + 1)]
     many = known & (lower > K)
     sums.append(count(many, weights=lower[many]).astype(np.int64))
-    answer = [total[back], alone[back].astype(np.int64), (np.zeros(len(back), np.int64) if last else place[back])]
+    answer = [total[back], np.zeros(len(back), np.int64) if last else places(alone[back], place[back], entries.sizes)]
     found = np.array([(total == r).sum() for r in range(1, K + 2)], np.int64)
     return [letters(blocks, p, Sheet(answer, entries.sizes), COUNTED, Sheet([s[own] for s in sums], histories.sizes), SUMMED), summed(p, found)]
 
