@@ -53,6 +53,46 @@ def longest_of_component(rows: DataFrame, group: list[str], component: str, leng
     return rows.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
 
 
+def search_with_fallback(results: DataFrame, claim: str, restricted: str, attempt: str, enough: int) -> DataFrame:
+    """Restricted results of the tries 0, 1, ... before the first empty one; claims that have fewer than `enough`
+    of them, none included, also get the unrestricted results. Counts are per (claim, try), aggregated before
+    the shuffle; a claim without restricted results has an empty try 0."""
+    named = results.withColumn("__try", F.when(F.col(restricted), F.col(attempt)))
+    tries = named.groupBy(claim).agg(F.collect_set("__try").alias("__seen"))  # as many values as tries
+    stop = F.aggregate(F.array_sort("__seen"), F.lit(0), lambda at, t: F.when(t == at, at + 1).otherwise(at))
+    kept = results.join(tries.select(claim, stop.alias("__stop")), claim).filter(F.col(restricted) & (F.col(attempt) < F.col("__stop"))).select(*results.columns)
+    enough_hits = kept.groupBy(claim).agg(F.count("*").alias("__n")).filter(F.col("__n") >= enough).select(claim)
+    return kept.unionByName(results.filter(~F.col(restricted)).join(enough_hits, claim, "left_anti").select(*results.columns))
+
+
+def position_range(items: DataFrame, position: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Items at positions start .. stop - 1."""
+    kept = items.filter(F.col(position) >= start)
+    return kept if stop is None else kept.filter(F.col(position) < stop)
+
+
+def success_failure(pages: DataFrame, claim: str, error: str, position: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pages without an error, the first `most` of a claim by position; pages with one)."""
+    return first_n(pages.filter(F.col(error).isNull()), [claim], [position], most), pages.filter(F.col(error).isNotNull())
+
+
+def with_provenance(chunks: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Chunks with the struct `info` of what their page was found by; null where nothing is known."""
+    return chunks.join(found.select(key, "info"), key, "left")
+
+
+def merge_by_position(left: DataFrame, right: DataFrame, position: str, same: list[str], take: str) -> DataFrame:
+    """Rows at one position of both lists: same_<column> for each checked column, and right's `take` where all agree."""
+    renamed = right.select(F.col(position), *[F.col(c).alias(f"__{c}") for c in same], take)
+    both = left.join(renamed, position)
+    checks = {f"same_{c}": F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same}
+    out = both.withColumns(checks)
+    agree = F.lit(True)
+    for c in checks:
+        agree = agree & F.col(c)
+    return out.withColumn(take, F.when(agree, F.col(take))).drop(*[f"__{c}" for c in same])
+
+
 def unfinished(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Items whose key the checkpoint lacks."""
     return items.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -10,7 +10,8 @@ from .bindings import SCORES_SQL, overlap_scores
 from .registry import query
 
 KEYS = ["conv_id", "sent_idx"]
-MASKS = 32
+#: Random ablations an instance; the surrogate is fitted on fewer.
+MASKS, SURROGATE_MASKS = 128, 32
 #: Deterministic masks: mask m keeps source j unless a hash of both is odd. The full mask is number 0.
 KEEP = "(mask_id = 0 OR ((mask_id * 2654435761 + source_idx * 40503 + mask_id * source_idx * 97) div 64) % 2 = 0)"
 KEEP_SQL = KEEP.replace(" div ", " // ")
@@ -21,14 +22,21 @@ ms AS (SELECT conv_id, sent_idx, mask_id, sum(CASE WHEN keep THEN score ELSE 0 E
 lp AS (SELECT *, -ln(1 + exp(-(2 * f_hat - sq - 1))) AS lp FROM ms)"""
 
 
-def ablations(spark, d):
-    masks = F.explode(F.sequence(F.lit(0), F.lit(MASKS))).alias("mask_id")
-    return overlap_scores(spark, d).select("*", masks).withColumn("mask_id", F.col("mask_id").cast("long")).withColumn("keep", F.expr(KEEP))
+def keeps(mask, source):
+    """KEEP for a mask and a source index."""
+    return (mask == 0) | (F.floor((mask * 2654435761 + source * 40503 + mask * source * 97) / 64) % 2 == 0)
 
 
-def outcomes(spark, d):
-    kept = lambda x: F.sum(F.when(F.col("keep"), x).otherwise(0.0))
-    sums = ablations(spark, d).groupBy(*KEYS, "mask_id").agg(kept(F.col("score")).alias("f_hat"), kept(F.col("score") * F.col("score")).alias("sq"))
+def ablations(spark, d, masks: int = MASKS):
+    """(keys, scores array<struct<source_idx, score>>, mask_id): a statement's scores stay one array, whatever the masks."""
+    packed = overlap_scores(spark, d).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("source_idx", "score"))).alias("scores"))  # one instance's sources
+    return packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(masks)).cast("array<long>")).alias("mask_id"))
+
+
+def outcomes(spark, d, masks: int = MASKS):
+    """Adds f_hat, the sum of the kept sources' scores, and lp, the stand-in's log-probability."""
+    kept = lambda f: F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.when(keeps(F.col("mask_id"), x["source_idx"]), f(x["score"])).otherwise(0.0))
+    sums = ablations(spark, d, masks).withColumns({"f_hat": kept(lambda s: s), "sq": kept(lambda s: s * s)})
     return sums.withColumn("lp", metrics.log_prob(2 * F.col("f_hat") - F.col("sq") - 1))
 
 
@@ -37,7 +45,7 @@ def masked_score_sum(spark, d):
     return outcomes(spark, d).select(*KEYS, "mask_id", F.round("f_hat", 6).alias("f_hat"))
 
 
-@query(f"WITH {GRID_SQL} SELECT lp.conv_id, lp.sent_idx, lp.mask_id, round((f.lp - lp.lp) / 4, 6) AS drop FROM lp JOIN lp f ON f.conv_id = lp.conv_id AND f.sent_idx = lp.sent_idx AND f.mask_id = 0 WHERE lp.mask_id <> 0")
+@query(f"WITH {GRID_SQL} SELECT conv_id, sent_idx, mask_id, round((whole - lp) / 4, 6) AS drop FROM (SELECT *, max(CASE WHEN mask_id = 0 THEN lp END) OVER (PARTITION BY conv_id, sent_idx) AS whole FROM lp) WHERE mask_id <> 0")
 def logprob_drop(spark, d):
     rows = outcomes(spark, d).withColumn("n", F.lit(4.0))
     return metrics.drop_from_full(rows, KEYS, "mask_id", "lp", "n").select(*KEYS, "mask_id", F.round("drop", 6).alias("drop"))
@@ -119,8 +127,8 @@ def invalid_row_accounting(spark, d):
 @query()
 def surrogate_attr(spark, d):
     """A sparse linear surrogate of each statement's ablations."""
-    masks = ablations(spark, d).groupBy(*KEYS, "mask_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_idx", "keep"))), lambda x: x["keep"]).alias("mask"))
-    rows = masks.join(outcomes(spark, d).select(*KEYS, "mask_id", F.col("lp").alias("value")), [*KEYS, "mask_id"])
+    mask = F.transform("scores", lambda x: keeps(F.col("mask_id"), x["source_idx"]))
+    rows = outcomes(spark, d, SURROGATE_MASKS).select(*KEYS, mask.alias("mask"), F.col("lp").alias("value"))
     return attribution.sparse_surrogate(rows, KEYS)
 
 

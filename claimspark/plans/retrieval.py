@@ -12,14 +12,21 @@ from .bindings import table, tok_sql
 from .registry import query
 from .scalars import DOMAIN_SQL
 
-#: The stated query set: every vector whose id is divisible by 100, against all others.
+#: The stated query set: every vector whose id is divisible by 100, against all others, its fellows included.
 EVERY = 100
+#: Result pages a query; three hits a page are enough to leave out the unrestricted search.
+PAGES = 3
 
+#: What a claim's searches found, in order: five claims, and links that several of their searches share.
+FOUND_SQL = f"fd AS (SELECT page_id % 5 AS claim, {DOMAIN_SQL} || '/' || (page_id % 2) AS link, page_id AS pos FROM pages)"
 
-@query(f"""SELECT page_id, domain, url FROM (SELECT page_id, {DOMAIN_SQL} AS domain, url, row_number() OVER (PARTITION BY {DOMAIN_SQL} ORDER BY page_id) AS rn FROM pages) WHERE rn = 1""")
+
+@query(f"WITH {FOUND_SQL} SELECT claim, link, pos FROM (SELECT *, row_number() OVER (PARTITION BY claim, link ORDER BY pos) AS rn FROM fd) WHERE rn = 1")
 def url_first_seen_dedup(spark, d):
-    rows = table(spark, d, "pages").select("page_id", text.url_domain(F.col("url")).alias("domain"), "url")
-    return dedup.keep_first(rows, ["domain"], ["page_id"])
+    """Of the results of a claim with one URL the first stays."""
+    link = F.concat(text.url_domain(F.col("url")), F.lit("/"), (F.col("page_id") % 2).cast("string"))
+    rows = table(spark, d, "pages").select((F.col("page_id") % 5).alias("claim"), link.alias("link"), F.col("page_id").alias("pos"))
+    return dedup.keep_first(rows, ["claim", "link"], ["pos"])
 
 
 @query(f"""SELECT page_id, domain, kind FROM (SELECT *, row_number() OVER (PARTITION BY domain, kind ORDER BY page_id) AS rn FROM (SELECT page_id, {DOMAIN_SQL} AS domain, CASE WHEN page_id % 3 = 0 THEN 'pdf' ELSE 'html' END AS kind FROM pages)) WHERE kind = 'html' OR rn <= 5""")
@@ -30,14 +37,18 @@ def pdf_cap(spark, d):
     return rows.filter("kind = 'html'").unionByName(dedup.first_n(rows.filter("kind = 'pdf'"), ["domain"], ["page_id"], 5))
 
 
-@query(f"""WITH r AS (SELECT page_id, {DOMAIN_SQL} AS claim, page_id % 2 = 0 AS restricted FROM pages),
-n AS (SELECT claim, sum(CASE WHEN restricted THEN 1 ELSE 0 END) AS hits FROM r GROUP BY claim)
-SELECT r.claim, page_id, restricted FROM r JOIN n ON r.claim = n.claim WHERE restricted OR hits < 3""")
+@query(f"""WITH r AS (SELECT page_id, page_id % 20 AS claim, page_id % 2 = 0 AS restricted, (page_id // 40) % 3 AS try FROM pages),
+n AS (SELECT claim, restricted, try, count(*) AS hits FROM r GROUP BY ALL),
+b AS (SELECT c.claim, min(CASE WHEN n.hits IS NULL THEN t.try END) AS stop FROM (SELECT DISTINCT claim FROM r) c, (SELECT unnest([0, 1, 2]) AS try) t
+ LEFT JOIN n ON n.claim = c.claim AND n.restricted AND n.try = t.try GROUP BY c.claim),
+k AS (SELECT r.* FROM r JOIN b ON b.claim = r.claim WHERE restricted AND try < coalesce(stop, 3)),
+m AS (SELECT c.claim, count(page_id) AS hits FROM (SELECT DISTINCT claim FROM r) c LEFT JOIN k ON k.claim = c.claim GROUP BY c.claim)
+SELECT claim, page_id, restricted FROM k UNION ALL SELECT r.claim, page_id, restricted FROM r JOIN m ON m.claim = r.claim WHERE NOT restricted AND hits < 3 * {PAGES}""")
 def search_fallback(spark, d):
-    """Restricted results, and the unrestricted ones of claims with fewer than three restricted hits."""
-    rows = table(spark, d, "pages").select(text.url_domain(F.col("url")).alias("claim"), "page_id", (F.col("page_id") % 2 == 0).alias("restricted"))
-    few = rows.groupBy("claim").agg(F.sum(F.col("restricted").cast("int")).alias("hits")).filter("hits < 3").select("claim")
-    return rows.filter("restricted").unionByName(rows.filter("NOT restricted").join(few, "claim", "left_semi").select(*rows.columns))
+    """Three restricted tries, ended by an empty one; claims with fewer than three hits a page get the unrestricted ones too."""
+    columns = [(F.col("page_id") % 20).alias("claim"), "page_id", (F.col("page_id") % 2 == 0).alias("restricted"), F.floor(F.col("page_id") / 40 % 3).cast("int").alias("try")]
+    rows = table(spark, d, "pages").select(*columns)
+    return dedup.search_with_fallback(rows, "claim", "restricted", "try", 3 * PAGES).select("claim", "page_id", "restricted")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -114,16 +125,16 @@ def bm25_max_pool(spark, d):
     return ranking.max_pool(_bm25(spark, d), ["doc_id"]).withColumn("score", F.round("score", 6))
 
 
-DENSE_SQL = f"""dn AS (SELECT q.vec_id AS claim_id, c.vec_id AS chunk_id, c.label AS label, c.embedding AS v, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-FROM embeddings q, embeddings c WHERE q.vec_id % {EVERY} = 0 AND c.vec_id % {EVERY} <> 0)"""
+DENSE_SQL = f"""dn AS (SELECT q.vec_id AS claim_id, c.vec_id AS chunk_id, c.label AS label, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+FROM embeddings q, embeddings c WHERE q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id)"""
 
 
 def _dense(spark, d):
-    """The stated query set against all other vectors; it meets every block of them once."""
+    """The stated query set against all vectors but the query's own."""
     rows = table(spark, d, "embeddings")
     asked = rows.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("claim_id"), F.col("embedding").alias("q"))
-    chunks = rows.filter(F.col("vec_id") % EVERY != 0).select(F.col("vec_id").alias("chunk_id"), "label", F.col("embedding").alias("v"))
-    return ranking.dense_scores(asked, chunks, "q", "v").drop("q")
+    chunks = rows.select(F.col("vec_id").alias("chunk_id"), "label", F.col("embedding").alias("v"))
+    return ranking.dense_scores(asked, chunks, "claim_id", "chunk_id", "q", "v", ("label",)).filter("claim_id <> chunk_id")
 
 
 @query(f"WITH {DENSE_SQL} SELECT label, chunk_id, round(max(score), 6) AS score FROM dn GROUP BY label, chunk_id")
@@ -131,13 +142,24 @@ def cosine_max_pool(spark, d):
     return ranking.max_pool(_dense(spark, d), ["label", "chunk_id"]).withColumn("score", F.round("score", 6))
 
 
-FUSION_SQL = f"""{DENSE_SQL}, f AS (SELECT *, 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) AS rrf FROM (SELECT claim_id, chunk_id, v,
-row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 6) DESC, chunk_id DESC) AS r1,
-row_number() OVER (PARTITION BY claim_id ORDER BY (chunk_id * 7919 + claim_id * 31) % 1009 DESC, chunk_id DESC) AS r2 FROM dn))"""
+#: A chunk is a vector and the document of the same id; a claim's words are its own document's.
+FUSION_SQL = f"""{DENSE_SQL}, d0 AS (SELECT e.vec_id AS id, {tok_sql("text")} AS ts FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+c AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS avgdl FROM d0), tf AS (SELECT id, term, dl, count(*)::DOUBLE AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM d0) GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term), idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, c), m AS (SELECT avg(idf) AS mean_idf FROM idf),
+bm AS (SELECT q.id AS claim_id, tf.id AS chunk_id, sum(q.tf * CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / avgdl))) AS score
+ FROM tf q JOIN idf USING (term) JOIN tf ON tf.term = q.term, c, m WHERE q.id % {EVERY} = 0 GROUP BY q.id, tf.id),
+bd AS (SELECT dn.claim_id, dn.chunk_id, round(dn.score, 6) AS score, round(coalesce(bm.score, 0), 6) AS sparse FROM dn LEFT JOIN bm ON bm.claim_id = dn.claim_id AND bm.chunk_id = dn.chunk_id),
+f AS (SELECT *, 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) AS rrf FROM (SELECT claim_id, chunk_id,
+row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, chunk_id DESC) AS r1, row_number() OVER (PARTITION BY claim_id ORDER BY sparse DESC, chunk_id DESC) AS r2 FROM bd))"""
 
 
 def _fused(spark, d):
-    rows = _dense(spark, d).withColumns({"score": F.round("score", 6), "sparse": (F.col("chunk_id") * 7919 + F.col("claim_id") * 31) % 1009})
+    """Dense and BM25 ranks of every chunk for every claim; chunks without a common word have a sparse score of 0."""
+    texts = table(spark, d, "embeddings").select("vec_id").join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select("vec_id", text.tokens(F.col("text")).alias("terms"))
+    asked = texts.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("claim_id"), "terms")
+    sparse = ranking.bm25(asked, texts.withColumnRenamed("vec_id", "chunk_id"), "claim_id", "chunk_id").withColumnRenamed("score", "sparse")
+    rows = _dense(spark, d).select("claim_id", "chunk_id", "score").join(sparse, ["claim_id", "chunk_id"], "left")
+    rows = rows.withColumns({"score": F.round("score", 6), "sparse": F.round(F.coalesce("sparse", F.lit(0.0)), 6)})
     return ranking.reciprocal_rank_fusion(rows, ["claim_id"], "score", "sparse", "chunk_id")
 
 
@@ -146,41 +168,68 @@ def rrf_fusion(spark, d):
     return _fused(spark, d).select("claim_id", "chunk_id", "rank_1", "rank_2", F.round("rrf", 9).alias("rrf"))
 
 
-@query(f"WITH {FUSION_SQL} SELECT * FROM (SELECT claim_id, chunk_id, row_number() OVER (PARTITION BY claim_id ORDER BY round(rrf, 9) DESC, chunk_id DESC) AS rk FROM f) WHERE rk <= 200")
-def hybrid_top_n(spark, d):
+#: Chunks that a claim's funnel keeps, and those that go on after reranking.
+FUNNEL, FINAL = 200, 10
+
+
+def _funnel(spark, d):
+    """(claim_id, chunk_id, rk): each claim's best chunks by both rankings."""
     fused = _fused(spark, d).withColumn("rrf", F.round("rrf", 9))
-    return ranking.top_n(fused, ["claim_id"], "rrf", "chunk_id", 200).select("claim_id", "chunk_id", "rk")
+    return ranking.top_n(fused, ["claim_id"], "rrf", "chunk_id", FUNNEL).select("claim_id", "chunk_id", "rk")
 
 
-@query(f"WITH {DENSE_SQL} SELECT * FROM (SELECT label, chunk_id, round(m, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY round(m, 6) DESC, chunk_id DESC) AS rk FROM (SELECT label, chunk_id, max(score) AS m FROM dn GROUP BY ALL)) WHERE rk <= 10")
-def top_n_rerank(spark, d):
-    pooled = ranking.max_pool(_dense(spark, d), ["label", "chunk_id"]).withColumn("score", F.round("score", 6))
-    return ranking.top_n(pooled, ["label"], "score", "chunk_id", 10).select("label", "chunk_id", "score", "rk")
+TOP_SQL = f"t AS (SELECT claim_id, chunk_id, rk FROM (SELECT claim_id, chunk_id, row_number() OVER (PARTITION BY claim_id ORDER BY round(rrf, 9) DESC, chunk_id DESC) AS rk FROM f) WHERE rk <= {FUNNEL})"
+
+
+@query(f"WITH {FUSION_SQL}, {TOP_SQL} SELECT claim_id, chunk_id, rk FROM t")
+def hybrid_top_n(spark, d):
+    return _funnel(spark, d)
+
+
+#: A second scorer reranks the funnel: the share of the claim's distinct words that the chunk has.
+RERANK_SQL = f"""{FUSION_SQL}, {TOP_SQL}, rr AS (SELECT t.claim_id, t.chunk_id, round(len(list_intersect(list_distinct(q.ts), k.ts))::DOUBLE / greatest(len(list_distinct(q.ts)), 1), 6) AS score
+FROM t LEFT JOIN d0 q ON q.id = t.claim_id LEFT JOIN d0 k ON k.id = t.chunk_id)"""
 
 
-NEAR = 0.30
-FUNNEL_SQL = f"""{FUSION_SQL}, t AS (SELECT claim_id, chunk_id, v FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY round(rrf, 9) DESC, chunk_id DESC) AS rk FROM f) WHERE rk <= 200),
-pr AS (SELECT a.claim_id, a.chunk_id AS a, b.chunk_id AS b FROM t a JOIN t b ON a.claim_id = b.claim_id AND a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) >= {NEAR})"""
+@query(f"WITH {RERANK_SQL} SELECT claim_id, chunk_id, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY coalesce(score, 0) DESC, chunk_id DESC) AS rk FROM (SELECT claim_id, chunk_id, coalesce(score, 0) AS score FROM rr)) WHERE rk <= {FINAL}")
+def top_n_rerank(spark, d):
+    """The funnel's chunks by another scorer, the ten best; chunks or claims without text score 0."""
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("ts"))
+    pairs = _funnel(spark, d).drop("rk").join(words.select(F.col("id").alias("claim_id"), F.col("ts").alias("q")), "claim_id", "left").join(words.select(F.col("id").alias("chunk_id"), F.col("ts").alias("k")), "chunk_id", "left")
+    scored = pairs.select("claim_id", "chunk_id", F.round(F.coalesce(text.overlap(F.col("q"), F.col("k")), F.lit(0.0)), 6).alias("score"))
+    return ranking.top_n(scored, ["claim_id"], "score", "chunk_id", FINAL).select("claim_id", "chunk_id", "score", "rk")
+
+
+#: Cosine from which two chunks of a funnel are near duplicates.
+NEAR = 0.85
+#: The test tables have no vectors that near; every third chunk of a funnel therefore comes a second time, under
+#: an id of its own and with a vector that differs in its first dimension, as a page that was scraped twice would.
+AGAIN = 1_000_000
+FUNNEL_SQL = f"""{FUSION_SQL}, {TOP_SQL}, v0 AS (SELECT t.claim_id, t.chunk_id, e.embedding::DOUBLE[] AS v FROM t JOIN embeddings e ON e.vec_id = t.chunk_id),
+tv AS (SELECT claim_id, chunk_id, v FROM v0 UNION ALL SELECT claim_id, chunk_id + {AGAIN}, list_concat([v[1] + 0.125 * (chunk_id % 8)], v[2:]) FROM v0 WHERE chunk_id % 3 = 0),
+pr AS (SELECT a.claim_id, a.chunk_id AS a, b.chunk_id AS b FROM tv a JOIN tv b ON a.claim_id = b.claim_id AND a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.v, b.v) >= {NEAR})"""
 COMP_SQL = f"""{FUNNEL_SQL}, ed AS (SELECT claim_id, a, b FROM pr UNION ALL SELECT claim_id, b, a FROM pr),
-rc AS (SELECT claim_id, chunk_id AS n, chunk_id AS r FROM t UNION SELECT rc.claim_id, ed.b, rc.r FROM rc JOIN ed ON ed.claim_id = rc.claim_id AND ed.a = rc.n),
+rc AS (SELECT claim_id, chunk_id AS n, chunk_id AS r FROM tv UNION SELECT rc.claim_id, ed.b, rc.r FROM rc JOIN ed ON ed.claim_id = rc.claim_id AND ed.a = rc.n),
 cp AS (SELECT claim_id, n AS chunk_id, min(r) AS component FROM rc GROUP BY claim_id, n)"""
 
 
-def _funnel(spark, d):
-    """Each claim's 200 best chunks: what de-duplication works on."""
-    fused = _fused(spark, d).withColumn("rrf", F.round("rrf", 9))
-    return ranking.top_n(fused, ["claim_id"], "rrf", "chunk_id", 200).select("claim_id", "chunk_id", "v")
+def _vectors(spark, d):
+    """The funnel with its vectors, which only the kept chunks are joined to, and its repeated chunks."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = _funnel(spark, d).drop("rk").join(vectors, "chunk_id").select("claim_id", "chunk_id", "v")
+    moved = F.concat(F.array(F.get("v", F.lit(0)) + 0.125 * (F.col("chunk_id") % 8)), F.slice("v", 2, 1_000_000))
+    return rows.unionByName(rows.filter("chunk_id % 3 = 0").select("claim_id", (F.col("chunk_id") + AGAIN).alias("chunk_id"), moved.alias("v")))
 
 
 def _components(spark, d):
-    rows = _funnel(spark, d)
+    rows = _vectors(spark, d)
     pairs = dedup.similar_pairs(rows, ["claim_id"], "chunk_id", "v", NEAR)
     return dedup.group_components(rows, pairs, ["claim_id"], "chunk_id")
 
 
 @query(f"WITH {FUNNEL_SQL} SELECT claim_id, a, b FROM pr")
 def near_duplicate_pairs(spark, d):
-    return dedup.similar_pairs(_funnel(spark, d), ["claim_id"], "chunk_id", "v", NEAR)
+    return dedup.similar_pairs(_vectors(spark, d), ["claim_id"], "chunk_id", "v", NEAR)
 
 
 @query(f"WITH RECURSIVE {COMP_SQL} SELECT claim_id, chunk_id, component FROM cp")
@@ -188,10 +237,11 @@ def near_duplicate_components(spark, d):
     return _components(spark, d)
 
 
-@query(f"WITH RECURSIVE {COMP_SQL} SELECT claim_id, component, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, component ORDER BY chunk_id % 17 DESC, chunk_id DESC) AS rn FROM cp) WHERE rn = 1")
+@query(f"WITH RECURSIVE {COMP_SQL} SELECT claim_id, component, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, component ORDER BY coalesce(n_chars, 0) DESC, chunk_id DESC) AS rn FROM cp LEFT JOIN documents ON doc_id = chunk_id % {AGAIN}) WHERE rn = 1")
 def longest_representative(spark, d):
-    """One chunk a cluster; a function of the id stands for the chunk's length."""
-    rows = _components(spark, d).withColumn("n", F.col("chunk_id") % 17)
+    """One chunk a cluster: the longest; of equal lengths the later."""
+    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("i"), "n_chars")
+    rows = _components(spark, d).join(sizes, F.col("i") == F.col("chunk_id") % AGAIN, "left").withColumn("n", F.coalesce("n_chars", F.lit(0)))
     return dedup.longest_of_component(rows, ["claim_id"], "component", "n", "chunk_id").select("claim_id", "component", "chunk_id")
 
 
