@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The documented sentence rule, used wherever sentences are counted: text up to and with its closing marks.
 SENTENCE = r"[^.!?。！？；]+[.!?。！？；]*"
 #: Escapes in their order; the ampersand comes first so that later escapes stay whole.
-HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"), ("$", "&#36;"), ("\n", "<br>"))
+HTML_ESCAPES = (("&", "&amp;"), ("'", "&apos;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br>"), ("$", "&#36;"))
 
 
 def url_domain(url: Column) -> Column:

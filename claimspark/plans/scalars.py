@@ -86,7 +86,7 @@ def strip_markup(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.strip_markup(marked).alias("plain"))
 
 
-@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '$', '&#36;'), chr(10), '<br>') AS safe FROM pages""")
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'), '$', '&#36;'), chr(10), '<br>') AS safe FROM pages""")
 def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("safe"))
 
