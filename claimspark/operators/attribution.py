@@ -18,32 +18,54 @@ def token_overlap(premise: str, hypothesis: str) -> float:
     return len(want & set(premise.split())) / len(want) if want else 0.0
 
 
-def greedy_selection(pairs: DataFrame, keys: list[str], entail: Entail = token_overlap, least: int = 5, gain: float = 0.1) -> DataFrame:
+STEP = "array<struct<source_idx:bigint,score:double,step:int,cited:boolean>>"
+
+
+def greedy_sets(rows: DataFrame, keys: list[str], entail: Entail = token_overlap, least: int = 5, gain: float = 0.1) -> DataFrame:
     """(keys, source_idx, score, step, cited): sources added one at a time, each the one that lifts the entailment of the joined, index-ordered set most.
 
-    Rows of pairs: keys, hypothesis, source_idx, source; a group is one instance's sources. The gain is
-    the score. Sources count as cited while the gain reaches `gain`; scoring goes on to min(max(5,
-    least), n) sources; the rest score -1. Of equal gains the smaller index goes first.
+    Of rows: keys, hypothesis, xs (the instance's sources in order); a row is one fact or statement and is
+    worked on alone, so nothing is gathered. The gain is the score. Sources count as cited while the gain
+    reaches `gain`; scoring goes on to min(max(5, least), n) sources; the rest have no rows. Of equal gains
+    the smaller index goes first.
     """
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("source_idx").reset_index(drop=True)
-        texts, ids, claim = group["source"].tolist(), group["source_idx"].tolist(), group["hypothesis"].iloc[0]
+    def one(claim: str, texts: list[str]) -> list[dict]:
         chosen: list[int] = []
-        score, step, cited = [-1.0] * len(ids), [0] * len(ids), [False] * len(ids)
-        last, open_ = 0.0, True
-        for k in range(1, min(max(5, least), len(ids)) + 1):
-            value, i = max(((entail(" ".join(texts[j] for j in sorted([*chosen, i])), claim), -i) for i in range(len(ids)) if i not in chosen), default=(0.0, 0))
-            i = -i
-            open_ = open_ and value - last >= gain
-            score[i], step[i], cited[i] = value - last, k, open_
-            chosen.append(i)
+        out, last, open_ = [], 0.0, True
+        for k in range(1, min(max(5, least), len(texts)) + 1):
+            value, i = max((entail(" ".join(texts[j] for j in sorted([*chosen, i])), claim), -i) for i in range(len(texts)) if i not in chosen)
+            open_ = open_ and round(value - last, 9) >= gain
+            out.append({"source_idx": -i, "score": value - last, "step": k, "cited": open_})
+            chosen.append(-i)
             last = value
-        out = group[keys].copy()
-        return out.assign(source_idx=ids, score=score, step=step, cited=cited)
+        return out
+
+    @F.pandas_udf(STEP)
+    def grown(claims: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([one(c, list(t)) for c, t in zip(claims, texts, strict=True)], dtype=object)
+
+    return rows.select(*keys, F.explode(grown("hypothesis", "xs")).alias("r")).select(*keys, "r.*")
+
+
+def greedy_selection(pairs: DataFrame, keys: list[str], entail: Entail = token_overlap, least: int = 5, gain: float = 0.1) -> DataFrame:
+    """greedy_sets for rows (keys, hypothesis, source_idx, source), one a source; sources that weren't added score -1."""
+    packed = pairs.groupBy(*keys).agg(F.first("hypothesis").alias("hypothesis"), F.array_sort(F.collect_list(F.struct("source_idx", "source"))).alias("ys"))  # one instance's sources
+    packed = packed.withColumns({"ids": F.transform("ys", lambda y: y["source_idx"]), "xs": F.transform("ys", lambda y: y["source"])})
+    found = greedy_sets(packed.select(*keys, "hypothesis", "xs"), keys, entail, least, gain).withColumnRenamed("source_idx", "place")
+    every = packed.select(*keys, F.posexplode("ids").alias("place", "source_idx"))
+    rows = every.join(found, [*keys, "place"], "left")
+    return rows.select(*keys, "source_idx", F.coalesce("score", F.lit(-1.0)).alias("score"), F.coalesce("step", F.lit(0)).alias("step"), F.coalesce("cited", F.lit(False)).alias("cited"))
+
+
+def max_over_facts(scores: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """(keys, index, score): the largest score that any fact of a statement gives a source."""
+    return scores.groupBy(*keys, index).agg(F.max("score").alias("score"))
+
 
-    schema = pairs.select(*keys, "source_idx").schema.add("score", "double").add("step", "integer").add("cited", "boolean")
-    return pairs.select(*keys, "source_idx", "source", "hypothesis").groupBy(*keys).applyInPandas(one, schema)
+def outer_keep(grid: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of the grid with its score, 0 where there is none."""
+    return grid.join(scores, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 200, tolerance: float = 1e-8) -> tuple[np.ndarray, float]:

@@ -43,8 +43,8 @@ def chunk_documents(docs: DataFrame, doc_id: str, text: str, pack_limit: int = 6
     def flush(acc):
         return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(joined(acc["open"])))).otherwise(acc["done"])
 
-    def step(acc, p):
-        n = n_tokens(p)
+    def step(acc, x):
+        p, n = x["p"], x["n"]  # counted once, before the fold
         long_, over = n >= split_limit, acc["size"] + n > pack_limit
         nothing = F.array().cast("array<string>")
         return F.struct(
@@ -53,7 +53,8 @@ def chunk_documents(docs: DataFrame, doc_id: str, text: str, pack_limit: int = 6
             F.when(long_, F.concat(flush(acc), split_paragraph(p, pack_limit))).when(over, flush(acc)).otherwise(acc["done"]).alias("done"),
         )
 
-    chunks = F.aggregate(paragraphs, start, step, flush)
+    counted = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), n_tokens(p).alias("n")))
+    chunks = F.aggregate(counted, start, step, flush)
     return docs.select(doc_id, F.posexplode(chunks).alias("chunk_pos", "chunk")).withColumn("n_tokens", n_tokens(F.col("chunk")))
 
 
@@ -87,3 +88,43 @@ def merge_paragraphs(paragraphs: DataFrame, doc: str, seq: str, page: str, text:
     marked = paragraphs.withColumn("__new", F.when(joins, 0).otherwise(1)).withColumn("para", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     merged = marked.groupBy(doc, "para").agg(F.array_sort(F.collect_list(F.struct(seq, text))).alias("xs"))
     return merged.select(doc, "para", F.array_join(F.transform("xs", lambda x: x[text]), " ").alias("text"))
+
+
+#: A paragraph that ends in one of these is finished at the end of a page.
+FINISHED = (".", "!", "?", ":")
+
+
+def page_words_to_text(words: DataFrame, doc: str, page: str, seq: str, word: str, top: str, gap: float = 3.0, spread: float = 1.5, single: float = 20.0, least: int = 5) -> DataFrame:
+    """(doc, content): words with heights to lines, paragraphs and text.
+
+    A page's words form lines (`group_lines`). Lines that are noise or recur in the document go. A kept line
+    begins a paragraph if its distance to the line before it on the page, kept or not, is over `spread` times
+    the page's upper median (`single` for a page of one line). A page's first paragraph, which is empty where
+    its lines went, joins the previous page's last unless that is finished. Paragraphs of at most `least`
+    characters go; white space collapses; an empty line separates paragraphs. Pages are the unit of every
+    shuffle but the last, a document's paragraphs of the last.
+    """
+    lined = group_lines(words, [doc, page], seq, top, gap)
+    packed = lined.groupBy(doc, page, "line").agg(F.array_sort(F.collect_list(F.struct(seq, word, top))).alias("ws"))
+    lines = packed.select(doc, page, "line", F.array_join(F.transform("ws", lambda w: w[word]), " ").alias("txt"), F.get("ws", F.lit(0))[top].alias("at"))
+    order = Window.partitionBy(doc, page).orderBy("line")
+    spaced = lines.withColumn("space", F.col("at") - F.lag("at").over(order))
+    median = spaced.groupBy(doc, page).agg(upper_median(F.collect_list("space")).alias("typical"))
+    limit = F.coalesce(spread * F.col("typical"), F.lit(single))
+    again = recurring(lines, doc, "txt").select(doc, F.col("txt"), F.lit(True).alias("again"))
+    kept = spaced.join(median, [doc, page]).join(again, [doc, "txt"], "left").filter(F.col("again").isNull() & ~is_noise(F.trim("txt")))
+    cut = kept.withColumn("cut", F.when(F.col("space") > limit, 1).otherwise(0)).withColumn("para", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut.groupBy(doc, page, "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "txt"))), lambda x: x["txt"]), " ").alias("txt"))
+    heads = lines.select(doc, page).distinct().withColumn("para", F.lit(0).cast("long"))
+    pieces = heads.join(parts, [doc, page, "para"], "full").withColumn("txt", F.coalesce("txt", F.lit("")))
+    rows = pieces.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(page, "para", "txt"))).alias("ps"))
+
+    def step(acc, p):
+        last = F.try_element_at(acc, F.lit(-1))
+        open_ = (F.trim(last) == "") | ~F.right(F.trim(last), F.lit(1)).isin(*FINISHED)
+        joins = (p["para"] == 0) & (F.size(acc) > 0) & open_
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), p["txt"])))).otherwise(F.concat(acc, F.array(p["txt"])))
+
+    merged = F.aggregate("ps", F.array().cast("array<string>"), step)
+    long_ = F.transform(F.filter(merged, lambda p: F.length(p) > least), lambda p: F.regexp_replace(p, r"\s+", " "))
+    return rows.select(doc, long_.alias("ps")).filter(F.size("ps") > 0).select(doc, F.array_join("ps", "\n\n").alias("content"))

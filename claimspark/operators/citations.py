@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import index_runs
+
 
 @dataclass(frozen=True)
 class CitationParams:
@@ -69,6 +71,31 @@ def neighbourhood(lo: Column, hi: Column, n: Column, width: int = 2) -> dict[str
     }
 
 
+def spaced_text(xs: Column) -> Column:
+    """Sources struct<s, sep> as text: each but the last with its own separator."""
+    n = F.size(xs)
+    return F.array_join(F.transform(xs, lambda x, i: F.when(i < n - 1, F.concat(x["s"], x["sep"])).otherwise(x["s"])), "")
+
+
+def span_texts(xs: Column, lo: Column, hi: Column) -> Column:
+    """struct<cite, pre, post>: the text of a span of sources and of the context around it."""
+    b = neighbourhood(lo, hi, F.size(xs))
+    part = lambda a, z: spaced_text(F.slice(xs, (a + 1).cast("int"), F.greatest(z - a + 1, F.lit(0)).cast("int")))
+    return F.struct(part(lo, hi).alias("cite"), part(b["pre_lo"], b["pre_hi"]).alias("pre"), part(b["post_lo"], b["post_hi"]).alias("post"))
+
+
+def evidence_context(ids: Column, xs: Column, extra: Column) -> Column:
+    """Source indices, neighbours in list order joined, as snippets with an empty line between them; with `extra`
+    each between the last paragraph before it and the first after it."""
+
+    def snippet(run: Column) -> Column:
+        t = span_texts(xs, run["lo"], run["hi"])
+        around = F.array_join(F.array(F.substring_index(t["pre"], "\n\n", -1), t["cite"], F.substring_index(t["post"], "\n\n", 1)), " ")
+        return F.when(extra, around).otherwise(t["cite"])
+
+    return F.array_join(F.transform(index_runs(ids), snippet), "\n\n")
+
+
 def citation_label(lo: Column, hi: Column) -> Column:
     one = F.concat(F.lit("["), lo.cast("string"), F.lit("]"))
     return F.when(lo == hi, one).otherwise(F.concat(F.lit("["), lo.cast("string"), F.lit("-"), hi.cast("string"), F.lit("]")))

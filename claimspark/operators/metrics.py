@@ -83,6 +83,11 @@ def log_prob(logit):
     return -F.log1p(F.exp(-logit))
 
 
+def slice_log_prob(logits):
+    """Log-probability of a slice of tokens from an array of their logits."""
+    return F.aggregate(logits, F.lit(0.0), lambda a, x: a + log_prob(x))
+
+
 def drop_from_full(rows: DataFrame, keys: list[str], variant: str, value: str, tokens: str, full: int = 0) -> DataFrame:
     """(full - variant) / tokens for each variant but the full one."""
     base = rows.filter(F.col(variant) == full).select(*keys, F.col(value).alias("__full"))
@@ -98,3 +103,32 @@ def citation_quality(statements: DataFrame, citations: DataFrame, unit: str, sta
     both = recall.join(precision, unit, "left").withColumn("precision", F.coalesce("precision", F.lit(0.0)))
     r, p = F.col("recall"), F.col("precision")
     return both.withColumn("f1", F.when(r + p == 0, 0.0).otherwise(2 * r * p / (r + p)))
+
+
+def verification_report(rows: DataFrame, keys: list[str], nothing: int = 3) -> DataFrame:
+    """One row for each of the keys. Rows: t (truth), p (prediction), ab (abstains), x (distribution of the ordinal classes).
+
+    Rows without a distribution are dropped and counted as invalid. Accuracy and macro F1 are over all
+    classes (an undefined F1 is 0), squared error and ranked probability score over rows where neither truth
+    nor prediction is `nothing`. One aggregation, no join.
+    """
+    valid = F.col("x").isNotNull()
+    ordinal = valid & ~F.col("ab") & (F.col("t") != nothing)
+    t, p = F.col("t"), F.col("p")
+    cdf = [F.get("x", F.lit(0)), F.get("x", F.lit(0)) + F.get("x", F.lit(1))]
+    rps = sum((F.pow(F.when(t < c + 1, 1.0).otherwise(0.0) - cdf[c], F.lit(2.0)) for c in range(2)), F.lit(0.0)) / 2
+    f1 = []
+    for c in range(nothing + 1):
+        tp, wrong = F.count_if(valid & (t == c) & (p == c)), F.count_if(valid & ((t == c) != (p == c)))
+        f1.append(F.coalesce(F.try_divide(2.0 * tp, 2 * tp + wrong), F.lit(0.0)))
+    return rows.groupBy(*keys).agg(
+        F.count_if(valid).alias("n"),
+        F.count_if(~valid).alias("invalid"),
+        F.count_if(valid & F.col("ab")).alias("abstained"),
+        F.count_if(valid & (t == nothing)).alias("unanswerable"),
+        F.count_if(valid & (F.col("ab") | (t == nothing))).alias("either"),
+        F.avg(F.when(valid, (t == p).cast("double"))).alias("accuracy"),
+        (sum(f1[1:], f1[0]) / len(f1)).alias("macro_f1"),
+        F.avg(F.when(ordinal, F.pow(t - p, F.lit(2.0)))).alias("mse"),
+        F.avg(F.when(ordinal, rps)).alias("mean_rps"),
+    )

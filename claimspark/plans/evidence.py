@@ -10,7 +10,7 @@ from ..functions.text import n_tokens
 from ..operators import chunking, markup
 from ..sources import pages as page_source
 from ..sources import scorers
-from .bindings import table, tok_sql
+from .bindings import sent_sql, table, tok_sql
 from .registry import query
 
 LINES_SQL = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
@@ -73,7 +73,22 @@ def paragraph_merge(spark, d):
     return chunking.merge_paragraphs(rows, "doc_id", "seq", "page", "text")
 
 
-@query()
+#: The fold in SQL: paragraphs by their place, long ones apart, whose sentences (or even groups of a long sentence's words) are folded likewise.
+CHUNKS_SQL = rf"""l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda p: trim(p) <> '') AS ps FROM documents),
+z AS (SELECT doc_id, i, p, len({tok_sql("p")}) AS n FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM l)),
+s0 AS (SELECT doc_id, i, j, s, {tok_sql("s")} AS ws FROM (SELECT doc_id, i, unnest(ss) AS s, unnest(range(len(ss))) AS j FROM (SELECT doc_id, i, {sent_sql("p")} AS ss FROM z WHERE n >= 800))),
+s1 AS (SELECT doc_id, i, j, s, ws, len(ws) AS n, CASE WHEN len(ws) > 600 THEN (len(ws) + 599) // 600 ELSE 1 END AS k FROM s0),
+s2 AS (SELECT doc_id, i, j, g, CASE WHEN n > 600 THEN array_to_string(ws[g * (n // k) + least(g, n % k) + 1 : (g + 1) * (n // k) + least(g + 1, n % k)], ' ') ELSE s END AS piece FROM (SELECT *, unnest(range(k)) AS g FROM s1)),
+s3 AS (SELECT doc_id, i, piece, len({tok_sql("piece")}) AS n, row_number() OVER (PARTITION BY doc_id, i ORDER BY j, g) AS m FROM s2),
+sf AS (SELECT doc_id, i, m, n AS size, 0 AS sub FROM s3 WHERE m = 1 UNION ALL
+SELECT s3.doc_id, s3.i, s3.m, CASE WHEN size + n > 600 THEN n ELSE size + n END, CASE WHEN size + n > 600 THEN sub + 1 ELSE sub END FROM sf JOIN s3 ON s3.doc_id = sf.doc_id AND s3.i = sf.i AND s3.m = sf.m + 1),
+f AS (SELECT doc_id, i, CASE WHEN n >= 800 THEN 0 ELSE n END AS size, n >= 800 AS lng, 0 AS grp FROM z WHERE i = 0 UNION ALL
+SELECT z.doc_id, z.i, CASE WHEN z.n >= 800 THEN 0 WHEN lng OR size + z.n > 600 THEN z.n ELSE size + z.n END, z.n >= 800, CASE WHEN z.n >= 800 OR lng OR size + z.n > 600 THEN grp + 1 ELSE grp END FROM f JOIN z ON z.doc_id = f.doc_id AND z.i = f.i + 1),
+ch AS (SELECT f.doc_id, grp, 0 AS sub, string_agg(p, chr(10) ORDER BY f.i) AS chunk FROM f JOIN z ON z.doc_id = f.doc_id AND z.i = f.i WHERE NOT lng GROUP BY f.doc_id, grp
+UNION ALL SELECT f.doc_id, grp, sub, string_agg(piece, ' ' ORDER BY s3.m) FROM f JOIN s3 ON s3.doc_id = f.doc_id AND s3.i = f.i JOIN sf ON sf.doc_id = s3.doc_id AND sf.i = s3.i AND sf.m = s3.m WHERE lng GROUP BY f.doc_id, grp, sub)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, sub) - 1 AS chunk_pos, chunk, len({tok_sql('chunk')})::BIGINT AS n_tokens FROM ch")
 def chunk_pack(spark, d):
     """Greedy packing of paragraphs into chunks, with production limits."""
     return chunking.chunk_documents(table(spark, d, "documents"), "doc_id", "text").withColumn("chunk_pos", F.col("chunk_pos").cast("long"))
@@ -112,7 +127,16 @@ def unsorted_runs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(index_runs(ids), lambda r: F.concat(r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string"))), ",").alias("runs"))
 
 
-@query()
+#: Tags and entities by patterns, which well-formed pages need no parser for.
+SKIPPED_SQL = "regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g')"
+for _tag in sorted(page_source.SKIPPED):
+    SKIPPED_SQL = rf"regexp_replace({SKIPPED_SQL}, '(?is)<{_tag}(\s[^>]*)?>.*?</{_tag}>', '', 'g')"
+BLOCKS_SQL = rf"regexp_replace(regexp_replace({SKIPPED_SQL}, '(?i)</?({'|'.join(sorted(page_source.BLOCKS))})(\s[^>]*)?/?>', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g')"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
+    BLOCKS_SQL = f"replace({BLOCKS_SQL}, '&{_name};', '{_sign}')"
+
+
+@query(rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split({BLOCKS_SQL}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS content FROM pages")
 def page_text(spark, d):
     """Main text of each page, without markup, scripts and navigation."""
     return page_source.extract_text(table(spark, d, "pages"), "page_id", "html")
@@ -135,23 +159,6 @@ def search_provider(spark, d):
     return scorers.table_search(strings, results).select("item_id", "pos")
 
 
-@query()
-def judge_scorer(spark, d):
-    """A judge run over statement and evidence pairs, its text parsed to a score."""
-    from ..functions import judge as parse
-    from .bindings import sources, statements
-
-    pairs = statements(spark, d).withColumnRenamed("s", "st").join(sources(spark, d).withColumnRenamed("s", "so"), "conv_id")
-    said = scorers.score_column(lambda: scorers.lexical_judge, "string", F.col("so"), F.col("st"))
-    return pairs.select("conv_id", "sent_idx", "source_idx", said.alias("said")).withColumn("support", parse.support(F.col("said")))
-
-
-@query()
-def embed_scorer(spark, d):
-    """Embeddings of whole texts by the local stand-in."""
-    return table(spark, d, "documents").select("doc_id", scorers.score_column(scorers.hash_embedding, "array<double>", F.col("text")).alias("embedding"))
-
-
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def event_windows(spark, d):
     """Tumbling counts, as the stream computes them."""

@@ -123,13 +123,6 @@ def entailment_window_attr(spark, d):
     return attribution.window_means(rows, INSTANCE, "w", "score", 3, "n").select(*INSTANCE, F.col("w").cast("long").alias("source_idx"), F.round("score", 6).alias("score"))
 
 
-@query()
-def greedy_selection(spark, d):
-    """Sources added one at a time by their gain in entailment."""
-    left, right = statements(spark, d).withColumnRenamed("s", "hypothesis"), sources(spark, d).withColumnRenamed("s", "source")
-    return attribution.greedy_selection(left.join(right, "conv_id"), INSTANCE)
-
-
 @query(f"""WITH {SENTENCES_SQL}, j AS (SELECT conv_id, string_agg(s, ' ' ORDER BY source_idx) AS t FROM src GROUP BY conv_id),
 o AS (SELECT conv_id, source_idx, s, coalesce(sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY source_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM src)
 SELECT conv_id, source_idx, start::INT AS start, (start + length(s))::INT AS "end" FROM o""")

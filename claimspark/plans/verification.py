@@ -88,14 +88,6 @@ def evidence_by_k(spark, d):
     return rows.select("conv_id", "k", F.array_join(F.transform("xs", lambda x: x["s"]), "\n\n").alias("evidence"))
 
 
-@query()
-def evidence_cited(spark, d):
-    """The cited sources of all statements, flattened, distinct and joined as evidence."""
-    cited = _citations(spark, d).select("conv_id", F.explode(F.sequence("lo", "hi")).alias("source_idx")).distinct()
-    rows = cited.join(sources(spark, d), ["conv_id", "source_idx"]).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("source_idx", "s"))).alias("xs"))
-    return rows.select("conv_id", F.array_join(F.transform("xs", lambda x: x["s"]), "\n\n").alias("evidence"))
-
-
 @query(f"""WITH {SENTENCES_SQL} SELECT label, ordinal, short, count(pr.doc_id) AS n FROM (VALUES ('Supported', 0, 'SUP'), ('Conflicting', 1, 'CONF'), ('Refuted', 2, 'REF'), ('Not Enough Evidence', 3, 'NEE')) v(label, ordinal, short)
 LEFT JOIN (SELECT l.doc_id, 2 * quality + toxic AS t FROM labels l JOIN documents d ON d.doc_id = l.doc_id) pr ON pr.t = ordinal GROUP BY ALL""")
 def label_ordinals(spark, d):

@@ -1,13 +1,17 @@
 """Pluggable scorers: models, judges and search, each with a deterministic local stand-in.
 
 A scorer maps a batch of inputs to a batch of outputs; `score_column` runs it as an iterator pandas UDF,
-built once a worker task. Calls that can fail are retried inside the batch.
+built once a worker task (so a model is loaded where it runs, when it is first needed). Calls that can
+fail are retried inside the batch. REGISTRY names the scorers; `registered` looks one up, and callers add
+their own models, judges and providers to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -15,6 +19,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+NUMBERS = ("double", "float", "int", "long", "bigint")
 
 
 class Scorer(Protocol):
@@ -29,8 +37,8 @@ def hash_embedding(size: int = 64) -> Callable[[Sequence[tuple]], list[list[floa
         for (text,) in rows:
             v = [0.0] * size
             for w in (text or "").split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % size] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                v[int(h[:8], 16) % size] += 1.0 if int(h[8], 16) > 7 else -1.0
             norm = math.sqrt(sum(x * x for x in v))
             out.append([x / norm for x in v] if norm else v)
         return out
@@ -52,6 +60,96 @@ def lexical_judge(rows: Sequence[tuple]) -> list[str]:
     return [f"Rating: [[{grade(x)}]]" for x in lexical_entailment(rows)]
 
 
+def judge_with_usage(rows: Sequence[tuple]) -> list[dict]:
+    """The judge's text and the tokens that the call took: prompt (both texts) and completion."""
+    said = lexical_judge(rows)
+    size = lambda x: len((x or "").split())
+    return [{"text": t, "prompt_tokens": size(a) + size(b), "completion_tokens": size(t)} for (a, b), t in zip(rows, said, strict=True)]
+
+
+def token_logprobs(labels: Sequence[str]) -> Callable[[], Scorer]:
+    """A provider of one-token answers: each label's log-probability. An empty prompt gives null, as a refused
+    call does; the label at a prompt's token count modulo 11 (less five) is missing from the answer."""
+
+    def call(rows):
+        out: list = []
+        for (prompt,) in rows:
+            n = len((prompt or "").split())
+            out.append({x: -((n * (i + 2)) % 17) / 4.0 for i, x in enumerate(labels) if n % 11 != i + 5} if n else None)
+        return out
+
+    return lambda: call
+
+
+def last_token_logits(size: int) -> Callable[[], Scorer]:
+    """A local model's logits after a prompt, one a vocabulary entry."""
+
+    def call(rows):
+        return [[((len((prompt or "").split()) * (i + 3)) % 13) / 2.0 for i in range(size)] for (prompt,) in rows]
+
+    return lambda: call
+
+
+def query_writer(rows: Sequence[tuple]) -> list[str]:
+    """Search queries for a claim as a fenced JSON list: its words by threes, seven at most."""
+    out = []
+    for (claim,) in rows:
+        words = (claim or "").split()
+        out.append("```json\n" + json.dumps([" ".join(words[k : k + 3]) for k in range(0, min(len(words), 21), 3)], ensure_ascii=False) + "\n```<eos>")
+    return out
+
+
+def fact_writer(rows: Sequence[tuple]) -> list[list[str]]:
+    """A statement's atomic facts: its parts between commas, semicolons and colons, of two words or more."""
+    return [[p for p in (" ".join(x.split()) for x in re.split("[,;:]", s or "")) if " " in p] for (s,) in rows]
+
+
+def index_writer(tries: int = 5) -> Callable[[], Scorer]:
+    """Post-hoc citation by a model: `[i]` marks of the k sources that share most words with the facts.
+
+    The first, greedy try forgets to stop on every third statement; later ones give the answer. Rows are
+    (facts, sources, k or null); an answer is (text, indices or null), the last text where none was valid.
+    """
+
+    def answer(facts, sources, k, attempt):
+        want = set(" ".join(facts).split())
+        order = sorted(range(len(sources)), key=lambda i: (-len(want & set(sources[i].split())), i))[: k or 3]
+        text = "".join(f"[{i + 1}]" for i in order)
+        return text if attempt == 0 and len(want) % 3 == 0 else text + "<eos>"
+
+    def valid(text, n, k):
+        if not text.endswith("<eos>"):
+            return None
+        ids = list(dict.fromkeys(int(x) for x in re.findall(r"\[\s*(\d+)\s*\]", text)))
+        if k and len(ids) < k:
+            return None
+        ids = ids[:k] if k else ids
+        return None if any(i <= 0 or i > n for i in ids) else ids
+
+    def call(rows):
+        out: list = []
+        for facts, sources, k in rows:
+            facts, sources, k = list(facts if facts is not None else ()), list(sources if sources is not None else ()), None if k is None or k != k else int(k)
+            for attempt in range(tries):
+                text = answer(facts, sources, k, attempt)
+                ids = valid(text, len(sources), k)
+                if ids is not None:
+                    break
+            out.append({"text": text, "ids": ids, "tries": attempt + 1})
+        return out
+
+    return lambda: call
+
+
+def label_writer(labels: Sequence[str]) -> Callable[[], Scorer]:
+    """A verdict label from a justification: that at its token count modulo the labels; never another value."""
+
+    def call(rows):
+        return [labels[len((t or "").split()) % len(labels)] for (t,) in rows]
+
+    return lambda: call
+
+
 def with_retries(scorer: Scorer, tries: int = 5, wait: float = 1.0, factor: float = 2.0) -> Scorer:
     """Try again with growing pauses; the last failure goes on."""
 
@@ -71,27 +169,74 @@ def with_retries(scorer: Scorer, tries: int = 5, wait: float = 1.0, factor: floa
 def score_column(make: Callable[[], Scorer], kind: str, *columns: Column, batch: int = 512) -> Column:
     """A column of scores; `make` builds the scorer on the worker."""
 
+    fields = [f.name for f in T._parse_datatype_string(kind).fields] if kind.startswith("struct<") else None
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         scorer = make()
         for series in batches:
-            rows = list(zip(*series, strict=True))
+            # one column comes as itself, several as a tuple
+            rows = list(zip(*((series,) if isinstance(series, pd.Series) else series), strict=True))
             out: list = []
             for at in range(0, len(rows), batch):
                 out += list(scorer(rows[at : at + batch]))
-            yield pd.Series(out, dtype=object if "array" in kind or kind == "string" else None)
+            yield pd.DataFrame(out, columns=fields) if fields else pd.Series(out, dtype=None if kind in NUMBERS else object)
 
     return run(*columns)
 
 
+class SearchProvider(Protocol):
+    """A paged search: results of (query, page) with pos, link, title, date; an empty page ends a query."""
+
+    def __call__(self, query: str, page: int) -> Sequence[dict]: ...
+
+
+def paged_search(strings: DataFrame, provider: Callable[[], SearchProvider], pages: int = 3, query: str = "query") -> DataFrame:
+    """strings with one row a result: each query's pages until one is empty, `pages` at most; retried as calls are."""
+
+    def make():
+        search = provider()
+        page_of = with_retries(lambda rows: [search(q, page) for q, page in rows])
+
+        def call(rows):
+            out = []
+            for (q,) in rows:
+                found: list = []
+                for page in range(pages):
+                    got = list(page_of([(q, page)])[0])
+                    if not got:
+                        break
+                    found += got
+                out.append(found)
+            return out
+
+        return call
+
+    kind = "array<struct<pos:int,link:string,title:string,date:string>>"
+    return strings.withColumn("__found", score_column(make, kind, F.col(query))).select(*strings.columns, F.explode("__found").alias("r")).select(*strings.columns, "r.*")
+
+
 def table_search(strings: DataFrame, results: DataFrame, per_page: int = 10, pages: int = 3) -> DataFrame:
     """An offline search provider: results(query, pos, link, title, date) stand in for a web API; at most `pages` pages a query."""
     return strings.join(results.filter(F.col("pos") < per_page * pages), "query")
 
 
-#: Names under which attribution methods, datasets and metrics are looked up; callers add their own.
+#: Scorers by kind and name: builders that run on the worker.
 REGISTRY: dict[str, dict[str, Callable]] = {
     "entail": {"lexical": lambda: lexical_entailment},
     "embed": {"hash": hash_embedding},
-    "judge": {"lexical": lambda: lexical_judge},
+    "judge": {"lexical": lambda: lexical_judge, "lexical_usage": lambda: judge_with_usage},
+    "facts": {"clauses": lambda: fact_writer},
+    "queries": {"triples": lambda: query_writer},
+    "cite": {"overlap": index_writer()},
+    "logprobs": {"verdict": token_logprobs(("SUP", "CON", "REF", "NEE")), "abstain": token_logprobs(("yes", "no")), "verdict_3": token_logprobs(("SUP", "CON", "REF"))},
+    "logits": {"verdict": last_token_logits(4)},
 }
+
+
+def registered(kind: str, name: str) -> Callable[[], Scorer]:
+    """The builder of a scorer; an unknown name names those that exist."""
+    found = REGISTRY.get(kind, {})
+    if name not in found:
+        raise KeyError(f"no {kind} scorer {name!r}; there are {sorted(found)}")
+    return found[name]
