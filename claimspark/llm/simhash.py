@@ -31,10 +31,10 @@ from .common import materialise, parts_for, short_batches, table
 RADIUS = 3
 SHINGLE = 3
 SAMPLE = 16_384
-#: Fingerprints sampled at most (2 MB on the driver); they make 65,536 leaves, enough for two billion distinct fingerprints.
+#: Fingerprints sampled at most (2 MB on the driver); they make 65,536 leaves; beyond half a billion distinct fingerprints leaves grow.
 MOST = 262_144
 LEAST = 4
-LEAF = 32_000
+LEAF = 8_000
 BLOCK = 512
 #: Ways that a component's rows are split where they meet its id.
 SALTS = 16
