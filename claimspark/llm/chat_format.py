@@ -5,14 +5,15 @@ the others as named users; system turns stay system turns and are no participant
 turn in one perspective: the rendered segment, its place in the rendered dialogue (0-based character
 offsets [start, end)) and the mask, true where the assistant of this perspective speaks.
 
-Offsets are prefix sums over a conversation of any length. A conversation is cut into cells: a turn
-number, and for turns that share one, SALTS classes of their text's hash. Cells are counted without
-their texts; their sizes are summed inside blocks of BLOCK turn numbers and the blocks inside
-conversations. Texts are dealt out once, by cell, so that no task gathers a whole conversation.
+Offsets are prefix sums over a conversation of any length. Equal rows are counted before the first shuffle
+and dealt out again from their number, so that a turn in a third of all rows is one row. A conversation is
+cut into cells: a turn number, and for turns that share one, the first PREFIX bytes of their text, which
+keep the order. Cells are counted without their texts; their sizes are summed inside blocks of BLOCK turn
+numbers and the blocks inside conversations. Texts meet by cell, so that no task gathers a conversation.
 
-Turns are ordered by turn number; equal numbers by
-their text's hash class, text and role; a null turn comes last, null roles and texts are empty strings.
-Repeated rows are kept. A null conversation id is one conversation of its own. A conversation without
+Turns are ordered by turn number; equal numbers by text, then role; a null turn comes last, null roles and
+texts are empty strings; texts of any length stay whole, and stand as they are: marks in them are not
+escaped. Repeated rows are kept. A null conversation id is one conversation of its own. A conversation without
 participants (system turns only) has no perspectives and gives no rows. Empty tables give empty
 results. Other columns, also those with clashing names, are not read.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BLOCK = 256
-SALTS = 64
+PREFIX = 7
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -44,10 +45,12 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         F.coalesce(F.col(turn).cast("long"), F.lit((1 << 63) - 1)).alias("at"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    ).withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    )
+    prefix = F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, PREFIX)), 2 * PREFIX, "0")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("salt", F.conv(prefix, 16, 10).cast("long"))
     cell = ["c", "at", "salt"]
     who = rows.filter(F.col("role") != system).select("c", F.col("role").alias("perspective")).distinct()
-    counted = rows.groupBy(*cell, "role").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    counted = rows.groupBy(*cell, "role").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.length("text")).alias("chars"))
     frame = F.length(segment(F.col("role"), F.lit(""), F.col("perspective"), system))
     cells = (
         counted.join(who, "c")
@@ -65,16 +68,18 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     own = Window.partitionBy(*cell, "perspective").orderBy("text", "role").rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.repartition(*cell).join(start, cell).withColumn("segment", segment(F.col("role"), F.col("text"), F.col("perspective"), system))
     size = F.length("segment").cast("long")
-    return seen.withColumns({"own_n": F.count("*").over(own), "begin": F.col("offset") + before(size, own)}).select(
+    placed = seen.withColumns({"own_n": before("n", own), "begin": F.col("offset") + before(F.col("n") * size, own)})
+    each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    return each.select(
         "conv_id",
         "perspective",
-        (F.col("first") + F.col("own_n")).alias("seq"),
+        (F.col("first") + F.col("own_n") + F.col("j")).alias("seq"),
         "turn",
         "role",
         "segment",
         (F.col("role") == F.col("perspective")).alias("mask"),
-        F.col("begin").alias("start"),
-        (F.col("begin") + size).alias("end"),
+        (F.col("begin") + F.col("j") * size).alias("start"),
+        (F.col("begin") + (F.col("j") + 1) * size).alias("end"),
     )
 
 
@@ -88,7 +93,7 @@ w AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
 s AS (SELECT t.conv_id, perspective, turn, role, text,
              '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
              ELSE 'user name=' || role END || chr(10) || text || '<|im_end|>' || chr(10) AS segment
-      FROM t JOIN w ON t.conv_id = w.conv_id),
+      FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
 p AS (SELECT *, row_number() OVER o - 1 AS seq, sum(length(segment)) OVER o AS upto
       FROM s WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn, text, role ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, seq::BIGINT AS seq, turn, role, segment, (role = perspective) AS mask,
