@@ -471,24 +471,28 @@ def evaluate(block: Block, model: Model, answers: list[bytes | None], order: int
     }
 
 
-def to_blocks(it):
-    """Rows (id, held out, text) of a task to block rows."""
-    task, n, rows, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def row():
-        block = Block.of(rows)
-        return pa.RecordBatch.from_pylist([{"block": task << 24 | n, "tokens": len(block.tokens), "texts": int((~block.held).sum()), "body": block.dump()}], BLOCKS)
-
-    for b in it:
-        for i, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            rows.append((i, h, words))
-            size += len(words) + 1
-            if size >= BLOCK_TOKENS:
-                yield row()
-                n, rows, size = n + 1, [], 0
-    if rows:
-        yield row()
+def to_blocks(most: int):
+    """Rows (id, held out, text) of a task to block rows of about `most` tokens."""
+
+    def blocks(it):
+        task, n, rows, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row():
+            block = Block.of(rows)
+            return pa.RecordBatch.from_pylist([{"block": task << 24 | n, "tokens": len(block.tokens), "texts": int((~block.held).sum()), "body": block.dump()}], BLOCKS)
+
+        for b in it:
+            for i, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                rows.append((i, h, words))
+                size += len(words) + 1
+                if size >= most:
+                    yield row()
+                    n, rows, size = n + 1, [], 0
+        if rows:
+            yield row()
+
+    return blocks
 
 
 def totals(answers: DataFrame, n: int) -> list[int]:
@@ -501,7 +505,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
     short_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("string").alias("i"), (remainder(F.col(doc_id), folds) == held).alias("h"), F.col(text).cast("string").alias("t"))
     buckets = min(max(12, 2 * source.rdd.getNumPartitions()), 100_000)
-    raw = bucketed(source.mapInArrow(to_blocks, "block long, tokens long, texts long, body binary"), "block", buckets)
+    raw = bucketed(source.mapInArrow(to_blocks(BLOCK_TOKENS), "block long, tokens long, texts long, body binary"), "block", buckets)
     sums = raw.agg(F.sum("tokens"), F.sum("texts")).first()
     parts = parts_for(sums[0] or 0, PART_TOKENS, 12)
     tasks = parts_for(sums[0] or 0, 4 * PART_TOKENS, 12)

@@ -273,6 +273,9 @@ def op3_secret_scan(spark, sf_dir) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets in the texts give way to MASK; no document goes."""
+    """Pipeline stage: secrets in the texts give way to MASK; no document goes and every column stays, whatever its name."""
     columns = docs.columns
-    return scan(docs).select(*[F.col("redacted").alias(c) if c == "text" else F.col(c) for c in columns])
+    at = columns.index("text")
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    found = scan(named, f"c{at}")
+    return found.select(*[F.col("redacted" if k == at else f"c{k}").alias(c) for k, c in enumerate(columns)])
