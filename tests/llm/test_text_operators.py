@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from claimspark.llm import byte_bpe, decontaminate, katz, quality_rules, secret_scan, simhash, substring_dedup
+from claimspark.llm import byte_bpe, decontaminate, katz, mail, quality_rules, secret_scan, simhash, substring_dedup
 from tests.compare import DATA
 
 LONG = " ".join(f"word{i % 977} next{i % 13}" for i in range(20_000))
@@ -139,6 +139,21 @@ def test_decontamination(spark, docs, none):
     assert cleaned[7].text == "before that  after, it" and cleaned[7].extra == "z" and cleaned[4].text == LONG
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    names = ("n_words", "hits", "item_ids", "__over", "t", "c0", "ids")
+    clash = docs.withColumns({c: F.lit(c) for c in names})
+    same = decontaminate.decontaminate(clash, bench)
+    assert same.columns == clash.columns and {tuple(r[3:]) for r in same.collect()} == {names}
+    found = decontaminate.contamination(clash, bench, carry=("doc_id", *names))
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in found.collect()) == sorted((str(w[0]), w[1], w[2]) for w in want)
+    long_item = spark.createDataFrame([(9, " ".join(LONG.split()[100:400]))], "item_id long, text string")
+    counts = []
+    for limit in (10_000, 50):  # an item longer than an automaton may be is cut into pieces that share their windows
+        decontaminate.MAX_TOKENS, old = limit, decontaminate.MAX_TOKENS
+        r = decontaminate.contamination(docs, long_item).filter("doc_id = 4").first()
+        decontaminate.MAX_TOKENS = old
+        counts.append((r.n_hit, r.n_items))
+    assert counts[0] == counts[1] and counts[0][0] >= 300 and counts[0][1] == 1
+
 
 
 def test_katz(docs, none):
@@ -223,6 +238,47 @@ def test_katz_orders(spark, order, monkeypatch):
     assert got == pytest.approx({r[0]: x for r, x in zip(rows, want, strict=True)}, rel=1e-9)
 
 
+def test_katz_with_many_parts(spark, monkeypatch):
+    """More partitions than entries a block: messages of a few records; clashing names aren't read."""
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(katz, "PART_TOKENS", 2)
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice("a b c d e f".split()) if rnd.random() < 0.6 else f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(30))), "") for i in range(140)]
+    want, _, _ = plain_katz(rows, 3)
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"block": F.lit("x"), "part": F.lit(1), "score": F.lit(None)}).repartition(2)
+    got = {r.doc_id: r.score for r in katz.score(df, order=3).collect()}
+    assert got == pytest.approx({r[0]: x for r, x in zip(rows, want, strict=True)}, rel=1e-9)
+
+
+def test_substring_dedup_with_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(substring_dedup, "PART_ENTRIES", 2)
+    rows = [(4, LONG[:30_000], "y"), (20, "ab" * 300, ""), (22, LONG[500:3000], ""), (None, LONG[29_000:40_000], ""), (22, "x" + LONG[100:2500], "")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"block": F.lit("x"), "bytes": F.lit(1)})
+    got = sorted((str(r.doc_id), r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in substring_dedup.remove_repeats(df, 60).collect())
+    assert got == sorted((str(i), *b) for (i, _, _), b in zip(rows, brute_removed([(t or "").encode() for _, t, _ in rows], 60), strict=True))
+
+
+def test_messages():
+    """Both ways of writing messages give the columns back, whatever their sizes and order."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for entries in (0, 1, 40, 4000):
+        parts = np.sort(rng.integers(0, 30, entries))
+        names = np.unique(parts)
+        a, b = rng.integers(-(1 << 62), 1 << 62, entries), rng.integers(0, 1 << 63, entries).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        for thin in (1, 10_000_000):
+            mail.THIN, old = thin, mail.THIN
+            batch = mail.letters(7, names, mail.Sheet([a, b], mail.sizes_of(parts, names)), (True, False), mail.Sheet([names], np.ones(len(names), np.int64)), (True,))
+            mail.THIN = old
+            rows = pa.Table.from_batches([batch]).take(pa.array(rng.permutation(len(names))))
+            blocks, got, x, y = mail.read(rows, (True, False), (True,))
+            assert (blocks == 7).all() and (np.sort(got) == names).all()
+            found = mail.in_order(x, got)
+            assert (found[0] == a).all() and (found[1].view(np.uint64) == b).all() and (mail.in_order(y, got)[0] == names).all()
+
+
 def test_katz_query_uses_trigrams(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got, three = ({r.doc_id: r.score for r in x.collect()} for x in (katz.op4_katz(spark, DATA), katz.score(docs, order=3)))
@@ -342,6 +398,87 @@ def test_secret_scan(spark, docs, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def plain_features(token, before):
+    """The forest's features by their definitions, without patterns."""
+    kind = lambda c: "9" if c in "0123456789" else "a" if c in "abcdefghijklmnopqrstuvwxyz" else "A" if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c
+    kinds, n = [kind(c) for c in token], len(token)
+    changes = sum(1 for k in range(1, n) if kinds[k] != kinds[k - 1])
+    left, at, low = 0, 0, token.lower()
+    parts = secret_scan.DICTIONARY.split("|")
+    while at < n:  # the leftmost part of the list that begins here goes
+        hit = next((p for p in parts if low.startswith(p, at)), None)
+        left, at = (left, at + len(hit)) if hit else (left + 1, at + 1)
+    run = best = 0
+    for k in kinds:
+        run = run + 1 if k in "aA" and len(k) == 1 and k.isalpha() else 0
+        best = max(best, run)
+    # an equals sign or colon, up to three blanks, a quote or none
+    end = before[:-1] if before[-1:] in ('"', "'") else before
+    bare = end.rstrip()
+    assigned = bare[-1:] in ("=", ":") and bare != "" and len(end) - len(bare) <= 3
+    stem = len(before)
+    while stem and not before[stem - 1].isalnum():
+        stem -= 1
+    near = len(before) - stem <= 8
+    head = before[:stem].lower()
+    word = lambda w: head.endswith(w) and not (head[: -len(w)][-1:].isalnum() or head[: -len(w)][-1:] == "_")
+    return (
+        float(n),
+        changes / n,
+        kinds.count("9") / n,
+        kinds.count("A") / n,
+        1 - left / n,
+        float(best),
+        float(token.count("/") + token.count(".")),
+        float(near and any(head.endswith(w) for w in secret_scan.SECRET_WORDS.split("|"))),
+        float(near and any(map(word, secret_scan.HARMLESS_WORDS.split("|")))),
+        float(assigned),
+        float(set(token) <= set("0123456789abcdef-") or set(token) <= set("0123456789ABCDEF-")),
+        float(token.startswith(("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sk-", "sk_live_", "AIza", "eyJ")) or any(token.startswith(f"xox{c}-") for c in "abprs")),
+    )
+
+
+def plain_candidates(text):
+    """(start, token): runs of token characters, twelve or more, with a letter and a digit, or an access-key id."""
+    allowed, at = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-"), 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        run = text[at:end]
+        key_id = len(run) == 20 and run[:4] in ("AKIA", "ASIA") and all(c.isupper() or c.isdigit() for c in run)
+        if key_id or len(run) >= 12 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+            pad = end
+            while pad < len(text) and pad - end < 2 and text[pad] == "=":
+                pad += 1
+            yield at, text[at:pad].rstrip(".")
+        at = max(end, at + 1)
+
+
+def test_secret_scan_by_brute_force(spark):
+    """Every candidate and its vote, against a scan character by character and trees walked over plainly computed features."""
+    forest, rnd = secret_scan.train_forest(), random.Random(12)
+    texts = []
+    for _ in range(40):
+        parts = [f"{before}{token}" for token, before, _ in rnd.sample(secret_scan.labelled_findings(400, seed=rnd.randrange(1000)), 6) if not token.startswith("-----")]
+        texts.append(" ".join(f"{x} {rnd.choice(['then', 'and', 'so'])}" for x in parts))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", secret_scan.findings(F.col("text")).alias("f")).collect()
+    n = 0
+    for r in got:
+        text = texts[r.i]
+        want = [(t, text[max(0, s - secret_scan.CONTEXT) : s]) for s, t in plain_candidates(text)]
+        assert [(x.token, x.before) for x in r.f] == want
+        for x, (token, before) in zip(r.f, want, strict=True):
+            votes = []
+            for tree in forest:
+                while isinstance(tree, tuple):
+                    tree = tree[2] if plain_features(token, before)[tree[0]] <= tree[1] else tree[3]
+                votes.append(tree)
+            assert x.score == pytest.approx(sum(votes) / len(votes)), (token, before)
+            n += 1
+    assert n > 150
+
+
 def redactions(spark, *texts):
     got = secret_scan.scan(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)).collect()
     return [r.redacted for r in sorted(got, key=lambda r: r.doc_id)]
