@@ -45,10 +45,10 @@ def masked_score_sum(spark, d):
     return outcomes(spark, d).select(*KEYS, "mask_id", F.round("f_hat", 6).alias("f_hat"))
 
 
-@query(f"WITH {GRID_SQL} SELECT conv_id, sent_idx, mask_id, round((whole - lp) / 4, 6) AS drop FROM (SELECT *, max(CASE WHEN mask_id = 0 THEN lp END) OVER (PARTITION BY conv_id, sent_idx) AS whole FROM lp) WHERE mask_id <> 0")
+@query(f"WITH {GRID_SQL} SELECT conv_id, sent_idx, mask_id, round((whole - lp) / 4, 6) + 0 AS drop FROM (SELECT *, max(CASE WHEN mask_id = 0 THEN lp END) OVER (PARTITION BY conv_id, sent_idx) AS whole FROM lp) WHERE mask_id <> 0")
 def logprob_drop(spark, d):
     rows = outcomes(spark, d).withColumn("n", F.lit(4.0))
-    return metrics.drop_from_full(rows, KEYS, "mask_id", "lp", "n").select(*KEYS, "mask_id", F.round("drop", 6).alias("drop"))
+    return metrics.drop_from_full(rows, KEYS, "mask_id", "lp", "n").select(*KEYS, "mask_id", (F.round("drop", 6) + 0.0).alias("drop"))
 
 
 @query(f"""WITH {SCORES_SQL}, t AS (SELECT conv_id, sent_idx, sum(score) AS s, sum(score * score) AS q FROM sc GROUP BY ALL)
