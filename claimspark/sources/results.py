@@ -7,7 +7,9 @@ read the two shapes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ATTRIBUTIONS = """metadata STRUCT<dataset: STRING, model: STRING>, results ARRAY<STRUCT<instance_idx: INT, query: STRING, model_answer: STRING,
@@ -73,6 +75,51 @@ def seeded_sample(rows: DataFrame, row_id: str, most: int = 1000, seed: int = 0)
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), row_id).limit(most)
 
 
+@dataclass(frozen=True)
+class Dataset:
+    """Where instances come from: a table, which of its columns are context, question, claim and label, and what is left out."""
+
+    table: str
+    context: str
+    question: str = "CAST(NULL AS STRING)"
+    claim: str = "CAST(NULL AS STRING)"
+    label: str = "CAST(NULL AS STRING)"
+    keep: str = "true"
+
+
+#: Datasets by name, as SQL expressions over their tables; callers add their own.
+DATASETS: dict[str, Dataset] = {
+    "summaries": Dataset("documents", "text"),
+    "claims": Dataset("benchmark", "text", claim="text"),
+    "web_evidence": Dataset("pages", "html", claim="url"),
+    "chats": Dataset("conversations", "text", question="role"),
+    "stances": Dataset("documents", "text", label="lang", keep="size(filter(split(text, '[.!?]'), s -> trim(s) <> '')) >= 5"),
+}
+
+
+def load_dataset(spark: SparkSession, folder: str, name: str, n_samples: int = -1, start: int = 0, seed: int = 0, most: int = 1000) -> DataFrame:
+    """(instance_idx, dataset, context, query, claim, label): a named dataset's instances in a seeded order.
+
+    The filter of the dataset comes first, then a seeded permutation cut to `most`, then the slice from
+    `start` of n_samples (-1: all); slices of one seed fit together.
+    """
+    if name not in DATASETS:
+        raise KeyError(f"no dataset {name!r}; there are {sorted(DATASETS)}")
+    d = DATASETS[name]
+    rows = spark.read.parquet(f"{folder}/{d.table}.parquet").filter(d.keep)
+    taken = rows.select(*[F.expr(x).alias(n) for n, x in (("context", d.context), ("query", d.question), ("claim", d.claim), ("label", d.label))])
+    keyed = taken.withColumn("key", F.xxhash64(F.lit(seed), *taken.columns))
+    order = Window.orderBy("key", *taken.columns)
+    numbered = keyed.orderBy("key", *taken.columns).limit(most).withColumn("instance_idx", F.row_number().over(order) - 1)  # at most `most` rows
+    stop = most if n_samples < 0 else start + n_samples
+    return numbered.filter((F.col("instance_idx") >= start) & (F.col("instance_idx") < stop)).select("instance_idx", F.lit(name).alias("dataset"), *taken.columns)
+
+
+def write_ordered(df: DataFrame, path: str, by: str) -> None:
+    """Rows in the order of a column: range-partitioned, so that files follow each other and each is sorted."""
+    df.orderBy(by).write.mode("overwrite").json(path)
+
+
 def kind_of(url: Column) -> Column:
     from ..functions.text import is_pdf
 

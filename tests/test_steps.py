@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import judge
 from claimspark.operators import attribution, chunking, citations, dedup, metrics, presentation, ranking
-from claimspark.sources import scorers
+from claimspark.sources import results, scorers
 
 
 def test_dense_scores_in_blocks(spark, monkeypatch):
@@ -160,3 +160,16 @@ def test_ranges_and_partitions(spark):
 def test_labels_outside_the_list(spark):
     assert spark.range(1).select(judge.one_hot(F.lit("other"), ("a", "b")).alias("x")).first().x is None
     assert pd.Series(scorers.label_writer(("a", "b"))()([("one two",), ("one",)])).tolist() == ["a", "b"]
+
+
+def test_datasets(spark, tmp_path):
+    from .compare import DATA
+
+    rows = lambda **more: [(r.instance_idx, r.context) for r in results.load_dataset(spark, DATA, "summaries", **more).orderBy("instance_idx").collect()]
+    whole = rows()
+    assert [i for i, _ in whole] == list(range(200)) and rows(n_samples=5, start=3) == whole[3:8] and rows(seed=1) != whole
+    assert 0 < results.load_dataset(spark, DATA, "stances").count() < 200
+    with pytest.raises(KeyError, match="chats"):
+        results.load_dataset(spark, DATA, "none")
+    results.write_ordered(spark.range(50).orderBy(F.desc("id")), f"{tmp_path}/o", "id")
+    assert [r.id for r in spark.read.json(f"{tmp_path}/o").collect()] == list(range(50))
