@@ -94,16 +94,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def stable_order(key: np.ndarray, top: int) -> np.ndarray:
+    """The stable order of keys below `top`."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if top.bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)  # values and places as one number
+
+
 def group(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys in order, where each first stands, the group of each); keys are below `top`."""
-    n = len(key)
-    bits = max(n - 1, 1).bit_length()
-    if top.bit_length() + bits <= 63:  # sort values and places as one number
-        both = np.sort(key << bits | np.arange(n))
-        order, k = both & ((1 << bits) - 1), both >> bits
-    else:
-        order = np.argsort(key, kind="stable")
-        k = key[order]
+    n, order = len(key), stable_order(key, top)
+    k = key[order]
     new = np.ones(n, bool)
     new[1:] = k[1:] != k[:-1]
     inverse = np.empty(n, np.int64)
@@ -209,7 +211,11 @@ class Block:
         h, number = level.h[asked], self.number[level.w[asked]]
         spread = np.minimum(1 + below.count * 4 * model.parts // max(model.tokens, 1), model.parts)
         part = (below.part[h] + number % spread[h]) % model.parts
-        order = by_part(part)
+        # by part, name and follower, as the answers are sorted: names of spread histories aren't in local order
+        width = len(below.count)
+        rank = np.empty(width, np.int64)
+        rank[np.argsort(below.name, kind="stable")] = np.arange(width)
+        order = stable_order(part * width + rank[h], model.parts * width)
         asked, h, part = asked[order], h[order], part[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
@@ -220,7 +226,6 @@ class Block:
         every = np.repeat(wide, spread[wide])
         offset = np.arange(len(every)) - np.repeat(np.cumsum(spread[wide]) - spread[wide], spread[wide])
         other = (below.part[every] + offset) % model.parts
-        width = len(below.count)
         lacking = ~np.isin(other * width + every, h_part * width + h_own)
         h_part, h_own = np.concatenate([h_part, other[lacking]]), np.concatenate([h_own, every[lacking]])
         follow = np.concatenate([follow, np.zeros(lacking.sum(), np.int64)])
