@@ -165,8 +165,11 @@ def test_chat_edges_equal_sql(spark, tmp_path):
 
     con = duckdb.connect()
     conversations = df.toArrow()  # noqa: F841 - the SQL reads it by name
-    got, want = chat_format.rotate(df).toPandas(), con.sql(catalog.ORACLE_SQL["op8_chat_format"]).df()
-    assert rows_of(got) == rows_of(want)
+    out, found = chat_format.rotate(df), con.sql(catalog.ORACLE_SQL["op8_chat_format"])
+    names = sorted(out.columns)
+    assert names == sorted(found.columns)
+    want = found.select(*[f'"{c}"' for c in names]).fetchall()
+    assert sorted(map(repr, map(tuple, out.select(*names).collect()))) == sorted(map(repr, want))
 
 
 def test_long_conversation_offsets(spark):
