@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import judge, text
 from ..operators import citations, metrics, presentation
 from ..sources import scorers
-from .bindings import SCORES_SQL, overlap_scores, sent_sql, statements, table, tok_sql
+from .bindings import overlap_scores, sent_sql, statements, table, tok_sql
 from .registry import query
 from .sequence import SELECT_SQL, _citations
 

@@ -9,7 +9,6 @@ from ..operators import metrics
 from .bindings import SCORES_SQL, SENTENCES_SQL, overlap_scores, sources, table
 from .registry import query
 from .scalars import SOFT_SQL, verdicts
-from .sequence import _citations
 
 #: Truth: twice the quality plus the toxicity label; prediction: a bucket of the text's length.
 PAIRS_SQL = "pr AS (SELECT l.doc_id, (2 * quality + toxic)::INT AS t, (n_chars % 4)::INT AS p FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
