@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The documented sentence rule, used wherever sentences are counted: text up to and with its closing marks.
-SENTENCE = r"[^.!?。！？；]+[.!?。！？；]*"
+#: The documented sentence rule, used wherever sentences are counted. A mark, with what closes after it, ends a sentence
+#: where white space follows, a CJK mark anywhere. The period of an initial doesn't, nor that of a number or
+#: of an ellipsis before a small letter: such periods are held as HELD while the text is cut at CUT.
+HELD, CUT = "\x1e", "\x1f"
+NO_END = (r"(^|[^\p{L}\p{N}])(\p{L})\.(\s)", r"(^|[^\p{L}\p{N}.])(\p{N}+)\.(\s+\p{Ll})", r"(\.)(\.)\.(\s+\p{Ll})")
+END = (r"([.!?][.!?\"')\]}»”’]*)(\s)", r"([。！？；])()")
 #: Escapes in their order; the ampersand comes first so that later escapes stay whole.
 HTML_ESCAPES = (("&", "&amp;"), ("'", "&apos;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br>"), ("$", "&#36;"))
 
@@ -43,10 +47,37 @@ def claim_of_query(query: Column) -> Column:
     return F.regexp_extract(query, r"(?s)\n\nClaim: (.+)", 1)
 
 
-def sentences(text: Column) -> Column:
-    """array<string>: the stripped sentences, blanks dropped."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    return F.filter(found, lambda s: s != "")
+def _held(text: Column, pattern: str | Column) -> Column:
+    """The periods between group 2 and group 3 of the pattern, held; twice, since neighbours share their white space."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    for _ in range(2):
+        text = F.regexp_replace(text, pattern, F.lit(f"$1$2{HELD}$3"))
+    return text
+
+
+def _pieces(text: Column, separator: str) -> Column:
+    return F.filter(F.transform(F.split(text, separator), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def sentences(text: Column, abbreviation: Column | None = None, starter: Column | None = None, pairs: Column | None = None) -> Column:
+    """array<string>: the stripped sentences, blanks dropped; a text of one sentence is cut at empty lines.
+
+    Patterns learned by `operators.boundaries` may say more: abbreviations whose period ends no sentence, starters
+    before which it does, and pairs that belong together all the same. With them no text is cut at empty lines.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    out = whole
+    if abbreviation is not None:
+        out = F.regexp_replace(_held(out, abbreviation), starter, F.lit(".$1$2$3"))
+        out = F.aggregate(pairs, out, lambda t, p: _held(t, p))
+    for pattern in NO_END:
+        out = _held(out, pattern)
+    for pattern in END:
+        out = F.regexp_replace(out, pattern, f"$1{CUT}$2")
+    found = _pieces(F.replace(out, F.lit(HELD), F.lit(".")), CUT)
+    if abbreviation is not None:
+        return found
+    return F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) == 1, _pieces(whole, "\n\n")).otherwise(x)), F.lit(0))
 
 
 def tokens(text: Column) -> Column:

@@ -35,8 +35,34 @@ def overlap_scores(spark, sf_dir) -> DataFrame:
     return left.join(right, "conv_id").select("conv_id", "sent_idx", "source_idx", overlap(F.col("st"), F.col("so")).alias("score"))
 
 
+def held_sql(text: str, pattern: str) -> str:
+    for _ in range(2):
+        text = f"regexp_replace({text}, {pattern}, '\\1\\2' || chr(30) || '\\3', 'g')"
+    return text
+
+
+def pieces_sql(text: str, separator: str) -> str:
+    return f"list_filter(list_transform(string_split({text}, {separator}), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def cut_sql(text: str) -> str:
+    """The text, with chr(31) wherever a sentence ends."""
+    for pattern in ENDS_SQL:
+        text = f"regexp_replace({text}, {pattern}, '\\1' || chr(31) || '\\2', 'g')"
+    return f"replace({text}, chr(30), '.')"
+
+
+#: The sentence rule as DuckDB has it.
+HOLDS_SQL = (r"'(^|[^\p{L}\p{N}])(\p{L})\.(\s)'", r"'(^|[^\p{L}\p{N}.])(\p{N}+)\.(\s+\p{Ll})'", r"'(\.)(\.)\.(\s+\p{Ll})'")
+ENDS_SQL = (r"""'([.!?][.!?"'')\]}»”’]*)(\s)'""", r"'([。！？；])()'")
+
+
 def sent_sql(text: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all(coalesce({text}, ''), '[^.!?。！？；]+[.!?。！？；]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+    held = f"coalesce({text}, '')"
+    for pattern in HOLDS_SQL:
+        held = held_sql(held, pattern)
+    rows = pieces_sql(cut_sql(held), "chr(31)")
+    return f"(CASE WHEN len({rows}) = 1 THEN {pieces_sql(f"coalesce({text}, '')", "chr(10) || chr(10)")} ELSE {rows} END)"
 
 
 def tok_sql(text: str) -> str:

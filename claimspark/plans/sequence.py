@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences, text
-from ..operators import attribution, citations
-from .bindings import SCORES_SQL, SENTENCES_SQL, overlap_scores, sent_sql, sources, statements, table, tok_sql
+from ..operators import attribution, boundaries, citations
+from .bindings import HOLDS_SQL, SCORES_SQL, SENTENCES_SQL, cut_sql, held_sql, overlap_scores, sent_sql, sources, statements, table, tok_sql
 from .registry import query
 
 INSTANCE = ["conv_id", "sent_idx"]
@@ -40,6 +40,73 @@ def sentence_count_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n")).filter("n >= 5")
 
 
+#: A word as `operators.boundaries` sees it: other signs off its ends, one mark off its end, small letters.
+BARE_SQL = "regexp_replace(t, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}.!?]+$', '', 'g')"
+TIMES_SQL = "CASE WHEN {k} = 0 THEN 0 ELSE ({k}) * ln({p}) END"
+
+
+def association_sql(a: str, b: str, both: str, total: str) -> str:
+    a, b, both, total = (f"({x})::DOUBLE" for x in (a, b, both, total))
+    times = lambda k, p: TIMES_SQL.format(k=k, p=p)
+    ks = (both, f"{a} - {both}", f"{b} - {both}", f"{total} - {a} - {b} + {both}")
+    p, p1, p2 = f"{b} / {total}", f"{both} / {a}", f"({b} - {both}) / ({total} - {a})"
+    chance = [times(k, q) for k, q in zip(ks, (p, f"1 - {p}", p, f"1 - {p}"), strict=True)]
+    bound = [times(k, q) for k, q in zip(ks, (p1, f"1 - {p1}", p2, f"1 - {p2}"), strict=True)]
+    return f"round(-2 * ({' + '.join(chance)} - ({' + '.join(bound)})), 6)"
+
+
+BOUNDARIES_SQL = f"""w0 AS (SELECT doc_id, list_transform({tok_sql("text")}, lambda t: {BARE_SQL}) AS ts FROM documents),
+w1 AS (SELECT unnest(ts) AS t, unnest(list_append(ts[2:], NULL)) AS f FROM w0),
+w2 AS (SELECT lower(regexp_replace(t, '[.!?]$', '')) AS word, t LIKE '%.' AS period, regexp_matches(t, '[.!?]$') AS ends, lower(regexp_replace(f, '[.!?]$', '')) AS follower FROM w1),
+w3 AS (SELECT * FROM w2 WHERE regexp_matches(word, '{boundaries.WORD}')),
+wc AS (SELECT word, count(*) AS n, count(*) FILTER (WHERE period) AS k, length(replace(word, '.', '')) AS letters FROM w3 GROUP BY word),
+tt AS (SELECT sum(n)::DOUBLE AS total, sum(k)::DOUBLE AS periods FROM wc),
+ab AS (SELECT * FROM (SELECT word, round(-2 * (k * ln(periods / total) + (n - k) * ln(1 - periods / total) - k * ln(0.99::DOUBLE) - (n - k) * ln(0.01::DOUBLE)) * exp(-letters) * (length(word) - letters + 1) * pow(letters, -(n - k)), 6) AS score FROM wc, tt WHERE k > 0 AND periods < total) WHERE score >= {boundaries.ABBREVIATION} ORDER BY score DESC, word LIMIT {boundaries.MOST}),
+en AS (SELECT w3.*, period AND (ab.word IS NOT NULL OR length(w3.word) = 1) AS short FROM w3 LEFT JOIN ab ON ab.word = w3.word WHERE ends),
+s0 AS (SELECT follower AS word, count(*) AS first FROM en WHERE NOT short AND regexp_matches(follower, '{boundaries.WORD}') GROUP BY ALL),
+st AS (SELECT word, score FROM (SELECT s0.word, {association_sql("e", "n", "first", "total")} AS score FROM s0 JOIN wc ON wc.word = s0.word, tt, (SELECT count(*) AS e FROM en WHERE NOT short) WHERE total * first > n * e) WHERE score >= {boundaries.STARTER} ORDER BY score DESC, word LIMIT {boundaries.MOST}),
+b0 AS (SELECT word, follower, count(*) AS met FROM en WHERE short AND regexp_matches(follower, '{boundaries.WORD}') GROUP BY ALL HAVING count(*) > 1),
+pr AS (SELECT word, follower, score FROM (SELECT b0.word, b0.follower, {association_sql("x.n", "y.n", "met", "total")} AS score FROM b0 JOIN wc x ON x.word = b0.word JOIN wc y ON y.word = b0.follower, tt WHERE total * met > x.n * y.n) WHERE score >= {boundaries.PAIR} ORDER BY score DESC, word, follower LIMIT {boundaries.MOST})"""
+LEARNED = ("abbreviations", "starters", "pairs")
+
+
+@query(f"WITH {BOUNDARIES_SQL} SELECT 'abbreviations' AS kind, word, NULL AS follower, score FROM ab UNION ALL SELECT 'starters', word, NULL, score FROM st UNION ALL SELECT 'pairs', word, follower, score FROM pr")
+def boundary_model(spark, d):
+    """What the documents teach about sentence ends: abbreviations, words that begin sentences, pairs around a period."""
+    found = boundaries.learn(table(spark, d, "documents"))
+    out = None
+    for kind in LEARNED:
+        rows = found[kind].select(F.lit(kind).alias("kind"), "word", (F.col("follower") if kind == "pairs" else F.lit(None).cast("string")).alias("follower"), "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def trained_sql() -> str:
+    held = held_sql("coalesce(text, '')", "pa")
+    held = f"regexp_replace({held}, ps, '.\\1\\2\\3', 'g')"
+    held = f"list_reduce(list_concat([{held}], pp), lambda t, p: {held_sql('t', 'p')})"
+    for pattern in HOLDS_SQL:
+        held = held_sql(held, pattern)
+    return cut_sql(held)
+
+
+@query(rf"""WITH {BOUNDARIES_SQL}, m AS (SELECT coalesce((SELECT '(^|[^\p{{L}}\p{{N}}.])((?i:' || string_agg(replace(word, '.', '\.'), '|' ORDER BY word) || '))\.(\s)' FROM ab), chr(31) || chr(31)) AS pa,
+coalesce((SELECT chr(30) || '(\s+)(' || string_agg(upper(word[1]) || replace(word, '.', '\.')[2:], '|' ORDER BY word) || ')([^\p{{L}}]|$)' FROM st), chr(31) || chr(31)) AS ps,
+coalesce((SELECT list('(^|[^\p{{L}}\p{{N}}.])((?i:' || replace(word, '.', '\.') || '))\.(\s+(?i:' || replace(follower, '.', '\.') || ')(?:[^\p{{L}}]|$))') FROM pr WHERE follower IN (SELECT word FROM st)), []::VARCHAR[]) AS pp),
+z AS (SELECT doc_id, string_split({trained_sql()}, chr(31)) AS ps FROM documents, m),
+y AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM z),
+x AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) + length(p) - length(regexp_replace(p, '^\s+', '')) AS start, regexp_replace(p, '^\s+|\s+$', '', 'g') AS s FROM y)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_idx, start::INT AS start, (start + length(s))::INT AS "end", s FROM x WHERE s <> ''""")
+def trained_sentences(spark, d):
+    """Sentences of the documents by boundaries learned from all of them, each found from the previous one's end on."""
+    docs = table(spark, d, "documents")
+    model = boundaries.patterns(*boundaries.learn(docs).values())
+    rows = boundaries.split(docs.select("doc_id", "text"), "text", model, "ss")
+    spans = sequences.chained_find(F.col("text"), F.col("ss"))
+    found = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("ss").alias("s"), spans.alias("at"))).alias("sent_idx", "x"))
+    return found.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), "x.at.start", "x.at.end", "x.s")
+
+
 @query(f"WITH {SCORES_SQL} SELECT conv_id, sent_idx, source_idx, round(score, 6) AS score FROM sc")
 def entailment_attr(spark, d):
     """Naive attribution: each statement against each source of its instance."""
