@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequences import dot, indices
+
 Entail = Callable[[str, str], float]
 
 
@@ -68,40 +69,75 @@ def outer_keep(grid: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame
     return grid.join(scores, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 200, tolerance: float = 1e-8) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of (1 / 2n) |y - xb - c|^2 + alpha |b|_1, by coordinate descent on centred columns."""
-    mean, offset = x.mean(0), y.mean()
-    xc, r = x - mean, y - offset
-    beta, size = np.zeros(x.shape[1]), (xc**2).sum(0)
-    for _ in range(rounds):
-        moved = 0.0
-        for j in range(len(beta)):
-            if size[j] == 0:
-                continue
-            rho = xc[:, j] @ r + size[j] * beta[j]
-            new = np.sign(rho) * max(abs(rho) - alpha * len(y), 0.0) / size[j]
-            if new != beta[j]:
-                r -= xc[:, j] * (new - beta[j])
-                moved, beta[j] = max(moved, abs(new - beta[j])), new
-        if moved < tolerance:
-            break
-    return beta, float(offset - mean @ beta)
-
-
-def sparse_surrogate(outcomes: DataFrame, keys: list[str], alpha: float = 0.01) -> DataFrame:
-    """(keys, source_idx, score): a sparse linear model of the log-probability under random ablations.
-
-    Rows of outcomes: keys, mask array<boolean> (true: kept), value. A group is one statement's ablations.
+def bitsets(masks: Column, n: Column) -> Column:
+    """array<array<long>>: for each of n sources the ablations that keep it, 64 to a number."""
+    words = indices(F.ceil(F.size(masks) / 64))
+
+    def word(j: Column, w: Column) -> Column:
+        kept = lambda b: F.coalesce(F.get(F.get(masks, w * 64 + b), j), F.lit(False))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda x, b: F.when(kept(b), x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(x))
+
+    return F.transform(indices(n), lambda j: F.transform(words, lambda w: word(j, w)))
+
+
+def sparse_fit(gram: Column, moment: Column, penalty: Column, rounds: int) -> Column:
+    """array<double>: coefficients that lower |y - xb|^2 / 2 + penalty |b|_1, by `rounds` sweeps of coordinate descent.
+
+    gram (array<array<double>>) and moment hold products of centred columns; a column without variance gets 0.
     """
+    start = F.transform(moment, lambda _: F.lit(0.0))
+
+    def update(b: Column, j: Column) -> Column:
+        row, own = F.get(gram, j), F.get(F.get(gram, j), j)
+        rest = F.get(moment, j) - dot(row, b) + own * F.get(b, j)
+        moved = lambda r: F.transform(b, lambda x, i: F.when(i != j, x).when(own > 1e-9, F.signum(r) * F.greatest(F.abs(r) - penalty, F.lit(0.0)) / own).otherwise(0.0))
+        return F.get(F.transform(F.array(rest), moved), F.lit(0))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(group["mask"].tolist(), float)
-        beta, _ = lasso(x, group["value"].to_numpy(float), alpha)
-        head = group[keys].iloc[[0] * len(beta)].reset_index(drop=True)
-        return head.assign(source_idx=range(len(beta)), score=beta)
+    sweep = lambda b, _: F.aggregate(indices(F.size(b)), b, update)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, sweep)
 
-    schema = outcomes.select(*keys).schema.add("source_idx", "integer").add("score", "double")
-    return outcomes.groupBy(*keys).applyInPandas(one, schema)
+
+#: Ablations a surrogate may see, the weight of its penalty, and its sweeps.
+BUDGETS, ALPHA, SWEEPS = (32, 64, 128, 256), 0.01, 30
+
+
+def surrogates(rows: DataFrame, masks: str, values: str, budgets: Column | None = None, alpha: float = ALPHA, rounds: int = SWEEPS) -> DataFrame:
+    """Rows of a statement and its ablations become (other columns, budget, source_idx, score), in the JVM.
+
+    masks array<array<boolean>> says what each ablation keeps, values what came of it; a budget (array<int>, else BUDGETS) sees the first so many.
+    Products of two sources' columns are counts of common bits, so that the ablations are read once a source and
+    not once a pair. The scores are those of (1 / 2 budget) |y - xb - c|^2 + alpha |b|_1.
+    """
+    others = [c for c in rows.columns if c not in (masks, values)]
+    n = F.size(F.get(masks, F.lit(0)))
+    budgets = F.array(*map(F.lit, BUDGETS)) if budgets is None else budgets
+    held = rows.withColumn("__bits", bitsets(F.col(masks), n)).withColumn("budget", F.explode(budgets))
+    size = F.col("budget").cast("double")
+    inside = lambda w: F.when(F.col("budget") >= 64 * (w + 1), F.lit(-1).cast("long")).when(F.col("budget") <= 64 * w, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("budget") - 64 * w) - 1)
+    cut = held.withColumn("__bits", F.transform("__bits", lambda ws: F.transform(ws, lambda x, w: x.bitwiseAND(inside(w)))))
+    both = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, c: s + c).cast("double")
+    cut = cut.withColumns({"__y": F.slice(values, 1, F.col("budget")), "__n": F.transform("__bits", lambda b: both(b, b))})
+    mean = F.aggregate("__y", F.lit(0.0), lambda s, y: s + y) / size
+    kept = lambda b, i: F.getbit(F.get(b, F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64)).cast("int"))
+    total = lambda b: F.aggregate(F.transform("__y", lambda y, i: F.when(kept(b, i) == 1, y).otherwise(0.0)), F.lit(0.0), lambda s, y: s + y)
+    cut = cut.withColumn("__mean", mean).withColumns(
+        {
+            "__gram": F.transform("__bits", lambda a, j: F.transform("__bits", lambda b, k: both(a, b) - F.get("__n", j) * F.get("__n", k) / size)),
+            "__moment": F.transform("__bits", lambda b, j: total(b) - F.get("__n", j) * F.col("__mean")),
+        }
+    )
+    fitted = cut.select(*others, "budget", sparse_fit(F.col("__gram"), F.col("__moment"), alpha * size, rounds).alias("__b"))
+    # outer: a plain generator filters on the size of its array first, and so fits it twice
+    return fitted.select(*others, "budget", F.posexplode_outer("__b").alias("source_idx", "score")).filter("source_idx IS NOT NULL")
+
+
+def sparse_surrogate(outcomes: DataFrame, keys: list[str], alpha: float = ALPHA, rounds: int = SWEEPS) -> DataFrame:
+    """(keys, source_idx, score): `surrogates` for rows (keys, mask array<boolean>, value), one an ablation; all of a group count.
+
+    A group is one statement's ablations.
+    """
+    packed = outcomes.groupBy(*keys).agg(F.collect_list("mask").alias("masks"), F.collect_list("value").alias("values"))
+    return surrogates(packed, "masks", "values", F.array(F.size("masks")), alpha, rounds).drop("budget")
 
 
 def window_means(window_scores: DataFrame, keys: list[str], index: str, score: str, length: int, n: str) -> DataFrame:

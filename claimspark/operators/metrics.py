@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import dot
+
 
 def classification_report(rows: DataFrame, truth: str, predicted: str, classes: list[int], zero: float | None = None) -> DataFrame:
     """One row a class (all classes, seen or not): precision, recall, f1, support. `zero` stands where a ratio is undefined."""
@@ -78,6 +80,28 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho"))
 
 
+def average_ranks(values: Column) -> Column:
+    """array<double>: the place of each value, equal values sharing the mean of theirs."""
+    up = F.array_sort(values)
+    both = F.struct(up.alias("up"), F.reverse(up).alias("down"), F.size(values).alias("n"))
+    place = lambda s: F.transform(values, lambda v: (F.array_position(s["up"], v) + s["n"] + 1 - F.array_position(s["down"], v)) / 2)
+    return F.get(F.transform(F.array(both), place), F.lit(0))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's coefficient of two arrays; null where either is constant."""
+    n = F.size(x)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+    def centred(a: Column) -> Column:
+        return F.get(F.transform(F.array(total(a) / n), lambda m: F.transform(a, lambda v: v - m)), F.lit(0))
+
+    def ratio(p: Column) -> Column:
+        return F.try_divide(dot(p["x"], p["y"]), F.sqrt(dot(p["x"], p["x"])) * F.sqrt(dot(p["y"], p["y"])))
+
+    return F.get(F.transform(F.array(F.struct(centred(x).alias("x"), centred(y).alias("y"))), ratio), F.lit(0))
+
+
 def log_prob(logit):
     """log p of a probability given as a logit."""
     return -F.log1p(F.exp(-logit))

@@ -10,34 +10,45 @@ from .bindings import SCORES_SQL, overlap_scores
 from .registry import query
 
 KEYS = ["conv_id", "sent_idx"]
-#: Random ablations an instance; the surrogate is fitted on fewer.
-MASKS, SURROGATE_MASKS = 128, 32
+#: Random ablations an instance; surrogates are fitted on the first of as many as the largest budget.
+MASKS, SURROGATE_MASKS = 128, max(attribution.BUDGETS)
 #: Deterministic masks: mask m keeps source j unless a hash of both is odd. The full mask is number 0.
 KEEP = "(mask_id = 0 OR ((mask_id * 2654435761 + source_idx * 40503 + mask_id * source_idx * 97) div 64) % 2 = 0)"
 KEEP_SQL = KEEP.replace(" div ", " // ")
 #: A closed-form stand-in for a model: the logit rises with the kept sources' scores, and not quite linearly.
-GRID_SQL = f"""{SCORES_SQL}, mk AS (SELECT unnest(range({MASKS + 1}))::BIGINT AS mask_id),
-g AS (SELECT conv_id, sent_idx, mask_id, source_idx, score, {KEEP_SQL} AS keep FROM sc, mk),
+MASKS_SQL = f"mk AS (SELECT unnest(range({MASKS + 1}))::BIGINT AS mask_id)"
+OUTCOMES_SQL = f"""g AS (SELECT conv_id, sent_idx, mask_id, source_idx, score, {KEEP_SQL} AS keep FROM sc, mk),
 ms AS (SELECT conv_id, sent_idx, mask_id, sum(CASE WHEN keep THEN score ELSE 0 END) AS f_hat, sum(CASE WHEN keep THEN score * score ELSE 0 END) AS sq FROM g GROUP BY ALL),
 lp AS (SELECT *, -ln(1 + exp(-(2 * f_hat - sq - 1))) AS lp FROM ms)"""
+GRID_SQL = f"{SCORES_SQL}, {MASKS_SQL}, {OUTCOMES_SQL}"
 
 
 def keeps(mask, source):
     """KEEP for a mask and a source index."""
-    return (mask == 0) | (F.floor((mask * 2654435761 + source * 40503 + mask * source * 97) / 64) % 2 == 0)
+    return (mask == 0) | (F.shiftright(mask * 2654435761 + source * (mask * 97 + 40503), 6).bitwiseAND(F.lit(1)) == 0)
 
 
-def ablations(spark, d, masks: int = MASKS):
-    """(keys, scores array<struct<source_idx, score>>, mask_id): a statement's scores stay one array, whatever the masks."""
+def packed_outcomes(spark, d, masks: int = MASKS):
+    """(keys, scores array<struct<source_idx, score>>, kept, outcome): a row a statement, whatever the masks.
+
+    kept holds for each mask the scores of the sources it keeps, 0 for the others; outcome f_hat, their sum, and lp,
+    the stand-in's log-probability.
+    """
     packed = overlap_scores(spark, d).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("source_idx", "score"))).alias("scores"))  # one instance's sources
-    return packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(masks)).cast("array<long>")).alias("mask_id"))
+    # a statement is a few numbers and much work: partitions by rows, not by bytes
+    packed = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+    each = F.sequence(F.lit(0), F.lit(masks)).cast("array<long>")
+    kept = F.transform(each, lambda m: F.transform("scores", lambda x: F.when(keeps(m, x["source_idx"]), x["score"]).otherwise(0.0)))
+    total = lambda k, f: F.aggregate(k, F.lit(0.0), lambda a, v: a + f(v))
+    sums = F.transform("kept", lambda k: F.struct(total(k, lambda v: v).alias("f_hat"), total(k, lambda v: v * v).alias("sq")))
+    lp = F.transform(sums, lambda x: F.struct(x["f_hat"].alias("f_hat"), metrics.log_prob(2 * x["f_hat"] - x["sq"] - 1).alias("lp")))
+    return packed.withColumn("kept", kept).withColumn("outcome", lp)
 
 
 def outcomes(spark, d, masks: int = MASKS):
-    """Adds f_hat, the sum of the kept sources' scores, and lp, the stand-in's log-probability."""
-    kept = lambda f: F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.when(keeps(F.col("mask_id"), x["source_idx"]), f(x["score"])).otherwise(0.0))
-    sums = ablations(spark, d, masks).withColumns({"f_hat": kept(lambda s: s), "sq": kept(lambda s: s * s)})
-    return sums.withColumn("lp", metrics.log_prob(2 * F.col("f_hat") - F.col("sq") - 1))
+    """(keys, mask_id, f_hat, lp): a row a mask."""
+    rows = packed_outcomes(spark, d, masks).select(*KEYS, F.posexplode_outer("outcome").alias("mask_id", "x"))  # outer: else the outcomes are worked out twice
+    return rows.select(*KEYS, F.col("mask_id").cast("long").alias("mask_id"), "x.f_hat", "x.lp")
 
 
 @query(f"WITH {GRID_SQL} SELECT conv_id, sent_idx, mask_id, round(f_hat, 6) AS f_hat FROM ms")
@@ -69,8 +80,10 @@ rank() OVER (PARTITION BY conv_id, sent_idx ORDER BY y) + (count(*) OVER (PARTIT
 SELECT conv_id, sent_idx, round(CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END, 6) AS lds FROM k GROUP BY ALL""")
 def lds_spearman(spark, d):
     """Rank correlation of measured and linear outcomes; null where one of them is constant."""
-    rows = outcomes(spark, d).select(*KEYS, F.round("lp", 9).alias("x"), F.round("f_hat", 9).alias("y"))
-    return metrics.spearman(rows, KEYS, "x", "y").select(*KEYS, F.round("rho", 6).alias("lds"))
+    side = lambda c: F.transform("outcome", lambda o: F.round(o[c], 9)).alias(c)
+    values = packed_outcomes(spark, d).select(*KEYS, side("lp"), side("f_hat"))
+    ranks = values.select(*KEYS, metrics.average_ranks(F.col("lp")).alias("x"), metrics.average_ranks(F.col("f_hat")).alias("y"))
+    return ranks.select(*KEYS, F.round(metrics.correlation(F.col("x"), F.col("y")), 6).alias("lds"))
 
 
 @query(f"""WITH {SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, sent_idx ORDER BY round(score, 6) DESC, source_idx DESC) AS rk FROM sc), ks AS (SELECT unnest([1, 3, 5])::INT AS k),
@@ -124,12 +137,31 @@ def invalid_row_accounting(spark, d):
     return values(spark, d).groupBy("method").agg(F.count("*").alias("total"), (F.count("*") - F.count("value")).alias("dropped"))
 
 
-@query()
+BUDGETS_SQL = ", ".join(map(str, attribution.BUDGETS))
+#: Products of centred columns depend on masks alone; moments and the descent are each statement's own.
+SURROGATE_SQL = f"""{SCORES_SQL}, mk AS (SELECT unnest(range({SURROGATE_MASKS + 1}))::BIGINT AS mask_id), {OUTCOMES_SQL}, bu AS (SELECT unnest([{BUDGETS_SQL}])::BIGINT AS budget),
+ix AS (SELECT unnest(range((SELECT max(source_idx) + 1 FROM sc)))::BIGINT AS source_idx), kp AS (SELECT mask_id, source_idx, {KEEP_SQL} AS keep FROM ix, mk WHERE mask_id > 0),
+gn AS (SELECT budget, a.source_idx AS j, b.source_idx AS k, count(*) FILTER (WHERE a.keep AND b.keep)::DOUBLE AS njk, count(*) FILTER (WHERE a.keep)::DOUBLE AS nj, count(*) FILTER (WHERE b.keep)::DOUBLE AS nk
+ FROM kp a JOIN kp b ON b.mask_id = a.mask_id JOIN bu ON a.mask_id <= budget GROUP BY ALL),
+gm AS (SELECT budget, list(gr ORDER BY j) AS gram, list(nj ORDER BY j) AS ns FROM (SELECT budget, j, list(njk - nj * nk / budget ORDER BY k) AS gr, any_value(nj) AS nj FROM gn GROUP BY budget, j) GROUP BY budget),
+sy AS (SELECT conv_id, sent_idx, budget, avg(lp) AS mean FROM lp JOIN bu ON mask_id BETWEEN 1 AND budget GROUP BY ALL),
+mo AS (SELECT g.conv_id, g.sent_idx, budget, g.source_idx, sum(CASE WHEN keep THEN lp ELSE 0 END) AS total FROM g JOIN lp ON lp.conv_id = g.conv_id AND lp.sent_idx = g.sent_idx AND lp.mask_id = g.mask_id JOIN bu ON g.mask_id BETWEEN 1 AND budget GROUP BY ALL),
+ml AS (SELECT mo.conv_id, mo.sent_idx, mo.budget, mean, gram, ns, list(total ORDER BY source_idx) AS totals FROM mo JOIN sy ON sy.conv_id = mo.conv_id AND sy.sent_idx = mo.sent_idx AND sy.budget = mo.budget JOIN gm ON gm.budget = mo.budget GROUP BY ALL),
+mc AS (SELECT conv_id, sent_idx, budget, gram, len(totals) AS n, list_transform(totals, lambda t, j: t - ns[j] * mean) AS c FROM ml),
+fi AS (SELECT conv_id, sent_idx, budget, n, list_reduce(list_concat([list_transform(c, lambda t: 0::DOUBLE)], list_transform(range({attribution.SWEEPS} * n), lambda s: [(s % n)::DOUBLE + 1])), lambda b, s:
+ list_transform(b, lambda x, i: CASE WHEN i <> s[1]::BIGINT THEN x WHEN gram[i][i] <= 1e-9 THEN 0
+ ELSE sign(c[i] - list_dot_product(gram[i][1:n], b) + gram[i][i] * x) * greatest(abs(c[i] - list_dot_product(gram[i][1:n], b) + gram[i][i] * x) - {attribution.ALPHA} * budget, 0) / gram[i][i] END)) AS beta FROM mc)"""
+
+
+@query(f"WITH {SURROGATE_SQL} SELECT conv_id, sent_idx, budget::INT AS budget, unnest(range(n))::INT AS source_idx, round(unnest(beta), 6) + 0 AS score FROM fi")
 def surrogate_attr(spark, d):
-    """A sparse linear surrogate of each statement's ablations."""
-    mask = F.transform("scores", lambda x: keeps(F.col("mask_id"), x["source_idx"]))
-    rows = outcomes(spark, d, SURROGATE_MASKS).select(*KEYS, mask.alias("mask"), F.col("lp").alias("value"))
-    return attribution.sparse_surrogate(rows, KEYS)
+    """Sparse linear surrogates of each statement's ablations, at every budget of calls."""
+    rows = packed_outcomes(spark, d, SURROGATE_MASKS)
+    ablated = lambda xs: F.slice(xs, 2, SURROGATE_MASKS)  # noqa: E731  the first keeps everything
+    each = F.sequence(F.lit(1), F.lit(SURROGATE_MASKS)).cast("array<long>")
+    masks = F.transform(each, lambda m: F.transform("scores", lambda x: keeps(m, x["source_idx"])))
+    packed = rows.select(*KEYS, masks.alias("masks"), F.transform(ablated("outcome"), lambda o: o["lp"]).alias("values"))
+    return attribution.surrogates(packed, "masks", "values").select(*KEYS, "budget", "source_idx", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query(f"WITH {SCORES_SQL} SELECT sc.conv_id, sent_idx, source_idx, CASE WHEN source_idx IN (1, 2, 4) THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM sc")
