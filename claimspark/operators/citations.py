@@ -20,26 +20,40 @@ class CitationParams:
     n: int | None = None
 
 
-#: The thresholds that belong to each family of attribution methods.
+#: The thresholds that belong to each family of attribution methods, or to a variant of one.
 PARAMS = {
     "surrogate": CitationParams(1.5),
     "semantic_similarity": CitationParams(0.7),
-    "entailment": CitationParams(0.95, n=3),
+    "entailment": CitationParams(0.95),
     "entailment_window_3": CitationParams(0.95, p=0.4, n=3),
     "entailment_window_5": CitationParams(0.95, p=0.3, n=3),
 }
 
 
+def _spans(rows: DataFrame, keys: list[str], t: Column, n: Column, index: str, score: str) -> DataFrame:
+    over = Window.partitionBy(*keys).orderBy(index)
+    kept = rows.filter(F.col(score) >= t).withColumn("island", F.col(index) - F.row_number().over(over))
+    place = F.row_number().over(Window.partitionBy(*keys, "island").orderBy(index)) - 1
+    cut = F.coalesce(F.floor(place / n), F.lit(0).cast("long"))
+    return kept.withColumn("cut", cut).groupBy(*keys, "island", "cut").agg(F.min(index).alias("lo"), F.max(index).alias("hi"), F.max(score).alias("span_score")).drop("island", "cut")
+
+
+def _nucleus(found: DataFrame, keys: list[str], p: Column, k: Column) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    order = Window.partitionBy(*keys).orderBy(F.desc("prob"), F.desc("lo"))
+    weighed = found.withColumn("w", F.exp(F.col("span_score") / F.max("span_score").over(whole)))
+    shares = weighed.withColumn("prob", F.col("w") / F.sum("w").over(whole)).drop("w")
+    before = F.coalesce(F.sum("prob").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = shares.withColumns({"span_rank": F.row_number().over(order).cast("long"), "before": before})
+    return ranked.filter((F.col("before") < p) & (F.col("span_rank") <= k)).drop("before")
+
+
 def spans(scores: DataFrame, keys: list[str], params: CitationParams, index: str = "source_idx", score: str = "score") -> DataFrame:
     """Indices at or above the threshold, neighbours joined: (keys, lo, hi, span_score = the largest score).
 
     Gaps and islands: index minus row number is constant in a run; a longest length cuts runs evenly.
     """
-    over = Window.partitionBy(*keys).orderBy(index)
-    kept = scores.filter(F.col(score) >= params.t).withColumn("island", F.col(index) - F.row_number().over(over))
-    place = F.row_number().over(Window.partitionBy(*keys, "island").orderBy(index)) - 1
-    cut = F.floor(place / params.n) if params.n else F.lit(0).cast("long")
-    return kept.withColumn("cut", cut).groupBy(*keys, "island", "cut").agg(F.min(index).alias("lo"), F.max(index).alias("hi"), F.max(score).alias("span_score")).drop("island", "cut")
+    return _spans(scores, keys, F.lit(params.t), F.lit(params.n).cast("int"), index, score)
 
 
 def nucleus(found: DataFrame, keys: list[str], params: CitationParams) -> DataFrame:
@@ -47,13 +61,7 @@ def nucleus(found: DataFrame, keys: list[str], params: CitationParams) -> DataFr
 
     Scores are divided by the largest before the softmax. Of equal scores the later span goes first.
     """
-    whole = Window.partitionBy(*keys)
-    order = Window.partitionBy(*keys).orderBy(F.desc("prob"), F.desc("lo"))
-    weighed = found.withColumn("w", F.exp(F.col("span_score") / F.max("span_score").over(whole)))
-    shares = weighed.withColumn("prob", F.col("w") / F.sum("w").over(whole)).drop("w")
-    before = F.coalesce(F.sum("prob").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = shares.withColumns({"span_rank": F.row_number().over(order).cast("long"), "before": before})
-    return ranked.filter((F.col("before") < params.p) & (F.col("span_rank") <= params.k)).drop("before")
+    return _nucleus(found, keys, F.lit(params.p), F.lit(params.k))
 
 
 def select_citations(scores: DataFrame, keys: list[str], params: CitationParams, **columns) -> DataFrame:
@@ -61,6 +69,19 @@ def select_citations(scores: DataFrame, keys: list[str], params: CitationParams,
     return nucleus(spans(scores, keys, params, **columns), keys, params)
 
 
+def select_by_method(scores: DataFrame, keys: list[str], params: dict[str, CitationParams], index: str = "source_idx", score: str = "score") -> DataFrame:
+    """(keys, method, span_rank, lo, hi, span_score, prob): citations of many methods in one plan, each by its own parameters.
+
+    scores has a column method; methods without parameters give no citations. The parameters are a dimension of
+    a row a method, which windows read row by row.
+    """
+    rows = [(m, x.t, x.p, x.k, x.n) for m, x in params.items()]
+    own = F.broadcast(scores.sparkSession.createDataFrame(rows, "method string, t double, p double, k int, n int"))
+    held = [*keys, "method", "p", "k"]  # p and k belong to the method
+    found = _spans(scores.join(own, "method"), held, F.col("t"), F.col("n"), index, score)
+    return _nucleus(found, held, F.col("p"), F.col("k")).drop("p", "k")
+
+
 def neighbourhood(lo: Column, hi: Column, n: Column, width: int = 2) -> dict[str, Column]:
     """0-based bounds of the context around a span: up to `width` before, up to `width` after; the last sentence never counts as context after."""
     return {

@@ -3,42 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape
 from .citations import citation_label, span_texts
+from .methods import METHODS
 
 #: Colours of supported, partly supported and unsupported statements, of relevant and irrelevant citations.
 SUPPORT_COLOURS = ((1.0, "#c8f7c5"), (0.5, "#fdf7c3"), (0.0, "#f7c5c5"))
 RELEVANCE_COLOURS = ((1, "#1b8d36"), (0, "#cc1414"))
 
 
-@dataclass(frozen=True)
-class Method:
-    name: str
-    label: str
-
-
-#: The attribution methods in the order in which results show them.
-METHODS = (
-    Method("surrogate_256", "Surrogate (256 calls)"),
-    Method("surrogate_128", "Surrogate (128 calls)"),
-    Method("surrogate_64", "Surrogate (64 calls)"),
-    Method("surrogate_32", "Surrogate (32 calls)"),
-    Method("leave_one_out", "Leave-one-out"),
-    Method("direct", "Direct citation"),
-    Method("posthoc", "Post-hoc citation"),
-    Method("semantic_similarity", "Semantic similarity"),
-    Method("entailment_naive", "Entailment (window of 1)"),
-    Method("entailment_window_3", "Entailment (window of 3)"),
-    Method("entailment_window_5", "Entailment (window of 5)"),
-    Method("entailment_greedy", "Entailment, greedy"),
-)
-
-
 def methods(spark: SparkSession) -> DataFrame:
     """(name, label, place): the dimension of METHODS."""
     return spark.createDataFrame([(m.name, m.label, i) for i, m in enumerate(METHODS)], "name string, label string, place long")
@@ -55,9 +32,9 @@ def in_display_order(results: DataFrame, name: str, excluded: tuple[str, ...] =
 
 
 def method_of(path: Column) -> dict[str, Column]:
-    """method and label: of the first registered name that the path contains; null without one."""
+    """method and label: of the longest registered name that the path contains; null without one."""
     method = label = None
-    for m in METHODS:
+    for m in sorted(METHODS, key=lambda m: (-len(m.name), m.name)):
         hit = path.contains(m.name)
         method = F.when(hit, m.name) if method is None else method.when(hit, m.name)
         label = F.when(hit, m.label) if label is None else label.when(hit, m.label)

@@ -82,13 +82,14 @@ def method_order(spark, d):
 
 
 PATH = "concat('results/', source, '/', CASE doc_id % 4 WHEN 0 THEN 'surrogate_256' WHEN 1 THEN 'entailment_window_5' WHEN 2 THEN 'direct' ELSE 'other' END, '_scores.json')"
-NAMES_SQL = "[" + ", ".join(f"'{m.name}'" for m in presentation.METHODS) + "]"
-SHOWN_SQL = "[" + ", ".join(f"'{m.label}'" for m in presentation.METHODS) + "]"
+BY_LENGTH = sorted(presentation.METHODS, key=lambda m: (-len(m.name), m.name))
+NAMES_SQL = "[" + ", ".join(f"'{m.name}'" for m in BY_LENGTH) + "]"
+SHOWN_SQL = "[" + ", ".join(f"'{m.label}'" for m in BY_LENGTH) + "]"
 
 
 @query(f"SELECT doc_id, {NAMES_SQL}[i] AS method, {SHOWN_SQL}[i] AS label FROM (SELECT doc_id, list_position(list_transform({NAMES_SQL}, lambda x: contains(p, x)), TRUE) AS i FROM (SELECT doc_id, {PATH} AS p FROM documents))")
 def method_lookup(spark, d):
-    """The first registered method whose name stands in a path, and its label; null for other paths."""
+    """The registered method with the longest name that stands in a path, and its label; null for other paths."""
     return table(spark, d, "documents").select("doc_id", F.expr(PATH).alias("p")).select("doc_id", *[c.alias(n) for n, c in presentation.method_of(F.col("p")).items()])
 
 

@@ -132,10 +132,10 @@ def test_page_words(spark):
 
 
 def test_presentation(spark):
-    assert spark.range(1).select(presentation.method_of(F.lit("x/surrogate_32_scores"))["label"].alias("x")).first().x == "Surrogate (32 calls)"
+    assert spark.range(1).select(presentation.method_of(F.lit("x/surrogate_32_scores"))["label"].alias("x")).first().x == "surrogate, 32 ablations"
     assert spark.range(1).select(presentation.method_of(F.lit("x/none"))["method"].alias("x")).first().x is None
     means = spark.createDataFrame([("direct", 1.0), ("surrogate_256", 2.0), ("surrogate_32", 3.0)], "name string, mean double")
-    assert [(r.name, r.display) for r in presentation.in_display_order(means, "name", ("surrogate_32",)).orderBy("display").collect()] == [("surrogate_256", 1), ("direct", 2)]
+    assert [(r.name, r.display) for r in presentation.in_display_order(means, "name", ("surrogate_32",)).orderBy("display").collect()] == [("direct", 1), ("surrogate_256", 2)]
     st = spark.createDataFrame([([("a<b", 1.0, [("c&d", [2, 3], None, 1)]), ("plain", 0.0, [])],)], "st array<struct<statement:string,support_score:double,citation:array<struct<cite:string,span:array<int>,score:double,relevant_score:int>>>>")
     html = st.select(presentation.answer_html(F.col("st")).alias("a"), presentation.evidence_html(F.col("st")).alias("e")).first()
     assert "a&lt;b</span> <span style='color: #1b8d36;'>[2-3]</span>" in html.a and html.a.endswith("plain</span> \n\n")
