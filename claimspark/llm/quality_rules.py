@@ -139,17 +139,16 @@ def plan_cascade(docs: DataFrame, rules=RULES, text: str = "text", sample_rows:
     """(rule, cost in steps, rejected share), best rejection per cost first.
 
     At most sample_rows rows of at most sample_chars characters are taken from the first partitions that
-    have them (collect with a limit reads no more), so that the sample neither scans the table nor moves
-    more than their bytes. Equal ratios fall back to the cost and the rule's name, so that the order is
-    defined.
+    have them (collect with a limit reads no more). Statistics are worked out where the rows are; numbers, no texts,
+    come to the driver. Equal ratios fall back to the cost and the rule's name, so that the order is defined.
     """
-    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    held = docs.select(raw.alias("text")).filter(F.length("text") <= sample_chars).limit(sample_rows).collect()
-    if not held:
+    raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    stats = statistics(docs.select(raw.alias("text")).filter(F.length("text") <= sample_chars)).withColumn("n_chars", F.length("text"))
+    found = stats.select(*[r.fails(F.col).cast("double").alias(f"share_{r.name}") for r in rules], *[F.expr(r.cost).cast("double").alias(f"cost_{r.name}") for r in rules]).limit(sample_rows).collect()
+    mean = lambda name: sum(row[name] or 0.0 for row in found) / len(found)
+    if not found:
         return [(r, 0.0, 0.0) for r in rules]
-    stats = statistics(docs.sparkSession.createDataFrame(held, "text string")).withColumn("n_chars", F.length("text"))
-    found = stats.agg(*[F.avg(r.fails(F.col).cast("double")).alias(f"share_{r.name}") for r in rules], *[F.avg(F.expr(r.cost)).alias(f"cost_{r.name}") for r in rules]).first()
-    each = [(r, max(float(found[f"cost_{r.name}"] or 0), 1.0), float(found[f"share_{r.name}"] or 0.0)) for r in rules]
+    each = [(r, max(mean(f"cost_{r.name}"), 1.0), mean(f"share_{r.name}")) for r in rules]
     return sorted(each, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
@@ -197,7 +196,7 @@ def passing(docs: DataFrame, rules=RULES, text: str = "text", order: list[Rule]
 
 def op10_quality_rules(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return apply_rules(docs).select("doc_id", *STATS, "base_failed", "kept")
+    return apply_rules(docs).select("doc_id", *[c for c in STATS if c != "n_lines"], "base_failed", "kept", "n_lines")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

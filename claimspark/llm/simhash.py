@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, short_batches, table
+from .common import discard, materialise, parts_for, short_batches, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -38,6 +38,8 @@ LEAF = 8_000
 BLOCK = 512
 #: Ways that a component's rows are split where they meet its id.
 SALTS = 16
+#: A fingerprint of more than one row in HOT is broadcast where rows meet their component.
+HOT = 1000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -212,29 +214,32 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, jumps pointers to the end of each path and
     contracts the links to the roots. Links and nodes only shrink; aggregation is partial before each
-    shuffle and a hub's rows are never gathered.
+    shuffle and a hub's rows are never gathered. Each table of a round goes when the next one is written.
     """
     live = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     label = None
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
-        hook = materialise(hook, "hooks")
-        while True:
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"), F.lit(True).alias("moved"))
+        hook, moving = materialise(least, "hooks"), True
+        while moving:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
             jumped = materialise(hook.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "jumps")
-            hook = jumped.select("node", "root")
-            if jumped.filter("moved").isEmpty():
-                break
+            discard(hook)
+            hook, moving = jumped, not jumped.filter("moved").isEmpty()
         if label is None:
-            label = hook
+            label = materialise(hook.select("node", "root"), "labels")
         else:
             step = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            label = materialise(label.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+            after = materialise(label.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+            discard(label)
+            label = after
         a = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = live.join(a, "a").join(b, "b").filter("ra <> rb")
-        live = materialise(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        left = materialise(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        discard(live, hook)
+        live = left
     return label if label is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -257,9 +262,14 @@ def least_of_root(rows: DataFrame, first: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long, component_id) for every row of docs."""
     fps = materialise(fingerprints(docs, text, doc_id, width), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    component = least_of_root(rooted(distinct, radius), "first").select("fp", F.col("least").alias("component_id"))
-    return fps.join(component, "fp").select("doc_id", "fp", "component_id")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    component = materialise(least_of_root(rooted(distinct, radius), "first").select("fp", F.col("least").alias("component_id"), "n"), "components")
+    discard(distinct)
+    # fingerprints of more than one row in HOT, fewer than HOT, are broadcast: their rows stay where they are
+    bound = fps.count() // HOT
+    met = fps.join(F.broadcast(component.filter(F.col("n") > bound)), "fp", "left")
+    cold = met.filter("n IS NULL").select("doc_id", "fp").join(component.filter(F.col("n") <= bound), "fp")
+    return met.filter("n IS NOT NULL").unionByName(cold).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
