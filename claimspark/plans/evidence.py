@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sequences import index_runs
 from ..functions.text import n_tokens
 from ..operators import chunking, markup
+from ..sources import main_content as main_content_source
 from ..sources import pages as page_source
 from ..sources import scorers
 from .bindings import sent_sql, table, tok_sql
@@ -142,6 +143,12 @@ def page_text(spark, d):
     return page_source.extract_text(table(spark, d, "pages"), "page_id", "html")
 
 
+@query()
+def main_content(spark, d):
+    """The main text of each page, without its menus and what its site repeats; tests hold it against the articles of the pages."""
+    return main_content_source.extract(table(spark, d, "pages"), "page_id", "url", "html")
+
+
 @query("""SELECT page_id, CASE WHEN lower(regexp_extract(url, '^(?:[^:/?#]+://[^/?#]*)?([^?#]*)', 1)) LIKE '%.pdf' THEN 'pdf' ELSE 'html' END AS kind, length(html)::INT AS size FROM pages""")
 def page_table(spark, d):
     """What the page sink stores: one table with the kind of each page."""
