@@ -146,7 +146,8 @@ def page_text(spark, d):
 @query()
 def main_content(spark, d):
     """The main text of each page, without its menus and what its site repeats; tests hold it against the articles of the pages."""
-    return main_content_source.extract(table(spark, d, "pages"), "page_id", "url", "html")
+    found = main_content_source.extract(table(spark, d, "pages"), "page_id", "url", "html")
+    return found.withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
 @query("""SELECT page_id, CASE WHEN lower(regexp_extract(url, '^(?:[^:/?#]+://[^/?#]*)?([^?#]*)', 1)) LIKE '%.pdf' THEN 'pdf' ELSE 'html' END AS kind, length(html)::INT AS size FROM pages""")
