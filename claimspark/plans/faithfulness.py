@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sequences
-from ..operators import attribution, metrics
-from .bindings import SCORES_SQL, overlap_scores
+from ..operators import attribution, markup, metrics
+from ..operators.citations import select_citations
+from .bindings import SCORES_SQL, overlap_scores, sources, statements
 from .registry import query
+from .sequence import LEXICAL, SELECT_SQL
 
 KEYS = ["conv_id", "sent_idx"]
 #: Random ablations an instance; surrogates are fitted on the first of as many as the largest budget.
@@ -164,10 +165,33 @@ def surrogate_attr(spark, d):
     return attribution.surrogates(packed, "masks", "values").select(*KEYS, "budget", "source_idx", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@query(f"WITH {SCORES_SQL} SELECT sc.conv_id, sent_idx, source_idx, CASE WHEN source_idx IN (1, 2, 4) THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM sc")
+def direct_answers(spark, d):
+    """(conv_id, n, answer): answers with citation markup, as a model that cites directly writes them; the stand-in cites what
+    `citation_select` does, in turns as ranges, past the last source after a range that isn't one, cut in two, or not at all."""
+    found = select_citations(overlap_scores(spark, d), KEYS, LEXICAL)
+    packed = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("span_rank", "lo", "hi"))).alias("rs"))  # four at most
+    mark = lambda lo, hi: F.concat(F.lit("["), lo.cast("string"), F.lit("-"), hi.cast("string"), F.lit("]"))
+    marks = lambda one: F.array_join(F.transform("rs", one), "")
+    turn = F.col("sent_idx") % 4
+    cited = F.when(turn == 0, marks(lambda r: mark(r["lo"], r["hi"])))
+    cited = cited.when(turn == 1, F.concat(F.lit("[9-2]"), marks(lambda r: mark(r["lo"], r["hi"] + 100))))
+    cited = cited.when(turn == 2, marks(lambda r: F.concat(mark(r["lo"], r["lo"]), mark(r["lo"] + 1, r["hi"] + 1))))
+    cite = F.when(cited.isNotNull(), F.concat(F.lit("<cite>"), cited, F.lit("</cite>"))).otherwise("")
+    rows = statements(spark, d).join(packed, KEYS, "left")
+    part = F.concat(F.lit("<statement>"), F.col("s"), cite, F.lit("</statement> ok "))
+    answers = rows.select(*KEYS, part.alias("part")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "part"))), lambda x: x["part"]), "").alias("answer"))
+    return answers.join(sources(spark, d).groupBy("conv_id").agg(F.count("*").cast("int").alias("n")), "conv_id")
+
+
+DIRECT_SQL = f"""{SELECT_SQL}, dn AS (SELECT conv_id, count(*) AS n FROM src GROUP BY conv_id),
+dr AS (SELECT conv_id, sent_idx, list([lo, hi] ORDER BY span_rank) AS a, list([lo, hi + 100] ORDER BY span_rank) AS b, flatten(list([[lo, lo], [lo + 1, hi + 1]] ORDER BY span_rank)) AS c FROM ct GROUP BY ALL),
+dl AS (SELECT m.conv_id, m.sent_idx, n, coalesce(CASE m.sent_idx % 4 WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN c END, []::BIGINT[][]) AS rs FROM stm m JOIN dn ON dn.conv_id = m.conv_id LEFT JOIN dr ON dr.conv_id = m.conv_id AND dr.sent_idx = m.sent_idx),
+dm AS (SELECT conv_id, sent_idx, list_reduce(list_concat([[]::BIGINT[]], rs), lambda x, r: CASE WHEN r[1] > least(r[2], n - 1) THEN x WHEN len(x) > 0 AND x[len(x)] + 1 = r[1] THEN list_concat(x[1 : len(x) - 1], [least(r[2], n - 1)]) ELSE list_concat(x, [r[1], least(r[2], n - 1)]) END)[1:6] AS rs FROM dl)"""
+
+
+@query(f"WITH {DIRECT_SQL} SELECT dm.conv_id, dm.sent_idx, source_idx, CASE WHEN len(list_filter(range(len(rs) // 2), lambda i: source_idx BETWEEN rs[2 * i + 1] AND rs[2 * i + 2])) > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM dm JOIN src ON src.conv_id = dm.conv_id")
 def direct_citation_attr(spark, d):
-    """Scores of a method that cites directly: one at cited sources, else zero."""
-    n = overlap_scores(spark, d).groupBy(*KEYS).agg(F.count("*").cast("int").alias("n"))
-    cited = F.array(F.lit(1), F.lit(2), F.lit(4))
-    marks = F.transform(sequences.indices(F.col("n")), lambda i: F.array_contains(cited, i).cast("double"))
-    return n.select(*KEYS, F.posexplode(marks).alias("source_idx", "score")).withColumn("source_idx", F.col("source_idx").cast("long"))
+    """Scores of a method that cites directly, parsed from its answers: one at cited sources, else zero."""
+    parsed = direct_answers(spark, d).select("conv_id", "n", F.posexplode(markup.statements(F.col("answer"), F.col("n"))).alias("sent_idx", "x"))
+    scored = parsed.select("conv_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.posexplode(markup.range_scores(F.col("x.ranges"), F.col("n"))).alias("source_idx", "score"))
+    return scored.withColumn("source_idx", F.col("source_idx").cast("long"))

@@ -14,6 +14,7 @@ INSTANCE = ["conv_id", "sent_idx"]
 
 methods.runs("surrogate")(lambda spark, d: faithfulness.surrogate_attr(spark, d).withColumnRenamed("budget", "variant"))
 methods.runs("entailment_window")(lambda spark, d: facts.entailment_window_fact_attr(spark, d).withColumnRenamed("window_length", "variant"))
+methods.runs("direct")(faithfulness.direct_citation_attr)
 methods.runs("entailment")(facts.entailment_fact_attr)
 methods.runs("entailment_greedy")(facts.greedy_fact_selection)
 methods.runs("leave_one_out")(faithfulness.leave_one_out_scores)
@@ -22,6 +23,7 @@ methods.runs("semantic_similarity")(facts.semantic_attr)
 #: How each method's scores are to be had in SQL, from the SQL of its own query.
 _rows = lambda name, sql, where="": f"SELECT '{name}' AS method, conv_id, sent_idx, source_idx::BIGINT AS source_idx, score FROM ({sql}) {where}"
 METHOD_SQL = {
+    "direct": _rows("direct", ORACLE_SQL["direct_citation_attr"]),
     **{f"surrogate_{b}": _rows(f"surrogate_{b}", ORACLE_SQL["surrogate_attr"], f"WHERE budget = {b}") for b in attribution.BUDGETS},
     **{f"entailment_window_{n}": _rows(f"entailment_window_{n}", ORACLE_SQL["entailment_window_fact_attr"], f"WHERE window_length = {n}") for n in facts.WINDOW_LENGTHS},
     "entailment": _rows("entailment", ORACLE_SQL["entailment_fact_attr"]),
