@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -49,6 +50,38 @@ def greedy_sets(rows: DataFrame, keys: list[str], entail: Entail = token_overlap
     return rows.select(*keys, F.explode(grown("hypothesis", "xs")).alias("r")).select(*keys, "r.*")
 
 
+def cover(claim: str, texts: list[str], most: int, gain: float = 0.1) -> list[dict]:
+    """What `greedy_sets` finds with `token_overlap`, lazily: the claim's tokens are bits, and a source is counted
+    again only when its last count, which later ones never exceed, comes up as the largest."""
+    bit = {t: 1 << b for b, t in enumerate(dict.fromkeys(claim.split()))}
+    held = [sum(bit.get(t, 0) for t in set(x.split())) for x in texts]
+    missing, open_, out = (1 << len(bit)) - 1, True, []
+    bounds = [(-h.bit_count(), i) for i, h in enumerate(held)]
+    heapq.heapify(bounds)
+    while bounds and len(out) < most:
+        _, i = heapq.heappop(bounds)
+        now = (-(held[i] & missing).bit_count(), i)
+        if bounds and now > bounds[0]:
+            heapq.heappush(bounds, now)
+            continue
+        lifted = -now[0] / len(bit) if bit else 0.0
+        open_ = open_ and round(lifted, 9) >= gain
+        missing &= ~held[i]
+        out.append({"source_idx": i, "score": lifted, "step": len(out) + 1, "cited": open_})
+    return out
+
+
+def covering_sets(rows: DataFrame, keys: list[str], budget: Column, gain: float = 0.1) -> DataFrame:
+    """`greedy_sets` by token overlap, for rows of the same shape: `budget` sources a row (null or less than 5: 5), all where there are fewer."""
+
+    @F.pandas_udf(STEP)
+    def grown(claims: pd.Series, texts: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([cover(c, list(t), int(m), gain) for c, t, m in zip(claims, texts, most, strict=True)], dtype=object)
+
+    found = grown("hypothesis", "xs", F.greatest(F.coalesce(budget, F.lit(5)), F.lit(5)))
+    return rows.select(*keys, F.explode(found).alias("r")).select(*keys, "r.*")
+
+
 def greedy_selection(pairs: DataFrame, keys: list[str], entail: Entail = token_overlap, least: int = 5, gain: float = 0.1) -> DataFrame:
     """greedy_sets for rows (keys, hypothesis, source_idx, source), one a source; sources that weren't added score -1."""
     packed = pairs.groupBy(*keys).agg(F.first("hypothesis").alias("hypothesis"), F.array_sort(F.collect_list(F.struct("source_idx", "source"))).alias("ys"))  # one instance's sources

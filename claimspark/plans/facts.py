@@ -8,13 +8,15 @@ from ..functions import judge, sequences, text
 from ..operators import attribution
 from ..sources import scorers
 from .bindings import SCORES_SQL, SENTENCES_SQL, sources, statements, tok_sql
+from .faithfulness import COUNTS_SQL, direct_counts
 from .registry import query
 
 INSTANCE = ["conv_id", "sent_idx"]
 FACT = [*INSTANCE, "fact_idx"]
 #: A statement's atomic facts, as `scorers.fact_writer` gives them; a statement may have none.
-FACTS_SQL = f"""{SENTENCES_SQL}, fa AS (SELECT conv_id, sent_idx, fs, unnest(fs) AS fact, unnest(range(len(fs))) AS fact_idx FROM (SELECT conv_id, sent_idx,
+FA_SQL = f"""fa AS (SELECT conv_id, sent_idx, fs, unnest(fs) AS fact, unnest(range(len(fs))) AS fact_idx FROM (SELECT conv_id, sent_idx,
 list_filter(list_transform(regexp_split_to_array(s, '[,;:]'), lambda x: array_to_string({tok_sql("x")}, ' ')), lambda x: contains(x, ' ')) AS fs FROM stm))"""
+FACTS_SQL = f"{SENTENCES_SQL}, {FA_SQL}"
 
 
 def overlap_sql(a: str, b: str) -> str:
@@ -76,24 +78,25 @@ def entailment_window_fact_attr(spark, d):
     return out
 
 
-@query(f"""WITH RECURSIVE {FACTS_SQL}, p AS (SELECT conv_id, list(list_distinct({tok_sql("s")}) ORDER BY source_idx) AS ts FROM src GROUP BY conv_id),
-f0 AS (SELECT fa.conv_id, sent_idx, fact_idx, list_distinct({tok_sql("fact")}) AS want, ts FROM fa JOIN p ON p.conv_id = fa.conv_id),
-g AS (SELECT conv_id, sent_idx, fact_idx, want, ts, []::BIGINT[] AS chosen, 0 AS step, 0::DOUBLE AS value, 0::DOUBLE AS gain, TRUE AS cited, want AS missing FROM f0
-UNION ALL SELECT conv_id, sent_idx, fact_idx, want, ts, list_append(chosen, pick), step + 1, 1 - len(rest)::DOUBLE / len(want), (len(missing) - len(rest))::DOUBLE / len(want), cited AND round((len(missing) - len(rest))::DOUBLE / len(want), 9) >= 0.1, rest FROM (
+@query(f"""WITH RECURSIVE {COUNTS_SQL}, {FA_SQL}, p AS (SELECT conv_id, list(list_distinct({tok_sql("s")}) ORDER BY source_idx) AS ts FROM src GROUP BY conv_id),
+f0 AS (SELECT fa.conv_id, fa.sent_idx, fact_idx, list_distinct({tok_sql("fact")}) AS want, ts, greatest(coalesce(direct, 0), 5) AS most FROM fa JOIN p ON p.conv_id = fa.conv_id LEFT JOIN dc ON dc.conv_id = fa.conv_id AND dc.sent_idx = fa.sent_idx),
+g AS (SELECT conv_id, sent_idx, fact_idx, want, ts, most, []::BIGINT[] AS chosen, 0 AS step, 0::DOUBLE AS value, 0::DOUBLE AS gain, TRUE AS cited, want AS missing FROM f0
+UNION ALL SELECT conv_id, sent_idx, fact_idx, want, ts, most, list_append(chosen, pick), step + 1, 1 - len(rest)::DOUBLE / len(want), (len(missing) - len(rest))::DOUBLE / len(want), cited AND round((len(missing) - len(rest))::DOUBLE / len(want), 9) >= 0.1, rest FROM (
  SELECT *, list_filter(missing, lambda t: NOT list_contains(ts[pick + 1], t)) AS rest FROM (
  SELECT *, list_filter(range(len(ts)), lambda i: NOT list_contains(chosen, i) AND len(list_intersect(missing, ts[i + 1])) = list_max(list_transform(list_filter(range(len(ts)), lambda j: NOT list_contains(chosen, j)), lambda j: len(list_intersect(missing, ts[j + 1])))))[1] AS pick
- FROM g WHERE step < least(5, len(ts))))),
+ FROM g WHERE step < least(most, len(ts))))),
 z AS (SELECT conv_id, sent_idx, fact_idx, chosen[step] AS source_idx, gain, cited FROM g WHERE step > 0),
 x AS (SELECT conv_id, sent_idx, source_idx, max(gain) AS score, bool_or(cited) AS cited FROM z GROUP BY ALL), hf AS (SELECT DISTINCT conv_id, sent_idx FROM fa)
 SELECT m.conv_id, m.sent_idx, r.source_idx, round(CASE WHEN hf.conv_id IS NULL THEN 0 ELSE coalesce(x.score, -1) END, 6) AS score, coalesce(x.cited, FALSE) AS cited FROM stm m JOIN src r ON r.conv_id = m.conv_id
 LEFT JOIN x ON x.conv_id = m.conv_id AND x.sent_idx = m.sent_idx AND x.source_idx = r.source_idx LEFT JOIN hf ON hf.conv_id = m.conv_id AND hf.sent_idx = m.sent_idx""")
 def greedy_fact_selection(spark, d):
-    """Sources added one at a time for each fact; the largest gain over facts, and whether some fact cites the source.
+    """Sources added one at a time for each fact, five or as many as the direct method cites; the largest gain over facts, and whether some fact cites the source.
 
     Sources that no fact reaches score -1; statements without facts score 0.
     """
     left = facts(spark, d).withColumnRenamed("fact", "hypothesis")
-    found = attribution.greedy_sets(left.join(packed_sources(spark, d), "conv_id"), FACT)
+    rows = left.join(packed_sources(spark, d), "conv_id").join(direct_counts(spark, d), INSTANCE, "left")
+    found = attribution.covering_sets(rows, FACT, F.col("direct"))
     pooled = found.groupBy(*INSTANCE, "source_idx").agg(F.max("score").alias("score"), F.max("cited").alias("cited"))
     has = left.select(*INSTANCE).distinct().withColumn("facts", F.lit(True))
     rows = grid(spark, d).join(pooled, [*INSTANCE, "source_idx"], "left").join(has, INSTANCE, "left")
@@ -130,24 +133,28 @@ def semantic_attr(spark, d):
 
 
 KS = (1, 3, 5)
-POST_SQL = f"""{FACTS_SQL}, p AS (SELECT conv_id, list(list_distinct({tok_sql("s")}) ORDER BY source_idx) AS ts FROM src GROUP BY conv_id),
+POST_SQL = f"""{COUNTS_SQL}, {FA_SQL}, p AS (SELECT conv_id, list(list_distinct({tok_sql("s")}) ORDER BY source_idx) AS ts FROM src GROUP BY conv_id),
 q0 AS (SELECT conv_id, sent_idx, list_distinct(regexp_extract_all(string_agg(fact, ' '), '\\S+')) AS want FROM fa GROUP BY ALL),
-q1 AS (SELECT q0.conv_id, sent_idx, want, len(ts) AS n, k, list_transform(list_sort(list_transform(range(len(ts)), lambda i: [-len(list_intersect(want, ts[i + 1])), i])), lambda x: x[2])[1 : coalesce(k, 3)] AS ids
-FROM q0 JOIN p ON p.conv_id = q0.conv_id, (SELECT unnest([1, 3, 5, NULL])::INT AS k)),
+ks AS (SELECT conv_id, sent_idx, unnest(['1', '3', '5', 'free']) AS label, unnest([1, 3, 5, NULL])::INT AS k FROM q0 UNION ALL SELECT conv_id, sent_idx, 'direct', direct FROM dc WHERE direct > 0),
+q1 AS (SELECT q0.conv_id, q0.sent_idx, want, len(ts) AS n, label, k, list_transform(list_sort(list_transform(range(len(ts)), lambda i: [-len(list_intersect(want, ts[i + 1])), i])), lambda x: x[2])[1 : coalesce(k, 3)] AS ids
+FROM q0 JOIN p ON p.conv_id = q0.conv_id JOIN ks ON ks.conv_id = q0.conv_id AND ks.sent_idx = q0.sent_idx),
 q2 AS (SELECT *, array_to_string(list_transform(ids, lambda i: '[' || (i + 1) || ']'), '') AS body, NOT (k IS NOT NULL AND len(ids) < k) AS valid, CASE WHEN len(want) % 3 = 0 OR (k IS NOT NULL AND len(ids) < k) THEN 2 ELSE 1 END AS t FROM q1)"""
 
 
-@query(f"""WITH {POST_SQL} SELECT conv_id, sent_idx, CASE WHEN k IS NULL THEN 'free' ELSE k::VARCHAR END AS k, CASE WHEN valid THEN t ELSE 5 END::INT AS tries, body || '<eos>' AS generation,
+@query(f"""WITH {POST_SQL} SELECT conv_id, sent_idx, label AS k, CASE WHEN valid THEN t ELSE 5 END::INT AS tries, body || '<eos>' AS generation,
 CASE WHEN valid THEN array_to_string(list_transform(range(n), lambda i: CASE WHEN list_contains(ids, i) THEN '1' ELSE '0' END), '') END AS scores FROM q2""")
 def posthoc_attr(spark, d):
-    """Citations that a model gives after the fact: for k of 1, 3 and 5 and without a number, 0/1 scores, null
-    where no try was valid; the generated text is kept. Statements without facts have no rows."""
+    """Citations that a model gives after the fact: for k of 1, 3, 5, as many as the direct method cites, if any, and
+    without a number, 0/1 scores, null where no try was valid; the generated text is kept. Statements without facts have no rows."""
     packed = facts(spark, d).groupBy(*INSTANCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("fact_idx", "fact"))), lambda x: x["fact"]).alias("facts"))
-    rows = packed.join(packed_sources(spark, d), "conv_id").withColumn("k", F.explode(F.array(*map(F.lit, KS), F.lit(None).cast("int"))))
+    kind = lambda label, k: F.struct(F.lit(label).alias("label"), k.cast("int").alias("k"))
+    fixed = F.array(*[kind(str(k), F.lit(k)) for k in KS], kind("free", F.lit(None)))
+    every = F.when(F.col("direct") > 0, F.concat(fixed, F.array(kind("direct", F.col("direct"))))).otherwise(fixed)
+    rows = packed.join(packed_sources(spark, d), "conv_id").join(direct_counts(spark, d), INSTANCE, "left").select("*", F.explode(every).alias("x")).select("*", "x.*")
     said = scorers.score_column(scorers.registered("cite", "overlap"), "struct<text:string,ids:array<int>,tries:int>", F.col("facts"), F.col("xs"), F.col("k"))
     n, found = F.size("xs"), rows.withColumn("said", said)
     marks = F.when(F.col("said.ids").isNotNull(), F.array_join(F.transform(sequences.indices(n), lambda i: F.array_contains(F.col("said.ids"), i + 1).cast("int").cast("string")), ""))
-    return found.select(*INSTANCE, F.coalesce(F.col("k").cast("string"), F.lit("free")).alias("k"), F.col("said.tries").alias("tries"), F.col("said.text").alias("generation"), marks.alias("scores"))
+    return found.select(*INSTANCE, F.col("label").alias("k"), F.col("said.tries").alias("tries"), F.col("said.text").alias("generation"), marks.alias("scores"))
 
 
 @query(f"""WITH {SENTENCES_SQL} SELECT conv_id, sent_idx, pos::INT AS pos, q FROM (SELECT conv_id, sent_idx, unnest(xs) AS q, unnest(range(len(xs))) AS pos FROM (SELECT conv_id, sent_idx,

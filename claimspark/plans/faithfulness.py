@@ -189,9 +189,24 @@ dl AS (SELECT m.conv_id, m.sent_idx, n, coalesce(CASE m.sent_idx % 4 WHEN 0 THEN
 dm AS (SELECT conv_id, sent_idx, list_reduce(list_concat([[]::BIGINT[]], rs), lambda x, r: CASE WHEN r[1] > least(r[2], n - 1) THEN x WHEN len(x) > 0 AND x[len(x)] + 1 = r[1] THEN list_concat(x[1 : len(x) - 1], [least(r[2], n - 1)]) ELSE list_concat(x, [r[1], least(r[2], n - 1)]) END)[1:6] AS rs FROM dl)"""
 
 
+#: How many sources a statement of the direct method cites.
+COUNTS_SQL = f"""{DIRECT_SQL},
+dc AS (SELECT conv_id, sent_idx, coalesce(len(list_distinct(flatten(list_transform(range(len(rs) // 2), lambda i: range(rs[2 * i + 1], rs[2 * i + 2] + 1))))), 0)::INT AS direct FROM dm)"""
+
+
+def parsed_answers(spark, d):
+    """(conv_id, n, sent_idx, x): the statements of direct answers, as `markup.statements` reads them."""
+    parsed = direct_answers(spark, d).select("conv_id", "n", F.posexplode(markup.statements(F.col("answer"), F.col("n"))).alias("sent_idx", "x"))
+    return parsed.withColumn("sent_idx", F.col("sent_idx").cast("long"))
+
+
+def direct_counts(spark, d):
+    """(conv_id, sent_idx, direct): how many sources the direct method cites, a budget for others."""
+    return parsed_answers(spark, d).select(*KEYS, F.size(F.array_distinct(markup.range_indices(F.col("x.ranges")))).alias("direct"))
+
+
 @query(f"WITH {DIRECT_SQL} SELECT dm.conv_id, dm.sent_idx, source_idx, CASE WHEN len(list_filter(range(len(rs) // 2), lambda i: source_idx BETWEEN rs[2 * i + 1] AND rs[2 * i + 2])) > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM dm JOIN src ON src.conv_id = dm.conv_id")
 def direct_citation_attr(spark, d):
     """Scores of a method that cites directly, parsed from its answers: one at cited sources, else zero."""
-    parsed = direct_answers(spark, d).select("conv_id", "n", F.posexplode(markup.statements(F.col("answer"), F.col("n"))).alias("sent_idx", "x"))
-    scored = parsed.select("conv_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.posexplode(markup.range_scores(F.col("x.ranges"), F.col("n"))).alias("source_idx", "score"))
+    scored = parsed_answers(spark, d).select(*KEYS, F.posexplode(markup.range_scores(F.col("x.ranges"), F.col("n"))).alias("source_idx", "score"))
     return scored.withColumn("source_idx", F.col("source_idx").cast("long"))

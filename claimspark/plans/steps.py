@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import chunking, citations, dedup, metrics, presentation
 from .bindings import SCORES_SQL, overlap_scores, sent_sql, statements, table, tok_sql
 from .evidence import LINES_SQL, TOP_SQL, words
+from .faithfulness import COUNTS_SQL, direct_counts
 from .facts import POST_SQL, posthoc_attr
 from .registry import query
 from .sequence import SELECT_SQL, _citations
@@ -134,21 +135,21 @@ def citation_count_stats(spark, d):
 
 #: Logit of token t of a statement: that of its kept sources, a little higher for two of three tokens.
 LP_SQL = "list_sum(list_transform(range(w), lambda t: -ln(1 + exp(-(2 * {f} - {q} - 1 + (t % 3) * 0.1)))))"
-SLICE_SQL = f"""{SELECT_SQL}, r0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, sent_idx ORDER BY round(score, 6) DESC, source_idx DESC) AS rk FROM sc), ck AS (SELECT conv_id, sent_idx, sum(hi - lo + 1)::BIGINT AS c FROM ct GROUP BY ALL),
-kk AS (SELECT m.conv_id, m.sent_idx, greatest(len({tok_sql("m.s")}), 1) AS w, unnest(['1', '3', '5', 'self']) AS k, unnest([1, 3, 5, coalesce(c, 0)]) AS n FROM stm m LEFT JOIN ck ON ck.conv_id = m.conv_id AND ck.sent_idx = m.sent_idx),
+SLICE_SQL = f"""{COUNTS_SQL}, r0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, sent_idx ORDER BY round(score, 6) DESC, source_idx DESC) AS rk FROM sc), ck AS (SELECT conv_id, sent_idx, sum(hi - lo + 1)::BIGINT AS c FROM ct GROUP BY ALL),
+kk AS (SELECT m.conv_id, m.sent_idx, greatest(len({tok_sql("m.s")}), 1) AS w, unnest(['1', '3', '5', 'self', 'direct']) AS k, unnest([1, 3, 5, coalesce(c, 0), coalesce(direct, 0)]) AS n FROM stm m LEFT JOIN ck ON ck.conv_id = m.conv_id AND ck.sent_idx = m.sent_idx LEFT JOIN dc ON dc.conv_id = m.conv_id AND dc.sent_idx = m.sent_idx),
 tk AS (SELECT kk.conv_id, kk.sent_idx, k, n, w, sum(score) AS s, sum(score * score) AS q, sum(CASE WHEN rk > n THEN score ELSE 0 END) AS sk, sum(CASE WHEN rk > n THEN score * score ELSE 0 END) AS qk FROM kk JOIN r0 ON r0.conv_id = kk.conv_id AND r0.sent_idx = kk.sent_idx GROUP BY ALL)"""
 
 
 @query(f"WITH {SLICE_SQL} SELECT conv_id, sent_idx, k, round(CASE WHEN s = 0 THEN NULL WHEN n = 0 THEN 0 ELSE ({LP_SQL.format(f='s', q='q')} - {LP_SQL.format(f='sk', q='qk')}) / w END, 6) AS drop FROM tk")
 def topk_drop_tokens(spark, d):
-    """The drop a token of the statement's slice when its k best sources go: k of 1, 3, 5 and as many as it cites itself.
+    """The drop a token of the statement's slice when its k best sources go: k of 1, 3, 5, as many as it cites itself and as the direct method cites.
 
-    Statements without a score above zero aren't measured; one that cites nothing drops by 0 for its own k.
+    Statements without a score above zero aren't measured; where nothing is cited the drop is 0.
     """
     rank = F.row_number().over(Window.partitionBy(*INSTANCE).orderBy(F.desc(F.round("score", 6)), F.desc("source_idx")))
     cited = _citations(spark, d).groupBy(*INSTANCE).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("c"))
-    ks = statements(spark, d).select(*INSTANCE, F.greatest(text.n_tokens(F.col("s")), F.lit(1)).alias("w")).join(cited, INSTANCE, "left")
-    each = ks.select(*INSTANCE, "w", F.explode(F.array(*[F.struct(F.lit(str(k)).alias("k"), F.lit(k).cast("long").alias("n")) for k in (1, 3, 5)], F.struct(F.lit("self").alias("k"), F.coalesce("c", F.lit(0)).alias("n")))).alias("x")).select(*INSTANCE, "w", "x.*")
+    ks = statements(spark, d).select(*INSTANCE, F.greatest(text.n_tokens(F.col("s")), F.lit(1)).alias("w")).join(cited, INSTANCE, "left").join(direct_counts(spark, d), INSTANCE, "left")
+    each = ks.select(*INSTANCE, "w", F.explode(F.array(*[F.struct(F.lit(str(k)).alias("k"), F.lit(k).cast("long").alias("n")) for k in (1, 3, 5)], F.struct(F.lit("self").alias("k"), F.coalesce("c", F.lit(0)).cast("long").alias("n")), F.struct(F.lit("direct").alias("k"), F.coalesce("direct", F.lit(0)).cast("long").alias("n")))).alias("x")).select(*INSTANCE, "w", "x.*")
     rows = overlap_scores(spark, d).withColumn("rk", rank).join(each, INSTANCE)
     x, left = F.col("score"), F.when(F.col("rk") > F.col("n"), F.col("score")).otherwise(0.0)
     sums = rows.groupBy(*INSTANCE, "k", "n", "w").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.sum(left).alias("sk"), F.sum(left * left).alias("qk"))
@@ -169,7 +170,7 @@ def few_shot_shuffle(spark, d):
     return packed.select("conv_id", F.array_join(F.array_sort(F.shuffle("xs")), "|").alias("shots"))
 
 
-@query(f"WITH {POST_SQL} SELECT conv_id, sent_idx, bool_and(coalesce(valid AND len(ids) > 0, FALSE)) AS valid FROM q2 WHERE k IS NOT NULL GROUP BY ALL")
+@query(f"WITH {POST_SQL} SELECT conv_id, sent_idx, bool_and(coalesce(valid AND len(ids) > 0, FALSE)) AS valid FROM q2 WHERE label <> 'free' GROUP BY ALL")
 def validity_by_k(spark, d):
     """A statement is measured if the vector of every k exists and isn't all zero."""
     rows = posthoc_attr(spark, d).filter("k <> 'free'")

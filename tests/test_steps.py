@@ -101,6 +101,23 @@ def test_greedy_sets_against_search(spark):
         assert len(got[k]) == min(5, len(xs))
 
 
+def test_lazy_greedy_equals_plain(spark):
+    """Same steps, scores and marks with ties, repeated and empty sources, and budgets below and above five."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{j}" for j in range(rnd.choice((3, 12, 80)))]
+        xs = [" ".join(rnd.choices([*words, "other"], k=rnd.randrange(5))) for _ in range(rnd.randrange(14))]
+        rows.append((i, " ".join(rnd.sample(words, rnd.randrange(len(words) + 1))), xs, rnd.choice((None, 2, 7, 50))))
+    df = spark.createDataFrame(rows, "k int, hypothesis string, xs array<string>, b int")
+    got = {(r.k, r.step): (r.source_idx, pytest.approx(r.score), r.cited) for r in attribution.covering_sets(df, ["k"], F.col("b")).collect()}
+    want = {}
+    for b in (None, 2, 7, 50):
+        part = df.filter(F.col("b").eqNullSafe(F.lit(b).cast("int")))
+        want |= {(r.k, r.step): (r.source_idx, r.score, r.cited) for r in attribution.greedy_sets(part, ["k"], least=b or 5).collect()}
+    assert want and got.keys() == want.keys() and all(got[key] == want[key] for key in want)
+
+
 def test_evidence_context(spark):
     xs = [(f"s{i}", "\n\n" if i == 2 else " ") for i in range(6)]
     df = spark.createDataFrame([(xs,)], "xs array<struct<s:string,sep:string>>")
