@@ -129,11 +129,44 @@ def citation_quality(statements: DataFrame, citations: DataFrame, unit: str, sta
     return both.withColumn("f1", F.when(r + p == 0, 0.0).otherwise(2 * r * p / (r + p)))
 
 
+def class_scores(cells: list[list[Column]]) -> list[dict[str, Column]]:
+    """precision, recall, f1 (0 where undefined) and support of each class, from the counts cells[truth][prediction]."""
+    total = lambda xs: sum(xs[1:], xs[0])
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    out = []
+    for c, row in enumerate(cells):
+        support, said = total(row), total([r[c] for r in cells])
+        out.append({"precision": ratio(row[c], said), "recall": ratio(row[c], support), "f1": ratio(2 * row[c], support + said), "support": support})
+    return out
+
+
+def kappa_of(cells: list[list[Column]]) -> Column:
+    """Quadratic-weighted agreement from the counts cells[truth][prediction]; classes count by their place among those that occur; null without disagreement to expect."""
+    total = lambda xs: sum(xs[1:], xs[0])
+    truth, said = [total(r).cast("double") for r in cells], [total([r[c] for r in cells]).cast("double") for c in range(len(cells))]
+    place = [total([F.lit(0), *[(truth[b] + said[b] > 0).cast("int") for b in range(c)]]) for c in range(len(cells))]
+    weight = lambda a, b: F.pow(place[a] - place[b], F.lit(2.0))
+    grid = [(a, b) for a in range(len(cells)) for b in range(len(cells)) if a != b]
+    seen, expected = total([weight(a, b) * cells[a][b] for a, b in grid]), total([weight(a, b) * truth[a] * said[b] for a, b in grid])
+    return 1 - F.try_divide(seen * total(truth), expected)
+
+
+def _cells(kept: Column, classes: int) -> list[list[Column]]:
+    return [[F.count_if(kept & (F.col("t") == a) & (F.col("p") == b)) for b in range(classes)] for a in range(classes)]
+
+
+def class_report(rows: DataFrame, keys: list[str], classes: int = 4) -> DataFrame:
+    """(keys, cls, precision, recall, f1, support): a row for each of the keys and classes, of valid rows as `verification_report` takes them. One aggregation."""
+    scores = class_scores(_cells(F.col("x").isNotNull(), classes))
+    packed = rows.groupBy(*keys).agg(F.array(*[F.struct(F.lit(c).alias("cls"), *[v.alias(n) for n, v in s.items()]) for c, s in enumerate(scores)]).alias("cs"))
+    return packed.select(*keys, F.explode("cs").alias("c")).select(*keys, "c.*")
+
+
 def verification_report(rows: DataFrame, keys: list[str], nothing: int = 3) -> DataFrame:
     """One row for each of the keys. Rows: t (truth), p (prediction), ab (abstains), x (distribution of the ordinal classes).
 
-    Rows without a distribution are dropped and counted as invalid. Accuracy and macro F1 are over all
-    classes (an undefined F1 is 0), squared error and ranked probability score over rows where neither truth
+    Rows without a distribution are dropped and counted as invalid. Accuracy, macro and support-weighted
+    means are over all classes (an undefined ratio is 0), squared error, quadratic kappa and ranked probability score over rows where neither truth
     nor prediction is `nothing`. One aggregation, no join.
     """
     valid = F.col("x").isNotNull()
@@ -141,10 +174,9 @@ def verification_report(rows: DataFrame, keys: list[str], nothing: int = 3) -> D
     t, p = F.col("t"), F.col("p")
     cdf = [F.get("x", F.lit(0)), F.get("x", F.lit(0)) + F.get("x", F.lit(1))]
     rps = sum((F.pow(F.when(t < c + 1, 1.0).otherwise(0.0) - cdf[c], F.lit(2.0)) for c in range(2)), F.lit(0.0)) / 2
-    f1 = []
-    for c in range(nothing + 1):
-        tp, wrong = F.count_if(valid & (t == c) & (p == c)), F.count_if(valid & ((t == c) != (p == c)))
-        f1.append(F.coalesce(F.try_divide(2.0 * tp, 2 * tp + wrong), F.lit(0.0)))
+    scores = class_scores(_cells(valid, nothing + 1))
+    macro = lambda c: sum((s[c] for s in scores[1:]), scores[0][c]) / len(scores)
+    weighted = lambda c: F.try_divide(sum((s[c] * s["support"] for s in scores[1:]), scores[0][c] * scores[0]["support"]), sum((s["support"] for s in scores[1:]), scores[0]["support"]))
     return rows.groupBy(*keys).agg(
         F.count_if(valid).alias("n"),
         F.count_if(~valid).alias("invalid"),
@@ -152,7 +184,9 @@ def verification_report(rows: DataFrame, keys: list[str], nothing: int = 3) -> D
         F.count_if(valid & (t == nothing)).alias("unanswerable"),
         F.count_if(valid & (F.col("ab") | (t == nothing))).alias("either"),
         F.avg(F.when(valid, (t == p).cast("double"))).alias("accuracy"),
-        (sum(f1[1:], f1[0]) / len(f1)).alias("macro_f1"),
+        *[macro(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],
+        *[weighted(c).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")],
+        kappa_of(_cells(ordinal, nothing)).alias("kappa"),
         F.avg(F.when(ordinal, F.pow(t - p, F.lit(2.0)))).alias("mse"),
         F.avg(F.when(ordinal, rps)).alias("mean_rps"),
     )

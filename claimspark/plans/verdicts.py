@@ -107,21 +107,21 @@ def instances(spark, d):
     return evidence(spark, d).filter("NOT extra").join(claims, "conv_id").select("conv_id", "k", "claim", label.alias("label"), "evidence")
 
 
-def one_stage(rows):
+def one_stage(rows, provider="logprobs"):
     """Adds dist, the four classes' distribution (null where the provider refused), and share, that of the first three."""
     shown = F.when(F.col("label") == VERDICTS[3], "Insufficient Evidence").otherwise(F.col("label"))
     prompt = text.render(VERIFY, claim=F.col("claim"), label=shown, evidence=F.col("evidence"))
-    said = rows.withColumn("said", scorers.score_column(scorers.registered("logprobs", "verdict"), "map<string,double>", prompt))
+    said = rows.withColumn("said", scorers.score_column(scorers.registered(provider, "verdict"), "map<string,double>", prompt))
     out = said.withColumn("dist", judge.verdict_distribution(F.col("said"), ("SUP", "CON", "REF", "NEE"))).drop("said")
     return out.withColumn("share", judge.renormalised(F.col("dist")))
 
 
-def two_stage(rows):
+def two_stage(rows, provider="logprobs"):
     """Adds abstain, the yes/no distribution, and share, the three verdicts' by a prompt without the label where that is a lack of evidence."""
     fill = {c: F.col(c) for c in ("claim", "label", "evidence")}
     second = F.when(F.col("label") == VERDICTS[3], text.render(CLASSIFY, claim=fill["claim"], evidence=fill["evidence"])).otherwise(text.render(VERIFY, **fill))
-    ask = lambda name, prompt: scorers.score_column(scorers.registered("logprobs", name), "map<string,double>", prompt)
-    out = rows.withColumns({"said_a": ask("abstain", text.render(ABSTAIN, **fill)), "said_v": ask("verdict_3", second)})
+    ask = lambda name, prompt, by="logprobs": scorers.score_column(scorers.registered(by, name), "map<string,double>", prompt)
+    out = rows.withColumns({"said_a": ask("abstain", text.render(ABSTAIN, **fill)), "said_v": ask("verdict_3", second, provider)})
     return out.withColumns({"abstain": judge.verdict_distribution(F.col("said_a"), ("yes", "no")), "share": judge.verdict_distribution(F.col("said_v"), ("SUP", "CON", "REF"))}).drop("said_a", "said_v")
 
 
@@ -141,28 +141,46 @@ def verdict_two_stage(spark, d):
 
 #: Stands for the true label.
 TRUTH = "((conv_id * 7 + 1) % 4)"
-JUDGED_SQL = f"""{INSTANCES_SQL}, vj AS (SELECT 'one_stage' AS method, k, {TRUTH}::INT AS t, round(p3, 9) >= {ONE_STAGE} AS ab, round(p0 / (p0 + p1 + p2), 9) AS x0, round(p1 / (p0 + p1 + p2), 9) AS x1, round(p2 / (p0 + p1 + p2), 9) AS x2 FROM one
-UNION ALL SELECT 'two_stage', k, {TRUTH}::INT, round(a1, 9) >= {TWO_STAGE}, round(q0, 9), round(q1, 9), round(q2, 9) FROM two),
-vb AS (SELECT *, CASE WHEN ab THEN 3 WHEN x0 >= x1 AND x0 >= x2 THEN 0 WHEN x1 >= x2 THEN 1 ELSE 2 END::INT AS p FROM vj)"""
+JUDGED_SQL = f"""{INSTANCES_SQL}, vj AS (SELECT 'one_stage' AS method, k, {TRUTH}::INT AS t, n1 % {scorers.REFUSED} <> 0 AS ok, round(p3, 9) >= {ONE_STAGE} AS ab, round(p0 / (p0 + p1 + p2), 9) AS x0, round(p1 / (p0 + p1 + p2), 9) AS x1, round(p2 / (p0 + p1 + p2), 9) AS x2 FROM one
+UNION ALL SELECT 'two_stage', k, {TRUTH}::INT, n2 % {scorers.REFUSED} <> 0, round(a1, 9) >= {TWO_STAGE}, round(q0, 9), round(q1, 9), round(q2, 9) FROM two),
+vb AS (SELECT *, CASE WHEN ab THEN 3 WHEN x0 >= x1 AND x0 >= x2 THEN 0 WHEN x1 >= x2 THEN 1 ELSE 2 END::INT AS p FROM vj),
+cc AS (SELECT method, k, cls, count(*) FILTER (WHERE ok AND t = cls AND p = cls) AS tp, count(*) FILTER (WHERE ok AND t <> cls AND p = cls) AS fp, count(*) FILTER (WHERE ok AND t = cls AND p <> cls) AS fn FROM vb, (SELECT unnest([0, 1, 2, 3]) AS cls) GROUP BY ALL),
+cr AS (SELECT method, k, cls, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, tp + fn AS support FROM cc)"""
 
 
 def judged(spark, d):
     """(method, k, t, p, ab, x): truth, prediction, whether it abstains, and the three classes' distribution; refused answers are null."""
-    rows, truth = instances(spark, d), F.expr(TRUTH).cast("int")
+    rows, truth, provider = instances(spark, d), F.expr(TRUTH).cast("int"), "logprobs_filtered"
     rounded = F.transform("share", lambda x: F.round(x, 9))
-    a = one_stage(rows).select(F.lit("one_stage").alias("method"), "k", truth.alias("t"), (F.round(F.get("dist", F.lit(3)), 9) >= ONE_STAGE).alias("ab"), rounded.alias("x"))
-    b = two_stage(rows).select(F.lit("two_stage").alias("method"), "k", truth.alias("t"), (F.round(F.get("abstain", F.lit(1)), 9) >= TWO_STAGE).alias("ab"), rounded.alias("x"))
+    a = one_stage(rows, provider).select(F.lit("one_stage").alias("method"), "k", truth.alias("t"), (F.round(F.get("dist", F.lit(3)), 9) >= ONE_STAGE).alias("ab"), rounded.alias("x"))
+    b = two_stage(rows, provider).select(F.lit("two_stage").alias("method"), "k", truth.alias("t"), (F.round(F.get("abstain", F.lit(1)), 9) >= TWO_STAGE).alias("ab"), rounded.alias("x"))
     return a.unionByName(b).withColumn("p", F.when(F.col("ab"), 3).otherwise(judge.argmax(F.col("x"))))
 
 
-@query(f"""WITH {JUDGED_SQL}, o AS (SELECT * FROM vb WHERE NOT ab AND t <> 3), m AS (SELECT method, k, count(*) AS n, sum(ab::INT)::BIGINT AS abstained, sum((t = 3)::INT)::BIGINT AS unanswerable, sum((ab OR t = 3)::INT)::BIGINT AS either, 0::BIGINT AS invalid, round(avg((t = p)::INT), 6) AS accuracy FROM vb GROUP BY ALL),
+MEANS = [f"{how}_{c}" for how in ("macro", "weighted") for c in ("precision", "recall", "f1")]
+
+
+@query(f"""WITH {JUDGED_SQL}, o AS (SELECT * FROM vb WHERE ok AND NOT ab AND t <> 3), m AS (SELECT method, k, count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE ok AND ab) AS abstained, count(*) FILTER (WHERE ok AND t = 3) AS unanswerable,
+count(*) FILTER (WHERE ok AND (ab OR t = 3)) AS either, count(*) FILTER (WHERE NOT ok) AS invalid, round(avg((t = p)::INT) FILTER (WHERE ok), 6) AS accuracy FROM vb GROUP BY ALL),
 e AS (SELECT method, k, round(avg((t - p) * (t - p)::DOUBLE), 6) AS mse, round(avg((power((t < 1)::INT - x0, 2) + power((t < 2)::INT - (x0 + x1), 2)) / 2), 6) AS mean_rps FROM o GROUP BY ALL),
-cc AS (SELECT method, k, cls, sum((t = cls AND p = cls)::INT) AS tp, sum((t <> cls AND p = cls)::INT) AS fp, sum((t = cls AND p <> cls)::INT) AS fn FROM vb, (SELECT unnest([0, 1, 2, 3]) AS cls) GROUP BY ALL),
-g AS (SELECT method, k, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END), 6) AS macro_f1 FROM cc GROUP BY ALL)
-SELECT m.method, m.k, n, invalid, abstained, unanswerable, either, accuracy, macro_f1, mse, mean_rps FROM m LEFT JOIN e ON e.method = m.method AND e.k = m.k JOIN g ON g.method = m.method AND g.k = m.k""")
+g AS (SELECT method, k, {", ".join(f"round(avg({c}), 6) AS macro_{c}, round(CASE WHEN sum(support) > 0 THEN sum({c} * support) / sum(support) END, 6) AS weighted_{c}" for c in ("precision", "recall", "f1"))} FROM cr GROUP BY ALL),
+ka AS (SELECT method, k, c, row_number() OVER (PARTITION BY method, k ORDER BY c) AS i FROM (SELECT method, k, t AS c FROM o UNION SELECT method, k, p FROM o)),
+kt AS (SELECT o.method, o.k, i, count(*)::DOUBLE AS n FROM o JOIN ka ON ka.method = o.method AND ka.k = o.k AND c = t GROUP BY ALL), kp AS (SELECT o.method, o.k, i, count(*)::DOUBLE AS n FROM o JOIN ka ON ka.method = o.method AND ka.k = o.k AND c = p GROUP BY ALL),
+kx AS (SELECT kt.method, kt.k, sum(kt.n * kp.n * (kt.i - kp.i) * (kt.i - kp.i)) AS expected FROM kt JOIN kp ON kp.method = kt.method AND kp.k = kt.k GROUP BY ALL),
+ks AS (SELECT o.method, o.k, sum((a.i - b.i) * (a.i - b.i))::DOUBLE * count(*) AS seen FROM o JOIN ka a ON a.method = o.method AND a.k = o.k AND a.c = t JOIN ka b ON b.method = o.method AND b.k = o.k AND b.c = p GROUP BY ALL),
+kk AS (SELECT kx.method, kx.k, CASE WHEN expected > 0 THEN round(1 - seen / expected, 6) END AS kappa FROM kx JOIN ks ON ks.method = kx.method AND ks.k = kx.k)
+SELECT m.method, m.k, n, invalid, abstained, unanswerable, either, accuracy, {", ".join(MEANS)}, kappa, mse, mean_rps FROM m LEFT JOIN e ON e.method = m.method AND e.k = m.k JOIN g ON g.method = m.method AND g.k = m.k LEFT JOIN kk ON kk.method = m.method AND kk.k = m.k""")
 def verification_metrics(spark, d):
-    """Per method and k: refused answers dropped and counted, abstention, accuracy and macro F1 over four classes, ordinal metrics over the rest."""
-    return metrics.verification_report(judged(spark, d), ["method", "k"]).select("method", "k", "n", "invalid", "abstained", "unanswerable", "either", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "mse", "mean_rps")])
+    """Per method and k: refused answers dropped and counted, abstention, accuracy, macro and weighted means over four classes, kappa and ordinal metrics over the rest."""
+    shown = [F.round(c, 6).alias(c) for c in ("accuracy", *MEANS, "kappa", "mse", "mean_rps")]
+    return metrics.verification_report(judged(spark, d), ["method", "k"]).select("method", "k", "n", "invalid", "abstained", "unanswerable", "either", *shown)
+
+
+@query(f"WITH {JUDGED_SQL} SELECT method, k, cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM cr")
+def verification_classes(spark, d):
+    """Per method, k and class: precision, recall, F1 and support of the answers that weren't refused."""
+    rounded = {c: F.round(c, 6) for c in ("precision", "recall", "f1")}
+    return metrics.class_report(judged(spark, d), ["method", "k"]).withColumns(rounded)
 
 
 @query(f"""WITH {RUNS_SQL} SELECT conv_id, CASE len({tok_sql("j")}) % 4 WHEN 0 THEN 'Supported' WHEN 1 THEN 'Conflicting' WHEN 2 THEN 'Refuted' ELSE 'Not Enough Evidence' END AS label FROM (SELECT conv_id, string_agg(s, ' ' ORDER BY sent_idx) AS j FROM stm GROUP BY conv_id)""")

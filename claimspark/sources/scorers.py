@@ -67,15 +67,15 @@ def judge_with_usage(rows: Sequence[tuple]) -> list[dict]:
     return [{"text": t, "prompt_tokens": size(a) + size(b), "completion_tokens": size(t)} for (a, b), t in zip(rows, said, strict=True)]
 
 
-def token_logprobs(labels: Sequence[str]) -> Callable[[], Scorer]:
-    """A provider of one-token answers: each label's log-probability. An empty prompt gives null, as a refused
-    call does; the label at a prompt's token count modulo 11 (less five) is missing from the answer."""
+def token_logprobs(labels: Sequence[str], refused: int = 0) -> Callable[[], Scorer]:
+    """A provider of one-token answers: each label's log-probability. An empty prompt gives null, and so does a refused
+    call: one whose prompt's token count `refused`, if any, divides; the label at a prompt's token count modulo 11 (less five) is missing from the answer."""
 
     def call(rows):
         out: list = []
         for (prompt,) in rows:
             n = len((prompt or "").split())
-            out.append({x: -((n * (i + 2)) % 17) / 4.0 for i, x in enumerate(labels) if n % 11 != i + 5} if n else None)
+            out.append({x: -((n * (i + 2)) % 17) / 4.0 for i, x in enumerate(labels) if n % 11 != i + 5} if n and not (refused and n % refused == 0) else None)
         return out
 
     return lambda: call
@@ -221,6 +221,8 @@ def table_search(strings: DataFrame, results: DataFrame, per_page: int = 10, pag
     return strings.join(results.filter(F.col("pos") < per_page * pages), "query")
 
 
+#: A provider with a content filter refuses prompts whose number of tokens this divides.
+REFUSED = 7
 #: Scorers by kind and name: builders that run on the worker.
 REGISTRY: dict[str, dict[str, Callable]] = {
     "entail": {"lexical": lambda: lexical_entailment},
@@ -230,6 +232,7 @@ REGISTRY: dict[str, dict[str, Callable]] = {
     "queries": {"triples": lambda: query_writer},
     "cite": {"overlap": index_writer()},
     "logprobs": {"verdict": token_logprobs(("SUP", "CON", "REF", "NEE")), "abstain": token_logprobs(("yes", "no")), "verdict_3": token_logprobs(("SUP", "CON", "REF"))},
+    "logprobs_filtered": {"verdict": token_logprobs(("SUP", "CON", "REF", "NEE"), REFUSED), "verdict_3": token_logprobs(("SUP", "CON", "REF"), REFUSED)},
     "logits": {"verdict": last_token_logits(4)},
 }
 

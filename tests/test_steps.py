@@ -135,7 +135,21 @@ def test_verification_report(spark):
     r = metrics.verification_report(df, ["k"]).first()
     assert (r.n, r.invalid, r.abstained, r.unanswerable, r.either) == (3, 1, 1, 1, 2)
     assert r.accuracy == pytest.approx(1 / 3) and r.macro_f1 == pytest.approx(0.25) and r.mse == 0 and r.mean_rps == pytest.approx(0.145)
+    assert (r.macro_precision, r.macro_recall, r.weighted_precision, r.weighted_recall, r.weighted_f1) == tuple(map(pytest.approx, (0.25, 0.25, 1 / 3, 1 / 3, 1 / 3)))
+    assert r.kappa is None  # one class alone
     assert metrics.verification_report(df.limit(0), ["k"]).count() == 0
+    report = {x.cls: tuple(x)[2:] for x in metrics.class_report(df, ["k"]).collect()}
+    assert report == {0: (1.0, 1.0, 1.0, 1), 1: (0.0, 0.0, 0.0, 1), 2: (0.0, 0.0, 0.0, 0), 3: (0.0, 0.0, 0.0, 1)}
+
+
+def test_kappa_of_groups(spark):
+    """As the table-wide operator has it, where classes are missing too."""
+    rnd = random.Random(2)
+    groups = {"all": (0, 1, 2), "gap": (0, 2), "low": (0, 1)}
+    rows = [(g, rnd.choice(cs), rnd.choice(cs), False, [1.0, 0.0, 0.0]) for g, cs in groups.items() for _ in range(25)]
+    df = spark.createDataFrame(rows, "k string, t int, p int, ab boolean, x array<double>")
+    got = {r.k: r.kappa for r in metrics.verification_report(df, ["k"]).collect()}
+    assert got == {g: pytest.approx(metrics.quadratic_kappa(df.filter(F.col("k") == g), "t", "p").first().kappa) for g in groups}
 
 
 def test_page_words(spark):
