@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +30,20 @@ def pack(parts: Column, sizes: Column, pack_limit: int) -> Column:
     return F.aggregate(items, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
 
 
-def split_paragraph(text: Column, pack_limit: int) -> Column:
+Count = Callable[[Column], Column]
+
+
+def split_paragraph(text: Column, pack_limit: int, count: Count = n_tokens) -> Column:
     """array<string>: a long paragraph's sentences packed likewise, joined by a space; longer sentences are cut into even word groups first."""
-    pieces = F.flatten(F.transform(sentences(text), lambda s: F.when(n_tokens(s) > pack_limit, F.transform(split_words(tokens(s), pack_limit), lambda ws: F.array_join(ws, " "))).otherwise(F.array(s))))
-    return F.transform(pack(pieces, F.transform(pieces, n_tokens), pack_limit), lambda g: F.array_join(g, " "))
+    pieces = F.flatten(F.transform(sentences(text), lambda s: F.when(count(s) > pack_limit, F.transform(split_words(tokens(s), pack_limit), lambda ws: F.array_join(ws, " "))).otherwise(F.array(s))))
+    return F.transform(pack(pieces, F.transform(pieces, count), pack_limit), lambda g: F.array_join(g, " "))
 
 
-def chunk_documents(docs: DataFrame, doc_id: str, text: str, pack_limit: int = 600, split_limit: int = 800, separator: str = "\n") -> DataFrame:
-    """(doc_id, chunk_pos, chunk): paragraphs packed up to pack_limit tokens; one of split_limit or more stands alone, split by sentences."""
+def chunk_documents(docs: DataFrame, doc_id: str, text: str, pack_limit: int = 600, split_limit: int = 800, separator: str = "\n", count: Count = n_tokens) -> DataFrame:
+    """(doc_id, chunk_pos, chunk): paragraphs packed up to pack_limit tokens; one of split_limit or more stands alone, split by sentences.
+
+    count gives a text's tokens, as the tokenizers of `functions.tokenizers` that stay in the JVM do; sentences above the limit are cut between words.
+    """
     paragraphs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), separator), lambda p: F.trim(p) != "")
     start = F.struct(F.lit(0).cast("long").alias("size"), F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("done"))
     joined = lambda xs: F.array_join(xs, separator)
@@ -50,12 +58,12 @@ def chunk_documents(docs: DataFrame, doc_id: str, text: str, pack_limit: int = 6
         return F.struct(
             F.when(long_, 0).when(over, n).otherwise(acc["size"] + n).cast("long").alias("size"),
             F.when(long_, nothing).when(over, F.array(p)).otherwise(F.concat(acc["open"], F.array(p))).alias("open"),
-            F.when(long_, F.concat(flush(acc), split_paragraph(p, pack_limit))).when(over, flush(acc)).otherwise(acc["done"]).alias("done"),
+            F.when(long_, F.concat(flush(acc), split_paragraph(p, pack_limit, count))).when(over, flush(acc)).otherwise(acc["done"]).alias("done"),
         )
 
-    counted = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), n_tokens(p).alias("n")))
+    counted = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), count(p).alias("n")))
     chunks = F.aggregate(counted, start, step, flush)
-    return docs.select(doc_id, F.posexplode(chunks).alias("chunk_pos", "chunk")).withColumn("n_tokens", n_tokens(F.col("chunk")))
+    return docs.select(doc_id, F.posexplode(chunks).alias("chunk_pos", "chunk")).withColumn("n_tokens", count(F.col("chunk")))
 
 
 def group_lines(words: DataFrame, doc: list[str], seq: str, top: str, gap: float = 3.0) -> DataFrame:

@@ -173,3 +173,50 @@ def event_windows(spark, d):
     from ..streaming.resume import windowed_counts
 
     return windowed_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+#: Pages as search results: each belongs to the item of its id modulo their number, in the order of ids.
+RESULTS_SQL = """n AS (SELECT count(*) AS n FROM benchmark), rs AS (SELECT item_id, page_id // n AS pos, url AS link, (DATE '2020-01-01' + (page_id % 366)::INT)::VARCHAR AS date,
+regexp_extract(lower(url), '^[a-z]+://([^/:]*)', 1) AS host FROM pages, n, benchmark WHERE item_id = page_id % n)"""
+EXCLUDED, FROM, UNTIL, ENOUGH = "example.net", "2020-02-01", "2020-10-31", 4
+
+
+@query(f"""WITH {RESULTS_SQL}, rk AS (SELECT item_id, pos, link, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS i FROM rs WHERE date BETWEEN '{FROM}' AND '{UNTIL}' AND host <> '{EXCLUDED}' AND NOT ends_with(host, '.{EXCLUDED}')),
+fr AS (SELECT item_id, pos, link, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS i FROM rs), k AS (SELECT item_id, count(rk.pos) AS hits FROM benchmark LEFT JOIN rk USING (item_id) GROUP BY item_id)
+SELECT item_id, pos, link, TRUE AS restricted FROM rk WHERE i <= 30 UNION ALL SELECT fr.item_id, pos, link, FALSE FROM fr JOIN k ON k.item_id = fr.item_id WHERE hits < {ENOUGH} AND i <= 30""")
+def search_source(spark, d):
+    """Three pages of results of every item within a date range and without one site; items with fewer than four hits
+    also get what an unrestricted search finds. Both searches go through the data source."""
+    from ..operators.dedup import search_with_fallback
+    from ..sources import web
+
+    items = table(spark, d, "benchmark").select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("query"))
+    n = items.count()
+    buckets = max(4, -(-n // 10_000))
+    at = F.pmod("page_id", F.lit(max(n, 1)))
+    dated = F.date_add(F.lit("2020-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).cast("string")
+    pages = table(spark, d, "pages").select(at.alias("item_id"), F.expr(f"page_id div {max(n, 1)}").cast("int").alias("pos"), F.col("url").alias("link"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), dated.alias("date"))
+    folder = web.shared_folder(spark)
+    queries = web.in_buckets(items.select("query"), f"{folder}/queries", buckets)
+    results = web.in_buckets(pages.join(items, "item_id").drop("item_id"), f"{folder}/results", buckets)
+    tight = web.search(spark, queries, buckets, results=results, after=FROM, before=UNTIL, exclude=EXCLUDED).withColumn("restricted", F.lit(True))
+    loose = web.search(spark, queries, buckets, results=results).withColumn("restricted", F.lit(False))
+    found = tight.unionByName(loose).join(items, "query").withColumn("try", F.lit(0))
+    kept = search_with_fallback(found, "item_id", "restricted", "try", ENOUGH)
+    return kept.select("item_id", F.col("pos").cast("long").alias("pos"), "link", "restricted")
+
+
+@query("""SELECT page_id, url AS link, CASE WHEN lower(regexp_extract(url, '^(?:[^:/?#]+://[^/?#]*)?([^?#]*)', 1)) LIKE '%.pdf' THEN 'pdf' ELSE 'html' END AS kind, 'q' || (page_id % 7) AS query, length(html) AS size FROM pages""")
+def page_sink(spark, d):
+    """Pages through the sink and back: what the url list and the search records say of each stored page."""
+    from ..sources import web
+    from ..sources.results import kind_of
+
+    pages = table(spark, d, "pages").select(F.concat(F.lit("q"), F.pmod("page_id", F.lit(7)).cast("string")).alias("query"), F.col("page_id").alias("pos"), F.col("url").alias("link"), kind_of(F.col("url")).alias("kind"), "html")
+    path = f"{web.shared_folder(spark)}/pages"
+    web.write_found(pages, path)
+    back = lambda part, schema: web.read_found(spark, path, part, schema)
+    items, urls = back("items", "pos long, link string, html string"), back("urls", "link string, kind string").distinct()
+    records = back("searches", "query string, pos long, link string")
+    rows = items.join(urls, "link").join(records.select("query", "pos"), "pos")
+    return rows.select(F.col("pos").alias("page_id"), "link", "kind", "query", F.length("html").cast("long").alias("size"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import sequences, text
-from ..operators import attribution, boundaries, citations
+from ..functions import sequences, text, tokenizers
+from ..operators import alignment, attribution, boundaries, citations, metrics
 from .bindings import HOLDS_SQL, SCORES_SQL, SENTENCES_SQL, cut_sql, held_sql, overlap_scores, sent_sql, sources, statements, table, tok_sql
 from .registry import query
 
@@ -212,3 +212,55 @@ def masked_context(spark, d):
     packed = sources(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("source_idx", "s"))).alias("xs"))
     part = lambda f: F.transform("xs", f)
     return packed.select("conv_id", sequences.kept_text(part(lambda x: x["s"]), part(lambda x: F.lit(" ")), part(lambda x: x["source_idx"] % 3 != 1)).alias("kept"))
+
+
+#: The tokens of each answer, its statements joined by blanks, and the log-probability of one, here of its length and place.
+TOKENS_SQL = rf"""{SENTENCES_SQL}, an AS (SELECT conv_id, string_agg(s, ' ' ORDER BY sent_idx) AS t FROM stm GROUP BY conv_id),
+pc AS (SELECT conv_id, unnest(ps) AS token, unnest(range(len(ps))) AS i FROM (SELECT conv_id, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_ \t\n\f\r]|[ \t\n\f\r]+') AS ps FROM an)),
+po AS (SELECT *, regexp_matches(token, '^[^ \t\n\f\r]') AS is_token, sum(length(token)) OVER (PARTITION BY conv_id ORDER BY i) - length(token) AS start FROM pc),
+tn AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS token_idx, token, start::BIGINT AS start, (start + length(token))::BIGINT AS "end" FROM po WHERE is_token)"""
+
+
+def answers(spark, d):
+    """(conv_id, t): the answer of each instance."""
+    packed = statements(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "s"))).alias("xs"))
+    return packed.select("conv_id", F.array_join(F.transform("xs", lambda x: x["s"]), " ").alias("t"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT * FROM tn")
+def token_spans(spark, d):
+    """The characters of every token of an answer."""
+    return alignment.token_spans(answers(spark, d), ["conv_id"], "t", tokenizers.REGISTRY["marks"])
+
+
+@query(f"""WITH {TOKENS_SQL}, sx AS (SELECT conv_id, sent_idx, length(s) AS w, sum(length(s) + 1) OVER (PARTITION BY conv_id ORDER BY sent_idx) - length(s) - 1 AS start FROM stm)
+SELECT sx.conv_id, sent_idx, min(token_idx) AS first, max(token_idx) + 1 AS last, count(token_idx) AS n, round(coalesce(sum(-ln(1 + exp(-(length(token) % 5 - (token_idx % 3) / 2.0::DOUBLE)))), 0), 6) AS log_prob
+FROM sx LEFT JOIN tn ON tn.conv_id = sx.conv_id AND tn.start >= sx.start AND tn.start < sx.start + w GROUP BY ALL""")
+def statement_token_slices(spark, d):
+    """The tokens of every statement in its answer, and their log-probability."""
+    logit = F.length("token") % 5 - (F.col("token_idx") % 3) / 2.0
+    tokens = token_spans(spark, d).withColumn("log_prob", metrics.log_prob(logit))
+    packed = answers(spark, d).join(statements(spark, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "s"))), lambda x: x["s"]).alias("xs")), "conv_id")
+    found = packed.select("conv_id", F.posexplode(sequences.chained_find(F.col("t"), F.col("xs"))).alias("sent_idx", "x"))
+    spans = found.select("conv_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
+    return alignment.span_slices(tokens, spans, ["conv_id"], "sent_idx", "log_prob").withColumn("log_prob", F.round("log_prob", 6))
+
+
+@query(f"""WITH {SCORES_SQL} SELECT conv_id AS instance_idx, method, sent_idx, k, source_idx, CASE WHEN k = 'any' THEN (score > 0)::INT::DOUBLE ELSE round(score, 6) END AS score
+FROM sc, (VALUES ('entailment', NULL), ('posthoc', 'raw'), ('posthoc', 'any')) v(method, k)""")
+def nested_documents(spark, d):
+    """Scores of instances written as nested documents, a method's with an array and another's with an object of arrays a statement, and read by one reader."""
+    from ..sources import results, web
+
+    scores = overlap_scores(spark, d).select("conv_id", "sent_idx", "source_idx", F.round("score", 6).alias("score"))
+    vector = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("source_idx", x.alias("x")))), lambda y: y["x"])
+    rows = scores.groupBy("conv_id", "sent_idx").agg(vector(F.col("score")).alias("raw"), vector((F.col("score") > 0).cast("double")).alias("any"))
+    packed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "raw", "any"))).alias("xs"))  # one instance's statements
+    methods = F.struct(
+        F.struct(F.transform("xs", lambda x: x["raw"]).alias("attr_scores")).alias("entailment"),
+        F.struct(F.transform("xs", lambda x: F.struct(x["raw"].alias("raw"), x["any"].alias("any"))).alias("attr_scores")).alias("posthoc"),
+    )
+    documents = packed.select(F.to_json(F.struct(F.array(F.struct(F.col("conv_id").alias("instance_idx"), methods.alias("methods"))).alias("results"))).alias("value"))
+    path = f"{web.shared_folder(spark)}/documents"
+    documents.write.text(path)
+    return results.nested_scores(spark.read.text(path), "value")

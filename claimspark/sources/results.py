@@ -64,6 +64,24 @@ def score_vectors_by_k(document: DataFrame) -> DataFrame:
     return each.select("instance_idx", "method", "sent_idx", "k", F.posexplode("v").alias("source_idx", "score"))
 
 
+def nested_scores(documents: DataFrame, document: str) -> DataFrame:
+    """(instance_idx, method, sent_idx, k, source_idx, score) of documents as JSON text, whatever shape a method's scores have.
+
+    The text becomes a VARIANT once. A statement's scores are an array (k null), or an object of arrays by k; null or
+    anything else, also a document that isn't JSON, gives no rows. A score that is null stays as one.
+    """
+    parsed = documents.select(F.try_parse_json(document).alias("v"))
+    each = parsed.select(F.explode(F.try_variant_get("v", "$.results", "array<variant>")).alias("i"))
+    by = each.select(F.try_variant_get("i", "$.instance_idx", "bigint").alias("instance_idx"), F.explode(F.try_variant_get("i", "$.methods", "map<string,variant>")).alias("method", "m"))
+    statements = by.select("instance_idx", "method", F.posexplode(F.try_variant_get("m", "$.attr_scores", "array<variant>")).alias("sent_idx", "s"))
+    plain = F.try_variant_get("s", "$", "array<double>")
+    keyed = F.transform(F.map_entries(F.try_variant_get("s", "$", "map<string,array<double>>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("xs")))
+    shapes = F.when(plain.isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("k"), plain.alias("xs")))).otherwise(keyed)
+    vectors = statements.select("instance_idx", "method", F.col("sent_idx").cast("long").alias("sent_idx"), F.explode(shapes).alias("x"))
+    scored = vectors.select("instance_idx", "method", "sent_idx", "x.k", F.posexplode("x.xs").alias("source_idx", "score"))
+    return scored.withColumn("source_idx", F.col("source_idx").cast("long"))
+
+
 def paragraphs(spark: SparkSession, folder: str, separator: str = "\n\n") -> DataFrame:
     """(path, pos, paragraph) of a folder of text files."""
     files = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")

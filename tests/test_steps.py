@@ -207,3 +207,31 @@ def test_datasets(spark, tmp_path):
 
     files = sorted((tmp_path / "o").glob("part-*"))  # readers may take files in another order; their names have this one
     assert [json.loads(x)["id"] for f in files for x in f.read_text().splitlines()] == list(range(50))
+
+
+def test_nested_scores(spark):
+    """Both shapes, nulls, strangers and broken documents."""
+    texts = [
+        '{"results": [{"instance_idx": 4, "methods": {"a": {"attr_scores": [[0.5, null], [], null, {"1": [1], "3": [0, 2.25]}, "x", 7]}, "b": {"other": 1}, "c": null}}]}',
+        '{"results": []}', '{"results": null}', "[]", "{broken", None, "",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    got = sorted((tuple(r) for r in results.nested_scores(df, "value").collect()), key=repr)
+    want = [(4, "a", 0, None, 0, 0.5), (4, "a", 0, None, 1, None), (4, "a", 3, "1", 0, 1.0), (4, "a", 3, "3", 0, 0.0), (4, "a", 3, "3", 1, 2.25)]
+    assert got == sorted(want, key=repr)
+    assert results.nested_scores(df.limit(0), "value").count() == 0
+
+
+def test_all_datasets(spark):
+    for name in results.DATASETS:
+        rows = results.load_dataset(spark, "/root/testdata/sf0.001", name, most=20)
+        assert sorted(r.instance_idx for r in rows.collect()) == list(range(rows.count())) and rows.count() > 0, name
+
+
+def test_chunks_by_tokenizer(spark):
+    from claimspark.functions import tokenizers
+
+    df = spark.createDataFrame([(1, "a-b c\nd-e\nf")], "id int, text string")
+    marks = tokenizers.REGISTRY["marks"].count
+    got = lambda **how: [(r.chunk, r.n_tokens) for r in chunking.chunk_documents(df, "id", "text", pack_limit=4, **how).orderBy("chunk_pos").collect()]
+    assert got() == [("a-b c\nd-e\nf", 4)] and got(count=marks) == [("a-b c", 4), ("d-e\nf", 4)]
