@@ -220,3 +220,24 @@ def page_sink(spark, d):
     records = back("searches", "query string, pos long, link string")
     rows = items.join(urls, "link").join(records.select("query", "pos"), "pos")
     return rows.select(F.col("pos").alias("page_id"), "link", "kind", "query", F.length("html").cast("long").alias("size"))
+
+
+def third_time(item, attempt: int) -> str:
+    """Stands for a judge's call: items answer at their first to fourth try."""
+    if attempt < 1 + item % 4:
+        raise OSError("busy")
+    return f"{item}:{attempt}"
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS n, 1 + user_id % 4 AS a FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT user_id, least(n, a, 3)::INT AS tries, CASE WHEN a <= least(n, 3) THEN 'done' WHEN n >= 3 THEN 'failed' ELSE 'open' END AS status, n AS deliveries, CASE WHEN a <= least(n, 3) THEN user_id || ':' || a END AS answer FROM u""")
+def stream_attempts(spark, d):
+    """Every event delivers its user as an item: the stream run to its end, a few files a batch, with three tries an item."""
+    from ..sources.web import shared_folder
+    from ..streaming.attempts import outcomes, work_through
+
+    folder = shared_folder(spark)
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1000).parquet(f"{d}/events.parque[t]").filter("user_id IS NOT NULL")  # a pattern: the table may be one file
+    work_through(spark, stream, "user_id", third_time, f"{folder}/out", f"{folder}/checkpoint")
+    return outcomes(spark, f"{folder}/out", "user_id")
