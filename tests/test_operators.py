@@ -177,6 +177,10 @@ def test_page_text():
     assert pages.main_text(None) == ""
 
 
+def test_page_text_references_end_with_a_semicolon():
+    assert pages.main_text("<p>a&amp;&amp;&amp</p><p>x &lt y &notit; &eacute;&#33; &</p>") == "a&&&amp\nx &lt y &notit; \u00e9! &"
+
+
 def test_results_and_checkpoints(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text('{"metadata": {"dataset": "d", "model": "m"}, "results": [{"instance_idx": 3, "methods": {"a": {"attr_scores": [[0.5, 1.0], []]}, "b": {"attr_scores": [{"1": [1.0]}, null]}}}]}')
