@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import dot
-
 
 def classification_report(rows: DataFrame, truth: str, predicted: str, classes: list[int], zero: float | None = None) -> DataFrame:
     """One row a class (all classes, seen or not): precision, recall, f1, support. `zero` stands where a ratio is undefined."""
@@ -80,26 +79,26 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho"))
 
 
-def average_ranks(values: Column) -> Column:
-    """array<double>: the place of each value, equal values sharing the mean of theirs."""
-    up = F.array_sort(values)
-    both = F.struct(up.alias("up"), F.reverse(up).alias("down"), F.size(values).alias("n"))
-    place = lambda s: F.transform(values, lambda v: (F.array_position(s["up"], v) + s["n"] + 1 - F.array_position(s["down"], v)) / 2)
-    return F.get(F.transform(F.array(both), place), F.lit(0))
-
-
-def correlation(x: Column, y: Column) -> Column:
-    """Pearson's coefficient of two arrays; null where either is constant."""
-    n = F.size(x)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-
-    def centred(a: Column) -> Column:
-        return F.get(F.transform(F.array(total(a) / n), lambda m: F.transform(a, lambda v: v - m)), F.lit(0))
+def place_of(values: np.ndarray) -> np.ndarray:
+    """The place of each value in its row, equal values sharing the mean of theirs."""
+    order = np.argsort(values, axis=1, kind="stable")
+    up, at = np.take_along_axis(values, order, 1), np.arange(values.shape[1])
+    new = np.ones(up.shape, bool)
+    new[:, 1:] = up[:, 1:] != up[:, :-1]
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    end = np.ones(up.shape, bool)
+    end[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(end, at, len(at))[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(up.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, 1)
+    return out
 
-    def ratio(p: Column) -> Column:
-        return F.try_divide(dot(p["x"], p["y"]), F.sqrt(dot(p["x"], p["x"])) * F.sqrt(dot(p["y"], p["y"])))
 
-    return F.get(F.transform(F.array(F.struct(centred(x).alias("x"), centred(y).alias("y"))), ratio), F.lit(0))
+def rank_correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spearman's coefficient of each row of x with that of y; NaN where either is constant."""
+    a, b = (r - r.mean(1, keepdims=True) for r in (place_of(x), place_of(y)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
 def log_prob(logit):
@@ -112,12 +111,6 @@ def slice_log_prob(logits):
     return F.aggregate(logits, F.lit(0.0), lambda a, x: a + log_prob(x))
 
 
-def drop_from_full(rows: DataFrame, keys: list[str], variant: str, value: str, tokens: str, full: int = 0) -> DataFrame:
-    """(full - variant) / tokens for each variant but the full one."""
-    base = rows.filter(F.col(variant) == full).select(*keys, F.col(value).alias("__full"))
-    return rows.filter(F.col(variant) != full).join(base, keys).withColumn("drop", (F.col("__full") - F.col(value)) / F.col(tokens)).drop("__full")
-
-
 def citation_quality(statements: DataFrame, citations: DataFrame, unit: str, statement: str) -> DataFrame:
     """(unit, recall, precision, f1): a statement counts its support if cited, else one minus its need for a citation; units without statements or citations score 0."""
     cited = citations.groupBy(unit, statement).agg(F.count("*").alias("n_cit"))

@@ -4,11 +4,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions import dates, judge, sequences, text
 from claimspark.operators import attribution, chunking, citations, dedup, markup, metrics, ranking
+from claimspark.plans import faithfulness
 from claimspark.sources import pages, results, scorers
 from claimspark.streaming import resume
 
@@ -166,6 +168,26 @@ def test_greedy_and_surrogate(spark):
     assert fitted[0] == pytest.approx(1, abs=0.05) and fitted[2] == pytest.approx(-2, abs=0.05) and fitted[1] == pytest.approx(0, abs=0.02)
 
 
+def test_surrogates_of_many_statements_are_fitted_as_one_matrix():
+    """Statements of one size share a matrix; each gets what it gets alone, and empty ones nothing."""
+    lists = pa.array([[0.5, 0.25], [], [1.0], None, [0.75, 0.0]])
+    assert [(list(r), x.tolist()) for r, x in attribution.by_size(lists)] == [([2], [[1.0]]), ([0, 4], [[0.5, 0.25], [0.75, 0.0]])]
+    kept, scores = faithfulness.keeps(32, 2), np.array([[0.5, 0.25], [0.75, 0.0]])
+    lp = faithfulness.measured(scores, kept)[1]
+    both = attribution.sparse_fit(kept[None, 1:], lp[:, 1:], 32)
+    for k in range(2):
+        own = attribution.sparse_fit(np.stack([kept[1:]]), lp[k : k + 1, 1:], 32)
+        assert np.allclose(both[k], own[0])
+    assert np.allclose(attribution.sparse_fit(np.stack([kept[1:]] * 2), lp[:, 1:], 32), both) and both[0, 0] > 0
+
+
+def test_rank_correlation_of_rows():
+    x = np.array([[1.0, 2.0, 2.0, 3.0], [1.0, 1.0, 1.0, 1.0]])
+    assert metrics.place_of(x).tolist() == [[1.0, 2.5, 2.5, 4.0], [2.5] * 4]
+    rho = metrics.rank_correlation(x, -x)
+    assert rho[0] == pytest.approx(-1) and np.isnan(rho[1])
+
+
 def test_sentence_index_extraction(spark):
     assert one(spark, judge.sentence_indices(F.col("t"), 2, F.lit(5)), t="[3] [3] [1] [2]<eos>") == [3, 1]
     assert one(spark, judge.sentence_indices(F.col("t"), 2, F.lit(5)), t="[3] [9]<eos>") is None
