@@ -126,9 +126,9 @@ dt AS (SELECT ea.conv_id, sent_idx, source_idx, sum(ea.x * eb.x) AS score FROM e
 SELECT na.conv_id, na.sent_idx, nb.source_idx, round(coalesce(score, 0), 5) + 0 AS score FROM na JOIN nb ON nb.conv_id = na.conv_id LEFT JOIN dt ON dt.conv_id = na.conv_id AND dt.sent_idx = na.sent_idx AND dt.source_idx = nb.source_idx""")
 def semantic_attr(spark, d):
     """Cosine of each statement's embedding with each source's; vectors without length give no score."""
-    embed = lambda rows, key, name: rows.select(*key, scorers.score_column(scorers.registered("embed", "hash"), "array<double>", F.col("s")).alias(name))
-    pairs = embed(statements(spark, d), INSTANCE, "a").join(embed(sources(spark, d), ["conv_id", "source_idx"], "b"), "conv_id")
-    scored = pairs.select(*INSTANCE, "source_idx", sequences.cosine(F.col("a"), F.col("b")).alias("score")).filter("score IS NOT NULL")
+    packed = lambda rows, index, name: rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(index, "s"))), lambda x: x["s"]).alias(name))  # noqa: E731  one conversation's
+    both = packed(statements(spark, d), "sent_idx", "statements").join(packed(sources(spark, d), "source_idx", "sources"), "conv_id")
+    scored = attribution.embedded_pairs(both, scorers.registered("embed", "hash"))
     return scored.withColumn("score", F.round("score", 5) + 0.0)
 
 

@@ -14,6 +14,7 @@ import math
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 
 
 NUMBERS = ("double", "float", "int", "long", "bigint")
+#: Words whose hashes a worker keeps.
+WORDS = 1 << 16
 
 
 class Scorer(Protocol):
@@ -30,15 +33,20 @@ class Scorer(Protocol):
 
 
 def hash_embedding(size: int = 64) -> Callable[[Sequence[tuple]], list[list[float]]]:
-    """Unit vectors of signed word hashes."""
+    """Unit vectors of signed word hashes; a worker keeps those of WORDS words."""
+
+    @lru_cache(WORDS)
+    def place(w):
+        h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+        return int(h[:8], 16) % size, 1.0 if int(h[8], 16) > 7 else -1.0
 
     def embed(rows):
         out = []
         for (text,) in rows:
             v = [0.0] * size
             for w in (text or "").split():
-                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
-                v[int(h[:8], 16) % size] += 1.0 if int(h[8], 16) > 7 else -1.0
+                at, sign = place(w) if len(w) < 100 else place.__wrapped__(w)
+                v[at] += sign
             norm = math.sqrt(sum(x * x for x in v))
             out.append([x / norm for x in v] if norm else v)
         return out

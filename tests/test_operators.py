@@ -181,6 +181,26 @@ def test_surrogates_of_many_statements_are_fitted_as_one_matrix():
     assert np.allclose(attribution.sparse_fit(np.stack([kept[1:]] * 2), lp[:, 1:], 32), both) and both[0, 0] > 0
 
 
+def test_embedded_pairs_embed_each_text_once(spark, tmp_path):
+    """Every text goes through the scorer once, however many texts it is paired with; empty ones give no pairs."""
+    log = tmp_path / "calls"
+
+    def make():
+        embed = scorers.hash_embedding(8)
+
+        def call(rows):
+            with open(log, "a") as f:
+                f.write("x\n" * len(rows))
+            return embed(rows)
+
+        return call
+
+    df = spark.createDataFrame([(7, ["a b", "", "c"], ["b a", "c"]), (8, ["a"], [])], "conv_id long, statements array<string>, sources array<string>").coalesce(1)
+    got = {(r.conv_id, r.sent_idx, r.source_idx): round(r.score, 9) for r in attribution.embedded_pairs(df, make).collect()}
+    assert set(got) == {(7, 0, 0), (7, 0, 1), (7, 2, 0), (7, 2, 1)} and got[7, 0, 0] == got[7, 2, 1] == 1.0
+    assert log.read_text().count("x") == 6
+
+
 def test_rank_correlation_of_rows():
     x = np.array([[1.0, 2.0, 2.0, 3.0], [1.0, 1.0, 1.0, 1.0]])
     assert metrics.place_of(x).tolist() == [[1.0, 2.5, 2.5, 4.0], [2.5] * 4]
