@@ -201,6 +201,19 @@ def test_embedded_pairs_embed_each_text_once(spark, tmp_path):
     assert log.read_text().count("x") == 6
 
 
+def test_bm25_shuffles_no_pairs_and_counts_words_without_weight(spark):
+    """Scores come out where documents are read; a word in half of all texts weighs nothing and is a common word all the same."""
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["c"]), (4, ["d", "d"]), (5, []), (6, ["b"])], "d long, terms array<string>")
+    asked = spark.createDataFrame([(10, ["a"]), (11, ["d", "zz"]), (12, [])], "q long, terms array<string>")
+    halves = docs.filter("d in (1, 2, 3, 4)")
+    rows = ranking.bm25(asked, halves, "q", "d")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    got = {(r.q, r.d): r.score for r in rows.collect()}
+    assert set(got) == {(10, 1), (10, 2), (11, 4)} and got[10, 1] == 0.0 and got[11, 4] > 0
+    best = ranking.bm25(spark.createDataFrame([(10, ["a", "b"])], "q long, terms array<string>"), docs, "q", "d", best=1).collect()
+    assert [r.d for r in best] == [1]
+
+
 def test_rank_correlation_of_rows():
     x = np.array([[1.0, 2.0, 2.0, 3.0], [1.0, 1.0, 1.0, 1.0]])
     assert metrics.place_of(x).tolist() == [[1.0, 2.5, 2.5, 4.0], [2.5] * 4]
