@@ -210,10 +210,37 @@ def test_bm25_shuffles_no_pairs_and_counts_words_without_weight(spark):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
     got = {(r.q, r.d): r.score for r in rows.collect()}
     assert set(got) == {(10, 1), (10, 2), (11, 4)} and got[10, 1] == 0.0 and got[11, 4] > 0
-    best = ranking.bm25(spark.createDataFrame([(10, ["a", "b"])], "q long, terms array<string>"), docs, "q", "d", best=1).collect()
+    best = ranking.bm25(spark.createDataFrame([(10, ["a", "b"])], "q long, terms array<string>"), docs.coalesce(1), "q", "d", best=1).collect()  # of each batch
     assert [r.d for r in best] == [1]
 
 
+def test_fused_ranks_are_those_of_all_pairs(spark):
+    """Ranks, ties and fusion over several batches a query; null scores and chunks without text go last; the own chunk is left out."""
+    rng = random.Random(3)
+    rows = [(i * 3, [float(rng.randrange(-2, 3)) for _ in range(3)], [rng.choice("abcd") for _ in range(rng.randrange(4))] if i % 4 else None) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "c long, v array<double>, terms array<string>").repartition(5)
+    asked = chunks.filter("c % 30 = 0").withColumnRenamed("c", "q")
+    texts = chunks.filter("terms IS NOT NULL")
+    weights = ranking.query_weights(texts.filter("c % 30 = 0").withColumnRenamed("c", "q"), texts, "q")
+    got = ranking.fused_ranks(asked.select("q", "v"), chunks, weights, "q", "c", "v", "terms")
+    sparse = {(r.q, r.c): r.score for r in ranking.bm25(texts.filter("c % 30 = 0").withColumnRenamed("c", "q"), texts, "q", "c").collect()}
+
+    def dense(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 6) if size else -9.0
+
+    want = {}
+    for q, v, _ in rows:
+        if q % 30 == 0:
+            others = [(c, dense(v, w), round(sparse.get((q, c), 0.0), 6)) for c, w, _ in rows if c != q]
+            for k in (1, 2):
+                for place, x in enumerate(sorted(others, key=lambda o: (o[k], o[0]), reverse=True), 1):
+                    want.setdefault((q, x[0]), []).append(place)
+    assert {(r.q, r.c): [r.rank_1, r.rank_2] for r in got.collect()} == want
+    best = ranking.fused_ranks(asked.select("q", "v"), chunks, weights, "q", "c", "v", "terms", 5).collect()
+    assert len(best) == 5 * 4 and sorted({r.rk for r in best}) == [1, 2, 3, 4, 5]
+
+
 def test_rank_correlation_of_rows():
     x = np.array([[1.0, 2.0, 2.0, 3.0], [1.0, 1.0, 1.0, 1.0]])
     assert metrics.place_of(x).tolist() == [[1.0, 2.5, 2.5, 4.0], [2.5] * 4]
