@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HELD, sentences
+from ..functions.text import HELD, once, sentences
 
 #: Fixed values of the method: least scores of abbreviations, pairs and sentence starters.
 ABBREVIATION, PAIR, STARTER = 0.3, 7.88, 30.0
@@ -132,7 +132,7 @@ def split(texts: DataFrame, text: str, model: DataFrame, out: str = "sentences")
     """texts with an array of their sentences by a learned model (one row of `patterns`, broadcast)."""
     names = {c: f"__{c}" for c in ("abbreviation", "starter", "pairs")}
     one = F.broadcast(model.select(*[F.col(c).alias(n) for c, n in names.items()]))
-    return texts.crossJoin(one).withColumn(out, sentences(F.col(text), *map(F.col, names.values()))).drop(*names.values())
+    return once(texts.crossJoin(one), out, sentences(F.col(text), *map(F.col, names.values()))).drop(*names.values())
 
 
 def learn(texts: DataFrame, text: str = "text", most: int = MOST) -> dict[str, DataFrame]:

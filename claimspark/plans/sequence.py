@@ -37,7 +37,7 @@ def sentence_split(spark, d):
 @query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({sent_sql('text')}) AS s FROM documents) GROUP BY doc_id HAVING count(*) >= 5")
 def sentence_count_filter(spark, d):
     """Documents of five sentences or more."""
-    return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n")).filter("n >= 5")
+    return text.once(table(spark, d, "documents"), "n", F.size(text.sentences(F.col("text"))).cast("long")).select("doc_id", "n").filter("n >= 5")
 
 
 #: A word as `operators.boundaries` sees it: other signs off its ends, one mark off its end, small letters.
@@ -103,7 +103,7 @@ def trained_sentences(spark, d):
     model = boundaries.patterns(*boundaries.learn(docs).values())
     rows = boundaries.split(docs.select("doc_id", "text"), "text", model, "ss")
     spans = sequences.chained_find(F.col("text"), F.col("ss"))
-    found = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("ss").alias("s"), spans.alias("at"))).alias("sent_idx", "x"))
+    found = rows.select("doc_id", F.posexplode_outer(F.arrays_zip(F.col("ss").alias("s"), spans.alias("at"))).alias("sent_idx", "x")).filter("sent_idx IS NOT NULL")
     return found.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), "x.at.start", "x.at.end", "x.s")
 
 
