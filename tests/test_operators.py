@@ -241,6 +241,24 @@ def test_fused_ranks_are_those_of_all_pairs(spark):
     assert len(best) == 5 * 4 and sorted({r.rk for r in best}) == [1, 2, 3, 4, 5]
 
 
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    from claimspark.plans.bindings import BATCH, table
+    from tests.compare import DATA
+
+    held = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(held)
+    try:
+        for given, kept in (("10000", str(BATCH)), ("0", str(BATCH)), ("7", "7")):
+            spark.conf.set(held, given)
+            table(spark, DATA, "pages")
+            assert spark.conf.get(held) == kept
+        spark.conf.set(held, "10000")
+        sizes = table(spark, DATA, "documents").crossJoin(spark.range(10)).coalesce(1).select("doc_id").mapInArrow(lambda bs: (b.slice(0, 1).set_column(0, "doc_id", pa.array([b.num_rows])) for b in bs), "doc_id long")
+        assert max(r.doc_id for r in sizes.collect()) <= BATCH
+    finally:
+        spark.conf.set(held, before)
+
+
 def test_rank_correlation_of_rows():
     x = np.array([[1.0, 2.0, 2.0, 3.0], [1.0, 1.0, 1.0, 1.0]])
     assert metrics.place_of(x).tolist() == [[1.0, 2.5, 2.5, 4.0], [2.5] * 4]
