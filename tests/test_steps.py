@@ -152,6 +152,26 @@ def test_kappa_of_groups(spark):
     assert got == {g: pytest.approx(metrics.quadratic_kappa(df.filter(F.col("k") == g), "t", "p").first().kappa) for g in groups}
 
 
+def test_macro_scores_make_no_product_of_partitions(spark):
+    """Datasets meet the names in them where they are; citations are read once."""
+    from claimspark.plans import quality
+
+    from .compare import DATA
+
+    plan = quality.macro(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_citation_quality_reads_citations_once(spark):
+    said = spark.createDataFrame([(1, 0, 0.5, 1.0), (1, 1, 1.0, 1.0), (1, 2, 0.0, 0.0), (2, 0, 1.0, 1.0)], "u long, s long, support double, need double")
+    cited = spark.createDataFrame([(1, 0, 1.0), (1, 0, 0.0), (1, 1, 1.0), (1, 9, None), (3, 0, 1.0), (None, 0, 1.0)], "u long, s long, relevance double")
+    found = metrics.citation_quality(said, cited, "u", "s")
+    got = {r.u: (r.recall, r.precision, r.f1) for r in found.collect()}
+    assert got == {1: (pytest.approx(2.5 / 3), pytest.approx(2 / 3), pytest.approx(20 / 27)), 2: (0.0, 0.0, 0.0)}
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert leaves.size() == 2
+
+
 def test_page_words(spark):
     lines = [(0, 0, "Short title here"), (0, 12, "first line of"), (0, 24, "a paragraph"), (0, 60, "7"), (0, 72, "second one goes"), (1, 0, "on after the page."), (2, 0, "A new one begins")]
     rows = [("d", page, n * 100 + k, w, float(top)) for n, (page, top, line) in enumerate(lines) for k, w in enumerate(line.split())]
