@@ -150,10 +150,11 @@ def posthoc_attr(spark, d):
     kind = lambda label, k: F.struct(F.lit(label).alias("label"), k.cast("int").alias("k"))
     fixed = F.array(*[kind(str(k), F.lit(k)) for k in KS], kind("free", F.lit(None)))
     every = F.when(F.col("direct") > 0, F.concat(fixed, F.array(kind("direct", F.col("direct"))))).otherwise(fixed)
-    rows = packed.join(packed_sources(spark, d), "conv_id").join(direct_counts(spark, d), INSTANCE, "left").select("*", F.explode(every).alias("x")).select("*", "x.*")
-    said = scorers.score_column(scorers.registered("cite", "overlap"), "struct<text:string,ids:array<int>,tries:int>", F.col("facts"), F.col("xs"), F.col("k"))
-    n, found = F.size("xs"), rows.withColumn("said", said)
-    marks = F.when(F.col("said.ids").isNotNull(), F.array_join(F.transform(sequences.indices(n), lambda i: F.array_contains(F.col("said.ids"), i + 1).cast("int").cast("string")), ""))
+    rows = packed.join(packed_sources(spark, d), "conv_id").join(direct_counts(spark, d), INSTANCE, "left").withColumn("kinds", every)
+    said = scorers.score_each(scorers.registered("cite", "overlap"), "struct<text:string,ids:array<int>,tries:int>", F.transform("kinds", lambda x: x["k"]), F.col("facts"), F.col("xs"))
+    each = rows.select(*INSTANCE, F.size("xs").alias("n"), F.explode(F.arrays_zip("kinds", said.alias("said"))).alias("x"))
+    found = each.select(*INSTANCE, "n", F.col("x.kinds.label").alias("label"), F.col("x.said").alias("said"))
+    marks = F.when(F.col("said.ids").isNotNull(), F.array_join(F.transform(sequences.indices(F.col("n")), lambda i: F.array_contains(F.col("said.ids"), i + 1).cast("int").cast("string")), ""))
     return found.select(*INSTANCE, F.col("label").alias("k"), F.col("said.tries").alias("tries"), F.col("said.text").alias("generation"), marks.alias("scores"))
 
 

@@ -15,12 +15,15 @@ import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 NUMBERS = ("double", "float", "int", "long", "bigint")
@@ -119,11 +122,13 @@ def index_writer(tries: int = 5) -> Callable[[], Scorer]:
     (facts, sources, k or null); an answer is (text, indices or null), the last text where none was valid.
     """
 
-    def answer(facts, sources, k, attempt):
+    def ranked(facts, sources):
         want = set(" ".join(facts).split())
-        order = sorted(range(len(sources)), key=lambda i: (-len(want & set(sources[i].split())), i))[: k or 3]
-        text = "".join(f"[{i + 1}]" for i in order)
-        return text if attempt == 0 and len(want) % 3 == 0 else text + "<eos>"
+        return len(want), sorted(range(len(sources)), key=lambda i: (-len(want & set(sources[i].split())), i))
+
+    def answer(size, order, k, attempt):
+        text = "".join(f"[{i + 1}]" for i in order[: k or 3])
+        return text if attempt == 0 and size % 3 == 0 else text + "<eos>"
 
     def valid(text, n, k):
         if not text.endswith("<eos>"):
@@ -136,11 +141,15 @@ def index_writer(tries: int = 5) -> Callable[[], Scorer]:
 
     def call(rows):
         out: list = []
+        last = None
         for facts, sources, k in rows:
-            facts, sources, k = list(facts if facts is not None else ()), list(sources if sources is not None else ()), None if k is None or k != k else int(k)
+            if last is None or last[0] is not facts or last[1] is not sources:  # rows that differ in k alone hold the same objects
+                last = facts, sources
+                n, (size, order) = 0 if sources is None else len(sources), ranked(facts if facts is not None else (), sources if sources is not None else ())
+            k = None if k is None or k != k else int(k)
             for attempt in range(tries):
-                text = answer(facts, sources, k, attempt)
-                ids = valid(text, len(sources), k)
+                text = answer(size, order, k, attempt)
+                ids = valid(text, n, k)
                 if ids is not None:
                     break
             out.append({"text": text, "ids": ids, "tries": attempt + 1})
@@ -193,6 +202,26 @@ def score_column(make: Callable[[], Scorer], kind: str, *columns: Column, batch:
     return run(*columns)
 
 
+def score_each(make: Callable[[], Scorer], kind: str, each: Column, *columns: Column, batch: int = 512) -> Column:
+    """An array of scores of (columns, x), one for each x of an array column: what a row's scores share goes to Python once."""
+
+    found_type = to_arrow_type(T.ArrayType(T._parse_datatype_string(kind)))
+
+    @F.arrow_udf(f"array<{kind}>")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        scorer = make()
+        for *shared, xs in batches:
+            lists = [x or () for x in xs.to_pylist()]
+            rows = [(*own, x) for *own, held in zip(*(c.to_pylist() for c in shared), lists, strict=True) for x in held]
+            out: list = []
+            for at in range(0, len(rows), batch):
+                out += list(scorer(rows[at : at + batch]))
+            found = iter(out)
+            yield pa.array([list(islice(found, len(x))) for x in lists], found_type)
+
+    return run(*columns, each)
+
+
 class SearchProvider(Protocol):
     """A paged search: results of (query, page) with pos, link, title, date; an empty page ends a query."""
 

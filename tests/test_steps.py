@@ -172,6 +172,38 @@ def test_citation_quality_reads_citations_once(spark):
     assert leaves.size() == 2
 
 
+def test_overlap_grid_in_blocks(spark, monkeypatch):
+    """As pair by pair, across the edges of blocks; no pair of token arrays is made in the JVM."""
+    from claimspark.functions import text
+
+    monkeypatch.setattr(attribution, "LEFT", 2)
+    monkeypatch.setattr(attribution, "RIGHT", 3)
+    rnd = random.Random(4)
+    say = lambda: " ".join(rnd.choices("a b c d e f".split(), k=rnd.randrange(5)))
+    left = spark.createDataFrame([(c, i, say()) for c in range(4) for i in range(c * 2 + 1)], "c long, i long, s string")
+    right = spark.createDataFrame([(c, j, say()) for c in range(1, 5) for j in range(c * 3)], "c long, j long, s string")
+    found = attribution.overlap_grid(left, right, "c", "i", "j", "s")
+    want = left.join(right.withColumnRenamed("s", "t"), "c").select("c", "i", "j", text.overlap(text.tokens(F.col("s")), text.tokens(F.col("t"))).alias("score"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_many_k_share_their_row(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        def call(rows):
+            for before, after in itertools.pairwise(rows):
+                seen.add(int(before[0] is after[0]))
+            return [len(xs) * k for xs, k in rows]
+
+        return call
+
+    df = spark.createDataFrame([(["a", "b"], [1, 2, 3]), (None, None), (["c"], []), (["d"], [5])], "xs array<string>, ks array<int>").coalesce(1)
+    got = [r.x for r in df.select(scorers.score_each(make, "int", F.col("ks"), F.col("xs")).alias("x")).collect()]
+    assert got == [[2, 4, 6], [], [], [5]] and seen.value == 2
+
+
 def test_page_words(spark):
     lines = [(0, 0, "Short title here"), (0, 12, "first line of"), (0, 24, "a paragraph"), (0, 60, "7"), (0, 72, "second one goes"), (1, 0, "on after the page."), (2, 0, "A new one begins")]
     rows = [("d", page, n * 100 + k, w, float(top)) for n, (page, top, line) in enumerate(lines) for k, w in enumerate(line.split())]
