@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import split_words
-from ..functions.text import n_tokens, sentences, tokens
+from ..functions.sequences import indices, split_words
+from ..functions.text import n_tokens, once, sentences, tokens
 
 
 def pack(parts: Column, sizes: Column, pack_limit: int) -> Column:
@@ -66,13 +66,6 @@ def chunk_documents(docs: DataFrame, doc_id: str, text: str, pack_limit: int = 6
     return docs.select(doc_id, F.posexplode(chunks).alias("chunk_pos", "chunk")).withColumn("n_tokens", count(F.col("chunk")))
 
 
-def group_lines(words: DataFrame, doc: list[str], seq: str, top: str, gap: float = 3.0) -> DataFrame:
-    """Adds line: words whose heights differ by less than `gap` from the word before share a line."""
-    order = Window.partitionBy(*doc).orderBy(seq)
-    new = F.when(F.abs(F.col(top) - F.lag(top).over(order)) >= gap, 1).otherwise(0)
-    return words.withColumn("__new", new).withColumn("line", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
-
-
 def upper_median(values: Column) -> Column:
     """sorted[n // 2] of an array; null for an empty one."""
     return F.when(F.size(values) > 0, F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int")))
@@ -102,37 +95,90 @@ def merge_paragraphs(paragraphs: DataFrame, doc: str, seq: str, page: str, text:
 FINISHED = (".", "!", "?", ":")
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once: inside a lambda, plans would copy the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut(items: Column, begins: Callable[[Column, Column], Column], make: Callable[[Column, Column], Column]) -> Column:
+    """array of make(run, first index), for runs of items that begin where begins(item, index) holds, and at the first item."""
+    first = F.filter(indices(F.size(items)), lambda i: (i == 0) | F.coalesce(begins(F.get(items, i), i), F.lit(False)))
+    stop = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(items))
+    return _with(first, lambda at: F.transform(at, lambda i, k: make(F.slice(items, i + 1, stop(at, k) - i), i)))
+
+
+def page_lines(words: Column, gap: float = 3.0, height: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<txt, at>>: the lines of a page's words in order, struct<word, top>: words whose heights differ by less than
+    `gap` from the word before share a line. at is the first word's height, or what `height` makes of an array of all."""
+    own = lambda run: F.get(run, F.lit(0))["top"] if height is None else height(F.transform(run, lambda w: w["top"]))
+    apart = lambda ws: lambda w, i: F.abs(w["top"] - F.get(ws, i - 1)["top"]) >= gap
+    line = lambda run, i: F.struct(F.array_join(F.transform(run, lambda w: w["word"]), " ").alias("txt"), own(run).alias("at"))
+    return _with(words, lambda ws: _cut(ws, apart(ws), line))
+
+
+def lines_to_text(pages: Column, spread: float = 1.5, single: float = 20.0, least: int = 5, least_length: int = 10, least_count: int = 5) -> Column:
+    """A document's content from array<struct<lines>>, its pages in order with their `page_lines`; null without a paragraph that stays.
+
+    A document is one row and its lines are sorted, not compared with each other. A page begins with an empty mark (line -1), so
+    that it has a first paragraph even where its lines went.
+    """
+
+    def spaced(ls, page, limit):
+        space = lambda x, k: x["at"] - F.get(ls, k - 1)["at"]
+        rows = F.transform(ls, lambda x, k: F.struct(x["txt"].alias("txt"), page.alias("page"), k.alias("line"), F.coalesce(space(x, k) > limit, F.lit(False)).alias("cut")))
+        return F.concat(F.array(F.struct(F.lit("").alias("txt"), page.alias("page"), F.lit(-1).alias("line"), F.lit(True).alias("cut"))), rows)
+
+    def marked(ls, page):
+        spaces = F.filter(F.transform(ls, lambda x, k: x["at"] - F.get(ls, k - 1)["at"]), lambda v: v.isNotNull())
+        return _with(F.coalesce(spread * upper_median(spaces), F.lit(single)), lambda limit: spaced(ls, page, limit))
+
+    every = F.flatten(F.transform(pages, lambda p, i: _with(p["lines"], lambda ls: marked(ls, i))))
+
+    def again(xs, x, i):
+        """Whether the sorted lines hold `least_count` like this one, in whichever of them it stands."""
+        same = lambda k: F.coalesce(F.get(xs, k)["txt"] == x["txt"], F.lit(False))
+        runs = [same(i - j) & same(i - j + least_count - 1) for j in range(least_count)]
+        found = runs[0]
+        for run in runs[1:]:
+            found = found | run
+        return (F.length(x["txt"]) >= least_length) & found
+
+    stays = lambda xs: F.filter(xs, lambda x, i: (x["line"] < 0) | ~(is_noise(F.trim(x["txt"])) | again(xs, x, i)))
+    kept = F.array_sort(F.transform(_with(F.array_sort(every), stays), lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["cut"].alias("cut"), x["txt"].alias("txt"))))
+
+    def paragraph(run, i):
+        return F.struct((F.get(run, F.lit(0))["line"] < 0).alias("head"), F.array_join(F.transform(F.filter(run, lambda x: x["line"] >= 0), lambda x: x["txt"]), " ").alias("txt"))
+
+    parts = _with(kept, lambda xs: _cut(xs, lambda x, i: x["cut"], paragraph))
+    # whether a paragraph is open shows in its own text: what it joins was open, and an empty one leaves it so
+    open_ = lambda p: (F.trim(p["txt"]) == "") | ~F.right(F.trim(p["txt"]), F.lit(1)).isin(*FINISHED)
+    text = lambda run, i: F.array_join(F.transform(run, lambda p: p["txt"]), " ")
+    merged = _with(parts, lambda ps: _cut(ps, lambda p, i: ~(p["head"] & open_(F.get(ps, i - 1))), text))
+    long_ = F.transform(F.filter(merged, lambda p: F.length(p) > least), lambda p: F.regexp_replace(p, r"\s+", " "))
+    return F.nullif(F.array_join(long_, "\n\n"), F.lit(""))
+
+
 def page_words_to_text(words: DataFrame, doc: str, page: str, seq: str, word: str, top: str, gap: float = 3.0, spread: float = 1.5, single: float = 20.0, least: int = 5) -> DataFrame:
     """(doc, content): words with heights to lines, paragraphs and text.
 
-    A page's words form lines (`group_lines`). Lines that are noise or recur in the document go. A kept line
+    A page's words form lines (`page_lines`). Lines that are noise or recur in the document go. A kept line
     begins a paragraph if its distance to the line before it on the page, kept or not, is over `spread` times
     the page's upper median (`single` for a page of one line). A page's first paragraph, which is empty where
     its lines went, joins the previous page's last unless that is finished. Paragraphs of at most `least`
-    characters go; white space collapses; an empty line separates paragraphs. Pages are the unit of every
-    shuffle but the last, a document's paragraphs of the last.
+    characters go; white space collapses; an empty line separates paragraphs. Words shuffle once, by page; a
+    document's lines follow. Where words are at hand by page, `pages_to_text` takes them without a shuffle.
     """
-    lined = group_lines(words, [doc, page], seq, top, gap)
-    packed = lined.groupBy(doc, page, "line").agg(F.array_sort(F.collect_list(F.struct(seq, word, top))).alias("ws"))
-    lines = packed.select(doc, page, "line", F.array_join(F.transform("ws", lambda w: w[word]), " ").alias("txt"), F.get("ws", F.lit(0))[top].alias("at"))
-    order = Window.partitionBy(doc, page).orderBy("line")
-    spaced = lines.withColumn("space", F.col("at") - F.lag("at").over(order))
-    median = spaced.groupBy(doc, page).agg(upper_median(F.collect_list("space")).alias("typical"))
-    limit = F.coalesce(spread * F.col("typical"), F.lit(single))
-    again = recurring(lines, doc, "txt").select(doc, F.col("txt"), F.lit(True).alias("again"))
-    kept = spaced.join(median, [doc, page]).join(again, [doc, "txt"], "left").filter(F.col("again").isNull() & ~is_noise(F.trim("txt")))
-    cut = kept.withColumn("cut", F.when(F.col("space") > limit, 1).otherwise(0)).withColumn("para", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = cut.groupBy(doc, page, "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "txt"))), lambda x: x["txt"]), " ").alias("txt"))
-    heads = lines.select(doc, page).distinct().withColumn("para", F.lit(0).cast("long"))
-    pieces = heads.join(parts, [doc, page, "para"], "full").withColumn("txt", F.coalesce("txt", F.lit("")))
-    rows = pieces.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(page, "para", "txt"))).alias("ps"))
-
-    def step(acc, p):
-        last = F.try_element_at(acc, F.lit(-1))
-        open_ = (F.trim(last) == "") | ~F.right(F.trim(last), F.lit(1)).isin(*FINISHED)
-        joins = (p["para"] == 0) & (F.size(acc) > 0) & open_
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), p["txt"])))).otherwise(F.concat(acc, F.array(p["txt"])))
-
-    merged = F.aggregate("ps", F.array().cast("array<string>"), step)
-    long_ = F.transform(F.filter(merged, lambda p: F.length(p) > least), lambda p: F.regexp_replace(p, r"\s+", " "))
-    return rows.select(doc, long_.alias("ps")).filter(F.size("ps") > 0).select(doc, F.array_join("ps", "\n\n").alias("content"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(seq, F.col(word).alias("word"), F.col(top).alias("top")))), lambda w: F.struct(w["word"].alias("word"), w["top"].alias("top")))
+    lined = words.groupBy(doc, page).agg(ordered.alias("ws")).select(doc, page, page_lines(F.col("ws"), gap).alias("lines"))
+    packed = lined.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(page, "lines"))).alias("pages"))
+    return _content(packed, doc, F.col("pages"), spread, single, least)
+
+
+def pages_to_text(docs: DataFrame, doc: str, pages: Column, gap: float = 3.0, spread: float = 1.5, single: float = 20.0, least: int = 5) -> DataFrame:
+    """`page_words_to_text` for a row a document, whose pages are array<array<struct<word, top>>>, all in order: no shuffle. Pages without words are no pages."""
+    held = F.transform(F.filter(pages, lambda p: F.size(p) > 0), lambda p: F.struct(page_lines(p, gap).alias("lines")))
+    return _content(docs, doc, held, spread, single, least)
+
+
+def _content(docs: DataFrame, doc: str, pages: Column, spread: float, single: float, least: int) -> DataFrame:
+    return once(docs, "content", lines_to_text(pages, spread, single, least)).select(doc, "content").filter("content IS NOT NULL")

@@ -41,19 +41,20 @@ def line_frequency(spark, d):
 TOP_SQL = f"wd AS (SELECT doc_id, i * 100000 + j AS seq, w, i * 10.0::DOUBLE + (j % 3) * 0.5 + CASE WHEN i % 4 = 3 THEN 25 ELSE 0 END AS top, i FROM (SELECT doc_id, i, unnest({tok_sql('line')}) AS w, unnest(range(len({tok_sql('line')}))) AS j FROM ln))"
 
 
-def words(spark, d):
-    """Words with a height on the page: lines stand for printed lines, and every fourth has a gap before it."""
-    each = lines(spark, d).select("doc_id", "i", F.posexplode(F.filter(F.split("line", r"\s+"), lambda w: w != "")).alias("j", "w"))
-    top = F.col("i") * 10.0 + (F.col("j") % 3) * 0.5 + F.when(F.col("i") % 4 == 3, 25).otherwise(0)
-    return each.select("doc_id", (F.col("i") * 100000 + F.col("j")).alias("seq"), "w", top.alias("top"))
+def line_words(line, i):
+    """array<struct<word, top>>: a line's words with a height on the page: lines stand for printed lines, and every fourth has a gap before it."""
+    top = lambda j: i * 10.0 + (j % 3) * 0.5 + F.when(i % 4 == 3, 25).otherwise(0)
+    return F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w, j: F.struct(w.alias("word"), top(j).alias("top")))
 
 
 @query(f"""WITH {LINES_SQL}, {TOP_SQL}, g AS (SELECT *, CASE WHEN abs(top - lag(top) OVER o) >= 3 THEN 1 ELSE 0 END AS f FROM wd WINDOW o AS (PARTITION BY doc_id ORDER BY seq)),
 h AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS line FROM g)
 SELECT doc_id, line::BIGINT AS line, string_agg(w, ' ' ORDER BY seq) AS txt, min(top) AS top FROM h GROUP BY doc_id, line""")
 def line_grouping(spark, d):
-    rows = chunking.group_lines(words(spark, d), ["doc_id"], "seq", "top")
-    return rows.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "w"))), lambda x: x["w"]), " ").alias("txt"), F.min("top").alias("top"))
+    every = F.flatten(F.transform(F.split("text", "\n"), lambda line, i: line_words(line, i)))
+    found = chunking.page_lines(every, height=F.array_min)
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("line", "x"))
+    return each.select("doc_id", F.col("line").cast("long").alias("line"), "x.txt", F.col("x.at").alias("top"))
 
 
 @query(f"""WITH {LINES_SQL}, l AS (SELECT doc_id, i, length(line) - lag(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM ln),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chunking, citations, dedup, metrics, presentation
 from .bindings import SCORES_SQL, overlap_scores, sent_sql, statements, table, tok_sql
-from .evidence import LINES_SQL, TOP_SQL, words
+from .evidence import LINES_SQL, TOP_SQL, line_words
 from .faithfulness import COUNTS_SQL, direct_counts
 from .facts import POST_SQL, posthoc_attr
 from .registry import query
@@ -40,8 +40,10 @@ CASE WHEN p3.head AND (trim(fo.txt) = '' OR right(trim(fo.txt), 1) NOT IN ('.',
 def pdf_text(spark, d):
     """Words with heights to lines, lines to paragraphs by one and a half times the page's median spacing, across
     pages, without noise, recurring lines and short paragraphs."""
-    rows = words(spark, d).withColumn("page", F.floor(F.col("seq") / (100_000 * PAGE_LINES)))
-    return chunking.page_words_to_text(rows, "doc_id", "page", "seq", "w", "top")
+    docs = text.once(table(spark, d, "documents"), "lines", F.transform(F.split("text", "\n"), lambda line, i: line_words(line, i)))
+    first = F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0)), F.lit(PAGE_LINES))
+    pages = F.transform(first, lambda i: F.flatten(F.slice("lines", i + 1, PAGE_LINES)))
+    return chunking.pages_to_text(text.once(docs.select("doc_id", "lines"), "pages", pages), "doc_id", F.col("pages"))
 
 
 @query("SELECT item_id, text FROM benchmark WHERE item_id >= 5 AND item_id < 25")

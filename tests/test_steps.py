@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -214,6 +215,58 @@ def test_page_words(spark):
     assert chunking.page_words_to_text(df.limit(0), "doc", "page", "seq", "w", "top").count() == 0
 
 
+def test_pages_to_text_without_a_shuffle(spark):
+    """As from rows of words, with lines that recur over pages, noise, pages whose lines all go and pages without words."""
+    rnd = random.Random(5)
+    docs = []
+    for d in range(30):
+        pages = []
+        for _ in range(rnd.randrange(7)):
+            top, ws = 0.0, []
+            for _ in range(rnd.randrange(6)):
+                top += rnd.choice((10.0, 10.0, 12.0, 40.0))
+                ws += [(w, top + rnd.choice((0.0, 1.0))) for w in rnd.choice(("a footer that recurs", "17", "--", "ends here.", "goes on and", "", "x", "one more")).split()]
+            pages.append(ws)
+        docs.append((d, pages))
+    df = spark.createDataFrame(docs, "doc long, pages array<array<struct<word:string,top:double>>>")
+    found = chunking.pages_to_text(df, "doc", F.col("pages"))
+    rows = [(d, p, i, w, t) for d, pages in docs for p, ws in enumerate(pages) for i, (w, t) in enumerate(ws)]
+    from_words = chunking.page_words_to_text(spark.createDataFrame(rows, "doc long, page int, seq int, w string, top double"), "doc", "page", "seq", "w", "top")
+
+    def plain(pages):
+        lined = []
+        for ws in filter(None, pages):
+            page = []
+            for k, (w, t) in enumerate(ws):
+                if k == 0 or abs(t - ws[k - 1][1]) >= 3:
+                    page.append([w, t])
+                else:
+                    page[-1][0] += f" {w}"
+            lined.append(page)
+        every = [x for page in lined for x, _ in page]
+        out = []
+        for page in lined:
+            gaps = [b[1] - a[1] for a, b in itertools.pairwise(page)]
+            limit = 1.5 * sorted(gaps)[len(gaps) // 2] if gaps else 20
+            paras = [[]]
+            for k, (x, t) in enumerate(page):
+                if x.isdigit() or (len(x) <= 5 and not any(map(str.isalpha, x))) or (len(x) >= 10 and every.count(x) >= 5):
+                    continue
+                if k and t - page[k - 1][1] > limit:
+                    paras.append([])
+                paras[-1].append(x)
+            for k, para in enumerate(map(" ".join, paras)):
+                if k == 0 and out and (not out[-1].strip(" ") or out[-1].strip(" ")[-1] not in ".!?:"):
+                    out[-1] += f" {para}"
+                else:
+                    out.append(para)
+        return "\n\n".join(re.sub(" +", " ", p) for p in out if len(p) > 5)
+
+    want = {d: plain(pages) for d, pages in docs if plain(pages)}
+    assert {r.doc: r.content for r in found.collect()} == want == {r.doc: r.content for r in from_words.collect()}
+    assert any("recurs" in t for t in want.values()) and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_presentation(spark):
     assert spark.range(1).select(presentation.method_of(F.lit("x/surrogate_32_scores"))["label"].alias("x")).first().x == "surrogate, 32 ablations"
     assert spark.range(1).select(presentation.method_of(F.lit("x/none"))["method"].alias("x")).first().x is None
