@@ -37,26 +37,33 @@ def events(texts: DataFrame, text: str) -> DataFrame:
     """(word, period, ends, follower, times): how often a word stands with or without a period or another ending
     mark at its end, and before which word where it has one.
 
-    Runs are counted as they stand, so that patterns are applied to different runs only. All tables start
-    from this aggregate, whose shuffle is made once and reused.
+    Runs are counted as they stand, so that patterns are applied to different runs only, and what they make of them is
+    counted again, by follower for words that end with a mark. All tables start from the second aggregate, whose shuffle is made once
+    and reused: every column depends on its count, so that no filter on it, nor one that joins infer, goes below it.
     """
     runs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: t != "")
     rows = texts.select(runs.alias("ts")).select("ts", F.slice("ts", 2, F.greatest(F.size("ts"), F.lit(1))).alias("fs"))
     pairs = rows.select(F.explode(F.arrays_zip("ts", "fs")).alias("x")).select("x.*")  # an exploded row holds two words, not its text
     counted = pairs.groupBy("ts", F.when(F.col("ts").rlike("[.!?]"), F.col("fs")).alias("fs")).agg(F.count(F.lit(1)).alias("times"))
     bare = counted.select(_bare(F.col("ts")).alias("t"), _bare(F.col("fs")).alias("f"), "times")
-    found = bare.select(_word(F.col("t")).alias("word"), F.col("t").endswith(".").alias("period"), F.col("t").rlike("[.!?]$").alias("ends"), _word(F.col("f")).alias("follower"), "times")
-    return _above(found, F.col("word").rlike(WORD))
+    t, ends = F.col("t"), F.coalesce(F.col("t").rlike("[.!?]$"), F.lit(False))
+    found = bare.select(_word(t).alias("word"), t.endswith(".").alias("period"), ends.alias("ends"), F.when(ends, _word(F.col("f"))).alias("follower"), "times")
+    keys = ("word", "period", "ends", "follower")
+    again = found.filter(F.when(F.col("times") > 0, F.col("word").rlike(WORD))).groupBy(*keys).agg(F.sum("times").alias("times"))
+    return again.select(*[F.when(F.col("times") > 0, F.col(k)).alias(k) for k in keys], "times")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n, with_period, total, periods): counts of each word and of all."""
-    counts = rows.groupBy("word").agg(F.sum("times").alias("n"), F.sum(F.when(F.col("period"), F.col("times")).otherwise(0)).alias("with_period"))
-    sums = counts.agg(F.sum("n").alias("total"), F.sum("with_period").alias("periods"))
-    return counts.crossJoin(F.broadcast(sums))  # one row
+    """(word, n, with_period): counts of each word."""
+    return rows.groupBy("word").agg(F.sum("times").alias("n"), F.sum(F.when(F.col("period"), F.col("times")).otherwise(0)).alias("with_period"))
 
 
-def abbreviations(counts: DataFrame, most: int = MOST) -> DataFrame:
+def totals(counts: DataFrame) -> DataFrame:
+    """One row (total, periods): the sums of `word_counts`, broadcast where they are used."""
+    return counts.agg(F.sum("n").alias("total"), F.sum("with_period").alias("periods"))
+
+
+def abbreviations(counts: DataFrame, sums: DataFrame, most: int = MOST) -> DataFrame:
     """(word, score): words whose period is likelier their own than a sentence's."""
     n, k, share = F.col("n"), F.col("with_period"), F.col("periods") / F.col("total")
     null = k * F.ln(share) + (n - k) * F.ln(1 - share)
@@ -64,7 +71,7 @@ def abbreviations(counts: DataFrame, most: int = MOST) -> DataFrame:
     inner = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
     letters = F.length("word") - inner
     score = -2 * (null - own) * F.exp(-letters) * (inner + 1) * F.pow(letters, -(n - k))
-    found = counts.filter((F.col("with_period") > 0) & (F.col("periods") < F.col("total"))).select("word", F.round(score, 6).alias("score"))
+    found = counts.crossJoin(F.broadcast(sums)).filter((F.col("with_period") > 0) & (F.col("periods") < F.col("total"))).select("word", F.round(score, 6).alias("score"))
     return found.filter(F.col("score") >= ABBREVIATION).orderBy(F.desc("score"), "word").limit(most)
 
 
@@ -78,31 +85,26 @@ def association(a: Column, b: Column, both: Column, total: Column) -> Column:
     return -2 * (chance - bound)
 
 
-def _above(rows: DataFrame, condition: Column) -> DataFrame:
-    """A filter that stays above the counts of `events`, so that their shuffle can be reused."""
-    return rows.filter(F.when(F.col("times") > 0, condition))
-
-
 def _marked(rows: DataFrame, known: DataFrame) -> DataFrame:
     """rows that end with a mark, with `short`: whether the period is that of an abbreviation or initial."""
     short = F.broadcast(known.select("word", F.lit(True).alias("known")))
-    return _above(rows, F.col("ends")).join(short, "word", "left").withColumn("short", F.col("period") & (F.col("known").isNotNull() | (F.length("word") == 1)))
+    return rows.filter("ends").join(short, "word", "left").withColumn("short", F.col("period") & (F.col("known").isNotNull() | (F.length("word") == 1)))
 
 
-def starters(rows: DataFrame, counts: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
+def starters(rows: DataFrame, counts: DataFrame, sums: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
     """(word, score): words that follow the end of a sentence more often than they should."""
     ends = _marked(rows, known).filter("NOT short")
-    first = _above(ends, F.col("follower").rlike(WORD)).groupBy(F.col("follower").alias("word")).agg(F.sum("times").alias("first"))
-    both = first.join(counts, "word").crossJoin(F.broadcast(ends.agg(F.sum("times").alias("ends"))))  # one row
+    first = ends.filter(F.col("follower").rlike(WORD)).groupBy(F.col("follower").alias("word")).agg(F.sum("times").alias("first"))
+    both = first.join(counts, "word").crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(ends.agg(F.sum("times").alias("ends"))))  # one row each
     score = association(F.col("ends"), F.col("n"), F.col("first"), F.col("total"))
     found = both.filter(F.col("total") * F.col("first") > F.col("n") * F.col("ends")).select("word", F.round(score, 6).alias("score"))
     return found.filter(F.col("score") >= STARTER).orderBy(F.desc("score"), "word").limit(most)
 
 
-def pairs(rows: DataFrame, counts: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
+def pairs(rows: DataFrame, counts: DataFrame, sums: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
     """(word, follower, score): an abbreviation or initial and the word after its period, where they belong together."""
-    both = _above(_marked(rows, known).filter("short"), F.col("follower").rlike(WORD)).groupBy("word", "follower").agg(F.sum("times").alias("both")).filter("both > 1")
-    each = both.join(counts.select("word", "total", F.col("n").alias("a")), "word").join(counts.select(F.col("word").alias("follower"), F.col("n").alias("b")), "follower")
+    both = _marked(rows, known).filter(F.col("short") & F.col("follower").rlike(WORD)).groupBy("word", "follower").agg(F.sum("times").alias("both")).filter("both > 1")
+    each = both.join(counts.select("word", F.col("n").alias("a")), "word").join(counts.select(F.col("word").alias("follower"), F.col("n").alias("b")), "follower").crossJoin(F.broadcast(sums))
     score = association(F.col("a"), F.col("b"), F.col("both"), F.col("total"))
     found = each.filter(F.col("total") * F.col("both") > F.col("a") * F.col("b")).select("word", "follower", F.round(score, 6).alias("score"))
     return found.filter(F.col("score") >= PAIR).orderBy(F.desc("score"), "word", "follower").limit(most)
@@ -139,5 +141,6 @@ def learn(texts: DataFrame, text: str = "text", most: int = MOST) -> dict[str, D
     """The tables abbreviations, starters and pairs."""
     rows = events(texts, text)
     counts = word_counts(rows)
-    known = abbreviations(counts, most)
-    return {"abbreviations": known, "starters": starters(rows, counts, known, most), "pairs": pairs(rows, counts, known, most)}
+    sums = totals(counts)
+    known = abbreviations(counts, sums, most)
+    return {"abbreviations": known, "starters": starters(rows, counts, sums, known, most), "pairs": pairs(rows, counts, sums, known, most)}

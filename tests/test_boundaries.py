@@ -102,3 +102,18 @@ def test_sentences_are_cut_once_and_as_two_passes_cut_them(spark, tmp_path):
     for pattern in text.NO_END:
         new = F.regexp_replace(new, pattern, f"$1{text.HELD}")
     assert spark.createDataFrame(rows, "t string").filter(~old.eqNullSafe(new)).limit(3).collect() == []
+
+
+def test_texts_are_read_once(spark):
+    """All tables start from one aggregate: filters that joins infer stay above it."""
+    from claimspark.plans import QUERIES
+
+    from .compare import DATA
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["boundary_model"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
