@@ -7,12 +7,13 @@ beforehand:
 1. words: every block sends its distinct words with their training counts to the partition of the
    word's hash; it gets back a global number and the corpus count, and is written anew with these.
 2. word pairs: every block sends its distinct pairs with their training counts to the partition of the
-   history; it gets back the pairs' corpus counts and, for every history, how many followers it has with
-   1, 2, ... K occurrences and what the followers' own lower counts are, from which the block takes the
-   backoff weights: a follower seen after a history is seen after the shorter one too, so that its lower
+   history; it gets back what other blocks add to the pairs' counts and, for every history, how many
+   followers that the block did not name it has with 1, 2, ... K occurrences and what these followers' own
+   lower counts are, from which, with its own, the block takes the backoff weights: a follower seen after a history is seen after the shorter one too, so that its lower
    estimate is a discounted count, and the followers' mass is a sum of integers, exact in any order.
    A frequent history is split over several partitions by the follower; its parts add up again in the
-   block, so no word or pair, however frequent, gathers in one task.
+   block, so no word or pair, however frequent, gathers in one task. Of a history whose followers are all
+   the block's own, nothing is left to tell; a pair's lower count is its word's, sent once a message.
 3. Longer entries follow level by level, two words of history, then three. A history that no other block
    has, in training or held-out text, is counted in its block and not sent; the level below tells which.
 4. The block evaluates each token by the longest history its text has (the start counts as one word): the
@@ -45,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, discard, give_back, parts_for, short_batches, table
-from .mail import LETTERS, Sheet, by_part, in_order, letters, pack_columns, read, sizes_of, unpack_columns
+from .mail import JOINT, LETTERS, Sheet, by_part, distinct, group, in_order, letters, pack_columns, read, sizes_of, stable_order, unpack_columns
 from .toxicity import remainder
 
 K = 5
 ORDER = 3
 BLOCK_TOKENS = 1_000_000
-PART_TOKENS = 3_000_000
+PART_TOKENS = 2_000_000
 END = b"\n"
 #: The name of the text's start as a history; names of words and longer histories are below it.
 START_NAME = 1 << 62
@@ -94,25 +95,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def stable_order(key: np.ndarray, top: int) -> np.ndarray:
-    """The stable order of keys below `top`."""
-    bits = max(len(key) - 1, 1).bit_length()
-    if top.bit_length() + bits > 63:
-        return np.argsort(key, kind="stable")
-    return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)  # values and places as one number
-
-
-def group(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys in order, where each first stands, the group of each); keys are below `top`."""
-    n, order = len(key), stable_order(key, top)
-    k = key[order]
-    new = np.ones(n, bool)
-    new[1:] = k[1:] != k[:-1]
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return k[new], order[new], inverse
-
-
 class Block:
     """Texts as local word numbers; after the words' answer local order is that of the global numbers."""
 
@@ -160,7 +142,7 @@ class Block:
 
     def ask_words(self, n: int, parts: int) -> pa.RecordBatch:
         order, part = self.word_order(parts)
-        names = np.unique(part)
+        names = distinct(part)
         seen = np.bincount(self.tokens[self.train], minlength=len(self.hashes))
         return letters(n, names, Sheet([self.hashes[order], seen[order]], sizes_of(part, names)), (True, False))
 
@@ -226,21 +208,27 @@ class Block:
         every = np.repeat(wide, spread[wide])
         offset = np.arange(len(every)) - np.repeat(np.cumsum(spread[wide]) - spread[wide], spread[wide])
         other = (below.part[every] + offset) % model.parts
-        lacking = ~np.isin(other * width + every, h_part * width + h_own)
+        split = spread[h_own] > 1
+        lacking = ~np.isin(other * width + every, h_part[split] * width + h_own[split])
         h_part, h_own = np.concatenate([h_part, other[lacking]]), np.concatenate([h_own, every[lacking]])
         follow = np.concatenate([follow, np.zeros(lacking.sum(), np.int64)])
         order = by_part(h_part)
         return Request(asked, part, h_own[order], h_part[order], follow[order])
 
-    def ask(self, n: int, level: Level, below: Level, model: Model) -> list[pa.RecordBatch]:
+    def ask(self, n: int, level: Level, below: Level, k: int, model: Model) -> list[pa.RecordBatch]:
         """The questions about a level, and the counts of counts of what stays in the block."""
         r = self.request(level, below, model)
         mine = level.seen[below.sole[level.h]]
         kept = np.array([(mine == c).sum() for c in range(1, K + 2)], np.int64)
         out = [letters(n, np.array([-1 - n % SUMS]), Sheet([kept], np.array([K + 1])), (False,), Sheet([kept[:0]] * 2, np.zeros(1, np.int64)), HISTORIES)]
         if len(r.h_part):
-            names = np.unique(r.h_part)
-            entries = Sheet([self.number[level.w[r.asked]], below_count(level, below, r.asked), level.seen[r.asked]], sizes_of(r.part, names))
+            names = distinct(r.h_part)
+            sizes, w, lower = sizes_of(r.part, names), level.w[r.asked], below_count(level, below, r.asked)
+            if k == 1:
+                first, at, _ = listed(w, sizes, len(self.number))
+                lower, once = np.zeros(len(w), np.int64), lower[first]
+                lower[at] = once
+            entries = Sheet([steps(self.number[w], r.follow), lower, level.seen[r.asked]], sizes)
             out.append(letters(n, names, entries, ENTRIES, Sheet([below.name[r.h], r.follow], sizes_of(r.h_part, names)), HISTORIES))
         return out
 
@@ -248,23 +236,20 @@ class Block:
         """The level with its corpus counts, probabilities and names."""
         r, width = self.request(level, below, model), len(below.count)
         count, sole, name, part = level.seen.copy(), below.sole[level.h].copy(), np.full(len(level.h), -1, np.int64), np.zeros(len(level.h), np.int64)
-        # histories of this block alone are counted here
-        mine = np.flatnonzero(sole & (level.seen > 0))
-        h, own = level.h[mine], below_count(level, below, mine)
-        by = lambda c: np.bincount(h[c <= K] * K + c[c <= K] - 1, minlength=width * K).reshape(width, K).T.astype(np.float64)
-        low, mass = by(level.seen[mine]), np.concatenate([by(own), np.bincount(h, weights=np.where(own > K, own, 0), minlength=width)[None]])
         if answer is not None:
-            (total, place), sums = unpack_answer(answer)
-            begins = np.ones(len(place), bool)  # of a partition's places
-            begins[1:] = r.part[1:] != r.part[:-1]
-            count[r.asked], sole[r.asked] = total, place == np.where(begins, 0, np.concatenate([[0], place[:-1]]))
+            (more, place), rest = unpack_answer(answer)
+            count[r.asked], sole[r.asked] = count[r.asked] + more, place == 0
+            place = from_steps(place, np.diff(np.flatnonzero(np.diff(r.part, prepend=-1, append=-1))))  # counted anew in each part
             part[r.asked], name[r.asked] = r.part, r.part << PLACE_BITS | place
-            one = np.flatnonzero(np.bincount(r.h, minlength=width)[r.h] == 1)
-            several = np.setdiff1d(np.arange(len(r.h)), one, assume_unique=True)  # of histories that are split over parts
-            for out, c in ((low, sums[:K]), (mass, sums[K:])):
-                for row, x in zip(out, c, strict=True):
-                    row[r.h[one]] += x[one]
-                    np.add.at(row, r.h[several], x[several])
+        # the block's own followers are counted here, those of the others are added
+        known = np.flatnonzero(count > 0)
+        h, own = level.h[known], below_count(level, below, known)
+        low = by_count(h, count[known], width).astype(np.float64)
+        mass = np.concatenate([by_count(h, own, width), np.bincount(h, weights=np.where(own > K, own, 0), minlength=width)[None]])
+        del known, h, own
+        for row, x in zip((*low, *mass), rest if answer is not None else ()):  # noqa: B905
+            at = np.flatnonzero(x)
+            row += np.bincount(r.h[at], weights=x[at], minlength=width)
         times = below.count
         c = np.arange(1, K + 1)
         few = c @ low
@@ -291,7 +276,7 @@ class Block:
 
 #: Columns that rise: of entries (number, lower count, training count) and histories (name, entries); of the answers.
 ENTRIES, HISTORIES = (False, False, False), (True, False)
-COUNTED, SUMMED = (False, True), (False,) * (2 * K + 1)
+COUNTED, SUMMED = (JOINT, JOINT), (JOINT,) * (2 * K) + (False,)
 
 
 class Request:
@@ -315,6 +300,37 @@ class Level:
         self.count = self.p = self.sole = self.name = self.part = self.whole = None
 
 
+def steps(numbers: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Followers' numbers, after each history's first as differences; `follow` of them a history."""
+    starts = (np.cumsum(follow) - follow)[follow > 0]
+    out = np.diff(numbers, prepend=0)
+    out[starts] = numbers[starts]
+    return out
+
+
+def from_steps(out: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """The numbers that `steps` was given."""
+    some, total = follow > 0, np.cumsum(out)
+    starts = (np.cumsum(follow) - follow)[some]
+    return total - np.repeat(total[starts] - out[starts], follow[some])
+
+
+def listed(w: np.ndarray, sizes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an entry of each distinct word of each message, its place, the distinct word of each entry): a message's
+    distinct words in order take its first places, so that what goes with a word is sent once.
+    """
+    message = np.repeat(np.arange(len(sizes)), sizes)
+    _, first, which = group(message * top + w, max(len(sizes), 1) * top)
+    mine = message[first]
+    return first, (np.cumsum(sizes) - sizes - np.searchsorted(mine, np.arange(len(sizes))))[mine] + np.arange(len(first)), which
+
+
+def by_count(h: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """How many entries of each history have the counts 1, 2, ... K, a row each."""
+    few = np.flatnonzero((count > 0) & (count <= K))
+    return np.bincount((count[few] - 1) * width + h[few], minlength=K * width).reshape(K, width)
+
+
 def below_count(level: Level, below: Level, entries: np.ndarray) -> np.ndarray:
     """The corpus counts of entries without their first word."""
     return below.count[level.short[entries]]
@@ -406,14 +422,14 @@ def summed(p: int, sums: np.ndarray) -> pa.RecordBatch:
 
 
 def places(alone: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places counted from 1, rising in each message; an entry of one block alone repeats the place before it."""
+    """Places counted from 1, rising in each message, as differences; an entry of one block alone has none."""
     message = np.repeat(np.arange(len(sizes)), sizes) << (PLACE_BITS + 1)
-    return np.maximum.accumulate(message + np.where(alone, 0, place + 1)) - message if len(message) else message
+    return steps(np.maximum.accumulate(message + np.where(alone, 0, place + 1)) - message if len(message) else message, sizes)
 
 
-def answer_entries(t: pa.Table, last: bool) -> list[pa.RecordBatch]:
-    """Corpus counts and places (`places`: they also tell which entries only one block has); for each history the sums of
-    its followers; [n_1 .. n_K+1] of the partition's entries for a sums group.
+def answer_entries(t: pa.Table, k: int, last: bool) -> list[pa.RecordBatch]:
+    """What others add to the counts, and places (`places`: they also tell which entries only one block has); for each history
+    the sums of the followers that the block did not name; [n_1 .. n_K+1] of the partition's entries for a sums group.
     """
     p = t.column("part")[0].as_py()
     if p < 0:  # what blocks count on their own
@@ -421,10 +437,16 @@ def answer_entries(t: pa.Table, last: bool) -> list[pa.RecordBatch]:
         return [summed(p, kept.columns[0].reshape(-1, K + 1).sum(0))]
     blocks, _, entries, histories = read(t, ENTRIES, HISTORIES)
     names, own = np.unique(histories.columns[0], return_inverse=True)
-    h, (w, lower, seen) = np.repeat(own, histories.columns[1]), entries.columns
+    follow, (w, lower, seen) = histories.columns[1], entries.columns
+    row, w = np.repeat(np.arange(len(own)), follow), from_steps(w, follow)
+    h = own[row]
     top = int(w.max()) + 1 if len(w) else 1
+    if k == 1:
+        _, at, which = listed(w, entries.sizes, top)
+        lower = lower[at][which]
+        del at, which
     order = np.argsort(h * top + w, kind="stable") if (len(names) * top).bit_length() < 63 else np.lexsort((w, h))
-    h, w, lower = h[order], w[order], lower[order]
+    h, w = h[order], w[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
     of, at = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -433,14 +455,21 @@ def answer_entries(t: pa.Table, last: bool) -> list[pa.RecordBatch]:
     place = np.cumsum(~alone) - 1
     back = np.empty(len(order), np.int64)
     back[order] = of
-    h, lower, known = h[at], lower[at], total > 0
-    count = lambda which, **more: np.bincount(h[which], minlength=len(names), **more)
-    sums = [count(total == r) for r in range(1, K + 1)] + [count(known & (lower == r)) for r in range(1, K + 1)]
-    many = known & (lower > K)
-    sums.append(count(many, weights=lower[many]).astype(np.int64))
-    answer = [total[back], np.zeros(len(back), np.int64) if last else places(alone[back], place[back], entries.sizes)]
+    named = total[back]
+    del w, new, of
+
+    def sums(h, count, lower, width):
+        known = np.flatnonzero(count > 0)
+        h, lower = h[known], lower[known]
+        mass = np.bincount(h, weights=np.where(lower > K, lower, 0), minlength=width).astype(np.int64)
+        return [*by_count(h, count[known], width), *by_count(h, lower, width), mass]
+
+    rest = sums(row, named, lower, len(own))
+    for mine, x in zip(rest, sums(h[at], total, lower[order[at]], len(names)), strict=True):
+        np.subtract(x[own], mine, out=mine)
+    answer = [named - seen, np.zeros(len(back), np.int64) if last else places(alone[back], place[back], entries.sizes)]
     found = np.array([(total == r).sum() for r in range(1, K + 2)], np.int64)
-    return [letters(blocks, p, Sheet(answer, entries.sizes), COUNTED, Sheet([s[own] for s in sums], histories.sizes), SUMMED), summed(p, found)]
+    return [letters(blocks, p, Sheet(answer, entries.sizes), COUNTED, Sheet(rest, histories.sizes), SUMMED), summed(p, found)]
 
 
 def gathered(rising, more=(), finish=None):
@@ -513,8 +542,15 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
     raw = bucketed(source.mapInArrow(to_blocks(BLOCK_TOKENS), "block long, tokens long, texts long, body binary"), "block", buckets)
     sums = raw.agg(F.sum("tokens"), F.sum("texts")).first()
     parts = parts_for(sums[0] or 0, PART_TOKENS, 12)
-    tasks = parts_for(sums[0] or 0, 4 * PART_TOKENS, 12)
-    answered = lambda asked, by: asked.repartition(min(tasks, 100_000), "part").groupBy("part").applyInArrow(lambda t: pa.Table.from_batches(by(t)), LETTERS).repartition(buckets, "block")
+    tasks = parts_for(sums[0] or 0, 6 * PART_TOKENS, 12)
+
+    def answered(asked: DataFrame, by) -> DataFrame:
+        def answer(t: pa.Table) -> pa.Table:
+            out = pa.Table.from_batches(by(t))
+            give_back()
+            return out
+
+        return asked.repartition(min(tasks, 100_000), "part").groupBy("part").applyInArrow(answer, LETTERS).repartition(buckets, "block")
 
     def ask_words(it):
         for b in it:
@@ -543,7 +579,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
                 for n, body, *answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     block = Block.load(body)
                     levels = block.levels(k - 1, answers, model)
-                    asked = block.ask(n, block.level(levels[-1], k), levels[-1], model)
+                    asked = block.ask(n, block.level(levels[-1], k), levels[-1], k, model)
                     del block, levels
                     give_back()
                     yield from asked
@@ -551,7 +587,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", do
         return ask
 
     for k in range(1, order):
-        replies = answered(blocks.mapInArrow(asks(k, model), LETTERS), lambda t, last=k == order - 1: answer_entries(t, last))
+        replies = answered(blocks.mapInArrow(asks(k, model), LETTERS), lambda t, k=k: answer_entries(t, k, k == order - 1))
         found = bucketed(replies.groupBy("block").applyInArrow(gathered(COUNTED, SUMMED, pack_answer), ANSWERS), "block", buckets)
         model = model.with_level(k, totals(found, K + 1))
         level = found.filter("block >= 0").select("block", F.col("body").alias(f"level_{k}"))

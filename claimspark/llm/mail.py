@@ -4,7 +4,8 @@ A block asks many partitions about its entries, sorted by partition, and gets as
 message costs must not depend on how many there are: at 100 TB blocks and partitions are millions, and
 a block has a handful of entries for each. So a block's messages are written in one of two ways:
 - on average THIN entries a message or more: each body has its columns apart, each as narrow as its
-  values allow, byte plane by byte plane, rising columns as differences, compressed with zstd;
+  values allow, byte plane by byte plane, rising columns as differences, joint columns with one number for
+  all the small values of a row, compressed with zstd;
 - fewer: the entries as records of fixed width in one buffer; a body is a slice of it, made without a
   step for each message. There are never more messages than entries.
 Both are read into the same columns.
@@ -18,6 +19,8 @@ import zstandard
 
 THIN = 32
 WIDTHS = (np.int8, np.int16, np.int32, np.int64)
+#: Stands where a column rises or not: the joint columns of a sheet, whose rows mostly hold small values that go together.
+JOINT = "joint"
 
 
 def narrowest(a: np.ndarray):
@@ -27,34 +30,108 @@ def narrowest(a: np.ndarray):
     return next(w for w in WIDTHS if np.iinfo(w).min <= low and high <= np.iinfo(w).max)
 
 
-def pack_columns(columns, rising: tuple[bool, ...]) -> bytes:
+def stable_order(key: np.ndarray, top: int) -> np.ndarray:
+    """The stable order of keys below `top`."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if top.bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)  # values and places as one number
+
+
+def group(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, where each first stands, the group of each); keys are below `top`."""
+    n, order = len(key), stable_order(key, top)
+    k = key[order]
+    new = np.ones(n, bool)
+    new[1:] = k[1:] != k[:-1]
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return k[new], order[new], inverse
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct values of a sorted column."""
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    return a[new]
+
+
+def joint_bits(columns: int) -> int:
+    """Bits of a value that counts as small."""
+    return max(1, min(4, 20 // columns))
+
+
+def joined(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(number of each row's kind, the kinds, the columns' other values): a kind is a row of small values, the frequent ones
+    first; all rows with others are of one kind above these.
+    """
+    bits, small, key = joint_bits(len(columns)), np.ones(len(columns[0]), bool), np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        small &= (c >= 0) & (c < 1 << bits)
+        key = key << bits | c
+    key[~small] = 1 << bits * len(columns)
+    kinds, _, number = group(key, 2 << bits * len(columns))
+    order = np.argsort(-np.bincount(number, minlength=len(kinds)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[number], kinds[order], [c[~small] for c in columns]
+
+
+def parted(number: np.ndarray, kinds: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns that `joined` was given."""
+    bits, key, out = joint_bits(len(others)), kinds[number], []
+    large = np.flatnonzero(key >> bits * len(others))
+    for k, other in enumerate(others):
+        c = key >> bits * (len(others) - 1 - k) & ((1 << bits) - 1)
+        c[large] = other
+        out.append(c)
+    return out
+
+
+def pack_columns(columns, rising: tuple[bool | str, ...]) -> bytes:
     """Integer columns of one length; uint64 counts as its 64 bits."""
-    n, head, planes = len(columns[0]), [], []
+    n, sizes, head, planes, together, plain = len(columns[0]), b"", [], [], [], []
     for a, up in zip(columns, rising, strict=True):
-        a = a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64)
-        if up and n:
-            a = np.concatenate([a[:1], a[1:] - a[:-1]])
+        a = a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64, copy=False)
+        if up == JOINT:
+            together.append(a)
+        elif up and n:
+            plain.append(np.concatenate([a[:1], a[1:] - a[:-1]]))
+        else:
+            plain.append(a)
+    if together:
+        number, kinds, others = joined(together)
+        plain += [number, kinds, *others]
+        sizes = len(kinds).to_bytes(4, "little") + len(others[0]).to_bytes(4, "little")
+    for a in plain:
         a = np.ascontiguousarray(a.astype(narrowest(a)))
         head.append(a.itemsize)
-        planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(n, -1).T).tobytes() if n else b"")
-    return n.to_bytes(4, "little") + bytes(head) + zstandard.compress(b"".join(planes), 3)
-
-
-def unpack_columns(body: bytes, rising: tuple[bool, ...]) -> list[np.ndarray]:
-    n, widths = int.from_bytes(body[:4], "little"), body[4 : 4 + len(rising)]
-    raw, at, out = np.frombuffer(zstandard.decompress(body[4 + len(rising) :]), np.uint8), 0, []
-    for width, up in zip(widths, rising, strict=True):
-        a = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(f"<i{width}").reshape(n).astype(np.int64)
-        out.append(np.cumsum(a) if up else a)
-        at += n * width
-    return out
+        planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
+    return n.to_bytes(4, "little") + sizes + bytes(head) + zstandard.compress(b"".join(planes), 3)
+
+
+def unpack_columns(body: bytes, rising: tuple[bool | str, ...]) -> list[np.ndarray]:
+    n, joint, at, found = int.from_bytes(body[:4], "little"), rising.count(JOINT), 4, []
+    sizes = [n] * (len(rising) - joint)
+    if joint:
+        sizes += [n, int.from_bytes(body[4:8], "little"), *[int.from_bytes(body[8:12], "little")] * joint]
+        at = 12
+    widths, raw = body[at : at + len(sizes)], np.frombuffer(zstandard.decompress(body[at + len(sizes) :]), np.uint8)
+    at = 0
+    for width, size in zip(widths, sizes, strict=True):
+        found.append(np.ascontiguousarray(raw[at : at + size * width].reshape(width, size).T).view(f"<i{width}").reshape(size).astype(np.int64))
+        at += size * width
+    plain = iter(found)
+    single = iter([np.cumsum(next(plain)) if up else next(plain) for up in rising if up != JOINT])
+    together = iter(parted(next(plain), next(plain), list(plain)) if joint else ())
+    return [next(together) if up == JOINT else next(single) for up in rising]
 
 
 def is_thin(entries: int, messages: int) -> bool:
     return entries < THIN * messages
 
 
-def bodies(ends: np.ndarray, columns, rising: tuple[bool, ...], thin: bool) -> pa.Array:
+def bodies(ends: np.ndarray, columns, rising: tuple[bool | str, ...], thin: bool) -> pa.Array:
     """The bodies of messages that end at `ends` in the columns."""
     if not thin:
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -66,7 +143,7 @@ def bodies(ends: np.ndarray, columns, rising: tuple[bool, ...], thin: bool) -> p
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
 
-def columns_of(array: pa.Array, thin: bool, rising: tuple[bool, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+def columns_of(array: pa.Array, thin: bool, rising: tuple[bool | str, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     """(columns over all bodies, entries of each body)."""
     n = len(rising)
     if not thin:

@@ -279,6 +279,33 @@ def test_messages():
             assert (found[0] == a).all() and (found[1].view(np.uint64) == b).all() and (mail.in_order(y, got)[0] == names).all()
 
 
+def test_joint_columns():
+    """Joint columns come back whatever their values, and small values that go together take less than alone."""
+    rng = np.random.default_rng(3)
+    for entries in (0, 1, 50, 5000):
+        few = rng.integers(0, 2, entries) * rng.integers(0, 3, entries)
+        columns = [few, 2 * few, few // 2, rng.integers(0, 1 << 40, entries), np.sort(rng.integers(0, 99, entries))]
+        for rising in ((mail.JOINT, mail.JOINT, mail.JOINT, False, True), (mail.JOINT, False, mail.JOINT, mail.JOINT, True)):
+            for sign in (1, -1):
+                got = mail.unpack_columns(mail.pack_columns([sign * c for c in columns], rising), rising)
+                assert all((x == sign * c).all() for x, c in zip(got, columns, strict=True))
+    assert len(mail.pack_columns(columns[:3], (mail.JOINT,) * 3)) < 0.6 * len(mail.pack_columns(columns[:3], (False,) * 3))
+
+
+def test_katz_sends_no_more_than_others_lack():
+    """The answer about entries that one block has alone is empty of counts, places and sums; lower counts go out once a word."""
+    w, follow = np.array([3, 5, 9, 5, 9], np.int64), np.array([3, 0, 2], np.int64)
+    assert (katz.from_steps(katz.steps(w, follow), follow) == w).all()
+    first, at, which = katz.listed(w, np.array([5]), 10)
+    assert w[first].tolist() == [3, 5, 9] and at.tolist() == [0, 1, 2] and w[first][which].tolist() == w.tolist()
+    ask = mail.letters(0, np.array([0]), mail.Sheet([katz.steps(w, follow), np.array([1, 2, 8, 0, 0]), np.ones(5, np.int64)], np.array([5])), katz.ENTRIES, mail.Sheet([np.array([1, 2, 4]), follow], np.array([3])), katz.HISTORIES)
+    import pyarrow as pa
+
+    answer = katz.answer_entries(pa.Table.from_batches([ask]), 1, False)[0]
+    _, _, entries, sums = mail.read(pa.Table.from_batches([answer]), katz.COUNTED, katz.SUMMED)
+    assert not np.any(entries.columns) and not np.any(sums.columns)
+
+
 def test_katz_query_uses_trigrams(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got, three = ({r.doc_id: r.score for r in x.collect()} for x in (katz.op4_katz(spark, DATA), katz.score(docs, order=3)))
