@@ -2,8 +2,8 @@
 
 Log-likelihood ratios over counts say which words are abbreviations, which pairs around a period belong together and
 which words begin sentences. All counts are aggregates by word or pair, added up in each task before they shuffle. What
-is learned are three tables, MOST rows each at most; as one row of patterns they are broadcast and
-applied by `functions.text.sentences`, inside the scan of the texts.
+is learned are three tables, whole; as one row of hash tables they are broadcast. A text looks up
+its own words by the periods, and only the patterns of what is found are applied by `functions.text.sentences`, inside the scan of the texts.
 
 A word is a run without white space, freed of other signs around it, in small letters; only words of letters and inner
 periods count. Null and empty texts have none.
@@ -18,7 +18,7 @@ from ..functions.text import HELD, once, sentences
 
 #: Fixed values of the method: least scores of abbreviations, pairs and sentence starters.
 ABBREVIATION, PAIR, STARTER = 0.3, 7.88, 30.0
-#: Entries of a table at most, the best ones: they are broadcast.
+#: Lists that the entries of a table are dealt to, so that few are compared with a word.
 MOST = 500
 WORD = r"^\p{L}[\p{L}.]*$"
 #: Matches nothing: control characters that texts don't hold twice.
@@ -63,7 +63,7 @@ def totals(counts: DataFrame) -> DataFrame:
     return counts.agg(F.sum("n").alias("total"), F.sum("with_period").alias("periods"))
 
 
-def abbreviations(counts: DataFrame, sums: DataFrame, most: int = MOST) -> DataFrame:
+def abbreviations(counts: DataFrame, sums: DataFrame) -> DataFrame:
     """(word, score): words whose period is likelier their own than a sentence's."""
     n, k, share = F.col("n"), F.col("with_period"), F.col("periods") / F.col("total")
     null = k * F.ln(share) + (n - k) * F.ln(1 - share)
@@ -72,7 +72,7 @@ def abbreviations(counts: DataFrame, sums: DataFrame, most: int = MOST) -> DataF
     letters = F.length("word") - inner
     score = -2 * (null - own) * F.exp(-letters) * (inner + 1) * F.pow(letters, -(n - k))
     found = counts.crossJoin(F.broadcast(sums)).filter((F.col("with_period") > 0) & (F.col("periods") < F.col("total"))).select("word", F.round(score, 6).alias("score"))
-    return found.filter(F.col("score") >= ABBREVIATION).orderBy(F.desc("score"), "word").limit(most)
+    return found.filter(F.col("score") >= ABBREVIATION)
 
 
 def association(a: Column, b: Column, both: Column, total: Column) -> Column:
@@ -91,56 +91,102 @@ def _marked(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.filter("ends").join(short, "word", "left").withColumn("short", F.col("period") & (F.col("known").isNotNull() | (F.length("word") == 1)))
 
 
-def starters(rows: DataFrame, counts: DataFrame, sums: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
+def starters(rows: DataFrame, counts: DataFrame, sums: DataFrame, known: DataFrame) -> DataFrame:
     """(word, score): words that follow the end of a sentence more often than they should."""
     ends = _marked(rows, known).filter("NOT short")
     first = ends.filter(F.col("follower").rlike(WORD)).groupBy(F.col("follower").alias("word")).agg(F.sum("times").alias("first"))
     both = first.join(counts, "word").crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(ends.agg(F.sum("times").alias("ends"))))  # one row each
     score = association(F.col("ends"), F.col("n"), F.col("first"), F.col("total"))
     found = both.filter(F.col("total") * F.col("first") > F.col("n") * F.col("ends")).select("word", F.round(score, 6).alias("score"))
-    return found.filter(F.col("score") >= STARTER).orderBy(F.desc("score"), "word").limit(most)
+    return found.filter(F.col("score") >= STARTER)
 
 
-def pairs(rows: DataFrame, counts: DataFrame, sums: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
+def pairs(rows: DataFrame, counts: DataFrame, sums: DataFrame, known: DataFrame) -> DataFrame:
     """(word, follower, score): an abbreviation or initial and the word after its period, where they belong together."""
     both = _marked(rows, known).filter(F.col("short") & F.col("follower").rlike(WORD)).groupBy("word", "follower").agg(F.sum("times").alias("both")).filter("both > 1")
     each = both.join(counts.select("word", F.col("n").alias("a")), "word").join(counts.select(F.col("word").alias("follower"), F.col("n").alias("b")), "follower").crossJoin(F.broadcast(sums))
     score = association(F.col("a"), F.col("b"), F.col("both"), F.col("total"))
     found = each.filter(F.col("total") * F.col("both") > F.col("a") * F.col("b")).select("word", "follower", F.round(score, 6).alias("score"))
-    return found.filter(F.col("score") >= PAIR).orderBy(F.desc("score"), "word", "follower").limit(most)
+    return found.filter(F.col("score") >= PAIR)
 
 
 def _entry(word: str) -> Column:
     return F.replace(F.col(word), F.lit("."), F.lit("\\."))
 
 
-def _listed(table: DataFrame, entry: Column, name: str, before: str, after: str) -> DataFrame:
-    found = F.array_join(F.array_sort(F.collect_list(entry)), "|")
-    return table.agg(F.when(found != "", F.concat(F.lit(before), found, F.lit(after))).otherwise(NEVER).alias(name))
+def _folded(word: Column) -> Column:
+    """One form for all words that differ in case alone, and for few others: it finds entries, their patterns decide."""
+    return F.lower(F.upper(F.lower(word)))
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MOST)).cast("int")
+
+
+def _table(rows: DataFrame, name: str) -> DataFrame:
+    """One row with a hash table of rows (k, e): MOST lists of struct<k,e>, a row in the list that its key's hash says; null without rows."""
+    dealt = rows.groupBy(_place(F.col("k")).alias("at")).agg(F.collect_list(F.struct("k", "e")).alias("xs"))  # a list of the table
+    lists = dealt.agg(F.collect_list(F.struct("at", "xs")).alias("ys"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda i: F.get(F.filter("ys", lambda y: y["at"] == i), F.lit(0))["xs"])
+    return lists.select(F.when(F.size("ys") > 0, spread).alias(name))
+
+
+def _entries(keys: Column, table: Column) -> Column:
+    """Sorted array<string>: the entries of a `_table` that have one of the keys."""
+    held = lambda k: F.filter(F.get(table, _place(k)), lambda x: x["k"] == k)
+    found = F.transform(keys, lambda k: F.coalesce(F.transform(held(k), lambda x: x["e"]), F.array().cast("array<string>")))
+    return F.when(table.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.flatten(found))))
 
 
 def patterns(known: DataFrame, first: DataFrame, together: DataFrame) -> DataFrame:
-    """One row (abbreviation, starter, pairs): what `sentences` takes. Pairs matter only before a starter; elsewhere an abbreviation ends nothing."""
-    a = _listed(known, _entry("word"), "abbreviation", r"(^|[^\p{L}\p{N}.])((?iu:", r"))\.(\s)")
-    capital = F.concat(F.upper(F.substring("word", 1, 1)), F.substring(_entry("word"), 2, 1 << 20))
-    s = _listed(first, capital, "starter", f"{HELD}(\\s+)(", r")([^\p{L}]|$)")
+    """One row (abbreviation, starter, pairs) of hash tables: what `split` takes. Pairs matter only before a starter; elsewhere an abbreviation ends nothing."""
+    a = _table(known.select(_folded(F.col("word")).alias("k"), _entry("word").alias("e")), "abbreviation")
+    capital = lambda word: F.concat(F.upper(F.substring("word", 1, 1)), F.substring(word, 2, 1 << 20))
+    s = _table(first.select(capital("word").alias("k"), capital(_entry("word")).alias("e")), "starter")
     met = together.join(F.broadcast(first.select(F.col("word").alias("follower"))), "follower", "left_semi")
     pair = F.concat(F.lit(r"(^|[^\p{L}\p{N}.])((?iu:"), _entry("word"), F.lit(r"))\.(\s+(?iu:"), _entry("follower"), F.lit(r")(?:[^\p{L}]|$))"))
-    p = met.agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    p = _table(met.select(F.concat(_folded(F.col("word")), F.lit(" "), _folded(F.col("follower"))).alias("k"), pair.alias("e")), "pairs")
     return a.crossJoin(s).crossJoin(p)  # one row each
 
 
+#: A word with a period before white space, and the word that may follow.
+MET = r"(?<![\p{L}\p{N}.])(\p{L}[\p{L}.]*)\.(?=\s+(\p{L}[\p{L}.]*)?)"
+RUN = rf"{HELD}\s+(\p{{L}}[\p{{L}}.]*)"
+
+
+def _beginnings(run: Column) -> Column:
+    """What a run of letters and periods begins with, up to each period and whole."""
+    return F.transform(F.sequence(F.lit(1), F.length(run) - F.length(F.replace(run, F.lit("."), F.lit(""))) + 1), lambda k: F.call_function("substring_index", run, F.lit("."), k))
+
+
+def _own_patterns(texts: DataFrame, text: str, model: DataFrame) -> DataFrame:
+    """texts with __p, the struct (abbreviation, starter, pairs) of what `sentences` takes: of the model's entries those that a text
+    can hold. The others match nowhere in it, so that the sentences are those of the whole model."""
+    both = F.array_distinct(F.arrays_zip(*[F.regexp_extract_all(text, F.lit(MET), i).alias(c) for i, c in ((1, "w"), (2, "f"))]))
+    rows = once(once(texts, "__met", both), "__run", F.array_distinct(F.concat(F.transform("__met", lambda x: x["f"]), F.regexp_extract_all(text, F.lit(RUN), 1))))
+    tables = {c: F.col(f"__{c}") for c in ("abbreviation", "starter", "pairs")}
+    rows = rows.crossJoin(F.broadcast(model.select(*[F.col(c).alias(f"__{c}") for c in tables])))
+    short = _entries(F.array_distinct(F.transform("__met", lambda x: _folded(x["w"]))), tables["abbreviation"])
+    first = _entries(F.flatten(F.transform("__run", _beginnings)), tables["starter"])
+    follow = F.filter("__met", lambda x: x["f"] != "")
+    keys = F.flatten(F.transform(follow, lambda x: F.transform(_beginnings(x["f"]), lambda f: F.concat(_folded(x["w"]), F.lit(" "), _folded(f)))))
+    rows = once(rows, "__e", F.struct(short.alias("a"), first.alias("s"), _entries(keys, tables["pairs"]).alias("pairs"))).drop("__met", "__run", *[f"__{c}" for c in tables])
+    listed = lambda xs, before, after: F.when(F.size(xs) > 0, F.concat(F.lit(before), F.array_join(xs, "|"), F.lit(after))).otherwise(NEVER)
+    a = listed(F.col("__e.a"), r"(^|[^\p{L}\p{N}.])((?iu:", r"))\.(\s)")
+    s = listed(F.col("__e.s"), f"{HELD}(\\s+)(", r")([^\p{L}]|$)")
+    return rows.withColumn("__p", F.struct(a.alias("abbreviation"), s.alias("starter"), F.col("__e.pairs").alias("pairs"))).drop("__e")
+
+
 def split(texts: DataFrame, text: str, model: DataFrame, out: str = "sentences") -> DataFrame:
     """texts with an array of their sentences by a learned model (one row of `patterns`, broadcast)."""
-    names = {c: f"__{c}" for c in ("abbreviation", "starter", "pairs")}
-    one = F.broadcast(model.select(*[F.col(c).alias(n) for c, n in names.items()]))
-    return once(texts.crossJoin(one), out, sentences(F.col(text), *map(F.col, names.values()))).drop(*names.values())
+    own = [F.col(f"__p.{c}") for c in ("abbreviation", "starter", "pairs")]
+    return once(_own_patterns(texts, text, model), out, sentences(F.col(text), *own)).drop("__p")
 
 
-def learn(texts: DataFrame, text: str = "text", most: int = MOST) -> dict[str, DataFrame]:
+def learn(texts: DataFrame, text: str = "text") -> dict[str, DataFrame]:
     """The tables abbreviations, starters and pairs."""
     rows = events(texts, text)
     counts = word_counts(rows)
     sums = totals(counts)
-    known = abbreviations(counts, sums, most)
-    return {"abbreviations": known, "starters": starters(rows, counts, sums, known, most), "pairs": pairs(rows, counts, sums, known, most)}
+    known = abbreviations(counts, sums)
+    return {"abbreviations": known, "starters": starters(rows, counts, sums, known), "pairs": pairs(rows, counts, sums, known)}

@@ -61,12 +61,12 @@ w2 AS (SELECT lower(regexp_replace(t, '[.!?]$', '')) AS word, t LIKE '%.' AS per
 w3 AS (SELECT * FROM w2 WHERE regexp_matches(word, '{boundaries.WORD}')),
 wc AS (SELECT word, count(*) AS n, count(*) FILTER (WHERE period) AS k, length(replace(word, '.', '')) AS letters FROM w3 GROUP BY word),
 tt AS (SELECT sum(n)::DOUBLE AS total, sum(k)::DOUBLE AS periods FROM wc),
-ab AS (SELECT * FROM (SELECT word, round(-2 * (k * ln(periods / total) + (n - k) * ln(1 - periods / total) - k * ln(0.99::DOUBLE) - (n - k) * ln(0.01::DOUBLE)) * exp(-letters) * (length(word) - letters + 1) * pow(letters, -(n - k)), 6) AS score FROM wc, tt WHERE k > 0 AND periods < total) WHERE score >= {boundaries.ABBREVIATION} ORDER BY score DESC, word LIMIT {boundaries.MOST}),
+ab AS (SELECT * FROM (SELECT word, round(-2 * (k * ln(periods / total) + (n - k) * ln(1 - periods / total) - k * ln(0.99::DOUBLE) - (n - k) * ln(0.01::DOUBLE)) * exp(-letters) * (length(word) - letters + 1) * pow(letters, -(n - k)), 6) AS score FROM wc, tt WHERE k > 0 AND periods < total) WHERE score >= {boundaries.ABBREVIATION}),
 en AS (SELECT w3.*, period AND (ab.word IS NOT NULL OR length(w3.word) = 1) AS short FROM w3 LEFT JOIN ab ON ab.word = w3.word WHERE ends),
 s0 AS (SELECT follower AS word, count(*) AS first FROM en WHERE NOT short AND regexp_matches(follower, '{boundaries.WORD}') GROUP BY ALL),
-st AS (SELECT word, score FROM (SELECT s0.word, {association_sql("e", "n", "first", "total")} AS score FROM s0 JOIN wc ON wc.word = s0.word, tt, (SELECT count(*) AS e FROM en WHERE NOT short) WHERE total * first > n * e) WHERE score >= {boundaries.STARTER} ORDER BY score DESC, word LIMIT {boundaries.MOST}),
+st AS (SELECT word, score FROM (SELECT s0.word, {association_sql("e", "n", "first", "total")} AS score FROM s0 JOIN wc ON wc.word = s0.word, tt, (SELECT count(*) AS e FROM en WHERE NOT short) WHERE total * first > n * e) WHERE score >= {boundaries.STARTER}),
 b0 AS (SELECT word, follower, count(*) AS met FROM en WHERE short AND regexp_matches(follower, '{boundaries.WORD}') GROUP BY ALL HAVING count(*) > 1),
-pr AS (SELECT word, follower, score FROM (SELECT b0.word, b0.follower, {association_sql("x.n", "y.n", "met", "total")} AS score FROM b0 JOIN wc x ON x.word = b0.word JOIN wc y ON y.word = b0.follower, tt WHERE total * met > x.n * y.n) WHERE score >= {boundaries.PAIR} ORDER BY score DESC, word, follower LIMIT {boundaries.MOST})"""
+pr AS (SELECT word, follower, score FROM (SELECT b0.word, b0.follower, {association_sql("x.n", "y.n", "met", "total")} AS score FROM b0 JOIN wc x ON x.word = b0.word JOIN wc y ON y.word = b0.follower, tt WHERE total * met > x.n * y.n) WHERE score >= {boundaries.PAIR})"""
 LEARNED = ("abbreviations", "starters", "pairs")
 
 

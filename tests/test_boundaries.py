@@ -117,3 +117,29 @@ def test_texts_are_read_once(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def many(n=600):
+    """(counts, sums): n words of three letters that always have a period."""
+    letters = "abcdefghijkl"
+    return [f"{a}{b}{c}" for a in letters for b in letters for c in letters][:n]
+
+
+@pytest.fixture(scope="module")
+def short(spark):
+    counts = spark.createDataFrame([(w, 50, 50) for w in many()], "word string, n long, with_period long")
+    return boundaries.abbreviations(counts, spark.createDataFrame([(100_000, 31_000)], "total long, periods long"))
+
+
+def test_no_entry_is_cut(short):
+    """All words that reach the least score are learned, however many."""
+    assert {r.word for r in short.collect()} == set(many())
+
+
+def test_every_entry_is_applied(spark, short, learned):
+    """A text is cut by all entries; what it looks up is found whatever its case."""
+    model = boundaries.patterns(short, learned["starters"], learned["pairs"])
+    words = many()
+    text = "Go to " + " x ".join(f"{w.upper() if k % 2 else w}." for k, w in enumerate(words)) + " x (" + ". ".join(words[:5]) + ". y). End"
+    got = boundaries.split(spark.createDataFrame([(text,)], "t string"), "t", model, "ss").first().ss
+    assert got == [text[: -len(" End")], "End"]
