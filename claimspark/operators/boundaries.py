@@ -11,10 +11,12 @@ periods count. Null and empty texts have none.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HELD, once, sentences
+from ..functions.text import CUT, HELD, cut, once, sentences
 
 #: Fixed values of the method: least scores of abbreviations, pairs and sentence starters.
 ABBREVIATION, PAIR, STARTER = 0.3, 7.88, 30.0
@@ -139,7 +141,7 @@ def _entries(keys: Column, table: Column) -> Column:
 
 
 def patterns(known: DataFrame, first: DataFrame, together: DataFrame) -> DataFrame:
-    """One row (abbreviation, starter, pairs) of hash tables: what `split` takes. Pairs matter only before a starter; elsewhere an abbreviation ends nothing."""
+    """One row (abbreviation, starter, pairs) of hash tables: what `split` and `placed` take. Pairs matter only before a starter; elsewhere an abbreviation ends nothing."""
     a = _table(known.select(_folded(F.col("word")).alias("k"), _entry("word").alias("e")), "abbreviation")
     capital = lambda word: F.concat(F.upper(F.substring("word", 1, 1)), F.substring(word, 2, 1 << 20))
     s = _table(first.select(capital("word").alias("k"), capital(_entry("word")).alias("e")), "starter")
@@ -183,6 +185,27 @@ def split(texts: DataFrame, text: str, model: DataFrame, out: str = "sentences")
     return once(_own_patterns(texts, text, model), out, sentences(F.col(text), *own)).drop("__p")
 
 
+def _running(sizes: pa.Array) -> pa.Array:
+    """The running sums of each list."""
+    at = sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
+    sums = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy(), dtype=np.int64)])
+    return pa.ListArray.from_arrays(at, pa.array(sums[1:] - np.repeat(sums[at[:-1]], np.diff(at)), pa.int32()))
+
+
+def placed(texts: DataFrame, text: str, model: DataFrame, out: str = "sentences") -> DataFrame:
+    """texts with `split`'s sentences as array<struct<s,start,end>>. Places are running sums over what a text is cut into, so that it isn't searched."""
+    own = [F.col(f"__p.{c}") for c in ("abbreviation", "starter", "pairs")]
+    rows = once(_own_patterns(texts, text, model), "__cut", F.split(cut(F.col(text), *own), CUT)).drop("__p")
+    rows = rows.withColumn("__end", F.arrow_udf(_running, "array<int>")(F.transform("__cut", F.length)))
+
+    def one(piece, end):
+        start = end - F.length(F.regexp_replace(piece, r"^\s+", ""))
+        s = F.regexp_replace(piece, r"^\s+|\s+$", "")
+        return F.struct(s.alias("s"), start.alias("start"), (start + F.length(s)).alias("end"))
+
+    return once(rows, out, F.filter(F.zip_with("__cut", "__end", one), lambda x: x["s"] != "")).drop("__cut", "__end")
+
+
 def learn(texts: DataFrame, text: str = "text") -> dict[str, DataFrame]:
     """The tables abbreviations, starters and pairs."""
     rows = events(texts, text)

@@ -98,13 +98,12 @@ y AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM z),
 x AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) + length(p) - length(regexp_replace(p, '^\s+', '')) AS start, regexp_replace(p, '^\s+|\s+$', '', 'g') AS s FROM y)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_idx, start::INT AS start, (start + length(s))::INT AS "end", s FROM x WHERE s <> ''""")
 def trained_sentences(spark, d):
-    """Sentences of the documents by boundaries learned from all of them, each found from the previous one's end on."""
+    """Sentences of the documents by boundaries learned from all of them, and their places."""
     docs = table(spark, d, "documents")
     model = boundaries.patterns(*boundaries.learn(docs).values())
-    rows = boundaries.split(docs.select("doc_id", "text"), "text", model, "ss")
-    spans = sequences.chained_find(F.col("text"), F.col("ss"))
-    found = rows.select("doc_id", F.posexplode_outer(F.arrays_zip(F.col("ss").alias("s"), spans.alias("at"))).alias("sent_idx", "x")).filter("sent_idx IS NOT NULL")
-    return found.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), "x.at.start", "x.at.end", "x.s")
+    rows = boundaries.placed(docs.select("doc_id", "text"), "text", model, "xs")
+    found = rows.select("doc_id", F.posexplode_outer("xs").alias("sent_idx", "x")).filter("sent_idx IS NOT NULL")
+    return found.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), "x.start", "x.end", "x.s")
 
 
 @query(f"WITH {SCORES_SQL} SELECT conv_id, sent_idx, source_idx, round(score, 6) AS score FROM sc")

@@ -143,3 +143,17 @@ def test_every_entry_is_applied(spark, short, learned):
     text = "Go to " + " x ".join(f"{w.upper() if k % 2 else w}." for k, w in enumerate(words)) + " x (" + ". ".join(words[:5]) + ". y). End"
     got = boundaries.split(spark.createDataFrame([(text,)], "t string"), "t", model, "ss").first().ss
     assert got == [text[: -len(" End")], "End"]
+
+
+def test_places_are_those_of_a_search(spark, learned):
+    """Places are summed up, without looking for sentences in the text, and known where the text holds a sign of the method's own."""
+    model = boundaries.patterns(*learned.values())
+    rows = [(k, raw) for k, (raw, _) in enumerate([*TRAINED, *PLAIN])] + [(98, " \n A. B\x1e The end.  Dr. Meyer. "), (99, "etc. " * 9 + "The etc. dr. meyer. x")]
+    got = boundaries.placed(spark.createDataFrame(rows, "k int, t string"), "t", model, "xs")
+    assert "locate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    split = boundaries.split(got, "t", model, "ss").select("*", sequences.chained_find(F.col("t"), F.col("ss")).alias("at"))
+    for r in split.collect():
+        assert [x.s for x in r.xs] == r.ss
+        if r.k != 98:
+            assert [(x.start, x.end) for x in r.xs] == [(a.start, a.end) for a in r.at]
+        assert all((r.t or "")[x.start : x.end].replace("\x1e", ".") == x.s for x in r.xs)
