@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions.sequences import cosine
+from pyspark.sql import types as T
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -17,29 +19,79 @@ def first_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__rn") <= n).drop("__rn")
 
 
+def _near(vectors: pa.ChunkedArray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) with i < j of vectors of one length whose cosine reaches `least`; vectors without length, or with nulls, are near to none."""
+    vectors = vectors.combine_chunks()
+    flat, at = vectors.values.cast("double"), vectors.offsets.to_numpy()
+    sizes = np.where(vectors.is_null(), -1, np.diff(at))
+    first, second = [], []
+    for n in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == n)
+        part = flat.take(pa.array((at[rows][:, None] + np.arange(n)).ravel()))
+        rows = rows[~np.asarray(part.is_null()).reshape(-1, n).any(1)]
+        x = flat.to_numpy(zero_copy_only=False)[at[rows][:, None] + np.arange(n)]
+        size = np.sqrt((x * x).sum(1))
+        x, rows, size = x[size != 0], rows[size != 0], size[size != 0]
+        score = np.triu(x @ x.T, 1) / (size[:, None] * size)
+        near = score >= least
+        for i, j in zip(*np.nonzero(np.triu(np.abs(score - least) < 1e-9, 1)), strict=True):  # at the limit sums in their order decide
+            dot = lambda a, b: np.cumsum(a * b)[-1]
+            near[i, j] = dot(x[i], x[j]) / (np.sqrt(dot(x[i], x[i])) * np.sqrt(dot(x[j], x[j]))) >= least
+        i, j = np.nonzero(np.triu(near, 1))
+        first.append(rows[i])
+        second.append(rows[j])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(first or none), np.concatenate(second or none)
+
+
 def similar_pairs(rows: DataFrame, group: list[str], item: str, vector: str, least: float) -> DataFrame:
-    """(group, a, b) with a < b and cosine at or above `least`; groups are funnels of bounded size."""
-    a = rows.select(*group, F.col(item).alias("a"), F.col(vector).alias("va"))
-    b = rows.select(*group, F.col(item).alias("b"), F.col(vector).alias("vb"))
-    return a.join(b, group).filter("a < b").filter(cosine(F.col("va"), F.col("vb")) >= least).select(*group, "a", "b")
+    """(group, a, b) with a < b and cosine at or above `least`; groups are funnels of bounded size, each one matrix product."""
+    schema = T.StructType([*rows.select(*group).schema, *(T.StructField(c, rows.schema[item].dataType) for c in "ab")])
+
+    def one(own: pa.Table) -> pa.Table:
+        own = own.sort_by(item)
+        a, b = _near(own.column(vector), least)
+        ids = own.column(item)
+        return pa.table({**{g: own.column(g).take(a) for g in group}, "a": ids.take(a), "b": ids.take(b)}).filter(pc.not_equal(ids.take(a), ids.take(b)))
+
+    return rows.select(*group, item, vector).groupBy(*group).applyInArrow(one, schema)
+
+
+def _roots(links) -> dict:
+    """Each item of links (a, b) with the smallest one that it is linked to."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {x: find(x) for x in list(root)}
+
+
+def similar_components(rows: DataFrame, group: list[str], item: str, vector: str, least: float) -> DataFrame:
+    """(group, item, component): `group_components` over `similar_pairs`, in one pass over each group; items are distinct within it."""
+    schema = T.StructType([*rows.select(*group, item).schema, T.StructField("component", rows.schema[item].dataType)])
+
+    def one(own: pa.Table) -> pa.Table:
+        a, b = _near(own.column(vector), least)
+        ids = own.column(item).to_pylist()
+        root = _roots((ids[i], ids[j]) for i, j in zip(a, b, strict=True))
+        return own.select([*group, item]).append_column("component", pa.array([root.get(x, x) for x in ids], own.column(item).type))
+
+    return rows.select(*group, item, vector).groupBy(*group).applyInArrow(one, schema)
 
 
 def group_components(rows: DataFrame, pairs: DataFrame, group: list[str], item: str) -> DataFrame:
     """(group, item, component = smallest item reachable). A group is a funnel of bounded size, so its pairs fit one task."""
 
     def one(links: pd.DataFrame) -> pd.DataFrame:
-        root: dict = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(links["a"], links["b"], strict=True):
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-        return pd.DataFrame({**{g: links[g].iloc[0] for g in group}, item: list(root), "component": [find(x) for x in root]})
+        root = _roots(zip(links["a"], links["b"], strict=True))
+        return pd.DataFrame({**{g: links[g].iloc[0] for g in group}, item: list(root), "component": list(root.values())})
 
     kind = rows.schema[item].dataType
     schema = rows.select(*group, item).schema.add("component", kind)

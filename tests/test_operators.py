@@ -157,6 +157,28 @@ def test_components_ignore_order(spark):
         assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2, 5: 2}
 
 
+def test_similar_pairs_and_components_are_made_group_by_group(spark):
+    """Vectors of a group meet as one matrix, without a join; null, ragged and empty ones, those without length and those at the limit as pair by pair."""
+    rng = random.Random(8)
+    odd = [None, [], [0.0, 0.0], [1.0], [None, 1.0], [3.0, 4.0], [4.0, 3.0], [30.0, 40.0]]
+    rows = [(g, g * 100 + i, v) for g in range(3) for i, v in enumerate([*odd, *([rng.gauss(0, 1) for _ in range(3)] for _ in range(12))])]
+    df = spark.createDataFrame(rows, "g int, i long, v array<double>").repartition(5)
+
+    def near(v, w):
+        if not v or not w or len(v) != len(w) or None in v or None in w:
+            return False
+        size = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in w))
+        return size > 0 and sum(x * y for x, y in zip(v, w, strict=True)) / size >= 0.96
+
+    want = {(g, i, j) for g, i, v in rows for h, j, w in rows if g == h and i < j and near(v, w)}
+    pairs = dedup.similar_pairs(df, ["g"], "i", "v", 0.96)
+    found = dedup.similar_components(df, ["g"], "i", "v", 0.96)
+    assert all("Join" not in t._jdf.queryExecution().executedPlan().toString() for t in (pairs, found))
+    assert {tuple(r) for r in pairs.collect()} == want and all((g, g * 100 + 5, g * 100 + 6) in want for g in range(3))
+    links = spark.createDataFrame(sorted(want), "g int, a long, b long")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in dedup.group_components(df, links, ["g"], "i").collect()}
+
+
 def test_greedy_and_surrogate(spark):
     df = spark.createDataFrame([(1, 0, "a b", "a b c d"), (1, 1, "c", "a b c d"), (1, 2, "z", "a b c d")], "k int, source_idx int, source string, hypothesis string")
     got = {r.source_idx: (r.score, r.step, r.cited) for r in attribution.greedy_selection(df, ["k"]).collect()}
