@@ -30,6 +30,13 @@ def facts(spark, d):
     return statements(spark, d).select(*INSTANCE, F.posexplode(found).alias("fact_idx", "fact")).withColumn("fact_idx", F.col("fact_idx").cast("long"))
 
 
+def fact_tokens(spark, d):
+    """(conv_id, sent_idx, fs): the distinct tokens of each fact of every statement, no list without facts."""
+    found = scorers.score_column(scorers.registered("facts", "clauses"), "array<string>", F.col("s"))
+    rows = statements(spark, d).select(*INSTANCE, F.coalesce(found, F.array().cast("array<string>")).alias("facts"))
+    return rows.select(*INSTANCE, F.transform("facts", lambda f: F.array_distinct(text.tokens(f))).alias("fs"))
+
+
 def packed_sources(spark, d):
     """(conv_id, xs): one conversation's sources in order."""
     return sources(spark, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_idx", "s"))), lambda x: x["s"]).alias("xs"))
@@ -49,11 +56,8 @@ def atomic_facts(spark, d):
 SELECT m.conv_id, m.sent_idx, r.source_idx, round(coalesce(fx.score, 0), 6) AS score FROM stm m JOIN src r ON r.conv_id = m.conv_id LEFT JOIN fx ON fx.conv_id = m.conv_id AND fx.sent_idx = m.sent_idx AND fx.source_idx = r.source_idx""")
 def entailment_fact_attr(spark, d):
     """Naive attribution: the largest entailment of a statement's facts by each source; zeros without facts."""
-    left = facts(spark, d).select(*INSTANCE, text.tokens(F.col("fact")).alias("ft"))
-    right = sources(spark, d).select("conv_id", "source_idx", text.tokens(F.col("s")).alias("st"))
-    scores = left.join(right, "conv_id").select(*INSTANCE, "source_idx", text.overlap(F.col("ft"), F.col("st")).alias("score"))
-    pooled = attribution.max_over_facts(scores, INSTANCE, "source_idx")
-    return attribution.outer_keep(grid(spark, d), pooled, [*INSTANCE, "source_idx"]).withColumn("score", F.round("score", 6))
+    right = sources(spark, d).select("conv_id", "source_idx", F.array_distinct(text.tokens(F.col("s"))).alias("t"))
+    return attribution.fact_grid(fact_tokens(spark, d), right, "conv_id", "sent_idx", "source_idx", "fs", "t").withColumn("score", F.round("score", 6))
 
 
 WINDOW_LENGTHS = (3, 5)
@@ -67,13 +71,12 @@ WHERE a.w < a.n GROUP BY ALL), x AS (SELECT conv_id, sent_idx, wlen, source_idx,
 SELECT s.conv_id, s.sent_idx, wl.wlen::INT AS window_length, r.source_idx, round(coalesce(x.score, 0), 6) AS score FROM stm s JOIN src r ON r.conv_id = s.conv_id CROSS JOIN wl LEFT JOIN x ON x.conv_id = s.conv_id AND x.sent_idx = s.sent_idx AND x.wlen = wl.wlen AND x.source_idx = r.source_idx""")
 def entailment_window_fact_attr(spark, d):
     """Windows of three and of five sources: a source's mean over the windows that hold it, then the largest over facts."""
-    packed, left, base = packed_sources(spark, d), facts(spark, d).select(*FACT, text.tokens(F.col("fact")).alias("ft")), grid(spark, d)
-    out = None
+    packed, left, out = packed_sources(spark, d), fact_tokens(spark, d), None
     for length in WINDOW_LENGTHS:
-        wins = packed.select("conv_id", F.size("xs").alias("n"), F.posexplode(sequences.windows(F.col("xs"), length)).alias("source_idx", "win")).withColumn("win", text.tokens(F.array_join("win", " ")))
-        rows = left.join(wins, "conv_id").select(*FACT, F.col("source_idx").cast("long").alias("source_idx"), "n", text.overlap(F.col("ft"), F.col("win")).alias("score"))
-        pooled = attribution.max_over_facts(attribution.window_means(rows, FACT, "source_idx", "score", length, "n"), INSTANCE, "source_idx")
-        kept = attribution.outer_keep(base, pooled, [*INSTANCE, "source_idx"]).select(*INSTANCE, F.lit(length).alias("window_length"), "source_idx", F.round("score", 6).alias("score"))
+        wins = packed.select("conv_id", F.posexplode(sequences.windows(F.col("xs"), length)).alias("source_idx", "win"))
+        right = wins.select("conv_id", F.col("source_idx").cast("long").alias("source_idx"), F.array_distinct(text.tokens(F.array_join("win", " "))).alias("t"))
+        scores = attribution.fact_grid(left, right, "conv_id", "sent_idx", "source_idx", "fs", "t", length)
+        kept = scores.select(*INSTANCE, F.lit(length).alias("window_length"), "source_idx", F.round("score", 6).alias("score"))
         out = kept if out is None else out.unionByName(kept)
     return out
 

@@ -179,6 +179,34 @@ def test_similar_pairs_and_components_are_made_group_by_group(spark):
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in dedup.group_components(df, links, ["g"], "i").collect()}
 
 
+@pytest.mark.parametrize("spread", [1, 3, 5])
+def test_facts_are_pooled_block_by_block(spark, spread):
+    """Means over windows that cross a block's edge, statements without facts and sources without words; no pair is shuffled."""
+    rng = random.Random(spread)
+    words = lambda n: rng.sample("abcdefgh", n)
+    sizes = {1: (3, 2), 2: (attribution.LEFT + 3, attribution.RIGHT + 1), 3: (1, 2 * attribution.RIGHT), 4: (2, 1)}
+    facts = {(k, i): [words(rng.randrange(4)) for _ in range(rng.randrange(3))] for k, (n, _) in sizes.items() for i in range(n)}
+    held = {(k, j): words(rng.randrange(5)) for k, (_, n) in sizes.items() for j in range(n + spread - 1)}
+    left = spark.createDataFrame([(*k, v) for k, v in facts.items()], "g int, i long, fs array<array<string>>")
+    right = spark.createDataFrame([(*k, v) for k, v in held.items()], "g int, j long, t array<string>").repartition(3)
+    share = lambda f, t: len(set(f) & set(t)) / len(set(f)) if f else 0.0
+    want = {(k, i, j): max([sum(share(f, held[k, j + x]) for x in range(spread)) / spread for f in facts[k, i]], default=0.0) for k, (n, m) in sizes.items() for i in range(n) for j in range(m)}
+    found = attribution.fact_grid(left, right, "g", "i", "j", "fs", "t", spread)
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.g, r.i, r.j): pytest.approx(r.score) for r in rows} == want
+    assert "hashpartitioning(g" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(g#0, i" not in plan
+
+
+def test_embedding_takes_a_bounded_number_of_texts():
+    """Rows of an Arrow batch are embedded a few at a time; null lists count as none."""
+    sizes = [(3, 3), (0, 0), (40, 9), (1, None), (2, 2), (None, None), (5, 4)]
+    texts = lambda n: None if n is None else ["x"] * n
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(sizes))), "a": [texts(a) for a, _ in sizes], "b": [texts(b) for _, b in sizes]}, pa.schema([("k", pa.int64()), ("a", pa.list_(pa.string())), ("b", pa.list_(pa.string()))]))
+    got = [b.column("k").to_pylist() for b in attribution.by_texts([batch], ["a", "b"], 10)]
+    assert sum(got, []) == list(range(len(sizes))) and len(got) > 2
+    assert all(sum((a or 0) + (b or 0) for a, b in (sizes[k] for k in ks[1:])) <= 10 for ks in got)
+
+
 def test_greedy_and_surrogate(spark):
     df = spark.createDataFrame([(1, 0, "a b", "a b c d"), (1, 1, "c", "a b c d"), (1, 2, "z", "a b c d")], "k int, source_idx int, source string, hypothesis string")
     got = {r.source_idx: (r.score, r.step, r.cited) for r in attribution.greedy_selection(df, ["k"]).collect()}
@@ -281,6 +309,22 @@ def test_whole_texts_go_to_python_in_small_batches(spark):
         spark.conf.set(held, before)
 
 
+def test_conversations_go_to_python_in_bounded_batches(spark):
+    """Blocks of an instance's texts are no rows of a few bytes."""
+    from claimspark.plans.bindings import BLOCKS, table
+    from tests.compare import DATA
+
+    held = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(held)
+    try:
+        for given, kept in (("10000", str(BLOCKS)), ("0", str(BLOCKS)), ("500", "500")):
+            spark.conf.set(held, given)
+            table(spark, DATA, "conversations")
+            assert spark.conf.get(held) == kept
+    finally:
+        spark.conf.set(held, before)
+
+
 def test_rank_correlation_of_rows():
     x = np.array([[1.0, 2.0, 2.0, 3.0], [1.0, 1.0, 1.0, 1.0]])
     assert metrics.place_of(x).tolist() == [[1.0, 2.5, 2.5, 4.0], [2.5] * 4]
