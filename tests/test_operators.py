@@ -291,6 +291,39 @@ def test_fused_ranks_are_those_of_all_pairs(spark):
     assert len(best) == 5 * 4 and sorted({r.rk for r in best}) == [1, 2, 3, 4, 5]
 
 
+def test_the_best_of_fused_ranks_are_counted_without_shuffling_pairs(spark):
+    """Leaders of a few chunks a task and a count for their ranks give the places that ranks of all pairs give, with ties in both scores."""
+    rng = random.Random(4)
+    rows = [(i * 10, [float(rng.randrange(-3, 4)) for _ in range(3)], [rng.choice("abcdefgh") for _ in range(rng.randrange(5))] if i % 5 else None) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "c long, v array<double>, terms array<string>").repartition(3)
+    asked, texts = chunks.filter("c % 400 = 0").withColumnRenamed("c", "q"), chunks.filter("terms IS NOT NULL")
+    weights = ranking.query_weights(texts.filter("c % 400 = 0").withColumnRenamed("c", "q"), texts, "q")
+    whole = ranking.fused_ranks(asked.select("q", "v"), chunks, weights, "q", "c", "v", "terms").collect()
+    for best in (1, 4, 30):
+        found = ranking.fused_ranks(asked.select("q", "v"), chunks, weights, "q", "c", "v", "terms", best)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "first" in plan and "steps" not in plan
+        want = set()
+        for q in {r.q for r in whole}:
+            own = sorted((r for r in whole if r.q == q), key=lambda r: (round(r.rrf, 9), r.c), reverse=True)[:best]
+            want |= {(q, r.c, r.rank_1, r.rank_2, place) for place, r in enumerate(own, 1)}
+        assert {(r.q, r.c, r.rank_1, r.rank_2, r.rk) for r in found.collect()} == want
+
+
+def test_leaders_are_the_best_whatever_the_order():
+    rng = np.random.default_rng(2)
+    board, ids = ranking.Leaders(3, 7, 1), rng.permutation(500)
+    board.size = 1 << 20  # cut at the first rows already
+    score = rng.integers(0, 40, (2, 3, 500))
+    for k in range(0, 500, 50):
+        part = slice(k, k + 50)
+        board.add(ids[part], (score[0][:, part], score[1][:, part]), ids[part] != np.array([[4], [5], [6]]))
+    q, found, *_ = board.cut()
+    for i in range(3):
+        want = sorted((s, j) for s, j in zip(score[1][i], ids, strict=True) if j != i + 4)[-7:]
+        assert sorted(found[q == i]) == sorted(j for _, j in want)
+
+
 def test_whole_texts_go_to_python_in_small_batches(spark):
     from claimspark.plans.bindings import BATCH, table
     from tests.compare import DATA
