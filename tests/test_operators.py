@@ -302,7 +302,7 @@ def test_the_best_of_fused_ranks_are_counted_without_shuffling_pairs(spark):
     for best in (1, 4, 30):
         found = ranking.fused_ranks(asked.select("q", "v"), chunks, weights, "q", "c", "v", "terms", best)
         plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "first" in plan and "steps" not in plan
+        assert "first" in plan and "held" not in plan
         want = set()
         for q in {r.q for r in whole}:
             own = sorted((r for r in whole if r.q == q), key=lambda r: (round(r.rrf, 9), r.c), reverse=True)[:best]
@@ -310,6 +310,14 @@ def test_the_best_of_fused_ranks_are_counted_without_shuffling_pairs(spark):
         assert {(r.q, r.c, r.rank_1, r.rank_2, r.rk) for r in found.collect()} == want
 
 
+def test_numbers_come_back_from_their_planes():
+    for kind in (np.int32, np.int64):
+        for x in (np.array([], kind), np.array([0, -1, 5, np.iinfo(kind).min, np.iinfo(kind).max], kind), np.arange(3000, dtype=kind)[::3]):
+            assert ranking.unplaned(ranking.planes(x), kind).tolist() == x.tolist()
+    x = np.arange(4096, dtype=np.int64)
+    assert len(pa.compress(ranking.planes(x), "zstd", asbytes=True)) * 20 < x.nbytes
+
+
 def test_leaders_are_the_best_whatever_the_order():
     rng = np.random.default_rng(2)
     board, ids = ranking.Leaders(3, 7, 1), rng.permutation(500)
